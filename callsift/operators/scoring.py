@@ -144,7 +144,8 @@ def model_input(
         F.lit(instruction + "Rubric:\n"), rules, F.lit("\n\nTranscript:\n"),
         F.coalesce("full_text", F.lit("")),
     )
-    return transcripts.select(KEY, prompt.alias("prompt"))
+    kept = [c for c in (KEY, "agent_id") if c in transcripts.columns]
+    return transcripts.select(*kept, prompt.alias("prompt"))
 
 
 def infer(

@@ -1,7 +1,7 @@
 """JSON inside free text: finding it, checking it, reading values of unknown type.
 
-Parsed structs are never tested for null, since malformed text gives a struct of nulls; validity is
-asked of `try_parse_json`, which is null only when the text is no JSON.
+Parsed structs are never tested for null, since malformed text gives a struct of nulls. Spark's
+parsers also stop after the first value and ignore what follows it. `parsed` is strict instead.
 """
 
 from __future__ import annotations
@@ -25,8 +25,15 @@ def object_part(text: Column) -> Column:
     return _between(text, "{", "}")
 
 
-def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+def parsed(text: Column) -> Column:
+    """A text that is one JSON value as VARIANT, null for anything else.
+
+    Inside brackets and inside braces the text must fit each time: something after the value can
+    close one of them early, but not both.
+    """
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(in_object.isNotNull(), F.try_variant_get(in_list, "$[0]", "variant"))
 
 
 def without_fence(text: Column) -> Column:
@@ -75,15 +82,13 @@ def recovered(text: Column) -> Column:
 
     def read(snippet: Column) -> Column:
         swapped = F.replace(snippet, F.lit("'"), F.lit('"'))
-        return F.coalesce(
-            F.to_json(F.try_parse_json(snippet)), F.to_json(F.try_parse_json(swapped))
-        )
+        return F.coalesce(F.to_json(parsed(snippet)), F.to_json(parsed(swapped)))
 
     snippets = F.regexp_extract_all(text, F.lit(r"(?s)\{.*?\}"), F.lit(0))
     readable = F.filter(F.transform(snippets, read), lambda s: s.isNotNull())
     return F.coalesce(
-        F.to_json(F.try_parse_json(text)),
-        F.to_json(F.try_parse_json(F.btrim(F.trim(text), F.lit("`")))),
+        F.to_json(parsed(text)),
+        F.to_json(parsed(F.btrim(F.trim(text), F.lit("`")))),
         F.try_element_at(readable, F.lit(1)),
         F.lit("{}"),
     )

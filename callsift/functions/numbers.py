@@ -38,25 +38,30 @@ def count_where(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
+def python_round(value: Column, digits: int) -> Column:
+    """Round a non-negative DOUBLE as Python's round() does: by its exact binary value, ties to even.
+
+    `value * scale` loses digits, so the lost part is computed too (an exact product after
+    Veltkamp and Dekker) and decides on which side of the half the true product lies.
+    """
+    scale = F.lit(float(10 ** digits))
+    product = value * scale
+    wide = value * F.lit(134217729.0)  # 2**27 + 1 splits a DOUBLE into two halves
+    upper = wide - (wide - value)
+    lost = (upper * scale - product) + (value - upper) * scale
+    floor = F.floor(product).cast("bigint")
+    side = (product - floor - F.lit(0.5)) + lost
+    up = F.when(side == 0, floor % 2 == 1).otherwise(side > 0)
+    return (floor + F.when(up, 1).otherwise(0)) / scale
+
+
 def weight_percent(weight: Column) -> Column:
     """Weights up to 1 are shares and shown as percent, larger ones are percent already."""
     value = F.coalesce(weight, F.lit(0.0))
-    return F.when(value <= 1, F.round(value * 100, 2)).otherwise(F.round(value, 2))
-
-
-# Whether Python rounds the tie m/2000 (m odd) up to three digits depends on how the double nearest
-# to it is represented. There are 1,000 such ties between 0 and 1; this string answers each by rule.
-TIE_GOES_UP = "".join("1" if round(m / 2000, 3) * 2000 > m else "0" for m in range(1, 2000, 2))
+    return F.when(value <= 1, python_round(value * 100, 2)).otherwise(python_round(value, 2))
 
 
-def share_3_digits(part: Column, whole: Column) -> Column:
-    """part / whole rounded to three digits the way Python's round() does; null when whole is 0."""
-    part = part.cast("bigint")
-    whole = F.nullif(whole.cast("bigint"), F.lit(0).cast("bigint"))
-    twice_thousand = F.try_divide(part * 2000, whole)
-    steps = F.floor(twice_thousand).cast("bigint")
-    on_tie = (part * 2000 % whole == 0) & (steps % 2 == 1)
-    down = F.floor(steps / 2).cast("bigint")
-    tie_up = F.substring(F.lit(TIE_GOES_UP), down.cast("int") + 1, F.lit(1)) == "1"
-    up = F.when(on_tie, tie_up).otherwise(steps % 2 == 1)
-    return (down + F.when(up, 1).otherwise(0)) / F.lit(1000.0)
+def talk_share(part: Column, other: Column) -> Column:
+    """part / (part + other) to three digits; null when both are zero."""
+    share = F.try_divide(part.cast("double"), (part + other).cast("double"))
+    return F.when(share.isNotNull(), python_round(share, 3))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml import feature as mlf
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +69,8 @@ def resolution_frame(training: DataFrame) -> DataFrame:
     return coded.filter("resolution IS NOT NULL").select("contact_id", "resolution", *numbers)
 
 
-class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                  DefaultParamsWritable):
     """Term counts to 1 + ln(count); zero stays zero."""
 
     @keyword_only
@@ -85,7 +86,8 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), array_to_vector(damped))
 
 
-class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                 DefaultParamsWritable):
     """Words followed by their adjacent pairs."""
 
     @keyword_only
@@ -101,30 +103,17 @@ class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), F.concat(words, pairs))
 
 
-class SmoothIdf(mlf.IDF):
-    """Spark's idf ln((1 + N) / (1 + df)) plus one, so a term found everywhere keeps its weight.
-
-    The added one equals adding the unweighted vector, which the fitted stages do.
-    """
-
-    def fit(self, dataset, params=None):
-        source, target = self.getInputCol(), self.getOutputCol()
-        plain = mlf.IDF(inputCol=source, outputCol=f"{target}_idf").fit(dataset)
-        sum_of = SumVectors(inputCol=source, outputCol=target)
-        return PipelineModel([plain, sum_of])
-
-
-class SumVectors(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """The input vector plus its idf-weighted form."""
+class AddVectors(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
+                 DefaultParamsWritable):
+    """The sum of two vector columns."""
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None):
+    def __init__(self, *, inputCols=None, outputCol=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        left = vector_to_array(self.getInputCol())
-        right = vector_to_array(f"{self.getOutputCol()}_idf")
+        left, right = (vector_to_array(c) for c in self.getInputCols())
         total = F.zip_with(left, right, lambda a, b: a + b)
         return df.withColumn(self.getOutputCol(), array_to_vector(total))
 
@@ -143,7 +132,9 @@ def text_stages(text_col: str = "combined_text", vocabulary: int = VOCABULARY,
         TokenGrams(inputCol="kept", outputCol="grams"),
         mlf.CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary),
         SublinearTf(inputCol="counts", outputCol="tf"),
-        SmoothIdf(inputCol="tf", outputCol="weighted"),
+        # Spark's idf is ln((1 + N) / (1 + df)); adding tf itself makes it that plus one.
+        mlf.IDF(inputCol="tf", outputCol="tf_idf"),
+        AddVectors(inputCols=["tf", "tf_idf"], outputCol="weighted"),
         mlf.Normalizer(inputCol="weighted", outputCol="text_vec", p=2.0),
     ]
 

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from callsift.functions.numbers import EXACT, count_where, weight_percent
 
-RULE_ORDER = (
-    F.asc_nulls_last("section_name"),
-    F.desc_nulls_last("effective_weight"),
-    F.asc_nulls_last("criteria_name"),
-)
+def rule_order() -> tuple[Column, ...]:
+    """By section, heaviest first, then name; unknown values last."""
+    return (
+        F.asc_nulls_last("section_name"),
+        F.desc_nulls_last("effective_weight"),
+        F.asc_nulls_last("criteria_name"),
+    )
 
 
 def enabled_rules(rubric: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def with_weight_percent(rubric: DataFrame, col: str = "effective_weight") -> Dat
 
 def sorted_rules(rubric: DataFrame, k: int | None = None) -> DataFrame:
     """Rules by section, then heaviest first, then name; optionally only the first k."""
-    ordered = rubric.orderBy(*RULE_ORDER)
+    ordered = rubric.orderBy(*rule_order())
     return ordered if k is None else ordered.limit(k)
 
 
@@ -44,7 +46,7 @@ def rubric_counts(rubric: DataFrame) -> DataFrame:
 
 
 def _position() -> Column:
-    """The place of a rule in `RULE_ORDER` as one comparable value."""
+    """The place of a rule in `rule_order` as one comparable value."""
     weight = F.col("effective_weight")
     return F.struct(
         F.col("section_name").isNull().alias("s0"),

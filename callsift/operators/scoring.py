@@ -35,7 +35,7 @@ def _evaluations(responses: DataFrame) -> DataFrame:
     part = js.array_part(F.col("content"))
     return responses.select(
         "*", part.alias("_json"), F.from_json(part, EVALUATION).alias("_items")
-    ).withColumn("_ok", F.coalesce(js.is_json(F.col("_json")), F.lit(False)) & F.col("_items").isNotNull())
+    ).withColumn("_ok", js.parsed(F.col("_json")).isNotNull() & F.col("_items").isNotNull())
 
 
 def parse_scores(
@@ -72,7 +72,7 @@ def parse_scores(
 def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Call summaries from (contact_id, content) responses, and the unreadable responses."""
     part = js.object_part(F.col("content"))
-    document = responses.select(KEY, "content", F.try_parse_json(part).alias("doc"))
+    document = responses.select(KEY, "content", js.parsed(part).alias("doc"))
 
     def text(name: str) -> Column:
         return F.try_variant_get("doc", f"$.{name}", "string")
@@ -91,9 +91,7 @@ def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_ai_summary(responses: DataFrame) -> DataFrame:
     """Summary, strengths, improvements and failed criteria; unreadable text is kept as summary."""
     content = F.col("content")
-    document = F.coalesce(
-        F.try_parse_json(content), F.try_parse_json(js.without_fence(content))
-    )
+    document = F.coalesce(js.parsed(content), js.parsed(js.without_fence(content)))
     read = responses.select("*", document.alias("_doc"))
     is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
     note = F.concat(tx.head(content, 1000), F.lit(NOTE))

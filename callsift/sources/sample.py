@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.functions import text as tx
-from callsift.functions.numbers import share_3_digits
+from callsift.functions.numbers import talk_share
+from callsift.schemas import flat
 
 # Criteria 1-7 with section and weight in basis points (section, share, effective).
 SECTION_1 = "Section 1: Offer Assistance"
@@ -50,10 +51,10 @@ SCHEMAS = {
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A provided table with its declared schema."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(flat(SCHEMAS[name])).parquet(f"{folder}/{name}.parquet")
 
 
-def _choose(value: Column, options: dict) -> Column:
+def choose(value: Column, options: dict) -> Column:
     chain = F
     for key, label in options.items():
         chain = chain.when(value == key, label)
@@ -97,9 +98,9 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
 def call_summary(spark: SparkSession, folder: str) -> DataFrame:
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    outcome = _choose(F.col("o_orderstatus"), RESOLUTIONS)
+    outcome = choose(F.col("o_orderstatus"), RESOLUTIONS)
     resolution = F.when(key % 31 == 0, None).when(key % 29 == 0, "Abandoned").otherwise(outcome)
-    issue = _choose(priority, ISSUES)
+    issue = choose(priority, ISSUES)
     return table(spark, folder, "orders").select(
         key.alias("contact_id"),
         issue.alias("issue_category"),
@@ -119,20 +120,20 @@ def call_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _criterion(position: int, of: Column) -> Column:
-    return _choose(of, {row[0]: row[position] for row in CRITERIA})
+def criterion(position: int, of: Column) -> Column:
+    return choose(of, {row[0]: row[position] for row in CRITERIA})
 
 
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     number = F.col("l_linenumber")
     passed = F.when(F.col("l_quantity") != 1, F.col("l_returnflag") != "R")
-    weight = _criterion(5, number) / F.lit(10000.0)
+    weight = criterion(5, number) / F.lit(10000.0)
     return table(spark, folder, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("score_id"),
         F.col("l_orderkey").alias("contact_id"),
         F.col("l_suppkey").alias("agent_id"),
-        _criterion(1, number).alias("section_name"),
-        _criterion(2, number).alias("criteria_name"),
+        criterion(1, number).alias("section_name"),
+        criterion(2, number).alias("criteria_name"),
         F.when(passed, weight).otherwise(F.lit(0.0)).alias("score"),
         passed.alias("passed"),
         F.concat(F.lit("flag "), "l_returnflag").alias("reasoning"),
@@ -150,11 +151,11 @@ def rubric(spark: SparkSession, folder: str) -> DataFrame:
     )
     return seen.select(
         F.concat(F.lit("R"), number.cast("string")).alias("framework_id"),
-        F.when(number != 7, _criterion(1, number)).alias("section_name"),
-        _criterion(2, number).alias("criteria_name"),
-        (_criterion(3, number) / F.lit(10000.0)).alias("section_weight"),
-        (_criterion(4, number) / F.lit(10000.0)).alias("criteria_weight"),
-        (_criterion(5, number) / F.lit(10000.0)).alias("effective_weight"),
+        F.when(number != 7, criterion(1, number)).alias("section_name"),
+        criterion(2, number).alias("criteria_name"),
+        (criterion(3, number) / F.lit(10000.0)).alias("section_weight"),
+        (criterion(4, number) / F.lit(10000.0)).alias("criteria_weight"),
+        (criterion(5, number) / F.lit(10000.0)).alias("effective_weight"),
         (number != 6).alias("enabled"),
         F.concat(F.lit("check "), number.cast("string")).alias("what_to_check"),
         F.lit("always").alias("when_to_check"),
@@ -214,9 +215,7 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
         customer_words.alias("customer_word_count"),
     ).withColumn(
         "talk_ratio",
-        share_3_digits(
-            F.col("agent_word_count"), F.col("agent_word_count") + F.col("customer_word_count")
-        ),
+        talk_share(F.col("agent_word_count"), F.col("customer_word_count")),
     )
 
 

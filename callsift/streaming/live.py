@@ -23,14 +23,15 @@ def _run(writer, trigger_seconds: int | None) -> StreamingQuery:
     return writer.trigger(processingTime=f"{trigger_seconds} seconds").start()
 
 
-def details_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """New call-document files as they arrive."""
-    return spark.readStream.schema(schemas.CALL_DETAIL).option("multiLine", True).json(folder)
+def details_stream(spark: SparkSession, folder: str, one_per_line: bool = False) -> DataFrame:
+    """New call-document files as they arrive: one document per file, or one per line."""
+    reader = spark.readStream.schema(schemas.CALL_DETAIL)
+    return reader.option("multiLine", not one_per_line).json(folder)
 
 
 def start_ingest(
     spark: SparkSession, folder: str, out: str, checkpoint: str, run_ts: datetime,
-    trigger_seconds: int | None = None,
+    trigger_seconds: int | None = None, one_per_line: bool = False,
 ) -> StreamingQuery:
     """Append calls of new files to the table at `out`; a call already there is left alone.
 
@@ -42,7 +43,7 @@ def start_ingest(
         stored = batch.sparkSession.read.schema(schemas.CALLS).parquet(out)
         sinks.append(sinks.unseen(stored, batch, "contact_id", "contact_start"), out)
 
-    calls = files.calls_from_details(details_stream(spark, folder), run_ts)
+    calls = files.calls_from_details(details_stream(spark, folder, one_per_line), run_ts)
     writer = calls.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return _run(writer, trigger_seconds)
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from callsift.functions import jsontext as js
 from callsift.functions import text as tx
 from callsift.operators.joins import with_weights
+from callsift.plans.once import computed_once
 from callsift.plans.sizing import blocks, lookup_side
 
 KEY = "contact_id"
@@ -20,6 +21,7 @@ NOTE = " Note: Machine-generated, not human-intervened."
 ALL_MET = "Excellent — all criteria met!"
 SCORED_BY = "auditor"
 RULES_PER_PASS = 1_000
+DEFAULT_SCORE = 5
 EVALUATION = "array<struct<section_name: string, criteria_name: string, passed: variant, reasoning: string>>"
 SUMMARY_FIELDS = (
     "issue_category", "issue_description", "resolution", "sentiment_agent", "sentiment_customer",
@@ -32,10 +34,12 @@ INSTRUCTION = (
 
 
 def _evaluations(responses: DataFrame) -> DataFrame:
-    part = js.array_part(F.col("content"))
-    return responses.select(
-        "*", part.alias("_json"), F.from_json(part, EVALUATION).alias("_items")
-    ).withColumn("_ok", js.parsed(F.col("_json")).isNotNull() & F.col("_items").isNotNull())
+    """Responses with the found array text, its items, and whether both could be read."""
+    found = computed_once(responses, _json=js.array_part(F.col("content")))
+    read = computed_once(
+        found, _whole=js.parsed(F.col("_json")).isNotNull(), _items=F.from_json("_json", EVALUATION)
+    )
+    return read.withColumn("_ok", F.col("_whole") & F.col("_items").isNotNull())
 
 
 def parse_scores(
@@ -71,29 +75,33 @@ def parse_scores(
 
 def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Call summaries from (contact_id, content) responses, and the unreadable responses."""
-    part = js.object_part(F.col("content"))
-    document = responses.select(KEY, "content", js.parsed(part).alias("doc"))
+    found = computed_once(responses, _json=js.object_part(F.col("content")))
+    opened = computed_once(found, doc=js.parsed(F.col("_json")))
+    document = computed_once(opened, score=F.try_variant_get("doc", "$.overall_score", "variant"))
 
     def text(name: str) -> Column:
         return F.try_variant_get("doc", f"$.{name}", "string")
 
-    raw_score = F.try_variant_get("doc", "$.overall_score", "variant")
-    read = document.select(
-        KEY, "content",
+    known = F.when(F.col("doc").isNotNull(), js.whole_number(F.col("score"), DEFAULT_SCORE))
+    read = computed_once(document, overall_score=known)
+    usable = F.col("overall_score").isNotNull()
+    rows = read.filter(usable).select(
+        KEY,
         *[text(name).alias(name) for name in SUMMARY_FIELDS],
         text("ai_recot").alias("ai_recommendation"),
-        F.when(F.col("doc").isNotNull(), js.whole_number(raw_score, 5)).alias("overall_score"),
+        "overall_score",
     )
-    usable = F.col("overall_score").isNotNull()
-    return read.filter(usable).drop("content"), read.filter(~usable).select(KEY, "content")
+    return rows, read.filter(~usable).select(KEY, "content")
 
 
 def parse_ai_summary(responses: DataFrame) -> DataFrame:
     """Summary, strengths, improvements and failed criteria; unreadable text is kept as summary."""
     content = F.col("content")
     document = F.coalesce(js.parsed(content), js.parsed(js.without_fence(content)))
-    read = responses.select("*", document.alias("_doc"))
-    is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
+    opened = computed_once(responses, _doc=document)
+    kind = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
+    read = computed_once(opened, _is_object=kind)
+    is_object = F.col("_is_object")
     note = F.concat(tx.head(content, 1000), F.lit(NOTE))
     nothing = F.array().cast("array<string>")
 

@@ -25,15 +25,23 @@ def object_part(text: Column) -> Column:
     return _between(text, "{", "}")
 
 
+END = "~end of text~"
+
+
+def wrapped(text: Column) -> Column:
+    """The text and an end mark as the two elements of a JSON list, parsed; see `unwrapped`."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
+
+
+def unwrapped(pair: Column) -> Column:
+    """The text's value if the end mark follows it directly, so nothing else came after the value."""
+    whole = F.try_variant_get(pair, "$[1]", "string") == END
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def parsed(text: Column) -> Column:
-    """A text that is one JSON value as VARIANT, null for anything else.
-
-    Inside brackets and inside braces the text must fit each time: something after the value can
-    close one of them early, but not both.
-    """
-    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(in_object.isNotNull(), F.try_variant_get(in_list, "$[0]", "variant"))
+    """A text that is one JSON value as VARIANT, null for anything else."""
+    return unwrapped(wrapped(text))
 
 
 def without_fence(text: Column) -> Column:

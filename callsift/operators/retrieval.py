@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions import text as tx
+from callsift.plans.once import computed_once
 from callsift.plans.sizing import blocks, lookup_side
 
 KEY = "contact_id"
@@ -166,7 +167,7 @@ def document_topk(queries: DataFrame, docs: DataFrame, fn: Callable, id_col: str
 
 def _postings(docs: DataFrame, id_col: str, vocabulary: DataFrame) -> DataFrame:
     """(id, term_no, tf, length) of the vocabulary's terms in each document."""
-    words = docs.select(id_col, tx.tokens(F.col("text")).alias("_tokens"))
+    words = computed_once(docs.select(id_col, "text"), _tokens=tx.tokens(F.col("text")))
     exploded = words.select(
         id_col, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")
     )
@@ -178,9 +179,12 @@ def _weighted(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """`postings` with weight (1 + ln tf) * idf / sqrt(length), idf = ln((1 + N) / (1 + df)) + 1.
 
     The idf table has at most one row per vocabulary term, and the vocabulary was broadcast already.
+    Counting by a condition on tf, which always holds, keeps this branch equal to the other one, so
+    that Spark reuses its shuffle and reads the documents once.
     """
     total = docs.agg(F.count("*")).scalar()
-    terms = postings.groupBy("term_no").agg(F.count("*").alias("df")).select(
+    document_count = F.count_if(F.col("tf") > 0).alias("df")
+    terms = postings.groupBy("term_no").agg(document_count).select(
         "term_no", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
     joined = postings.join(F.broadcast(terms), "term_no")

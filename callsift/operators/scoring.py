@@ -33,13 +33,18 @@ INSTRUCTION = (
 )
 
 
+def _opened(df: DataFrame, text: Column) -> DataFrame:
+    """`df` with the JSON value of a text as `_doc`, parsed once per row."""
+    return computed_once(computed_once(df, _pair=js.wrapped(text)), _doc=js.unwrapped(F.col("_pair")))
+
+
 def _evaluations(responses: DataFrame) -> DataFrame:
-    """Responses with the found array text, its items, and whether both could be read."""
+    """Responses with the found array text and its items, null unless all of them are objects."""
     found = computed_once(responses, _json=js.array_part(F.col("content")))
-    read = computed_once(
-        found, _whole=js.parsed(F.col("_json")).isNotNull(), _items=F.from_json("_json", EVALUATION)
-    )
-    return read.withColumn("_ok", F.col("_whole") & F.col("_items").isNotNull())
+    opened = _opened(found, F.col("_json"))
+    read = computed_once(opened, _read=F.try_variant_get("_doc", "$", EVALUATION))
+    odd = F.exists("_read", lambda item: item.isNull())
+    return computed_once(read, _items=F.when(~odd, F.col("_read")))
 
 
 def parse_scores(
@@ -50,7 +55,7 @@ def parse_scores(
     A passed criterion earns the weight of its rule; an unknown one earns nothing.
     """
     parsed = _evaluations(responses)
-    items = parsed.filter("_ok").select(
+    items = parsed.select(
         KEY, "agent_id", F.posexplode("_items").alias("_no", "_item")
     )
     rows = items.select(
@@ -69,20 +74,20 @@ def parse_scores(
         F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz").alias("evaluated_at"),
     )
     reason = F.when(F.col("_json").isNull(), "no array").otherwise("not readable")
-    errors = parsed.filter("NOT _ok").select(KEY, "content", reason.alias("reason"))
+    errors = parsed.filter("_items IS NULL").select(KEY, "content", reason.alias("reason"))
     return scores, errors
 
 
 def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Call summaries from (contact_id, content) responses, and the unreadable responses."""
     found = computed_once(responses, _json=js.object_part(F.col("content")))
-    opened = computed_once(found, doc=js.parsed(F.col("_json")))
-    document = computed_once(opened, score=F.try_variant_get("doc", "$.overall_score", "variant"))
+    opened = _opened(found, F.col("_json"))
+    document = computed_once(opened, score=F.try_variant_get("_doc", "$.overall_score", "variant"))
 
     def text(name: str) -> Column:
-        return F.try_variant_get("doc", f"$.{name}", "string")
+        return F.try_variant_get("_doc", f"$.{name}", "string")
 
-    known = F.when(F.col("doc").isNotNull(), js.whole_number(F.col("score"), DEFAULT_SCORE))
+    known = F.when(F.col("_doc").isNotNull(), js.whole_number(F.col("score"), DEFAULT_SCORE))
     read = computed_once(document, overall_score=known)
     usable = F.col("overall_score").isNotNull()
     rows = read.filter(usable).select(
@@ -97,8 +102,9 @@ def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_ai_summary(responses: DataFrame) -> DataFrame:
     """Summary, strengths, improvements and failed criteria; unreadable text is kept as summary."""
     content = F.col("content")
-    document = F.coalesce(js.parsed(content), js.parsed(js.without_fence(content)))
-    opened = computed_once(responses, _doc=document)
+    plain = _opened(responses, content).withColumnRenamed("_doc", "_plain").drop("_pair")
+    unfenced = F.when(F.col("_plain").isNull(), js.without_fence(content))
+    opened = _opened(plain, unfenced).withColumn("_doc", F.coalesce("_plain", "_doc"))
     kind = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
     read = computed_once(opened, _is_object=kind)
     is_object = F.col("_is_object")

@@ -255,7 +255,7 @@ def sentiment(
 
 
 def _failed_in_order(scores: DataFrame, rubric: DataFrame) -> DataFrame:
-    """Per call the distinct failed criteria in rubric order.
+    """Per call the distinct failed criteria in rubric order, those outside the rubric last.
 
     The set is bounded by the rubric and folds inside each task, however many score rows a call has.
     """
@@ -266,7 +266,8 @@ def _failed_in_order(scores: DataFrame, rubric: DataFrame) -> DataFrame:
     placed = scores.select(KEY, "criteria_name", failed.alias("_failed")).join(
         order, "criteria_name", "left"
     )
-    entry = F.when(F.col("_failed"), F.struct("_place", "criteria_name"))
+    unknown = F.col("_place").isNull().alias("unknown")
+    entry = F.when(F.col("_failed"), F.struct(unknown, "_place", "criteria_name"))
     sets = placed.groupBy(KEY).agg(F.array_sort(F.collect_set(entry)).alias("_set"))
     names = F.transform("_set", lambda e: e["criteria_name"])
     return sets.select(KEY, names.alias("failed"))

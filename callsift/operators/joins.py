@@ -59,21 +59,32 @@ def scores_with_names(scores: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def call_detail(calls: DataFrame, scores: DataFrame, contact_id: int | None = None) -> DataFrame:
-    """A call (or all calls) with its score rows, the score as whole percent."""
+    """A call (or all calls) with its score rows, the score as whole percent.
+
+    A left join whose right side has a hot key cannot be split at run time. An inner join can, and
+    the calls without scores are added by an anti join against folded keys.
+    """
     if contact_id is not None:
         calls = calls.filter(F.col(KEY) == contact_id)
         scores = scores.filter(F.col(KEY) == contact_id)
     percent = F.round(F.col("score").cast("decimal(18,6)") * 100, 0).cast("double")
     lines = scores.select(KEY, "criteria_name", "passed", percent.alias("score_pct"), "reasoning")
-    return calls.join(lines, KEY, "left")
+    without = calls.join(distinct_keys(scores, KEY), KEY, "left_anti")
+    return calls.join(lines, KEY).unionByName(without, allowMissingColumns=True)
 
 
 def unsummarized(transcripts: DataFrame, call_summary: DataFrame) -> DataFrame:
-    """Transcripts whose call has no summary, or a summary without a category."""
-    side = call_summary.select(KEY, "issue_category", F.lit(True).alias("_has_summary"))
-    joined = transcripts.select(KEY, "agent_text", "customer_text").join(side, KEY, "left")
-    missing = F.col("_has_summary").isNull() | F.col("issue_category").isNull()
-    return joined.filter(missing).select(KEY, "agent_text", "customer_text")
+    """Transcripts whose call has no summary, or once per summary without a category.
+
+    Summaries are counted per call first, so the right side is unique and a hot key folds early.
+    """
+    empty = F.count_if(F.col("issue_category").isNull()).alias("_empty")
+    summaries = call_summary.groupBy(KEY).agg(empty)
+    joined = transcripts.select(KEY, "agent_text", "customer_text").join(summaries, KEY, "left")
+    times = F.coalesce("_empty", F.lit(1)).cast("int")
+    return joined.filter(times > 0).select(
+        KEY, "agent_text", "customer_text", F.explode(F.array_repeat(F.lit(1), times)).alias("_one")
+    ).drop("_one")
 
 
 def unscored(transcripts: DataFrame, calls: DataFrame, scores: DataFrame) -> DataFrame:

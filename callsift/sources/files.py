@@ -68,13 +68,15 @@ def calls_from_details(details: DataFrame, run_ts: datetime) -> DataFrame:
     )
 
 
-def read_call_details(spark: SparkSession, path: str) -> DataFrame:
-    """Raw call documents, one or more per file."""
-    return spark.read.schema(schemas.CALL_DETAIL).option("multiLine", True).json(path)
+def read_call_details(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Raw call documents: one (or a list) per file, or one per line, which lets Spark split files."""
+    return spark.read.schema(schemas.CALL_DETAIL).option("multiLine", not one_per_line).json(path)
 
 
-def read_calls(spark: SparkSession, path: str, run_ts: datetime) -> DataFrame:
-    return calls_from_details(read_call_details(spark, path), run_ts)
+def read_calls(
+    spark: SparkSession, path: str, run_ts: datetime, one_per_line: bool = False
+) -> DataFrame:
+    return calls_from_details(read_call_details(spark, path, one_per_line), run_ts)
 
 
 def details_from_text(df: DataFrame, text_col: str) -> DataFrame:

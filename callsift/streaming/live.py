@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +16,8 @@ from callsift.functions.numbers import exact_sum, ratio
 from callsift.operators import quality
 from callsift.sources import files, sinks
 
+EPOCH, DAY = "1970-01-01", 86_400
+
 
 def _run(writer, trigger_seconds: int | None) -> StreamingQuery:
     if trigger_seconds is None:
@@ -48,13 +50,21 @@ def start_ingest(
     return _run(writer, trigger_seconds)
 
 
+def _as_utc(wall_clock: Column) -> Column:
+    """A time without zone as TIMESTAMP, read as UTC whatever the session's zone: windows of a day
+    start at midnight UTC, and watermarks refuse times without zone."""
+    days = F.datediff(wall_clock.cast("date"), F.lit(EPOCH).cast("date")).cast("bigint")
+    clock = F.hour(wall_clock) * 3600 + F.minute(wall_clock) * 60 + F.second(wall_clock)
+    return F.timestamp_seconds(days * DAY + clock)
+
+
 def daily_metrics_stream(stream: DataFrame, delay: str | None = "1 day") -> DataFrame:
     """Calls, calls per category and average score per day and category of a summary stream.
 
     The stream holds contact_start, issue_category and overall_score. With a delay, days that are
     older than it are closed and late rows dropped; None keeps all days open, for complete output.
     """
-    timed = stream.withColumn("at", F.col("contact_start").cast("timestamp"))
+    timed = stream.withColumn("at", _as_utc(F.col("contact_start")))
     if delay is not None:
         timed = timed.withWatermark("at", delay)
     grouped = timed.groupBy(F.window("at", "1 day").alias("w"), "issue_category").agg(
@@ -63,7 +73,8 @@ def daily_metrics_stream(stream: DataFrame, delay: str | None = "1 day") -> Data
         exact_sum(F.col("overall_score")).alias("score_sum"),
     )
     return grouped.select(
-        F.to_date("w.start").alias("day"), "issue_category", "calls",
+        F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.unix_seconds("w.start") / DAY).cast("int")).alias("day"),
+        "issue_category", "calls",
         ratio(F.col("score_sum"), F.col("scored"), 1).alias("avg_score"),
     )
 

@@ -240,6 +240,15 @@ add("sink_upsert", """SELECT * FROM last UNION ALL
     stored=STORED, batch=BATCH, last=one_per_key("DESC"))
 
 
+add("sink_overwrite", f"""SELECT contact_id, substring(full_text, 1, 800) || {text(NOTE)} AS summary,
+    '[]' AS strengths, 'fallback' AS model_name, CAST(2 AS INT) AS version FROM transcripts
+    WHERE full_text IS NOT NULL""", "transcripts")
+add("sink_csv_export", """SELECT 'contact_id,full_text,talk_ratio,agent_word_count' AS header
+    FROM transcripts LIMIT 1""", "transcripts")
+add("scan_csv", """SELECT contact_id, full_text, talk_ratio, agent_word_count
+    FROM transcripts""", "transcripts")
+
+
 def latest(field: str) -> str:
     return f"""SELECT framework_id, seq, {field} AS v FROM changes WHERE {field} IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY framework_id ORDER BY seq DESC, {field} DESC) = 1"""

@@ -304,6 +304,41 @@ def _(spark, folder):
     return sinks.upsert(_as_stored(spark, folder), _as_batch(spark, folder), KEY, "moment")
 
 
+@query("sink_overwrite")
+def _(spark, folder):
+    """The fallback summaries stored twice; the second version replaces the first."""
+    path = scratch_path(spark, "ai-summary")
+    rows = sc.fallback_summary(view(spark, folder, "transcripts")).select(
+        KEY, "summary", F.to_json("strengths").alias("strengths"), "model_name"
+    )
+    for version in (1, 2):
+        sinks.overwrite(rows, path, version)
+    return files.read_table(spark, path)
+
+
+def _exported(spark, folder):
+    path = scratch_path(spark, "export")
+    columns = (KEY, "full_text", "talk_ratio", "agent_word_count")
+    rows = view(spark, folder, "transcripts").select(*columns)
+    sinks.export_csv(rows, path)
+    return path, rows.schema
+
+
+@query("sink_csv_export")
+def _(spark, folder):
+    """The lines of the export that are its header, one per file."""
+    path, schema = _exported(spark, folder)
+    header = ",".join(schema.names)
+    lines = spark.read.text(path).filter(F.col("value") == header)
+    return lines.select(F.col("value").alias("header")).distinct()
+
+
+@query("scan_csv")
+def _(spark, folder):
+    path, schema = _exported(spark, folder)
+    return files.read_csv(spark, path, schema)
+
+
 @query("rubric_changes")
 def _(spark, folder):
     """Line items as changes of the parts' rules: quantity 50 inserts, 1 deletes, others update."""
@@ -817,6 +852,15 @@ def _(spark, folder):
     return tr.predict(fitted("resolution", spark, folder), frame, "resolution")
 
 
+@query("save_models")
+def _(spark, folder):
+    """What a stored and reloaded issue model predicts."""
+    path = scratch_path(spark, "model")
+    tr.save(fitted("issue", spark, folder), path, {"model_name": "Logistic Regression"})
+    loaded, _ = tr.load(spark, path)
+    return tr.predict(loaded, ft.issue_frame(training(spark, folder)), "issue_category")
+
+
 # Streams, run until their input is used up.
 
 @query("stream_calls_ingest")

@@ -24,7 +24,7 @@ def test_same_as_sql(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {
-    "train_issue_classifier", "predict_issue", "train_resolution_model", "predict_resolution"}))
+    "train_issue_classifier", "predict_issue", "train_resolution_model", "predict_resolution", "save_models"}))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 

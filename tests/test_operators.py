@@ -110,6 +110,8 @@ def test_breakdown_volume_accuracy(summary, rows):
 
 def test_unsummarized_covers_absent_and_empty(transcripts, summary, rows):
     assert rows(joins.unsummarized(transcripts, summary), "contact_id") == [(2,), (3,), (5,)]
+    twice = summary.union(summary)
+    assert rows(joins.unsummarized(transcripts, twice), "contact_id") == [(2,), (2,), (3,), (5,)]
 
 
 def test_unscored_and_the_null_key(spark, transcripts, calls, scores, rows):
@@ -133,6 +135,8 @@ def test_missing_and_detail(calls, transcripts, scores, rows):
     assert rows(joins.missing_transcripts(calls, transcripts), "contact_id") == [(4,)]
     detail = joins.call_detail(calls, scores, contact_id=1)
     assert rows(detail, "criteria_name", "score_pct") == [("A", 20.0), ("B", 0.0)]
+    everything = rows(joins.call_detail(calls, scores), "contact_id", "criteria_name")
+    assert everything == [(1, "A"), (1, "B"), (2, "A"), (2, "B"), (3, None), (4, "A")]
     audit = dict(quality.load_audit({"calls": calls, "transcripts": transcripts}).collect())
     assert audit == {"calls": 4, "transcripts": 4, "matched pairs": 3}
 

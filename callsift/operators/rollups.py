@@ -158,22 +158,30 @@ def daily_trend(calls: DataFrame, call_summary: DataFrame) -> DataFrame:
 def rolling_score(per_day: DataFrame, days: int = 7) -> DataFrame:
     """Average score over the last `days` calendar days, each call counted once.
 
-    The window has no partition; its input is one row per calendar day, whatever the call volume.
+    Every day adds itself to the days it counts for, so one aggregation does without a window over
+    the whole series.
     """
-    ordinal = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    span = Window.orderBy(ordinal).rangeBetween(1 - days, Window.currentRow)
-    total, n = F.sum("score_sum").over(span), F.sum("scored").over(span)
-    return per_day.select("day", ratio(total, n, 1).alias("rolling_score"))
+    ahead = F.sequence(F.lit(0), F.lit(days - 1))
+    spread = per_day.select("day", "score_sum", "scored", F.explode(ahead).alias("_ahead"))
+    summed = spread.groupBy(F.date_add("day", F.col("_ahead")).alias("day")).agg(
+        ratio(F.sum("score_sum"), F.sum("scored"), 1).alias("rolling_score"),
+        F.bool_or(F.col("_ahead") == 0).alias("_present"),
+    )
+    return summed.filter("_present").drop("_present")
 
 
 def day_delta(per_day: DataFrame) -> DataFrame:
-    """Calls per day and the change against the previous calendar day, null when that had none.
-
-    An equi join on the shifted day, so no unpartitioned window is needed.
-    """
-    previous = per_day.select(F.date_add("day", 1).alias("day"), F.col("calls").alias("_before"))
-    joined = per_day.select("day", "calls").join(previous, "day", "left")
-    return joined.select("day", "calls", (F.col("calls") - F.col("_before")).alias("change"))
+    """Calls per day and the change against the previous calendar day, null when that had none."""
+    calls, none = F.col("calls"), F.lit(None).cast("bigint")
+    own = F.struct(F.col("day").alias("day"), calls.alias("calls"), none.alias("before"))
+    next_day = F.struct(
+        F.date_add("day", 1).alias("day"), none.alias("calls"), calls.alias("before")
+    )
+    spread = per_day.select(F.inline(F.array(own, next_day)))
+    paired = spread.groupBy("day").agg(F.max("calls").alias("calls"), F.max("before").alias("before"))
+    return paired.filter("calls IS NOT NULL").select(
+        "day", "calls", (F.col("calls") - F.col("before")).alias("change")
+    )
 
 
 def issue_volume(call_summary: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables")
 MODELS = {"train_issue_classifier", "predict_issue", "train_resolution_model", "predict_resolution",
           "tfidf_features", "save_models"}
-# One row per calendar day, and one row per distinct score rounded to one digit.
-SINGLE_TASK_WINDOWS = {"rolling_7d_score", "agent_leaderboard"}
+# One row per distinct score rounded to one digit.
+SINGLE_TASK_WINDOWS = {"agent_leaderboard"}
 
 
 def plan_of(df) -> str:

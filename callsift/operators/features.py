@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml import feature as mlf
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.functions import labels
+from callsift.functions.text import WORD_CLASS
 from callsift.plans.sizing import lookup_side
 
 VOCABULARY = 300
@@ -103,6 +105,29 @@ class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), F.concat(words, pairs))
 
 
+class FrequentTerms(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                    DefaultParamsWritable):
+    """Counts of the most frequent terms, equally frequent ones in alphabetical order.
+
+    The vocabulary comes from one aggregation whose counts fold inside each task; only the chosen
+    terms reach the driver.
+    """
+
+    size = Param(Params._dummy(), "size", "terms to keep", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, size=VOCABULARY):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> mlf.CountVectorizerModel:
+        counts = df.select(F.explode(self.getInputCol()).alias("term")).groupBy("term").count()
+        best = counts.orderBy(F.desc("count"), "term").limit(self.getOrDefault(self.size))
+        return mlf.CountVectorizerModel.from_vocabulary(
+            [row["term"] for row in best.collect()], self.getInputCol(), self.getOutputCol()
+        )
+
+
 class AddVectors(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
                  DefaultParamsWritable):
     """The sum of two vector columns."""
@@ -126,11 +151,11 @@ def text_stages(text_col: str = "combined_text", vocabulary: int = VOCABULARY,
         remover = remover.setStopWords(stop_words)
     return [
         mlf.RegexTokenizer(
-            inputCol=text_col, outputCol="words", gaps=False, pattern=r"(?U)\b\w\w+\b"
+            inputCol=text_col, outputCol="words", gaps=False, pattern=f"[{WORD_CLASS}]{{2,}}"
         ),
         remover,
         TokenGrams(inputCol="kept", outputCol="grams"),
-        mlf.CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary),
+        FrequentTerms(inputCol="grams", outputCol="counts", size=vocabulary),
         SublinearTf(inputCol="counts", outputCol="tf"),
         # Spark's idf is ln((1 + N) / (1 + df)); adding tf itself makes it that plus one.
         mlf.IDF(inputCol="tf", outputCol="tf_idf"),

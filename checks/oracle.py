@@ -717,6 +717,30 @@ def scaled(column: str) -> str:
             f" AS {column}")
 
 
+# The default English stop words of Spark's StopWordsRemover that a token can equal.
+STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his
+    himself she her hers herself it its itself they them their theirs themselves what which who whom
+    this that these those am is are was were be been being have has had having do does did doing a
+    an the and but if or because as until while of at by for with about against between into
+    through during before after above below to from up down in out on off over under again further
+    then once here there when where why how all any both each few more most other some such no nor
+    not only own same so than too very s t can will just don should now
+    cannot could ought would""".split()
+add("tfidf_features", """SELECT contact_id, term, ROUND(w / norm, 6) AS weight
+    FROM (SELECT *, sqrt(SUM(w * w) OVER (PARTITION BY contact_id)) AS norm
+      FROM (SELECT contact_id, term, (1 + ln(tf))
+          * (ln(((SELECT COUNT(*) FROM texts) + 1) / CAST(df + 1 AS DOUBLE)) + 1) AS w
+        FROM counts JOIN kept USING (term)))""", *THREE, training=TRAINING,
+    texts=f"""SELECT contact_id, list_filter(regexp_extract_all(lower(COALESCE(customer_text, '')
+          || ' ' || COALESCE(agent_text, '')), '[{WORD}]{{2,}}'),
+          lambda x: NOT list_contains({STOP_WORDS}, x)) AS t
+      FROM training WHERE issue_category IS NOT NULL""",
+    grams="""SELECT contact_id, unnest(t) AS term FROM texts UNION ALL
+      SELECT contact_id, unnest(list_transform(range(1, len(t)),
+        lambda i: t[i] || ' ' || t[i + 1])) FROM texts""",
+    counts="SELECT contact_id, term, COUNT(*) AS tf FROM grams GROUP BY ALL",
+    kept="""SELECT term, COUNT(*) AS df FROM counts GROUP BY term
+      ORDER BY SUM(tf) DESC, term LIMIT 300""")
 add("numeric_features", RESOLUTION_FRAME, *THREE, training=TRAINING)
 add("standard_scale", "SELECT contact_id, " + ", ".join(scaled(c) for c in SCALED) + " FROM frame",
     *THREE, training=TRAINING, frame=RESOLUTION_FRAME)

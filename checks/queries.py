@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from callsift.operators import scoring as sc
 from callsift.operators import training as tr
 from callsift.plans import context as cx
 from callsift.plans.dedupe import first_match
-from callsift.session import scratch_path
+from callsift.session import scratch_path, settle
 from callsift.sources import files, sample, sinks
 from callsift.streaming import live
 
@@ -768,20 +771,22 @@ def _(spark, folder):
 
 @query("tfidf_features")
 def _(spark, folder):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
-    frame = ft.issue_frame(training(spark, folder))
+    """The weight of every kept term of every call."""
+    frame = settle(ft.issue_frame(training(spark, folder)).select(KEY, "combined_text"))
     fitted = Pipeline(stages=ft.text_stages()).fit(frame)
-    cells = F.transform(vector_to_array("text_vec"), lambda x: F.round(x, 6))
-    return fitted.transform(frame).select(KEY, cells.alias("weights"))
+    counted = next(s for s in fitted.stages if isinstance(s, CountVectorizerModel))
+    terms = F.array(*[F.lit(term) for term in counted.vocabulary])
+    cells = fitted.transform(frame).select(
+        KEY, F.posexplode(vector_to_array("text_vec")).alias("place", "weight")
+    )
+    kept = cells.filter("weight > 0")
+    return kept.select(
+        KEY, F.get(terms, F.col("place")).alias("term"), F.round("weight", 6).alias("weight")
+    )
 
 
 @query("onehot_campaign")
 def _(spark, folder):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
     frame = ft.default_fill(view(spark, folder, "calls").select(KEY, "campaign_name")
                             .withColumns({"agent_text": F.lit(""), "customer_text": F.lit("")}))
     fitted = Pipeline(stages=ft.onehot_stages()).fit(frame)

@@ -121,7 +121,9 @@ class FrequentTerms(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> mlf.CountVectorizerModel:
-        counts = df.select(F.explode(self.getInputCol()).alias("term")).groupBy("term").count()
+        # Exploding a bare column makes Spark test its size first, and tokenise a second time.
+        terms = F.coalesce(F.col(self.getInputCol()), F.array().cast("array<string>"))
+        counts = df.select(F.explode(terms).alias("term")).groupBy("term").count()
         best = counts.orderBy(F.desc("count"), "term").limit(self.getOrDefault(self.size))
         return mlf.CountVectorizerModel.from_vocabulary(
             [row["term"] for row in best.collect()], self.getInputCol(), self.getOutputCol()

@@ -88,15 +88,20 @@ def recovered(text: Column) -> Column:
     """The first readable JSON in a text: as is, without fence, then each braced snippet as is or
     with its quotes swapped; an empty object when nothing can be read. Returned as JSON text."""
 
+    def json_of(candidate: Column) -> Column:
+        """`parsed` as text; the lambda holds the parsed pair, so it is made once per candidate."""
+        pairs = F.transform(F.array(candidate), wrapped)
+        return F.get(F.transform(pairs, lambda pair: F.to_json(unwrapped(pair))), F.lit(0))
+
     def read(snippet: Column) -> Column:
         swapped = F.replace(snippet, F.lit("'"), F.lit('"'))
-        return F.coalesce(F.to_json(parsed(snippet)), F.to_json(parsed(swapped)))
+        return F.coalesce(json_of(snippet), json_of(swapped))
 
     snippets = F.regexp_extract_all(text, F.lit(r"(?s)\{.*?\}"), F.lit(0))
     readable = F.filter(F.transform(snippets, read), lambda s: s.isNotNull())
     return F.coalesce(
-        F.to_json(parsed(text)),
-        F.to_json(parsed(F.btrim(F.trim(text), F.lit("`")))),
+        json_of(text),
+        json_of(F.btrim(F.trim(text), F.lit("`"))),
         F.try_element_at(readable, F.lit(1)),
         F.lit("{}"),
     )

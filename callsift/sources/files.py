@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from callsift import schemas
 from callsift.functions.numbers import EXACT
+from callsift.plans.once import computed_once
 
 ZONE_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
 
@@ -82,7 +83,7 @@ def read_calls(
 def details_from_text(df: DataFrame, text_col: str) -> DataFrame:
     """Raw call documents held as text in a column instead of in files."""
     parsed = F.from_json(text_col, schemas.CALL_DETAIL)
-    return df.select(parsed.alias("doc")).select("doc.*")
+    return computed_once(df, doc=parsed).select("doc.*")
 
 
 def transcripts_from_text(df: DataFrame, text_col: str) -> DataFrame:

@@ -30,9 +30,11 @@ def _with_label_back(stages: list, frame: DataFrame, label: str, to: str) -> Pip
 def train_issue(training: DataFrame, max_iter: int = MAX_ITERATIONS) -> PipelineModel:
     """Balanced multinomial logistic regression on text, numbers and campaign.
 
-    The training frame is written out once: every pass of the solver reads it again.
+    The columns it needs are written out once: counting classes and terms, and every later pass,
+    read those instead of repeating the joins.
     """
-    frame = settle(ft.balanced_weights(ft.issue_frame(training), "issue_category"), "issue")
+    needed = ["issue_category", "combined_text", "campaign_name", *ft.ISSUE_NUMBERS]
+    frame = settle(ft.issue_frame(training).select(*needed), "issue")
     rows = frame.count()
     # The penalty of the summed loss, restated for Spark's mean loss; balanced weights sum to rows.
     classifier = LogisticRegression(
@@ -41,7 +43,8 @@ def train_issue(training: DataFrame, max_iter: int = MAX_ITERATIONS) -> Pipeline
         family="multinomial",
     )
     stages = [*ft.feature_pipeline("issue").getStages(), classifier]
-    return _with_label_back(stages, frame, "issue_category", "predicted")
+    weighted = ft.balanced_weights(frame, "issue_category")
+    return _with_label_back(stages, weighted, "issue_category", "predicted")
 
 
 def train_resolution(training: DataFrame, trees: int = TREES) -> PipelineModel:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsift.functions.numbers import count_where, exact_avg, exact_sum, ratio, share_pct
 
 KEY = "contact_id"
+WIDEST = 1_000
 AGENT_GROUP = ("agent_id", "team_name", "skill_name")
 
 
@@ -58,13 +59,25 @@ def by_pass_rate(rates: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def heatmap(scores: DataFrame, wide: bool = False, criteria: list[str] | None = None) -> DataFrame:
-    """Pass rate by agent and criterion; the wide form has one column per named criterion."""
-    long = scores.groupBy("agent_id", "criteria_name", "section_name").agg(
-        share_pct(count_where(F.col("passed")), F.count("*")).alias("pass_rate")
-    )
+    """Pass rate by agent and criterion.
+
+    The wide form has one column per criterion, by default all that occur, and takes one shuffle.
+    """
     if not wide:
-        return long
-    return long.groupBy("agent_id").pivot("criteria_name", criteria).agg(F.first("pass_rate"))
+        return scores.groupBy("agent_id", "criteria_name", "section_name").agg(
+            share_pct(count_where(F.col("passed")), F.count("*")).alias("pass_rate")
+        )
+    if criteria is None:
+        seen = scores.select("criteria_name").distinct().orderBy("criteria_name")
+        criteria = [row[0] for row in seen.limit(WIDEST + 1).collect()]
+        if len(criteria) > WIDEST:
+            raise ValueError(f"more than {WIDEST} criteria: use the long form")
+
+    def rate(name: str) -> Column:
+        of_name = F.col("criteria_name").eqNullSafe(F.lit(name))
+        return share_pct(count_where(of_name & F.col("passed")), count_where(of_name)).alias(name)
+
+    return scores.groupBy("agent_id").agg(*[rate(name) for name in criteria])
 
 
 def agents_dimension(calls: DataFrame, call_summary: DataFrame) -> DataFrame:

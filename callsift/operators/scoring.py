@@ -137,8 +137,9 @@ def has_text(transcripts: DataFrame) -> DataFrame:
 def fallback_summary(transcripts: DataFrame) -> DataFrame:
     """Summary rows when no model is at hand: the start of the transcript and a note."""
     nothing = F.array().cast("array<string>")
+    kept = [c for c in (KEY, "agent_id") if c in transcripts.columns]
     return has_text(transcripts).select(
-        KEY,
+        *kept,
         F.concat(tx.head(F.col("full_text"), 800), F.lit(NOTE)).alias("summary"),
         nothing.alias("strengths"),
         nothing.alias("improvements"),

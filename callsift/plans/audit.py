@@ -1,4 +1,8 @@
-"""The scoring run: from unscored transcripts to new score rows."""
+"""The three model runs: score unscored calls, summarise calls without summary, audit all calls.
+
+`model` maps a pandas Series of prompts to a frame with a `content` column; see `scoring.infer`.
+Answers are written out once, so that reading rows and errors from them does not ask twice.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +10,76 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from callsift.operators import joins, rubric as rb, scoring
+from callsift.operators import joins, scoring
+from callsift.operators import rubric as rb
 from callsift.session import settle
+from callsift.sources import sinks
+
+KEY = joins.KEY
+SUMMARY_INSTRUCTION = (
+    "Read the call and answer with one JSON object with the keys issue_category, "
+    "issue_description, resolution, sentiment_agent, sentiment_customer, overall_score (1 to 10), "
+    "key_moments and ai_recot.\n\n"
+)
+
+
+def _answers(prompts: DataFrame, model: Callable) -> DataFrame:
+    """`prompts` with the model's answer as `content` instead of the prompt."""
+    answered = scoring.infer(prompts, model, "prompt", "content string")
+    return settle(answered.drop("prompt"), "answers")
+
+
+def _at(run_ts: datetime):
+    return F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def score_unscored(
     transcripts: DataFrame, calls: DataFrame, scores: DataFrame, rubric: DataFrame,
     model: Callable, run_ts: datetime,
 ) -> tuple[DataFrame, DataFrame]:
-    """New score rows and unreadable responses for calls without scores.
-
-    `model` maps a Series of prompts to a frame with a `content` column. Responses are written out
-    once, so that reading scores and errors from them does not call the model twice.
-    """
+    """New score rows and unreadable answers for calls without scores."""
     waiting = joins.unscored(transcripts, calls, scores)
     prompts = scoring.model_input(waiting, rb.rubric_prompt(rubric))
-    answered = scoring.infer(prompts, model, "prompt", "content string")
-    responses = settle(answered.select(joins.KEY, "agent_id", "content"), "responses")
-    return scoring.parse_scores(responses, rubric, run_ts)
+    return scoring.parse_scores(_answers(prompts, model), rubric, run_ts)
+
+
+def summarise_missing(
+    transcripts: DataFrame, call_summary: DataFrame, model: Callable, run_ts: datetime
+) -> tuple[DataFrame, DataFrame]:
+    """The summary table with fresh rows for calls that lacked one, and unreadable answers."""
+    waiting = joins.unsummarized(transcripts, call_summary).dropDuplicates([KEY])
+    prompt = F.concat(
+        F.lit(SUMMARY_INSTRUCTION + "Customer's Dialogue:\n"), F.coalesce("customer_text", F.lit("")),
+        F.lit("\n\nAgent's Dialogue:\n"), F.coalesce("agent_text", F.lit("")),
+    )
+    answers = _answers(waiting.select(KEY, prompt.alias("prompt")), model)
+    rows, errors = scoring.parse_summaries(answers)
+    known = {f.name: f.dataType for f in call_summary.schema}
+    stamped = rows.withColumn("created_at", _at(run_ts))
+    fresh = stamped.select(*[
+        (F.col(c) if c in stamped.columns else F.lit(None)).cast(kind).alias(c)
+        for c, kind in known.items()
+    ])
+    return sinks.upsert(call_summary, fresh, KEY, KEY), errors
+
+
+def audit_all(
+    transcripts: DataFrame, calls: DataFrame, rubric: DataFrame, run_ts: datetime, version: int = 1,
+    model: Callable | None = None, model_name: str = "model",
+) -> DataFrame:
+    """The whole audit table anew: by the model, or from the transcripts' start without one."""
+    waiting = joins.with_agent(scoring.has_text(transcripts).select(KEY, "full_text"), calls)
+    if model is None:
+        read = scoring.fallback_summary(waiting)
+    else:
+        prompts = scoring.model_input(waiting, rb.rubric_text(rubric))
+        read = scoring.parse_ai_summary(_answers(prompts, model)).withColumn(
+            "model_name", F.lit(model_name)
+        )
+    return read.select(
+        KEY, "agent_id", "summary",
+        *[F.to_json(c).alias(c) for c in ("strengths", "improvements", "failed_criteria")],
+        "model_name", F.lit(version).alias("version"), _at(run_ts).alias("created_at"),
+    )

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsift.functions import text as tx
-from callsift.functions.numbers import talk_share
+from callsift.operators.transcripts import transcript_features
 from callsift.schemas import flat
 
 # Criteria 1-7 with section and weight in basis points (section, share, effective).
@@ -199,6 +198,7 @@ def speaker_sides(text: Column) -> tuple[Column, Column]:
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """One transcript per document; its full text is null where a side is absent."""
     agent, customer = speaker_sides(F.col("text"))
     sides = table(spark, folder, "documents").select(
         F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("transcript_id"),
@@ -206,17 +206,8 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
         agent.alias("agent_text"),
         customer.alias("customer_text"),
     )
-    agent_words = tx.word_count(F.col("agent_text"))
-    customer_words = tx.word_count(F.col("customer_text"))
-    return sides.select(
-        "*",
-        F.concat("agent_text", F.lit(" "), "customer_text").alias("full_text"),
-        agent_words.alias("agent_word_count"),
-        customer_words.alias("customer_word_count"),
-    ).withColumn(
-        "talk_ratio",
-        talk_share(F.col("agent_word_count"), F.col("customer_word_count")),
-    )
+    joined = F.concat("agent_text", F.lit(" "), "customer_text")
+    return transcript_features(sides).withColumn("full_text", joined)
 
 
 TABLES = {

@@ -21,6 +21,7 @@ from callsift.operators import rollups as ru
 from callsift.operators import rubric as rb
 from callsift.operators import scoring as sc
 from callsift.operators import training as tr
+from callsift.operators import transcripts as ts
 from callsift.plans import context as cx
 from callsift.plans.dedupe import first_match
 from callsift.session import scratch_path, settle
@@ -368,31 +369,25 @@ def _(spark, folder):
 
 @query("normalize_text")
 def _(spark, folder):
-    docs = sample.table(spark, folder, "documents")
-    return docs.select("doc_id", tx.normalized(F.col("text")).alias("normalized"))
+    docs = sample.table(spark, folder, "documents").select("doc_id", "text")
+    return ts.normalize_text(docs, "text").drop("text")
 
 
 @over("transcript_features", "transcripts")
 def _(transcripts):
-    text = F.concat(
-        F.coalesce("agent_text", F.lit("")), F.lit(" "), F.coalesce("customer_text", F.lit(""))
-    )
-    return transcripts.select(
-        KEY, "agent_word_count", "customer_word_count", "talk_ratio", text.alias("full_text")
-    )
+    features = ts.transcript_features(transcripts.select(KEY, "agent_text", "customer_text"))
+    return features.drop("agent_text", "customer_text")
 
 
-@over("format_dialogue", "transcripts")
-def _(transcripts):
-    formatted = tx.dialogue(F.col("agent_text"), F.col("customer_text"))
-    return transcripts.select(KEY, formatted.alias("formatted_text"))
+over("format_dialogue", "transcripts")(ts.format_dialogue)
 
 
 @query("truncate_text")
 def _(spark, folder):
-    docs = sample.table(spark, folder, "documents")
-    cuts = [tx.head(F.col("text"), n).alias(f"first_{n}") for n in (4000, 3000, 1000, 800)]
-    return docs.select("doc_id", *cuts)
+    docs = sample.table(spark, folder, "documents").select("doc_id", "text")
+    for n in (4000, 3000, 1000, 800):
+        docs = ts.truncate(docs, "text", n, to=f"first_{n}")
+    return docs.drop("text")
 
 
 over("filter_enabled_rules", "rules")(rb.enabled_rules)

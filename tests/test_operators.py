@@ -67,6 +67,7 @@ def test_pass_rates_count_unknown_as_failed(scores, rows):
     assert rollups.by_pass_rate(rollups.criteria_pass_rate(scores), 1).first()[0] == "B"
     wide = {r["agent_id"]: (r["A"], r["B"]) for r in rollups.heatmap(scores, True, ["A", "B"]).collect()}
     assert wide == {10: (50.0, 50.0), 11: (100.0, None), 12: (None, 0.0)}
+    assert rollups.heatmap(scores, True).columns == ["agent_id", "A", "B"]
 
 
 def test_agents(calls, summary):

@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from callsift import schemas
 from callsift.operators import scoring as sc
-from callsift.plans.audit import score_unscored
+from callsift.plans.audit import audit_all, score_unscored, summarise_missing
 
 RUN = datetime(2026, 1, 1)
 
@@ -144,6 +145,44 @@ def test_scoring_run(spark, rubric):
     assert [r["contact_id"] for r in errors.collect()] == [2]
 
 
+def test_summary_run(spark, rows):
+    transcripts = spark.createDataFrame(
+        [(1, "a", "old"), (2, "b", "bill"), (3, "c", "odd")],
+        "contact_id long, agent_text string, customer_text string")
+    stored = spark.createDataFrame(
+        [(1, "Login", 90.0, "keep"), (2, None, 10.0, "gone")],
+        "contact_id long, issue_category string, overall_score double, key_moments string")
+
+    def model(prompts):
+        told = ['{"issue_category": "Billing", "overall_score": 7}' if "bill" in p else "no"
+                for p in prompts]
+        return pd.DataFrame({"content": told})
+
+    table, errors = summarise_missing(transcripts, stored, model, RUN)
+    assert rows(table) == [(1, "Login", 90.0, "keep"), (2, "Billing", 7.0, None)]
+    assert rows(errors, "contact_id") == [(3,)]
+
+
+def test_audit_run(spark, rubric):
+    transcripts = spark.createDataFrame(
+        [(1, "x" * 900), (2, None), (3, "hi")], "contact_id long, full_text string")
+    calls = spark.createDataFrame([(1, 10), (1, 10)], "contact_id long, agent_id long")
+    plain = audit_all(transcripts, calls, rubric, RUN, version=4)
+    assert plain.schema.names == schemas.AI_SUMMARY.names
+    got = {r["contact_id"]: r for r in plain.collect()}
+    assert sorted(got) == [1, 3]
+    assert got[1]["summary"] == "x" * 800 + sc.NOTE and got[1]["agent_id"] == 10
+    assert (got[3]["agent_id"], got[3]["strengths"], got[3]["version"]) == (None, "[]", 4)
+
+    def model(prompts):
+        return pd.DataFrame({"content": ['{"summary": "s", "strengths": ["a"]}'] * len(prompts)})
+
+    told = {r["contact_id"]: r for r in audit_all(
+        transcripts, calls, rubric, RUN, model=model, model_name="m").collect()}
+    assert (told[1]["summary"], told[1]["strengths"], told[1]["model_name"]) == ("s", '["a"]', "m")
+    assert told[1]["agent_id"] == 10
+
+
 def test_prompt_holds_the_whole_transcript(spark):
     text = "word " * 5000
     transcripts = spark.createDataFrame([(1, text)], "contact_id long, full_text string")

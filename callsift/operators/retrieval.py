@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,22 +29,32 @@ QUERIES_PER_PASS = 512
 DIGITS = 9
 
 
-def _pieces(text: Column, size: int, overlap: int) -> Column:
-    """Overlapping pieces of a text; an empty or null text has none."""
-    stride = size - overlap
-    later = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / F.lit(float(stride))).cast("int")
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), later)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.substring(text, i * stride + 1, F.lit(size)))
-
-
 def chunk(docs: DataFrame, size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP,
           text_col: str = "text", number: str = "parent_no") -> DataFrame:
-    """Documents cut into numbered overlapping pieces; all other columns are kept."""
+    """Documents cut into numbered overlapping pieces; all other columns are kept.
+
+    The text is cut once into steps of size - overlap, and each piece is a step with the beginning
+    of the next: linear in the text, where cutting each piece from the whole text would start over
+    at its first character every time. A last step that the piece before it covers is no piece.
+    """
+    step = size - overlap
+    if overlap > step:
+        raise ValueError("an overlap beyond half the size would reach over the next step")
     kept = [c for c in docs.columns if c != text_col]
-    pieces = _pieces(F.col(text_col), size, overlap)
-    return docs.select(*kept, F.posexplode(pieces).alias(number, text_col))
+    text = F.col(text_col)
+    pieces = F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / F.lit(float(step))) + 1
+    cut = computed_once(
+        docs,
+        _steps=F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)),
+        _count=pieces.cast("int"),
+    )
+    heads = F.slice("_steps", F.lit(1), F.col("_count"))
+    tails = F.slice("_steps", F.lit(2), F.col("_count"))
+    joined = F.zip_with(
+        heads, tails,
+        lambda a, b: F.concat(a, F.coalesce(F.substring(b, 1, overlap), F.lit(""))),
+    )
+    return cut.select(*kept, F.posexplode(joined).alias(number, text_col))
 
 
 def parent_child_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

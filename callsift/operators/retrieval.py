@@ -93,22 +93,25 @@ def hashed_embedding(df: DataFrame, text_col: str = "text", dim: int = 256) -> D
     return unit.select(*df.columns, vector.alias("embedding"))
 
 
-def _scan_best(corpus: DataFrame, id_col: str, query_ids: list, query_type: T.DataType, k: int,
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type: T.DataType, k: int,
                costs: Callable) -> DataFrame:
-    """(query_id, id, cost): each task's k cheapest rows per query, ties by id.
+    """(query_id, keys, cost): each task's k cheapest rows per query, ties by key.
 
     `costs(frame)` gives the matrix rows x queries, with infinity where a row is no candidate.
     """
     schema = T.StructType([
         T.StructField("query_id", query_type),
-        T.StructField(id_col, corpus.schema[id_col].dataType),
+        *[T.StructField(name, corpus.schema[name].dataType) for name in keys],
         T.StructField("cost", T.DoubleType()),
     ])
-    names = schema.names
 
     def best_of(rows):
-        ordered = rows.sort_values(["q", "cost", "id"], kind="stable")
-        return ordered.groupby("q", sort=False).head(k)
+        ordered = rows.sort_values(["query_id", "cost", *keys], kind="stable")
+        return ordered.groupby("query_id", sort=False).head(k)
 
     def run(frames):
         best = None
@@ -121,31 +124,26 @@ def _scan_best(corpus: DataFrame, id_col: str, query_ids: list, query_type: T.Da
                 else:
                     limit = np.full(matrix.shape[1], np.inf)
                 row, query = np.nonzero((matrix <= limit) & np.isfinite(matrix))
-                ids = part[id_col].to_numpy()
-                found = pd.DataFrame(
-                    {"q": query, "id": ids[row], "cost": matrix[row, query]}
-                )
+                found = part[keys].iloc[row].assign(query_id=query, cost=matrix[row, query])
                 best = best_of(found if best is None else pd.concat([best, found]))
         if best is not None and len(best):
-            yield pd.DataFrame({
-                names[0]: [query_ids[i] for i in best["q"]],
-                names[1]: best["id"].to_numpy(),
-                names[2]: best["cost"].to_numpy(),
-            })
+            named = best.assign(query_id=[query_ids[i] for i in best["query_id"]])
+            yield named[["query_id", *keys, "cost"]]
 
     return corpus.mapInPandas(run, schema)
 
 
-def _ranked(best: DataFrame, id_col: str, k: int) -> DataFrame:
+def _ranked(best: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best of the tasks' lists, which hold at most k rows per query and task."""
-    window = Window.partitionBy("query_id").orderBy("cost", id_col)
+    window = Window.partitionBy("query_id").orderBy("cost", *keys)
     numbered = best.withColumn("hit_rank", F.row_number().over(window))
     return numbered.filter(F.col("hit_rank") <= k)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id",
+def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "vec_id",
                 k: int = TOP_K) -> DataFrame:
     """The k nearest vectors of each query (query_id, embedding) by squared distance."""
+    keys = _names(key)
 
     def one_pass(block: DataFrame) -> DataFrame:
         held = block.select("query_id", "embedding").toArrow().to_pandas()
@@ -159,30 +157,30 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, id_col: str = "vec_id",
             cross = rows @ points.T
             return np.maximum((rows * rows).sum(axis=1)[:, None] + squares - 2 * cross, 0.0)
 
-        slim = corpus.select(id_col, "embedding").filter("embedding IS NOT NULL")
+        slim = corpus.select(*keys, "embedding").filter("embedding IS NOT NULL")
         kind = block.schema["query_id"].dataType
-        best = _scan_best(slim, id_col, held["query_id"].tolist(), kind, k, costs)
-        return _ranked(best, id_col, k)
+        best = _scan_best(slim, keys, held["query_id"].tolist(), kind, k, costs)
+        return _ranked(best, keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
     return found.withColumnRenamed("cost", "distance")
 
 
-def document_topk(queries: DataFrame, docs: DataFrame, fn: Callable, id_col: str = KEY,
-                  k: int = TOP_K) -> DataFrame:
+def document_topk(queries: DataFrame, docs: DataFrame, fn: Callable,
+                  key: str | list[str] = KEY, k: int = TOP_K) -> DataFrame:
     """Whole documents nearest to each query text, both embedded by the same function."""
-    return vector_topk(embed(queries, fn), embed(docs, fn), id_col, k)
+    return vector_topk(embed(queries, fn), embed(docs, fn), key, k)
 
 
-def _postings(docs: DataFrame, id_col: str, vocabulary: DataFrame) -> DataFrame:
-    """(id, term_no, tf, length) of the vocabulary's terms in each document."""
-    words = computed_once(docs.select(id_col, "text"), _tokens=tx.tokens(F.col("text")))
+def _postings(docs: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
+    """(keys, length, term_no, tf) of the vocabulary's terms in each document."""
+    words = computed_once(docs.select(*keys, "text"), _tokens=tx.tokens(F.col("text")))
     exploded = words.select(
-        id_col, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")
+        *keys, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")
     )
     held = exploded.join(F.broadcast(vocabulary), "term")
-    return held.groupBy(id_col, "length", "term_no").agg(F.count("*").alias("tf"))
+    return held.groupBy(*keys, "length", "term_no").agg(F.count("*").alias("tf"))
 
 
 def _weighted(docs: DataFrame, postings: DataFrame) -> DataFrame:
@@ -202,7 +200,7 @@ def _weighted(docs: DataFrame, postings: DataFrame) -> DataFrame:
     return joined.withColumn("weight", weight)
 
 
-def tfidf_search(docs: DataFrame, queries: DataFrame, id_col: str = KEY,
+def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY,
                  k: int = TOP_K) -> DataFrame:
     """The k best documents per query text by the sum of tf-idf weights of shared words.
 
@@ -210,6 +208,8 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, id_col: str = KEY,
     a word that fills a third of the corpus costs one row per document, not one per occurrence.
     """
 
+    keys = _names(key)
+
     def one_pass(block: DataFrame) -> DataFrame:
         kind = block.schema["query_id"].dataType
         pairs = block.select(
@@ -245,15 +245,15 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, id_col: str = KEY,
             pd.DataFrame({"term": terms, "term_no": range(len(terms))}),
             "term string, term_no int",
         )
-        weighted = _weighted(docs, _postings(docs, id_col, vocabulary))
-        lists = weighted.groupBy(id_col).agg(
+        weighted = _weighted(docs, _postings(docs, keys, vocabulary))
+        lists = weighted.groupBy(*keys).agg(
             F.collect_list(F.struct("term_no", "weight")).alias("_p")
-        ).select(id_col, F.col("_p.term_no").alias("terms"), F.col("_p.weight").alias("weights"))
-        return _ranked(_scan_best(lists, id_col, query_ids, kind, k, costs), id_col, k)
+        ).select(*keys, F.col("_p.term_no").alias("terms"), F.col("_p.weight").alias("weights"))
+        return _ranked(_scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
-    return found.select("query_id", id_col, (-F.col("cost")).alias("score"), "hit_rank")
+    return found.select("query_id", *keys, (-F.col("cost")).alias("score"), "hit_rank")
 
 
 def parents_of_hits(hits: DataFrame, parents: DataFrame, n: int = CONTEXT_PARENTS) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from callsift.operators import retrieval as rt
 from callsift.session import settle
@@ -12,16 +11,7 @@ from callsift.session import settle
 def chunk_hits(docs: DataFrame, queries: DataFrame, k: int = rt.TOP_K) -> DataFrame:
     """The k best child chunks of (contact_id, text) documents per (query_id, text) query."""
     _, children = rt.parent_child_chunks(docs)
-    name = F.format_string("%020d-%08d-%08d", rt.KEY, "parent_no", "child_no")
-    named = children.select(name.alias("chunk_id"), "text")
-    hits = rt.tfidf_search(named, queries, "chunk_id", k)
-    parts = F.split("chunk_id", "-")
-    return hits.select(
-        "query_id", "hit_rank", "score",
-        parts[0].cast("bigint").alias(rt.KEY),
-        parts[1].cast("int").alias("parent_no"),
-        parts[2].cast("int").alias("child_no"),
-    )
+    return rt.tfidf_search(children, queries, [rt.KEY, "parent_no", "child_no"], k)
 
 
 def contexts(docs: DataFrame, queries: DataFrame, k: int = rt.TOP_K,

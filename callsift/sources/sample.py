@@ -96,7 +96,7 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
 
 def call_summary(spark: SparkSession, folder: str) -> DataFrame:
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
     outcome = choose(F.col("o_orderstatus"), RESOLUTIONS)
     resolution = F.when(key % 31 == 0, None).when(key % 29 == 0, "Abandoned").otherwise(outcome)
     issue = choose(priority, ISSUES)
@@ -168,7 +168,7 @@ def rubric(spark: SparkSession, folder: str) -> DataFrame:
 def rules(spark: SparkSession, folder: str) -> DataFrame:
     """A rule table that grows with the data: one rule per part."""
     key = F.col("p_partkey")
-    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    cents = F.floor(F.col("p_retailprice") * 100 + 0.5)
     return table(spark, folder, "part").select(
         F.concat(F.lit("P"), key.cast("string")).alias("framework_id"),
         F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("section_name"),

@@ -885,7 +885,7 @@ def _order_stream(spark, folder):
 @query("stream_daily_metrics")
 def _(spark, folder):
     out, state = scratch_path(spark, "daily"), scratch_path(spark, "daily-state")
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
     stream = _order_stream(spark, folder).select(
         F.col("o_orderdate").alias("contact_start"),
         sample.choose(F.col("o_orderpriority"), sample.ISSUES).alias("issue_category"),

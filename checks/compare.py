@@ -55,7 +55,7 @@ def differences(spark, con, folder: str, name: str) -> list[str]:
     ours = QUERIES[name](spark, folder).toArrow()
     if name not in SQL:
         return []
-    theirs = con.execute(SQL[name]).to_arrow_table()
+    theirs = con.sql(SQL[name]).to_arrow_table()
     found = []
     if sorted(ours.column_names) != sorted(theirs.column_names):
         return [f"columns {sorted(ours.column_names)} / {sorted(theirs.column_names)}"]

@@ -166,8 +166,8 @@ def infer(
 ) -> DataFrame:
     """`df` with the columns that `fn` returns for a batch of texts.
 
-    `fn` takes a pandas Series of texts and returns a pandas DataFrame with the columns of
-    `out_schema`. Batches stream through each task; nothing is held beyond one of them.
+    `fn` takes a pandas Series of up to `batch_size` texts and returns a pandas DataFrame with the
+    columns of `out_schema`. Rows stream through each task, one Arrow batch at a time.
     """
     added = T.StructType.fromDDL(out_schema)
     names = added.names
@@ -176,10 +176,14 @@ def infer(
         import pandas as pd
 
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start:start + batch_size].reset_index(drop=True)
-                result = fn(part[in_col]).reset_index(drop=True)
-                yield pd.concat([part, result[names]], axis=1)
+            texts = frame[in_col]
+            parts = [
+                fn(texts.iloc[start:start + batch_size].reset_index(drop=True))[names]
+                for start in range(0, len(frame), batch_size)
+            ]
+            if parts:
+                told = pd.concat(parts, ignore_index=True)
+                yield pd.concat([frame.reset_index(drop=True), told], axis=1)
 
     return df.mapInPandas(run, T.StructType(df.schema.fields + added.fields))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from callsift.operators.scoring import ALL_MET, INSTRUCTION, NOTE
 from callsift.sources.sample import CRITERIA, ISSUES, RESOLUTIONS
-from checks.queries import sample_keywords
+from checks.inputs import sample_keywords
 
 SPACE = r"\s\p{Z}\x1c-\x1f\x{85}"
 WORD = r"\p{L}\p{N}_"

@@ -140,6 +140,17 @@ def _ranked(best: DataFrame, keys: list[str], k: int) -> DataFrame:
     return numbered.filter(F.col("hit_rank") <= k)
 
 
+def _nothing(queries: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
+    """The empty result of a block without queries or without words."""
+    schema = T.StructType([
+        queries.schema["query_id"],
+        *[corpus.schema[name] for name in keys],
+        T.StructField("cost", T.DoubleType()),
+        T.StructField("hit_rank", T.IntegerType()),
+    ])
+    return queries.sparkSession.createDataFrame([], schema)
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "vec_id",
                 k: int = TOP_K) -> DataFrame:
     """The k nearest vectors of each query (query_id, embedding) by squared distance."""
@@ -147,9 +158,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "v
 
     def one_pass(block: DataFrame) -> DataFrame:
         held = block.select("query_id", "embedding").toArrow().to_pandas()
-        points = np.array(held["embedding"].tolist(), dtype=np.float64)
         if not len(held):
-            points = points.reshape(0, 1)
+            return _nothing(block, corpus, keys)
+        points = np.array(held["embedding"].tolist(), dtype=np.float64)
         squares = (points * points).sum(axis=1)
 
         def costs(part):
@@ -215,6 +226,8 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
         pairs = block.select(
             "query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")
         ).toArrow().to_pandas()
+        if not len(pairs):
+            return _nothing(block, docs, keys)
         query_ids = sorted(pairs["query_id"].unique().tolist())
         terms = sorted(pairs["term"].unique().tolist())
         place = {term: i for i, term in enumerate(terms)}

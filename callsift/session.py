@@ -18,6 +18,8 @@ SETTINGS = {
     # Split a skewed join even where a following step on the same key then needs a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python batches hold whole transcripts.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
 }
 

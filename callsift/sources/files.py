@@ -12,6 +12,7 @@ from callsift import schemas
 from callsift.functions.numbers import EXACT
 from callsift.plans.once import computed_once
 
+FILE_NAME = "file_name"
 ZONE_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -25,10 +26,11 @@ def _ntz(moment: datetime) -> Column:
     return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
-def calls_from_details(details: DataFrame, run_ts: datetime) -> DataFrame:
+def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> DataFrame:
     """Typed `calls` rows from raw call documents, in stored column order.
 
     Missing keys and explicit nulls both take the default; a bad start time becomes `run_ts`.
+    Columns named in `keep` follow unchanged.
     """
 
     def text(key: str, default: str) -> Column:
@@ -66,12 +68,20 @@ def calls_from_details(details: DataFrame, run_ts: datetime) -> DataFrame:
         text("mediaTypeName", "Call").alias("media_type_name"),
         F.lit(False).alias("is_simulated"),
         run_at.alias("created_at"),
+        *keep,
     )
 
 
 def read_call_details(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Raw call documents: one (or a list) per file, or one per line, which lets Spark split files."""
-    return spark.read.schema(schemas.CALL_DETAIL).option("multiLine", not one_per_line).json(path)
+    """Raw call documents and the file each came from: one (or a list) per file, or one per line,
+    which lets Spark split files."""
+    return with_file_name(
+        spark.read.schema(schemas.CALL_DETAIL).option("multiLine", not one_per_line).json(path)
+    )
+
+
+def with_file_name(scan: DataFrame) -> DataFrame:
+    return scan.select("*", F.col("_metadata.file_name").alias(FILE_NAME))
 
 
 def read_calls(

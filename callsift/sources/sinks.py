@@ -52,17 +52,28 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
+def _store(spark: SparkSession, path: str):
+    """The file system of a path and the path in its terms, so any shared store works."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
+
+
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty table at `path` unless something is there already."""
+    fs, root = _store(spark, path)
+    if not fs.exists(root):
+        spark.createDataFrame([], schema).write.parquet(path)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Complete versions below `path`, through the Hadoop file API so any shared store works."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Complete versions of the table at `path`."""
+    fs, root = _store(spark, path)
     if not fs.exists(root):
         return []
     found = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
         if name.startswith(VERSION_PREFIX) and fs.exists(marker):
             found.append(int(name.removeprefix(VERSION_PREFIX)))
     return sorted(found)

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from callsift import schemas
 from callsift.functions.numbers import exact_sum, ratio
 from callsift.operators import quality
+from callsift.plans import loads
 from callsift.sources import files, sinks
 
 EPOCH, DAY = "1970-01-01", 86_400
@@ -28,7 +29,7 @@ def _run(writer, trigger_seconds: int | None) -> StreamingQuery:
 def details_stream(spark: SparkSession, folder: str, one_per_line: bool = False) -> DataFrame:
     """New call-document files as they arrive: one document per file, or one per line."""
     reader = spark.readStream.schema(schemas.CALL_DETAIL)
-    return reader.option("multiLine", not one_per_line).json(folder)
+    return files.with_file_name(reader.option("multiLine", not one_per_line).json(folder))
 
 
 def start_ingest(
@@ -37,15 +38,17 @@ def start_ingest(
 ) -> StreamingQuery:
     """Append calls of new files to the table at `out`; a call already there is left alone.
 
-    A repeated batch finds its calls in the table and adds nothing.
+    Within a batch the first file by name wins. A repeated batch finds its calls in the table and
+    adds nothing.
     """
-    spark.createDataFrame([], schemas.CALLS).write.mode("append").parquet(out)
+    sinks.ensure_table(spark, out, schemas.CALLS)
 
     def add(batch: DataFrame, _: int) -> None:
         stored = batch.sparkSession.read.schema(schemas.CALLS).parquet(out)
-        sinks.append(sinks.unseen(stored, batch, "contact_id", "contact_start"), out)
+        sinks.append(loads.new_calls(stored, batch), out)
 
-    calls = files.calls_from_details(details_stream(spark, folder, one_per_line), run_ts)
+    details = details_stream(spark, folder, one_per_line)
+    calls = files.calls_from_details(details, run_ts, files.FILE_NAME)
     writer = calls.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return _run(writer, trigger_seconds)
 
@@ -67,14 +70,14 @@ def daily_metrics_stream(stream: DataFrame, delay: str | None = "1 day") -> Data
     timed = stream.withColumn("at", _as_utc(F.col("contact_start")))
     if delay is not None:
         timed = timed.withWatermark("at", delay)
+    day = F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.unix_seconds("w.start") / DAY).cast("int"))
     grouped = timed.groupBy(F.window("at", "1 day").alias("w"), "issue_category").agg(
         F.count("*").alias("calls"),
         F.count("overall_score").alias("scored"),
         exact_sum(F.col("overall_score")).alias("score_sum"),
     )
     return grouped.select(
-        F.date_add(F.lit(EPOCH).cast("date"), F.floor(F.unix_seconds("w.start") / DAY).cast("int")).alias("day"),
-        "issue_category", "calls",
+        day.alias("day"), "issue_category", "calls",
         ratio(F.col("score_sum"), F.col("scored"), 1).alias("avg_score"),
     )
 

@@ -68,6 +68,15 @@ def test_fewer_rows_than_asked(spark, rows):
     assert rows(rt.vector_topk(queries.filter("query_id = 2"), corpus)) == []
 
 
+def test_no_queries(spark, vectors, rows):
+    none = spark.createDataFrame([], "query_id long, embedding array<float>")
+    assert rows(rt.vector_topk(none, vectors[1])) == []
+    docs = spark.createDataFrame([(1, "a b")], "contact_id long, text string")
+    asked = spark.createDataFrame([(1, "?!")], "query_id long, text string")
+    assert rows(rt.tfidf_search(docs, asked)) == []
+    assert rows(rt.tfidf_search(docs, asked.filter("query_id = 2"))) == []
+
+
 def words(text):
     return re.findall(r"\w+", (text or "").lower())
 

@@ -4,6 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from callsift import schemas
+from callsift.plans import loads
 from callsift.session import settle, shared_dir
 from callsift.sources import files, sinks
 
@@ -51,6 +52,26 @@ def test_transcripts(spark, tmp_path, rows):
     assert rows(files.read_transcripts(spark, str(tmp_path))) == [(1, "hé\nllo", "hi"), (2, None, None)]
 
 
+def test_loads_keep_the_first_file_and_known_rows(spark, tmp_path, rows):
+    details, talk = tmp_path / "details", tmp_path / "talk"
+    details.mkdir()
+    talk.mkdir()
+    calls, transcripts = str(tmp_path / "calls"), str(tmp_path / "transcripts")
+    write(details, "b.json", {"contactId": 1, "firstName": "late", "contactStart": "2024-01-01T00:00:00Z"})
+    write(details, "a.json", {"contactId": 1, "firstName": "first", "contactStart": "2025-01-01T00:00:00Z"})
+    write(talk, "1.json", {"1": {"agent_conversation": "hello there", "customer_conversation": "hi"}})
+    for name in ("again", "second"):
+        loads.load_calls(spark, str(details), calls, RUN)
+        loads.load_transcripts(spark, str(talk), transcripts, RUN)
+        write(details, "0.json", {"contactId": 1, "firstName": name})
+        write(details, f"{name}.json", {"contactId": len(name), "firstName": name})
+    assert rows(files.read_table(spark, calls, schemas.CALLS), "contact_id", "first_name") == [
+        (1, "first"), (5, "again")]
+    row = files.read_table(spark, transcripts, schemas.TRANSCRIPTS).collect()
+    assert [(r["full_text"], r["agent_word_count"], r["talk_ratio"]) for r in row] == [
+        ("hello there hi", 2, 0.667)]
+
+
 def test_rubric(spark, tmp_path):
     def rule(weight, enabled=True):
         return {"weight": weight, "enabled": enabled, "when": "w", "what": "x", "good_example": "g",

@@ -12,12 +12,26 @@ WIDEST = 1_000
 AGENT_GROUP = ("agent_id", "team_name", "skill_name")
 
 
-def agent_rollup(calls: DataFrame, call_summary: DataFrame, with_range: bool = False) -> DataFrame:
+def _facts(calls: DataFrame, call_summary: DataFrame | None, of_call: list, of_summary: list,
+           how: str = "inner") -> DataFrame:
+    """The named columns of calls and their summaries, narrowed before the join.
+
+    Without `call_summary` the calls hold the summary columns already: several roll-ups can then
+    share one stored join.
+    """
+    if call_summary is None:
+        return calls.select(KEY, *of_call, *of_summary)
+    return calls.select(KEY, *of_call).join(call_summary.select(KEY, *of_summary), KEY, how)
+
+
+def agent_rollup(calls: DataFrame, call_summary: DataFrame | None = None,
+                 with_range: bool = False) -> DataFrame:
     """Volume, outcome, time and satisfaction by agent, team and skill."""
-    side = call_summary.select(KEY, "overall_score", "resolution", "sentiment_customer")
-    joined = calls.select(
-        KEY, *AGENT_GROUP, "total_duration_sec", "hold_seconds", "service_level_flag"
-    ).join(side, KEY)
+    joined = _facts(
+        calls, call_summary,
+        [*AGENT_GROUP, "total_duration_sec", "hold_seconds", "service_level_flag"],
+        ["overall_score", "resolution", "sentiment_customer"],
+    )
     score = F.col("overall_score")
     measures = [
         F.count_distinct(KEY).alias("total_calls"),
@@ -80,12 +94,12 @@ def heatmap(scores: DataFrame, wide: bool = False, criteria: list[str] | None =
     return scores.groupBy("agent_id").agg(*[rate(name) for name in criteria])
 
 
-def agents_dimension(calls: DataFrame, call_summary: DataFrame) -> DataFrame:
+def agents_dimension(calls: DataFrame, call_summary: DataFrame | None = None) -> DataFrame:
     """One row per agent; team and skill are those of the latest call."""
-    side = call_summary.select(KEY, "overall_score")
-    joined = calls.select(
-        KEY, "agent_id", "team_name", "skill_name", "total_duration_sec", "contact_start"
-    ).join(side, KEY, "left")
+    joined = _facts(
+        calls, call_summary, [*AGENT_GROUP, "total_duration_sec", "contact_start"],
+        ["overall_score"], "left",
+    )
     latest = F.max(F.struct("contact_start", KEY, "team_name", "skill_name"))
     grouped = joined.groupBy("agent_id").agg(
         latest.alias("_latest"),
@@ -104,9 +118,9 @@ def agents_dimension(calls: DataFrame, call_summary: DataFrame) -> DataFrame:
     )
 
 
-def overview(calls: DataFrame, call_summary: DataFrame) -> DataFrame:
+def overview(calls: DataFrame, call_summary: DataFrame | None = None) -> DataFrame:
     """Calls, mean score and number of agents in one row."""
-    joined = calls.select(KEY, "agent_id").join(call_summary.select(KEY, "overall_score"), KEY)
+    joined = _facts(calls, call_summary, ["agent_id"], ["overall_score"])
     return joined.agg(
         F.count("*").alias("total_calls"),
         exact_avg(F.col("overall_score"), 1).alias("avg_score"),
@@ -151,18 +165,17 @@ def call_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def daily(calls: DataFrame, call_summary: DataFrame) -> DataFrame:
+def daily(calls: DataFrame, call_summary: DataFrame | None = None) -> DataFrame:
     """Calls and exact score totals per calendar day: the small base of all daily series."""
-    day = F.to_date("contact_start").alias("day")
-    joined = calls.select(KEY, day).join(call_summary.select(KEY, "overall_score"), KEY)
-    return joined.groupBy("day").agg(
+    joined = _facts(calls, call_summary, ["contact_start"], ["overall_score"])
+    return joined.groupBy(F.to_date("contact_start").alias("day")).agg(
         F.count("*").alias("calls"),
         F.count("overall_score").alias("scored"),
         exact_sum(F.col("overall_score")).alias("score_sum"),
     )
 
 
-def daily_trend(calls: DataFrame, call_summary: DataFrame) -> DataFrame:
+def daily_trend(calls: DataFrame, call_summary: DataFrame | None = None) -> DataFrame:
     """Average score per day."""
     average = ratio(F.col("score_sum"), F.col("scored"), 1).alias("avg_score")
     return daily(calls, call_summary).select("day", "calls", average)

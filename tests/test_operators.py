@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callsift.operators import joins, quality, rollups, rubric as rb
+from callsift.plans import dashboard
 
 CALLS = ("contact_id long, agent_id long, team_name string, skill_name string, first_name string, "
          "last_name string, contact_start timestamp_ntz, total_duration_sec double, "
@@ -160,6 +161,20 @@ def test_profile_without_dates_or_scores(spark, rows):
     assert rows(got, "table_name", "row_count", "column_name", "kind") == [("t", 2, "a", "columns")]
 
 
+def test_dashboard_frames_share_one_join(calls, summary, scores, transcripts, rows):
+    log = quality.quality_log(calls, transcripts)
+    shown = dashboard.frames(calls, summary, scores, transcripts, log)
+    for name, alone in {
+        "agents": rollups.agent_rollup(calls, summary, with_range=True),
+        "overview": rollups.overview(calls, summary),
+        "days": rollups.daily_trend(calls, summary),
+        "resolutions": rollups.resolution_breakdown(summary),
+    }.items():
+        assert rows(shown[name]) == rows(alone), name
+        assert "Join" not in shown[name]._jdf.queryExecution().executedPlan().toString()
+    assert all(df.count() > 0 for df in shown.values())
+
+
 RULES = ("section_name string, criteria_name string, criteria_weight double, "
          "effective_weight double, enabled boolean, what_to_check string, good_example string, "
          "bad_example string")

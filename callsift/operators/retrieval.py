@@ -25,7 +25,7 @@ PARENT_SIZE, PARENT_OVERLAP = 2000, 200
 CHILD_SIZE, CHILD_OVERLAP = 400, 50
 TOP_K = 7
 CONTEXT_PARENTS = 3
-QUERIES_PER_PASS = 512
+QUERIES_PER_PASS = 4_096
 DIGITS = 9
 
 

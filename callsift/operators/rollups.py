@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsift.functions.moments import moment
 from callsift.functions.numbers import count_where, exact_avg, exact_sum, ratio, share_pct
 
 KEY = "contact_id"
@@ -94,8 +97,12 @@ def heatmap(scores: DataFrame, wide: bool = False, criteria: list[str] | None =
     return scores.groupBy("agent_id").agg(*[rate(name) for name in criteria])
 
 
-def agents_dimension(calls: DataFrame, call_summary: DataFrame | None = None) -> DataFrame:
-    """One row per agent; team and skill are those of the latest call."""
+def agents_dimension(calls: DataFrame, call_summary: DataFrame | None = None,
+                     run_ts: datetime | None = None) -> DataFrame:
+    """One row per agent; team and skill are those of the latest call.
+
+    With `run_ts` the rows carry it as `updated_at`, as the stored table does.
+    """
     joined = _facts(
         calls, call_summary, [*AGENT_GROUP, "total_duration_sec", "contact_start"],
         ["overall_score"], "left",
@@ -107,6 +114,7 @@ def agents_dimension(calls: DataFrame, call_summary: DataFrame | None = None) ->
         exact_avg(F.col("overall_score"), 1).alias("avg_quality_score"),
         exact_avg(F.col("total_duration_sec"), 1).alias("avg_handle_time"),
     )
+    stamp = [] if run_ts is None else [moment(run_ts).alias("updated_at")]
     return grouped.select(
         "agent_id",
         F.col("_latest.team_name").alias("team_name"),
@@ -115,6 +123,7 @@ def agents_dimension(calls: DataFrame, call_summary: DataFrame | None = None) ->
         "avg_quality_score",
         "avg_handle_time",
         F.col("_latest.contact_start").alias("last_call_date"),
+        *stamp,
     )
 
 

@@ -20,6 +20,21 @@ def rule_order() -> tuple[Column, ...]:
     )
 
 
+# Other names under which a rubric may hold a column.
+OTHER_NAMES = {"effective_weight": "weight", "what_to_check": "description"}
+
+
+def standard_rubric(rubric: DataFrame) -> DataFrame:
+    """A rubric under its usual column names; without an `enabled` column all rules count."""
+    for usual, other in OTHER_NAMES.items():
+        if usual not in rubric.columns:
+            held = F.col(other) if other in rubric.columns else F.lit(None).cast("string")
+            rubric = rubric.withColumn(usual, held)
+    if "enabled" not in rubric.columns:
+        rubric = rubric.withColumn("enabled", F.lit(True))
+    return rubric
+
+
 def enabled_rules(rubric: DataFrame) -> DataFrame:
     return rubric.filter("enabled")
 
@@ -68,17 +83,25 @@ def _or_blank(name: str) -> Column:
 
 
 def rubric_text(rubric: DataFrame) -> DataFrame:
-    """Enabled rules as one text: a line per section, below it a line per criterion."""
+    """Enabled rules as one text: a line per section, below it a line per criterion.
+
+    A rubric without sections gives one line per criterion, heaviest first.
+    """
+    rubric = standard_rubric(rubric)
     percent = F.when(F.coalesce("effective_weight", F.lit(0.0)) == 0, "0").otherwise(
         weight_percent(F.col("effective_weight")).cast("string")
     )
     line = F.concat(
-        F.lit("  • "), _or_blank("criteria_name"), F.lit(" ("), percent, F.lit("%): "),
-        _or_blank("what_to_check"),
+        _or_blank("criteria_name"), F.lit(" ("), percent, F.lit("%): "), _or_blank("what_to_check")
     )
+    if "section_name" not in rubric.columns:
+        flat = rubric.withColumn("section_name", F.lit(None).cast("string"))
+        listed = _ordered_join(_position(), F.concat(F.lit("- "), line), "\n")
+        return enabled_rules(flat).agg(listed.alias("rubric_text"))
     section = F.coalesce(F.nullif(F.col("section_name"), F.lit("")), F.lit("General"))
     rules = enabled_rules(rubric).select(
-        section.alias("section"), _position().alias("position"), line.alias("line")
+        section.alias("section"), _position().alias("position"),
+        F.concat(F.lit("  • "), line).alias("line"),
     )
     blocks = rules.groupBy("section").agg(
         F.min("position").alias("position"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from callsift.functions import jsontext as js
 from callsift.functions import text as tx
+from callsift.functions.moments import moment
 from callsift.operators.joins import with_weights
 from callsift.plans.once import computed_once
 from callsift.plans.sizing import blocks, lookup_side
@@ -71,7 +72,7 @@ def parse_scores(
         KEY, "agent_id", "section_name", "criteria_name",
         F.when(F.col("passed"), F.col("effective_weight")).otherwise(F.lit(0.0)).alias("score"),
         "passed", "reasoning", F.lit(scored_by).alias("scored_by"),
-        F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz").alias("evaluated_at"),
+        moment(run_ts).alias("evaluated_at"),
     )
     reason = F.when(F.col("_json").isNull(), "no array").otherwise("not readable")
     errors = parsed.filter("_items IS NULL").select(KEY, "content", reason.alias("reason"))

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callsift.functions.moments import moment
 from callsift.operators import joins, scoring
 from callsift.operators import rubric as rb
 from callsift.session import settle
@@ -31,10 +32,6 @@ def _answers(prompts: DataFrame, model: Callable) -> DataFrame:
     return settle(answered.drop("prompt"), "answers")
 
 
-def _at(run_ts: datetime):
-    return F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-
-
 def score_unscored(
     transcripts: DataFrame, calls: DataFrame, scores: DataFrame, rubric: DataFrame,
     model: Callable, run_ts: datetime,
@@ -57,7 +54,7 @@ def summarise_missing(
     answers = _answers(waiting.select(KEY, prompt.alias("prompt")), model)
     rows, errors = scoring.parse_summaries(answers)
     known = {f.name: f.dataType for f in call_summary.schema}
-    stamped = rows.withColumn("created_at", _at(run_ts))
+    stamped = rows.withColumn("created_at", moment(run_ts))
     fresh = stamped.select(*[
         (F.col(c) if c in stamped.columns else F.lit(None)).cast(kind).alias(c)
         for c, kind in known.items()
@@ -81,5 +78,5 @@ def audit_all(
     return read.select(
         KEY, "agent_id", "summary",
         *[F.to_json(c).alias(c) for c in ("strengths", "improvements", "failed_criteria")],
-        "model_name", F.lit(version).alias("version"), _at(run_ts).alias("created_at"),
+        "model_name", F.lit(version).alias("version"), moment(run_ts).alias("created_at"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift import schemas
+from callsift.functions.moments import moment
 from callsift.functions.text import stable_key
 from callsift.operators.transcripts import transcript_features
 from callsift.sources import files, sinks
@@ -34,9 +35,8 @@ def load_transcripts(spark: SparkSession, path: str, out: str, run_ts: datetime)
     """Add the transcripts of all files below `path`, with their features, to the table at `out`."""
     sinks.ensure_table(spark, out, schemas.TRANSCRIPTS)
     featured = transcript_features(files.read_transcripts(spark, path))
-    at = F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
     stamped = featured.withColumns({
-        "transcript_id": stable_key(F.col(KEY)), "created_at": at,
+        "transcript_id": stable_key(F.col(KEY)), "created_at": moment(run_ts),
     })
     rows = stamped.select(*[
         F.col(field.name).cast(field.dataType) for field in schemas.TRANSCRIPTS

@@ -9,21 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift import schemas
+from callsift.functions.moments import moment, wall_clock
 from callsift.functions.numbers import EXACT
 from callsift.plans.once import computed_once
 
 FILE_NAME = "file_name"
-ZONE_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
-
-
-def wall_clock(text: Column) -> Column:
-    """ISO time without its zone, as written on the wall clock; null when it is no date."""
-    plain = F.regexp_replace(F.trim(text), ZONE_SUFFIX, "")
-    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}"), plain.try_cast("timestamp_ntz"))
-
-
-def _ntz(moment: datetime) -> Column:
-    return F.lit(moment.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> DataFrame:
@@ -42,7 +32,7 @@ def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> Data
     def flag(key: str) -> Column:
         return F.coalesce(F.col(key), F.lit(False))
 
-    run_at = _ntz(run_ts)
+    run_at = moment(run_ts)
     keyed = details.filter(F.col("contactId").isNotNull() & (F.col("contactId") != 0))
     return keyed.select(
         F.col("contactId").alias("contact_id"),

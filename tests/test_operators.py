@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from callsift import schemas
 from callsift.operators import joins, quality, rollups, rubric as rb
 from callsift.plans import dashboard
 
@@ -75,6 +76,8 @@ def test_agents(calls, summary):
     got = {r["agent_id"]: r for r in rollups.agents_dimension(calls, summary).collect()}
     assert (got[10]["skill_name"], got[10]["total_calls"]) == ("S2", 3)
     assert (got[10]["avg_handle_time"], got[10]["last_call_date"].day) == (60.0, 9)
+    stored = rollups.agents_dimension(calls, summary, run_ts=datetime(2026, 1, 1))
+    assert stored.schema.names == schemas.AGENTS.names
 
 
 def test_scores_by_call_and_agent(scores, rows):
@@ -198,3 +201,15 @@ def test_rubric_views(spark, rows):
     assert rows(rb.rubric_counts(rubric)) == [
         ("S1", 3, 2, 1.0, True), ("S2", 1, 1, 1.0, True), (None, 2, 2, 1.0, True)]
     assert [r["criteria_name"] for r in rb.sorted_rules(rubric, 3).collect()] == ["Off", "Name", "Hello"]
+
+
+def test_rubric_under_other_names(spark):
+    flat = spark.createDataFrame(
+        [("Tone", 0.2, "be calm"), ("Name", 0.8, None)],
+        "criteria_name string, weight double, description string")
+    assert rb.rubric_text(flat).first()[0] == "- Name (80.0%): \n- Tone (20.0%): be calm"
+    by_section = flat.withColumn("section_name", F.lit("S"))
+    assert rb.rubric_text(by_section).first()[0] == (
+        "- S:\n  • Name (80.0%): \n  • Tone (20.0%): be calm")
+    bare = flat.drop("description").withColumn("enabled", F.col("criteria_name") == "Tone")
+    assert rb.rubric_text(bare).first()[0] == "- Tone (20.0%): "

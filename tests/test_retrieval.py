@@ -46,7 +46,7 @@ def vectors(spark):
     return points, spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(5)
 
 
-@pytest.mark.parametrize("per_pass", [512, 3])
+@pytest.mark.parametrize("per_pass", [4096, 3])
 def test_nearest_vectors(spark, vectors, monkeypatch, per_pass):
     monkeypatch.setattr(rt, "QUERIES_PER_PASS", per_pass)
     points, corpus = vectors
@@ -97,7 +97,7 @@ def brute_tfidf(docs, queries, k):
     return found
 
 
-@pytest.mark.parametrize("per_pass", [512, 2])
+@pytest.mark.parametrize("per_pass", [4096, 2])
 def test_tfidf(spark, monkeypatch, per_pass):
     monkeypatch.setattr(rt, "QUERIES_PER_PASS", per_pass)
     rng = np.random.default_rng(7)

@@ -243,8 +243,8 @@ add("sink_upsert", """SELECT * FROM last UNION ALL
 add("sink_overwrite", f"""SELECT contact_id, substring(full_text, 1, 800) || {text(NOTE)} AS summary,
     '[]' AS strengths, 'fallback' AS model_name, CAST(2 AS INT) AS version FROM transcripts
     WHERE full_text IS NOT NULL""", "transcripts")
-add("sink_csv_export", """SELECT 'contact_id,full_text,talk_ratio,agent_word_count' AS header
-    FROM transcripts LIMIT 1""", "transcripts")
+add("sink_csv_export", """SELECT contact_id || ',' || agent_word_count || ','
+    || COALESCE(CAST(talk_ratio AS VARCHAR), '') AS line FROM transcripts""", "transcripts")
 add("scan_csv", """SELECT contact_id, full_text, talk_ratio, agent_word_count
     FROM transcripts""", "transcripts")
 

@@ -117,9 +117,8 @@ def _(spark, folder):
     return files.read_table(spark, path)
 
 
-def _exported(spark, folder):
+def _exported(spark, folder, *columns):
     path = scratch_path(spark, "export")
-    columns = (KEY, "full_text", "talk_ratio", "agent_word_count")
     rows = view(spark, folder, "transcripts").select(*columns)
     sinks.export_csv(rows, path)
     return path, rows.schema
@@ -127,16 +126,15 @@ def _exported(spark, folder):
 
 @query("sink_csv_export")
 def _(spark, folder):
-    """The lines of the export that are its header, one per file."""
-    path, schema = _exported(spark, folder)
-    header = ",".join(schema.names)
-    lines = spark.read.text(path).filter(F.col("value") == header)
-    return lines.select(F.col("value").alias("header")).distinct()
+    """The lines of an export of numbers without the header that starts each file."""
+    path, schema = _exported(spark, folder, KEY, "agent_word_count", "talk_ratio")
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.filter(F.col("line") != ",".join(schema.names))
 
 
 @query("scan_csv")
 def _(spark, folder):
-    path, schema = _exported(spark, folder)
+    path, schema = _exported(spark, folder, KEY, "full_text", "talk_ratio", "agent_word_count")
     return files.read_csv(spark, path, schema)
 
 

@@ -16,9 +16,10 @@ from callsift.sources import files, sinks
 KEY = "contact_id"
 
 
-def new_calls(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def new_calls(stored: DataFrame, batch: DataFrame, small_batch: bool = False) -> DataFrame:
     """Calls of the batch that are not stored yet; of several, the first by file name."""
-    return sinks.unseen(stored, batch, KEY, files.FILE_NAME).select(*schemas.CALLS.names)
+    new = sinks.unseen(stored, batch, KEY, files.FILE_NAME, small_batch)
+    return new.select(*schemas.CALLS.names)
 
 
 def load_calls(

@@ -11,18 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.plans.dedupe import distinct_keys, first_match
+from callsift.plans.sizing import lookup_side
 
 VERSION_PREFIX = "version="
+SMALL_BATCH = 1_000_000
 EDITABLE = (
     "section_name", "criteria_name", "section_weight", "criteria_weight", "effective_weight",
     "enabled", "what_to_check", "when_to_check", "good_example", "bad_example", "scoring_method",
 )
 
 
-def unseen(existing: DataFrame, new: DataFrame, key: str, order_by: str | list[str]) -> DataFrame:
-    """The first new row of each key that the existing table lacks."""
+def unseen(existing: DataFrame, new: DataFrame, key: str, order_by: str | list[str],
+           small_batch: bool = False) -> DataFrame:
+    """The first new row of each key that the existing table lacks.
+
+    For a batch expected to be small, a capped read of its keys proves it so: then the stored keys
+    are looked through where they lie, and only those the batch holds as well are shuffled.
+    """
     batch = first_match(new.filter(F.col(key).isNotNull()), key, order_by)
-    return batch.join(distinct_keys(existing, key), key, "left_anti").select(*new.columns)
+    stored = existing.select(key)
+    if small_batch:
+        stored = stored.join(lookup_side(batch.select(key), SMALL_BATCH), key, "left_semi")
+    return batch.join(distinct_keys(stored, key), key, "left_anti").select(*new.columns)
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order_by: str | list[str]):

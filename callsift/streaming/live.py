@@ -45,7 +45,9 @@ def start_ingest(
 
     def add(batch: DataFrame, _: int) -> None:
         stored = batch.sparkSession.read.schema(schemas.CALLS).parquet(out)
-        sinks.append(loads.new_calls(stored, batch), out)
+        batch = batch.persist()  # parsed once for the size check and the write
+        sinks.append(loads.new_calls(stored, batch, small_batch=True), out)
+        batch.unpersist()
 
     details = details_stream(spark, folder, one_per_line)
     calls = files.calls_from_details(details, run_ts, files.FILE_NAME)

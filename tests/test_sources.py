@@ -109,6 +109,7 @@ def test_insert_ignore(spark, rows):
     new = spark.createDataFrame(
         [(1, "new", 1), (2, "late", 9), (2, "early", 2), (None, "no key", 1)], old.schema)
     assert rows(sinks.insert_ignore(old, new, "k", "at")) == [(1, "old", 0), (2, "early", 2)]
+    assert rows(sinks.unseen(old, new, "k", "at", small_batch=True)) == [(2, "early", 2)]
     again = sinks.insert_ignore(old, new, "k", "at")
     assert rows(sinks.insert_ignore(again, new, "k", "at")) == rows(again)
 

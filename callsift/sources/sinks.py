@@ -14,6 +14,7 @@ from callsift.plans.dedupe import distinct_keys, first_match
 from callsift.plans.sizing import lookup_side
 
 VERSION_PREFIX = "version="
+BUCKET = "key_bucket"
 SMALL_BATCH = 1_000_000
 EDITABLE = (
     "section_name", "criteria_name", "section_weight", "criteria_weight", "effective_weight",
@@ -47,6 +48,27 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order_by: str | list[s
     return kept.unionByName(batch)
 
 
+def upsert_table(
+    batch: DataFrame, path: str, schema: T.StructType, key: str, order_by: str | list[str],
+    buckets: int = 1024,
+) -> None:
+    """Upsert into a table stored in key-hash folders, rewriting only the folders a batch touches.
+
+    Folder numbers, at most `buckets` of them, reach the driver to prune the read. New files are
+    staged and moved at commit, and running the same batch again gives the same table.
+    """
+    spark = batch.sparkSession
+    number = F.pmod(F.hash(key), F.lit(buckets)).alias(BUCKET)
+    touched = [row[0] for row in batch.select(number).distinct().collect()]
+    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    ensure_table(spark, path, full, BUCKET)
+    stored = spark.read.schema(full).parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = upsert(stored, batch.select(*schema.names), key, order_by)
+    placed = merged.select("*", number).hint("rebalance", BUCKET)
+    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BUCKET).parquet(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -68,11 +90,13 @@ def _store(spark: SparkSession, path: str):
     return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
 
-def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
+def ensure_table(
+    spark: SparkSession, path: str, schema: T.StructType, *partition_by: str
+) -> None:
     """An empty table at `path` unless something is there already."""
     fs, root = _store(spark, path)
     if not fs.exists(root):
-        spark.createDataFrame([], schema).write.parquet(path)
+        spark.createDataFrame([], schema).write.partitionBy(*partition_by).parquet(path)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:

@@ -1,7 +1,9 @@
 import json
+import os
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callsift import schemas
 from callsift.plans import loads
@@ -120,6 +122,25 @@ def test_upsert(spark, rows):
     assert rows(sinks.upsert(old, new, "k", "at")) == [(1, "a", 0), (2, "d", 2), (3, "e", 1)]
 
 
+def test_upsert_rewrites_only_touched_folders(spark, tmp_path, rows):
+    path, schema = str(tmp_path / "table"), T.StructType.fromDDL("k long, v string")
+
+    def put(*data):
+        batch = spark.createDataFrame(data, schema)
+        sinks.upsert_table(batch, path, schema, "k", "v", buckets=8)
+        return {os.path.join(folder, name) for folder, _, names in os.walk(path)
+                for name in names if name.endswith("parquet") and sinks.BUCKET in folder}
+
+    first = [(i, "a") for i in range(40)]
+    before = put(*first)
+    assert len({os.path.dirname(f) for f in before}) == 8
+    assert len(before & put((3, "b"), (3, "c"))) == 7
+    stored = rows(files.read_table(spark, path, schema), "k", "v")
+    assert stored == sorted([r for r in first if r[0] != 3] + [(3, "c")], key=repr)
+    put((3, "b"), (3, "c"))
+    assert rows(files.read_table(spark, path, schema), "k", "v") == stored
+
+
 def test_publish_keeps_the_last_whole_version(spark, tmp_path, rows):
     path = str(tmp_path / "published")
     df = spark.createDataFrame([(1,)], "a int")

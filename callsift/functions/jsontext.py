@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callsift.functions.text import stripped
+
 
 def _between(text: Column, left: str, right: str) -> Column:
     found = F.regexp_extract(text, rf"(?s)\{left}.*\{right}", 0)
@@ -46,7 +48,7 @@ def parsed(text: Column) -> Column:
 
 def without_fence(text: Column) -> Column:
     """Text without surrounding blanks and backticks and without the word json."""
-    return F.replace(F.btrim(F.trim(text), F.lit("`")), F.lit("json"), F.lit(""))
+    return F.replace(F.btrim(stripped(text), F.lit("`")), F.lit("json"), F.lit(""))
 
 
 def truthy(value: Column) -> Column:
@@ -67,7 +69,7 @@ def truthy(value: Column) -> Column:
 def whole_number(value: Column, default: int) -> Column:
     """A JSON value as INT: missing gives the default, fractions are cut, other text gives null."""
     kind = F.schema_of_variant(value)
-    as_text = F.trim(F.try_variant_get(value, "$", "string"))
+    as_text = stripped(F.try_variant_get(value, "$", "string"))
     return (
         F.when(value.isNull(), default)
         .when(kind == "BOOLEAN", F.when(as_text == "true", 1).otherwise(0))
@@ -101,7 +103,7 @@ def recovered(text: Column) -> Column:
     readable = F.filter(F.transform(snippets, read), lambda s: s.isNotNull())
     return F.coalesce(
         json_of(text),
-        json_of(F.btrim(F.trim(text), F.lit("`"))),
+        json_of(F.btrim(stripped(text), F.lit("`"))),
         F.try_element_at(readable, F.lit(1)),
         F.lit("{}"),
     )

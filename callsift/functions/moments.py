@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?)?$"
 ZONE_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -17,5 +18,5 @@ def moment(at: datetime) -> Column:
 
 def wall_clock(text: Column) -> Column:
     """ISO time without its zone, as written on the wall clock; null when it is no date."""
-    plain = F.regexp_replace(F.trim(text), ZONE_SUFFIX, "")
-    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}"), plain.try_cast("timestamp_ntz"))
+    plain = F.regexp_replace(text, ZONE_SUFFIX, "")
+    return F.when(plain.rlike(ISO_TIME), plain.try_cast("timestamp_ntz"))

@@ -15,6 +15,11 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), f"[^{WORD_CLASS}{SPACE_CLASS}]", "")
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z", "")
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; null text has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE_CLASS}]+")).cast("bigint")

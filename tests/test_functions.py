@@ -1,12 +1,14 @@
 import json
 import random
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from callsift.functions import jsontext as js
 from callsift.functions import labels, numbers
 from callsift.functions import text as tx
+from callsift.functions.moments import wall_clock
 
 
 def test_share_rounds_like_python(spark):
@@ -99,8 +101,24 @@ def test_truthiness(spark):
 def test_recovered(spark):
     cases = {
         '{"a":1}': '{"a":1}', '```{"a":1}```': '{"a":1}', 'x {"a":1} y': '{"a":1}',
-        "x {'a':1} y": '{"a":1}', "x {a} {'b':2}": '{"b":2}', "nothing": "{}", "": "{}",
+        "\n```\n{'a':1}```\t\n": '{"a":1}', "x {'a':1} y": '{"a":1}', "x {a} {'b':2}": '{"b":2}', "nothing": "{}", "": "{}",
     }
     df = spark.createDataFrame([(s,) for s in cases], "s string")
     for s, got in df.select("s", js.recovered(F.col("s"))).collect():
         assert got == cases[s], s
+
+
+def test_wall_clock_like_python(spark):
+    texts = ["2025-04-17T05:19:16.277Z", "2025-04-17T05:19:16+02:00", "2025-04-17 05:19", "2025-04-17",
+             " 2025-04-17", "2025-04-17T05:19:16 ", "2025", "12:30", "2025-13-01", "2025-02-30T10:00:00",
+             "2025-04-17T25:00:00", "n/a", "", "2025-04-17T05"]
+
+    def read(s):
+        try:
+            return datetime.fromisoformat(s.replace("Z", "+00:00")).replace(tzinfo=None)
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(s,) for s in texts], "s string")
+    for s, got in df.select("s", wall_clock(F.col("s"))).collect():
+        assert got == read(s), s

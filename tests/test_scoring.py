@@ -67,8 +67,8 @@ def test_summary_answers(spark):
 def test_audit_answers(spark):
     long = "free text " * 200
     responses = answers(
-        spark, '{"summary": "s", "strengths": ["a", "b"], "failed_criteria": "one"}',
-        '```json\n{"summary": "f"}\n```', long, "[1]", '{"summary": null}')
+        spark, '\n{"summary": "s", "strengths": ["a", "b"], "failed_criteria": "one"}',
+        '\n ```json\n{"summary": "f"}\n```\n', long, "[1]", '{"summary": null}')
     got = {r["contact_id"]: r for r in sc.parse_ai_summary(responses).collect()}
     assert (got[0]["summary"], got[0]["strengths"], got[0]["failed_criteria"]) == ("s", ["a", "b"], ["one"])
     assert got[0]["improvements"] == [] and not got[0]["is_fallback"]

@@ -173,7 +173,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "v
         best = _scan_best(slim, keys, held["query_id"].tolist(), kind, k, costs)
         return _ranked(best, keys, k)
 
-    parts = blocks(queries, "query_id", QUERIES_PER_PASS)
+    parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.size("embedding") * 8)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
     return found.withColumnRenamed("cost", "distance")
 
@@ -264,7 +264,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
         ).select(*keys, F.col("_p.term_no").alias("terms"), F.col("_p.weight").alias("weights"))
         return _ranked(_scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
 
-    parts = blocks(queries, "query_id", QUERIES_PER_PASS)
+    parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.length("text"))
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
     return found.select("query_id", *keys, (-F.col("cost")).alias("score"), "hit_rank")
 

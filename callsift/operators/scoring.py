@@ -218,7 +218,8 @@ def keyword_scores(transcripts: DataFrame, rubric: DataFrame, min_hits: int = 1)
         return text_and_rules.select(KEY, F.inline(verdicts))
 
     enabled = rubric.filter("enabled")
-    parts = blocks(enabled, "criteria_name", RULES_PER_PASS)
+    words = F.aggregate("check_keywords", F.lit(0), lambda total, k: total + F.length(k))
+    parts = blocks(enabled, "criteria_name", RULES_PER_PASS, words)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
     passed = F.col("hits") >= min_hits
     score = F.when(passed, F.col("effective_weight")).otherwise(F.lit(0.0))

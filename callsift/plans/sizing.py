@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
@@ -30,10 +30,14 @@ def lookup_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(frame) if small else frame
 
 
-def blocks(df: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
-    """`df` split by key hash into as many parts as needed for about `max_rows` rows each."""
-    total = df.count()
-    parts = max(1, math.ceil(total / max_rows))
+def blocks(df: DataFrame, key: str, max_rows: int, size: Column | None = None,
+           max_bytes: int = SMALL_BYTES) -> list[DataFrame]:
+    """`df` split by key hash into parts of about `max_rows` rows and `max_bytes` each.
+
+    `size` is the expression for a row's bytes where rows can be long.
+    """
+    total, held = df.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    parts = max(1, math.ceil(total / max_rows), math.ceil((held or 0) / max_bytes))
     if parts == 1:
         return [df]
     return [df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]

@@ -66,6 +66,8 @@ def test_small_sides_are_checked(spark, rows):
     assert "broadcast" not in sizing.lookup_side(df, 49)._jdf.queryExecution().logical().toString()
     parts = sizing.blocks(df, "id", 20)
     assert len(parts) == 3 and sum(p.count() for p in parts) == 50
+    heavy = sizing.blocks(df, "id", 100, F.lit(10), max_bytes=100)
+    assert len(heavy) == 5 and sum(p.count() for p in heavy) == 50
 
 
 def test_large_lookup_gives_the_same_rows(spark, rows, monkeypatch):

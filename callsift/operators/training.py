@@ -72,8 +72,9 @@ def _confidence(df: DataFrame):
     return F.round(best * 100, 0).cast("int")
 
 
-def predict(model: PipelineModel, frame: DataFrame, actual: str) -> DataFrame:
-    """(contact_id, actual, predicted, correct, confidence) for each row of a model frame."""
+def predict(model: PipelineModel, frame: DataFrame, actual: str, *keep: str) -> DataFrame:
+    """(contact_id, actual, predicted, correct, confidence) for each row of a model frame, and the
+    columns to keep."""
     scored = model.transform(frame)
     return scored.select(
         "contact_id",
@@ -81,6 +82,20 @@ def predict(model: PipelineModel, frame: DataFrame, actual: str) -> DataFrame:
         "predicted",
         (F.col(actual) == F.col("predicted")).alias("correct"),
         F.concat(_confidence(scored).cast("string"), F.lit("%")).alias("confidence"),
+        *keep,
+    )
+
+
+def predict_issue(model: PipelineModel, training: DataFrame) -> DataFrame:
+    """The issue predictions as exported."""
+    return predict(model, ft.issue_frame(training), "issue_category")
+
+
+def predict_resolution(model: PipelineModel, training: DataFrame) -> DataFrame:
+    """The resolution predictions as exported."""
+    told = predict(model, ft.resolution_frame(training), "resolution", "overall_score")
+    return told.withColumnsRenamed(
+        {"actual": "actual_resolution", "predicted": "predicted_resolution"}
     )
 
 

@@ -623,28 +623,23 @@ def fitted(kind: str, spark: SparkSession, folder: str):
 
 @query("train_issue_classifier")
 def _(spark, folder):
-    frame = ft.issue_frame(training(spark, folder))
-    return ru.accuracy(tr.predict(fitted("issue", spark, folder), frame, "issue_category"),
-                       "actual", "predicted")
+    return ru.accuracy(QUERIES["predict_issue"](spark, folder), "actual", "predicted")
 
 
 @query("predict_issue")
 def _(spark, folder):
-    frame = ft.issue_frame(training(spark, folder))
-    return tr.predict(fitted("issue", spark, folder), frame, "issue_category")
+    return tr.predict_issue(fitted("issue", spark, folder), training(spark, folder))
 
 
 @query("train_resolution_model")
 def _(spark, folder):
-    frame = ft.resolution_frame(training(spark, folder))
-    return ru.accuracy(tr.predict(fitted("resolution", spark, folder), frame, "resolution"),
-                       "actual", "predicted")
+    told = QUERIES["predict_resolution"](spark, folder)
+    return ru.accuracy(told, "actual_resolution", "predicted_resolution")
 
 
 @query("predict_resolution")
 def _(spark, folder):
-    frame = ft.resolution_frame(training(spark, folder))
-    return tr.predict(fitted("resolution", spark, folder), frame, "resolution")
+    return tr.predict_resolution(fitted("resolution", spark, folder), training(spark, folder))
 
 
 @query("save_models")
@@ -653,7 +648,7 @@ def _(spark, folder):
     path = scratch_path(spark, "model")
     tr.save(fitted("issue", spark, folder), path, {"model_name": "Logistic Regression"})
     loaded, _ = tr.load(spark, path)
-    return tr.predict(loaded, ft.issue_frame(training(spark, folder)), "issue_category")
+    return tr.predict_issue(loaded, training(spark, folder))
 
 
 # Streams, run until their input is used up.

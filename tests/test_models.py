@@ -110,6 +110,8 @@ def test_issue_model_round_trip(spark, training, tmp_path):
 
 def test_resolution_model(training):
     model = tr.train_resolution(training, trees=5)
-    told = tr.predict(model, ft.resolution_frame(training), "resolution")
+    told = tr.predict_resolution(model, training)
+    assert told.columns == ["contact_id", "actual_resolution", "predicted_resolution", "correct",
+                            "confidence", "overall_score"]
     assert told.filter("correct").count() == 45
-    assert told.select("predicted").distinct().count() == 3
+    assert told.select("predicted_resolution").distinct().count() == 3

@@ -71,12 +71,14 @@ def byte_pair_ids(path: str) -> Callable[[str], np.ndarray]:
     Texts of plain letters and signs go through a faster library with the same vocabulary, which the
     tests compare with the first; all other texts go through the tokenizers library itself.
     """
-    slow, fast = _tokenizer(path), _fast_encoding(path)
+    fast = _fast_encoding(path)
 
     def ids(text: str) -> np.ndarray:
         if fast is not None and PLAIN.fullmatch(text):
             return fast.encode_to_numpy(text, allowed_special="all")
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        # Loaded only where a text needs it: two vocabularies in every worker are a lot of memory.
+        encoded = _tokenizer(path).encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoded[0].ids, dtype=np.uint32)
 
     return ids
 

@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsift.llm import mixing, packing, sharding, tokens
+from callsift.llm import chat, langid, mixing, neighbours, packing, quality_rules, sharding, tokens
 from callsift.llm.common import table
 from callsift.llm.sql import SQL  # noqa: F401
-from callsift.session import scratch_path
+from callsift.session import scratch_path, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,34 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    fold = langid.held_out(F.col("doc_id"))
+    labelled = docs.filter(~fold).select("doc_id", "text", F.col("lang").alias("label"))
+    judged = langid.with_language(docs.select("doc_id", "text"), langid.train(labelled))
+    return judged.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_prefix_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts hold marks, as examples, read back from them."""
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.examples(turns.unionByName(more)))
+
+
+@query
+def op4_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest of every 50th vector, against all vectors."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as byte-level BPE pieces in sequences of 2,048 ids."""
@@ -42,6 +70,17 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(cut, limit=2048)
 
 
+@query
+def op7_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of all documents and the verdict of a decision list learned from the labels."""
+    counted = settle(quality_rules.statistics(table(spark, folder, "documents")), "statistics")
+    rules = quality_rules.train(counted, table(spark, folder, "labels"))
+    return counted.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality_rules.base_failed().alias("base_failed"), quality_rules.verdict(rules).alias("kept"),
+    )
+
+
 @query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents; the cache begins empty, so every distinct text is encoded."""

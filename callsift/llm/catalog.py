@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callsift.llm import chat, langid, mixing, neighbours, packing, quality_rules, sharding, tokens
+from callsift.llm import (
+    chat, jaccard, langid, mixing, neighbours, packing, quality_rules, sharding, tokens,
+)
 from callsift.llm.common import table
 from callsift.llm.sql import SQL  # noqa: F401
 from callsift.session import scratch_path, settle
@@ -70,6 +72,12 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(cut, limit=2048)
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents that share 85 % of their 4-word shingles."""
+    return jaccard.linked(table(spark, folder, "documents"), n=4, percent=85)
+
+
 @query
 def op7_decision_list(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics of all documents and the verdict of a decision list learned from the labels."""

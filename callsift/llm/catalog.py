@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.llm import (
-    chat, jaccard, langid, mixing, neighbours, packing, quality_rules, sharding, tokens,
+    chat, jaccard, langid, mixing, neighbours, packing, pii, quality_rules,
+    sharding, tokens,
 )
 from callsift.llm.common import table
 from callsift.llm.sql import SQL  # noqa: F401
@@ -107,3 +108,9 @@ def op9_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )
+
+
+@query
+def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, by form and by bootstrapped context."""
+    return pii.report(table(spark, folder, "documents"))

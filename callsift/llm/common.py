@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def running(df: DataFrame, group: list[str], order: list[str | Column], **sums: Column) -> DataFrame:
     """`df` with, for each of `sums`, its total over the rows of the group up to and with this one.
 
-    Works at any skew: rows are dealt out by ranges of (group, order), so a group with a third of
+    `order` holds ascending columns. Works at any skew: rows are dealt out by ranges of (group, order), so a group with a third of
     the table lies in many parts. Each part sums by itself, and what earlier parts of the same group
     hold is added by a join with at most one row per part boundary, which is why it may be broadcast.
     Rows equal in group and order lie in one part and get their sums in any order. The rows dealt

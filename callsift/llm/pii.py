@@ -253,16 +253,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     held = settle(found_spans(docs), "spans")
 
     def of_kind(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+        return F.transform(F.col(kind), lambda s: entry(s, F.lit(kind)))
 
-    added = F.transform("added", lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    def entry(s: Column, kind: Column) -> Column:
+        return F.struct(s["start"].alias("start"), (-s["end"]).alias("less_end"), kind.alias("kind"))
+
+    added = F.transform("added", lambda s: entry(s, s["kind"]))
     every = F.sort_array(F.concat(*[of_kind(k) for k in KINDS], added))
     hit = held.select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), every.alias("_spans")
     ).filter(F.size("_spans") > 0).distinct()
-    # Overlapping spans are one: each keeps the part after everything before it has ended.
+    # In order of start, the longest first; a span that begins inside another only lengthens it.
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col("text")
 
@@ -271,7 +272,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         gap = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         fresh = s["start"] >= acc["at"]
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.greatest(acc["at"], -s["less_end"]).alias("at"),
             F.when(fresh, F.concat(acc["out"], F.array(gap, mark))).otherwise(acc["out"]).alias("out"),
         )
 

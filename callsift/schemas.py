@@ -69,13 +69,17 @@ AI_SUMMARY = flat(
     "failed_criteria STRING, model_name STRING, version INT, created_at TIMESTAMP_NTZ"
 )
 
-# Raw documents. Only the keys that feed a table are declared, so the JSON reader skips the rest.
+# Raw documents. Only the keys that feed a table are declared, so the JSON reader skips the rest. Every
+# value is read as text: documents quote numbers or write whole ones as 2.0, and a typed reader would
+# turn what it can't read into null.
+CORRUPT = "_corrupt_record"
 CALL_DETAIL = flat(
-    "contactId BIGINT, agentId BIGINT, campaignName STRING, skillName STRING, teamName STRING, "
+    "contactId STRING, agentId STRING, campaignName STRING, skillName STRING, teamName STRING, "
     "firstName STRING, lastName STRING, fromAddr STRING, toAddr STRING, contactStart STRING, "
-    "totalDurationSeconds DOUBLE, agentSeconds DOUBLE, inQueueSeconds DOUBLE, holdSeconds DOUBLE, "
-    "ACWSeconds DOUBLE, holdCount INT, abandoned BOOLEAN, isOutbound BOOLEAN, "
-    "serviceLevelFlag STRING, state STRING, mediaTypeName STRING, dispositionNotes STRING"
+    "totalDurationSeconds STRING, agentSeconds STRING, inQueueSeconds STRING, holdSeconds STRING, "
+    "ACWSeconds STRING, holdCount STRING, abandoned STRING, isOutbound STRING, "
+    "serviceLevelFlag STRING, state STRING, mediaTypeName STRING, dispositionNotes STRING, "
+    f"{CORRUPT} STRING"
 )
 
 TRANSCRIPT_DOC = "map<string, struct<agent_conversation: string, customer_conversation: string>>"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift import schemas
+from callsift.functions import jsontext as js
 from callsift.functions.moments import moment, wall_clock
 from callsift.functions.numbers import EXACT
 from callsift.plans.once import computed_once
@@ -16,27 +17,64 @@ from callsift.plans.once import computed_once
 FILE_NAME = "file_name"
 
 
-def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> DataFrame:
-    """Typed `calls` rows from raw call documents, in stored column order.
+def _whole(text: Column) -> Column:
+    """A whole number written as 7, "7" or 7.0; null for anything else."""
+    plain = F.trim(text)
+    fraction = plain.try_cast("double")
+    exact = F.when(fraction == F.floor(fraction), fraction).try_cast("bigint")
+    return F.coalesce(plain.try_cast("bigint"), exact)
 
-    Missing keys and explicit nulls both take the default; a bad start time becomes `run_ts`.
-    Columns named in `keep` follow unchanged.
-    """
 
-    def text(key: str, default: str) -> Column:
-        return F.coalesce(F.col(key), F.lit(default))
+def _flag(text: Column) -> Column:
+    """Missing, false, empty and zero are false, anything else is true."""
+    plain = F.lower(F.trim(text))
+    number = plain.try_cast("double")
+    untrue = plain.isNull() | plain.isin("false", "") | F.coalesce(number == 0, F.lit(False))
+    return ~untrue
 
-    def number(key: str) -> Column:
-        return F.coalesce(F.col(key), F.lit(0.0))
 
-    def flag(key: str) -> Column:
-        return F.coalesce(F.col(key), F.lit(False))
+def parse_calls(details: DataFrame, run_ts: datetime, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Typed `calls` rows from raw call documents, in stored column order, and the rejects.
 
+    Missing keys and explicit nulls both take the default; a bad start time becomes `run_ts`. A
+    document that is no JSON, has no contact id, or holds a value that is no number where one belongs
+    is a reject: (contact_id as text, content, reason). Columns named in `keep` follow unchanged in
+    both.
+    """
     run_at = moment(run_ts)
-    keyed = details.filter(F.col("contactId").isNotNull() & (F.col("contactId") != 0))
-    return keyed.select(
-        F.col("contactId").alias("contact_id"),
-        F.col("agentId").alias("agent_id"),
+
+    def text(key: str, default: str) -> Column:
+        return F.coalesce(F.col(key), F.lit(default))
+
+    numbers = {
+        "total_duration_sec": "totalDurationSeconds", "agent_seconds": "agentSeconds",
+        "in_queue_seconds": "inQueueSeconds", "hold_seconds": "holdSeconds",
+        "acw_seconds": "ACWSeconds",
+    }
+    typed = {
+        "contact_id": _whole(F.col("contactId")),
+        "agent_id": _whole(F.col("agentId")),
+        **{name: F.trim(key).try_cast("double") for name, key in numbers.items()},
+        "hold_count": F.trim("holdCount").try_cast("double").try_cast("int"),
+    }
+    sources = {"agent_id": "agentId", **numbers, "hold_count": "holdCount"}
+    read = computed_once(details, **{f"_{name}": value for name, value in typed.items()})
+    unread = [
+        F.when(F.col(key).isNotNull() & F.col(f"_{name}").isNull(), F.lit(f"{key} is no number"))
+        for name, key in sources.items()
+    ]
+    # Only the trimmed id decides whether there is one; 0 is how exports write none.
+    no_id = F.coalesce(F.trim("contactId"), F.lit("")) == ""
+    reason = F.coalesce(
+        F.when(F.col(schemas.CORRUPT).isNotNull(), "no JSON"),
+        F.when(no_id | (F.col("_contact_id") == 0), "no contact id"),
+        F.when(F.col("_contact_id").isNull(), "contactId is no number"),
+        *unread,
+    )
+    judged = computed_once(read, _reason=reason)
+    rows = judged.filter("_reason IS NULL").select(
+        F.col("_contact_id").alias("contact_id"),
+        F.col("_agent_id").alias("agent_id"),
         text("campaignName", "Unknown").alias("campaign_name"),
         text("skillName", "Unknown").alias("skill_name"),
         text("teamName", "Unknown").alias("team_name"),
@@ -45,14 +83,10 @@ def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> Data
         text("fromAddr", "").alias("from_addr"),
         text("toAddr", "").alias("to_addr"),
         F.coalesce(wall_clock(F.col("contactStart")), run_at).alias("contact_start"),
-        number("totalDurationSeconds").alias("total_duration_sec"),
-        number("agentSeconds").alias("agent_seconds"),
-        number("inQueueSeconds").alias("in_queue_seconds"),
-        number("holdSeconds").alias("hold_seconds"),
-        number("ACWSeconds").alias("acw_seconds"),
-        F.coalesce(F.col("holdCount"), F.lit(0)).alias("hold_count"),
-        flag("abandoned").alias("is_abandoned"),
-        flag("isOutbound").alias("is_outbound"),
+        *[F.coalesce(f"_{name}", F.lit(0.0)).alias(name) for name in numbers],
+        F.coalesce("_hold_count", F.lit(0)).alias("hold_count"),
+        _flag(F.col("abandoned")).alias("is_abandoned"),
+        _flag(F.col("isOutbound")).alias("is_outbound"),
         text("serviceLevelFlag", "0").alias("service_level_flag"),
         text("state", "Unknown").alias("state"),
         text("mediaTypeName", "Call").alias("media_type_name"),
@@ -60,14 +94,25 @@ def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> Data
         run_at.alias("created_at"),
         *keep,
     )
+    fields = [c for c in schemas.CALL_DETAIL.names if c != schemas.CORRUPT]
+    rejects = judged.filter("_reason IS NOT NULL").select(
+        F.col("contactId").alias("contact_id"),
+        F.coalesce(schemas.CORRUPT, F.to_json(F.struct(*fields))).alias("content"),
+        F.col("_reason").alias("reason"), *keep,
+    )
+    return rows, rejects
+
+
+def calls_from_details(details: DataFrame, run_ts: datetime, *keep: str) -> DataFrame:
+    """The readable calls of `parse_calls`."""
+    return parse_calls(details, run_ts, *keep)[0]
 
 
 def read_call_details(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Raw call documents and the file each came from: one (or a list) per file, or one per line,
     which lets Spark split files."""
-    return with_file_name(
-        spark.read.schema(schemas.CALL_DETAIL).option("multiLine", not one_per_line).json(path)
-    )
+    reader = spark.read.schema(schemas.CALL_DETAIL).option("multiLine", not one_per_line)
+    return with_file_name(reader.option("columnNameOfCorruptRecord", schemas.CORRUPT).json(path))
 
 
 def with_file_name(scan: DataFrame) -> DataFrame:
@@ -76,30 +121,54 @@ def with_file_name(scan: DataFrame) -> DataFrame:
 
 def read_calls(
     spark: SparkSession, path: str, run_ts: datetime, one_per_line: bool = False
-) -> DataFrame:
-    return calls_from_details(read_call_details(spark, path, one_per_line), run_ts)
+) -> tuple[DataFrame, DataFrame]:
+    """Calls and rejects of all document files below `path`."""
+    return parse_calls(read_call_details(spark, path, one_per_line), run_ts)
 
 
 def details_from_text(df: DataFrame, text_col: str) -> DataFrame:
     """Raw call documents held as text in a column instead of in files."""
-    parsed = F.from_json(text_col, schemas.CALL_DETAIL)
+    parsed = F.from_json(
+        text_col, schemas.CALL_DETAIL, {"columnNameOfCorruptRecord": schemas.CORRUPT}
+    )
     return computed_once(df, doc=parsed).select("doc.*")
 
 
+def parse_transcripts(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(contact_id, agent_text, customer_text) from documents keyed by call id, and the rejects: the
+    (contact_id as text, content, reason) of documents and entries that can't be read."""
+    pair = computed_once(df.select(F.col(text_col).alias("content")), _pair=js.wrapped(F.col("content")))
+    opened = computed_once(pair, _doc=js.unwrapped(F.col("_pair"))).drop("_pair")
+    calls = F.try_variant_get("_doc", "$", schemas.TRANSCRIPT_DOC)
+    read = computed_once(opened.select("content", calls.alias("_calls")), _entries=F.map_entries("_calls"))
+    entries = computed_once(
+        read.filter("_entries IS NOT NULL").select(F.explode("_entries").alias("_entry")),
+        contact_id=_whole(F.col("_entry.key")),
+    )
+    rows = entries.filter("contact_id IS NOT NULL").select(
+        "contact_id",
+        F.col("_entry.value.agent_conversation").alias("agent_text"),
+        F.col("_entry.value.customer_conversation").alias("customer_text"),
+    )
+    nothing = F.lit(None).cast("string").alias("contact_id")
+    unread = read.filter("_entries IS NULL").select(
+        nothing, "content", F.lit("no map of calls").alias("reason")
+    )
+    unnamed = entries.filter("contact_id IS NULL").select(
+        F.col("_entry.key").alias("contact_id"), F.to_json("_entry.value").alias("content"),
+        F.lit("contact id is no number").alias("reason"),
+    )
+    return rows, unread.unionByName(unnamed)
+
+
 def transcripts_from_text(df: DataFrame, text_col: str) -> DataFrame:
-    """(contact_id, agent_text, customer_text) from documents keyed by call id."""
-    calls = F.from_json(text_col, T.DataType.fromDDL(schemas.TRANSCRIPT_DOC))
-    entries = df.select(F.explode(calls).alias("call", "sides"))
-    return entries.select(
-        F.col("call").try_cast("bigint").alias("contact_id"),
-        F.col("sides.agent_conversation").alias("agent_text"),
-        F.col("sides.customer_conversation").alias("customer_text"),
-    ).filter("contact_id IS NOT NULL")
-
-
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript files; each holds one call or a few, so a file is read whole."""
-    return transcripts_from_text(spark.read.text(path, wholetext=True), "value")
+    """The readable transcripts of `parse_transcripts`."""
+    return parse_transcripts(df, text_col)[0]
+
+
+def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Transcripts and rejects; a file holds one call or a few, so it is read whole."""
+    return parse_transcripts(spark.read.text(path, wholetext=True), "value")
 
 
 def rubric_from_text(df: DataFrame, text_col: str) -> DataFrame:

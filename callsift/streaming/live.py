@@ -5,7 +5,7 @@ Every write of a micro-batch can be repeated after a failure without changing th
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,30 +28,68 @@ def _run(writer, trigger_seconds: int | None) -> StreamingQuery:
 
 def details_stream(spark: SparkSession, folder: str, one_per_line: bool = False) -> DataFrame:
     """New call-document files as they arrive: one document per file, or one per line."""
-    reader = spark.readStream.schema(schemas.CALL_DETAIL)
-    return files.with_file_name(reader.option("multiLine", not one_per_line).json(folder))
+    reader = spark.readStream.schema(schemas.CALL_DETAIL).option("multiLine", not one_per_line)
+    return files.with_file_name(
+        reader.option("columnNameOfCorruptRecord", schemas.CORRUPT).json(folder)
+    )
+
+
+def transcripts_stream(spark: SparkSession, folder: str, one_per_line: bool = False) -> DataFrame:
+    """New transcript files as they arrive: a file is one document, or holds one per line."""
+    return spark.readStream.option("wholetext", not one_per_line).text(folder)
+
+
+def _keep_rejects(rejects: DataFrame, out: str | None, batch: int) -> None:
+    """Store the rejects of a batch under its number, so that a repeated batch replaces them."""
+    if out:
+        sinks.overwrite(rejects, f"{out}/batch={batch}")
 
 
 def start_ingest(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, run_ts: datetime,
-    trigger_seconds: int | None = None, one_per_line: bool = False,
+    spark: SparkSession, folder: str, out: str, checkpoint: str, run_ts: datetime | None = None,
+    trigger_seconds: int | None = None, one_per_line: bool = False, rejects_out: str | None = None,
 ) -> StreamingQuery:
     """Append calls of new files to the table at `out`; a call already there is left alone.
 
     Within a batch the first file by name wins. A repeated batch finds its calls in the table and
-    adds nothing.
+    adds nothing. Without `run_ts` every batch is stamped with the time it runs at. Unreadable
+    documents go to `rejects_out`.
     """
     sinks.ensure_table(spark, out, schemas.CALLS)
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         stored = batch.sparkSession.read.schema(schemas.CALLS).parquet(out)
-        batch = batch.persist()  # parsed once for the size check and the write
-        sinks.append(loads.new_calls(stored, batch, small_batch=True), out)
-        batch.unpersist()
+        at = run_ts or datetime.now(UTC)
+        batch = batch.persist()  # read once for the size check and both writes
+        try:
+            calls, rejects = files.parse_calls(batch, at, files.FILE_NAME)
+            sinks.append(loads.new_calls(stored, calls, small_batch=True), out)
+            _keep_rejects(rejects, rejects_out, number)
+        finally:
+            batch.unpersist()
 
     details = details_stream(spark, folder, one_per_line)
-    calls = files.calls_from_details(details, run_ts, files.FILE_NAME)
-    writer = calls.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    writer = details.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return _run(writer, trigger_seconds)
+
+
+def start_transcripts(
+    spark: SparkSession, folder: str, out: str, checkpoint: str, run_ts: datetime | None = None,
+    trigger_seconds: int | None = None, one_per_line: bool = False, rejects_out: str | None = None,
+) -> StreamingQuery:
+    """Append transcripts of new files, with their features, to the table at `out`; a call that has
+    one is left alone."""
+    sinks.ensure_table(spark, out, schemas.TRANSCRIPTS)
+
+    def add(batch: DataFrame, number: int) -> None:
+        stored = batch.sparkSession.read.schema(schemas.TRANSCRIPTS).parquet(out)
+        parsed, rejects = files.parse_transcripts(batch, "value")
+        rows = loads.transcript_rows(parsed, run_ts or datetime.now(UTC))
+        sinks.append(sinks.unseen(stored, rows, loads.KEY, "transcript_id", small_batch=True), out)
+        _keep_rejects(rejects, rejects_out, number)
+
+    texts = transcripts_stream(spark, folder, one_per_line)
+    writer = texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return _run(writer, trigger_seconds)
 
 
@@ -105,12 +143,24 @@ def quality_log_stream(calls: DataFrame, max_hold: float = 1000.0) -> DataFrame:
     return quality.call_issues(calls, max_hold)
 
 
-def start_quality_log(
-    calls: DataFrame, out: str, checkpoint: str, trigger_seconds: int | None = None
+def talk_log_stream(transcripts: DataFrame, min_ratio: float = 0.25) -> DataFrame:
+    """The transcript rule of the quality log on a stream of transcripts with their features."""
+    return quality.transcript_issues(transcripts, min_ratio)
+
+
+def start_log(
+    issues: DataFrame, out: str, checkpoint: str, trigger_seconds: int | None = None
 ) -> StreamingQuery:
-    """Append the issues of new calls to the log at `out`; the file sink drops repeated batches."""
+    """Append streamed issues to the log at `out`; the file sink drops repeated batches."""
     writer = (
-        quality_log_stream(calls).writeStream.outputMode("append").format("parquet")
+        issues.writeStream.outputMode("append").format("parquet")
         .option("path", out).option("checkpointLocation", checkpoint)
     )
     return _run(writer, trigger_seconds)
+
+
+def start_quality_log(
+    calls: DataFrame, out: str, checkpoint: str, trigger_seconds: int | None = None
+) -> StreamingQuery:
+    """Append the issues of new calls to the log at `out`."""
+    return start_log(quality_log_stream(calls), out, checkpoint, trigger_seconds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.functions import text as tx
@@ -18,13 +18,14 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def detail_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Each order as the text of a raw call document with gaps, zones and bad dates."""
+    """Each order as the text of a raw call document with gaps, zones and bad dates, numbers written in
+    other ways, some that are none, and some documents cut off."""
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     start = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     zone = F.when(key % 3 == 0, "Z").when(key % 3 == 1, "+02:00").otherwise("")
     bad_date = priority == "5-LOW"
-    return sample.table(spark, folder, "orders").select(
-        F.to_json(F.struct(
+    documents = sample.table(spark, folder, "orders").select(
+        key.alias("key"), F.to_json(F.struct(
             F.when(key != 0, key).alias("contactId"),
             F.col("o_custkey").alias("agentId"),
             F.when(key % 11 != 0, F.concat(F.lit("Campaign "), (key % 7).cast("string")))
@@ -43,6 +44,17 @@ def detail_documents(spark: SparkSession, folder: str) -> DataFrame:
         )).alias("document")
     )
 
+    def rewritten(document: Column, every: int, field: str, value: str) -> Column:
+        other = F.regexp_replace(document, f'"{field}":([-+.0-9E]+)', f'"{field}":{value}')
+        return F.when(F.col("key") % every == 0, other).otherwise(document)
+
+    document = F.col("document")
+    for every, field, value in ((5, "contactId", '"$1"'), (3, "holdCount", "$1.0"),
+                                (7, "totalDurationSeconds", '"$1"'), (89, "holdSeconds", '"long"')):
+        document = rewritten(document, every, field, value)
+    cut = F.substring(document, 1, 40)
+    return documents.select(F.when(F.col("key") % 97 == 0, cut).otherwise(document).alias("document"))
+
 
 def transcript_documents(spark: SparkSession, folder: str) -> DataFrame:
     sides = F.struct(
@@ -50,7 +62,9 @@ def transcript_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.col("customer_text").alias("customer_conversation"),
     )
     keyed = F.create_map(F.col(KEY).cast("string"), sides)
-    return view(spark, folder, "transcripts").select(F.to_json(keyed).alias("document"))
+    document = F.to_json(keyed)
+    cut = F.when(F.col(KEY) % 41 == 0, F.substring(document, 1, 20)).otherwise(document)
+    return view(spark, folder, "transcripts").select(cut.alias("document"))
 
 
 def rubric_document(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,6 +216,29 @@ def first_sentences():
     return summarise
 
 
+def obedient_judge():
+    """A stand-in model that answers in the shape that the prompt asks for, one verdict per rule."""
+
+    def judge(prompts):
+        import json
+        import re
+
+        import pandas as pd
+
+        def answer(prompt):
+            if "JSON array" not in prompt or "reasoning" not in prompt:
+                return "I was not asked for verdicts."
+            found = re.findall("In section (.*)\nRule (.*)\nAsks", prompt)
+            return json.dumps([
+                {"section_name": section, "criteria_name": rule, "passed": True,
+                 "reasoning": "asked for an array"} for section, rule in found
+            ])
+
+        return pd.DataFrame({"content": [answer(p) for p in prompts]})
+
+    return judge
+
+
 def noted_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Calls with disposition notes, absent where the priority is not given."""
     priority = sample.table(spark, folder, "orders").select(

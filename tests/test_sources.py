@@ -2,6 +2,7 @@ import json
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +18,7 @@ def write(folder, name, value):
     (folder / name).write_text(json.dumps(value), encoding="utf-8")
 
 
-def test_call_details(spark, tmp_path):
+def test_call_details(spark, tmp_path, rows):
     full = {
         "contactId": 1, "agentId": 7, "campaignName": "C", "skillName": "S", "teamName": "T",
         "firstName": "Ann", "lastName": "Lee", "fromAddr": 5551, "toAddr": "5552",
@@ -32,7 +33,8 @@ def test_call_details(spark, tmp_path):
     write(tmp_path, "d.json", {"contactId": 0})
     write(tmp_path, "e.json", [{"contactId": 3, "contactStart": "2025-04-17T05:19:16+02:00"},
                                {"contactId": 4, "contactStart": "yesterday", "state": None}])
-    calls = files.read_calls(spark, str(tmp_path), RUN)
+    calls, rejects = files.read_calls(spark, str(tmp_path), RUN)
+    assert rows(rejects, "contact_id", "reason") == [("0", "no contact id"), (None, "no contact id")]
     assert calls.schema.names == schemas.CALLS.names
     assert [f.dataType for f in calls.schema] == [f.dataType for f in schemas.CALLS]
     got = {r["contact_id"]: r for r in calls.collect()}
@@ -51,7 +53,26 @@ def test_call_details(spark, tmp_path):
 def test_transcripts(spark, tmp_path, rows):
     write(tmp_path, "a.json", {"1": {"agent_conversation": "hé\nllo", "customer_conversation": "hi"}})
     write(tmp_path, "b.json", {"2": {"agent_conversation": None}, "x": {"agent_conversation": "?"}})
-    assert rows(files.read_transcripts(spark, str(tmp_path))) == [(1, "hé\nllo", "hi"), (2, None, None)]
+    (tmp_path / "c.json").write_text('{"3": {"agent_conversation": "cut', encoding="utf-8")
+    read, rejects = files.read_transcripts(spark, str(tmp_path))
+    assert rows(read) == [(1, "hé\nllo", "hi"), (2, None, None)]
+    assert rows(rejects, "contact_id", "reason") == [
+        ("x", "contact id is no number"), (None, "no map of calls")]
+
+
+def test_odd_values_are_read_or_rejected(spark, tmp_path, rows):
+    write(tmp_path, "a.json", {"contactId": "624279072949", "agentId": "77", "abandoned": "true",
+                               "totalDurationSeconds": "12.5", "holdCount": 2.0, "isOutbound": 0})
+    (tmp_path / "b.json").write_text('{"contactId":7, "agentId":', encoding="utf-8")
+    write(tmp_path, "c.json", {"contactId": 8, "holdSeconds": "long"})
+    write(tmp_path, "d.json", {"contactId": "x9"})
+    write(tmp_path, "e.json", {"contactId": 9.0, "abandoned": False, "isOutbound": 1})
+    calls, rejects = files.read_calls(spark, str(tmp_path), RUN)
+    assert rows(calls, "contact_id", "agent_id", "total_duration_sec", "hold_count", "is_abandoned",
+                "is_outbound") == [(624279072949, 77, 12.5, 2, True, False), (9, None, 0.0, 0, False, True)]
+    assert rows(rejects, "contact_id", "reason") == [
+        ("8", "holdSeconds is no number"), ("x9", "contactId is no number"), (None, "no JSON")]
+    assert '"contactId":7' in rejects.filter("reason = 'no JSON'").first()["content"]
 
 
 def test_loads_keep_the_first_file_and_known_rows(spark, tmp_path, rows):
@@ -134,11 +155,30 @@ def test_upsert_rewrites_only_touched_folders(spark, tmp_path, rows):
     first = [(i, "a") for i in range(40)]
     before = put(*first)
     assert len({os.path.dirname(f) for f in before}) == 8
-    assert len(before & put((3, "b"), (3, "c"))) == 7
-    stored = rows(files.read_table(spark, path, schema), "k", "v")
+    after = put((3, "b"), (3, "c"))
+    assert before < after and len({os.path.dirname(f) for f in after - before}) == 1
+    stored = rows(sinks.read_upserted(spark, path, schema))
     assert stored == sorted([r for r in first if r[0] != 3] + [(3, "c")], key=repr)
     put((3, "b"), (3, "c"))
-    assert rows(files.read_table(spark, path, schema), "k", "v") == stored
+    assert rows(sinks.read_upserted(spark, path, schema)) == stored
+
+
+def test_upsert_that_fails_leaves_the_table(spark, tmp_path, rows, monkeypatch):
+    path, schema = str(tmp_path / "kept"), T.StructType(
+        [T.StructField("k", T.LongType()), T.StructField("v", T.StringType())])
+
+    def put(*data):
+        sinks.upsert_table(spark.createDataFrame(data, schema), path, schema, "k", "v", buckets=4)
+
+    assert rows(sinks.read_upserted(spark, path, schema)) == []
+    put((1, "a"), (2, "a"))
+    with monkeypatch.context() as broken:
+        broken.setattr(sinks, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            put((1, "b"), (3, "b"))
+    assert rows(sinks.read_upserted(spark, path, schema)) == [(1, "a"), (2, "a")]
+    put((1, "b"), (3, "b"))
+    assert rows(sinks.read_upserted(spark, path, schema)) == [(1, "b"), (2, "a"), (3, "b")]
 
 
 def test_publish_keeps_the_last_whole_version(spark, tmp_path, rows):

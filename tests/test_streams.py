@@ -36,6 +36,39 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path, rows):
     assert rows(files.read_table(spark, out, schemas.CALLS), "contact_id") == [(1,), (2,)]
 
 
+def test_batches_are_stamped_when_they_run_and_rejects_kept(spark, tmp_path, rows):
+    incoming, out, bad = tmp_path / "in", str(tmp_path / "calls"), str(tmp_path / "bad")
+    put(incoming, "a", 1)
+    (incoming / "x.json").write_text('{"contactId": 2, ', encoding="utf-8")
+    state = str(tmp_path / "state")
+    live.start_ingest(spark, str(incoming), out, state, rejects_out=bad).awaitTermination()
+    put(incoming, "b", 3)
+    live.start_ingest(spark, str(incoming), out, state, rejects_out=bad).awaitTermination()
+    stamps = rows(files.read_table(spark, out, schemas.CALLS), "contact_id", "created_at")
+    assert [k for k, _ in stamps] == [1, 3] and stamps[0][1] < stamps[1][1]
+    assert rows(spark.read.parquet(bad), "reason") == [("no JSON",)]
+
+
+def test_transcripts_and_their_log(spark, tmp_path, rows):
+    incoming, out, log = tmp_path / "in", str(tmp_path / "talk"), str(tmp_path / "log")
+    incoming.mkdir()
+
+    def say(name, key, agent, customer):
+        doc = {key: {"agent_conversation": agent, "customer_conversation": customer}}
+        (incoming / name).write_text(json.dumps(doc), encoding="utf-8")
+
+    say("a.json", "1", "hi", "a b c d e f g")
+    for run in range(2):
+        live.start_transcripts(spark, str(incoming), out, str(tmp_path / "s1"), RUN).awaitTermination()
+        say("b.json", "2", "hello you", "hi")
+        say("c.json", "1", "late", "late")
+    assert rows(files.read_table(spark, out, schemas.TRANSCRIPTS), "contact_id", "agent_text") == [
+        (1, "hi"), (2, "hello you")]
+    stream = spark.readStream.schema(schemas.TRANSCRIPTS).parquet(out)
+    live.start_log(live.talk_log_stream(stream), log, str(tmp_path / "s2")).awaitTermination()
+    assert rows(spark.read.parquet(log), "contact_id", "field_name") == [(1, "talk_ratio")]
+
+
 METRICS = "contact_start timestamp_ntz, issue_category string, overall_score double"
 
 

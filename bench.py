@@ -12,7 +12,7 @@ import os
 import sys
 import time
 
-from callsift.session import build_session
+from callsift.session import build_session, ensure_shared_dir
 from checks.queries import QUERIES
 
 HEADLINE = (
@@ -42,7 +42,7 @@ def main() -> None:
     asked = sys.argv[1:] or HEADLINE
     names = list(QUERIES) if list(asked) == ["all"] else list(asked)
     settings = {"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "16g"}
-    spark = build_session("bench", f"local[{cpus}]", **settings)
+    spark = ensure_shared_dir(build_session("bench", f"local[{cpus}]", **settings))
     spark.sparkContext.setLogLevel("ERROR")
     timed(spark, folder, "overview_kpis")
     seconds = {

@@ -17,6 +17,7 @@ from callsift.functions.text import WORD_CLASS
 from callsift.plans.sizing import lookup_side
 
 VOCABULARY = 300
+# The columns that the two models use.
 ISSUE_NUMBERS = (
     "total_duration_sec", "agent_word_count", "customer_word_count", "talk_ratio",
     "overall_score", "hold_count", "hold_seconds", "in_queue_seconds",
@@ -58,17 +59,18 @@ def encode_sla(df: DataFrame) -> DataFrame:
 
 
 def issue_frame(training: DataFrame) -> DataFrame:
-    """Input of the issue model: one text column, filled numbers, rows with a known label."""
-    filled = default_fill(training.filter("issue_category IS NOT NULL"))
+    """Input of the issue model for every call: one text column and filled numbers."""
+    filled = default_fill(training)
     both = F.concat("customer_text", F.lit(" "), "agent_text")
     return filled.withColumn("combined_text", both)
 
 
 def resolution_frame(training: DataFrame) -> DataFrame:
-    """Input of the resolution model: 16 numbers per call that was not abandoned."""
+    """Input of the resolution model: 16 numbers per call that was not abandoned, also where the
+    resolution is not known yet."""
     coded = encode_sla(encode_issue(encode_sentiment(not_abandoned(training))))
     numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in RESOLUTION_NUMBERS]
-    return coded.filter("resolution IS NOT NULL").select("contact_id", "resolution", *numbers)
+    return coded.select("contact_id", "resolution", *numbers)
 
 
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
@@ -145,6 +147,66 @@ class AddVectors(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), array_to_vector(total))
 
 
+class KnownSize(Estimator, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Note the size of a vector column, which is lost on the way through arrays, so that assembling
+    it needs no look at the rows and works on an empty batch."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> mlf.VectorSizeHint:
+        row = df.select(F.size(vector_to_array(self.getInputCol()))).first()
+        return mlf.VectorSizeHint(
+            inputCol=self.getInputCol(), size=row[0] if row else 0, handleInvalid="optimistic"
+        )
+
+
+class MomentScaler(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Each column as `<name>_scaled`: shifted by a mean and divided by a spread found in fitting."""
+
+    means = Param(Params._dummy(), "means", "per column", TypeConverters.toListFloat)
+    spreads = Param(Params._dummy(), "spreads", "per column", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, means=None, spreads=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        moments = zip(self.getInputCols(), self.getOrDefault(self.means),
+                      self.getOrDefault(self.spreads), strict=True)
+        return df.withColumns({
+            f"{c}_scaled": (F.col(c).cast("double") - F.lit(mean)) / F.lit(spread)
+            for c, mean, spread in moments
+        })
+
+
+class PopulationScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Columns to zero mean and unit population deviation; a constant column becomes zero.
+
+    Two numbers per column reach the driver, whatever the number of rows.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> MomentScaler:
+        columns = self.getInputCols()
+        row = df.agg(
+            *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in columns],
+            *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in columns],
+        ).first()
+        means = [row[f"m_{c}"] or 0.0 for c in columns]
+        # Rounding leaves a constant column a spread of some last digits.
+        spreads = [row[f"s_{c}"] or 0.0 for c in columns]
+        usable = [s if s > 1e-12 * abs(m) else 1.0 for s, m in zip(spreads, means, strict=True)]
+        return MomentScaler(inputCols=columns, means=means, spreads=usable)
+
+
 def text_stages(text_col: str = "combined_text", vocabulary: int = VOCABULARY,
                 stop_words: list[str] | None = None) -> list:
     """tf-idf of words and word pairs: most frequent terms, 1 + ln tf, smooth idf, unit length."""
@@ -189,47 +251,20 @@ def feature_pipeline(kind: str) -> Pipeline:
     if kind == "issue":
         parts = ["text_vec", *ISSUE_NUMBERS, "campaign_name_vec"]
         gathered = mlf.VectorAssembler(inputCols=parts, outputCol="features")
-        return Pipeline(stages=[*text_stages(), *onehot_stages(), gathered])
-    gathered = mlf.VectorAssembler(inputCols=list(RESOLUTION_NUMBERS), outputCol="numbers")
-    scaled = mlf.StandardScaler(
-        inputCol="numbers", outputCol="features", withMean=True, withStd=True
-    )
-    return Pipeline(stages=[gathered, scaled])
-
-
-def _mean_and_spread(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Population mean and standard deviation, from exact sums, as driver-side constants.
-
-    Two numbers per column reach the driver, whatever the number of rows.
-    """
-    squares = "decimal(38,6)"
-    sums = []
-    for c in columns:
-        value = F.col(c).cast("decimal(16,3)")
-        sums += [F.sum(value).alias(f"{c}_s"), F.sum((value * value).cast(squares)).alias(f"{c}_q")]
-    row = df.agg(F.count("*").alias("n"), *sums).first()
-    found = {}
-    for c in columns:
-        if not row["n"]:
-            found[c] = (0.0, 1.0)
-            continue
-        n, s, q = row["n"], row[f"{c}_s"], row[f"{c}_q"]
-        variance = (q * n - s * s) / (n * n)
-        found[c] = (float(s / n), float(variance) ** 0.5)
-    return found
+        sized = KnownSize(inputCol="text_vec")
+        return Pipeline(stages=[*text_stages(), sized, *onehot_stages(), gathered])
+    scaled = PopulationScaler(inputCols=list(RESOLUTION_NUMBERS))
+    names = [f"{c}_scaled" for c in RESOLUTION_NUMBERS]
+    gathered = mlf.VectorAssembler(inputCols=names, outputCol="features")
+    return Pipeline(stages=[scaled, gathered])
 
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns to zero mean and unit population deviation; a constant column becomes zero.
-
-    Values are taken to three digits for the moments.
-    """
-    moments = _mean_and_spread(df, columns)
-    scaled = {
-        c: (F.col(c).cast("double") - F.lit(mean)) / F.lit(spread or 1.0)
-        for c, (mean, spread) in moments.items()
-    }
-    return df.withColumns(scaled)
+    """`df` with the columns as the resolution model scales them."""
+    scaled = PopulationScaler(inputCols=columns).fit(df).transform(df)
+    return scaled.select(*[
+        F.col(f"{c}_scaled").alias(c) if c in columns else F.col(c) for c in df.columns
+    ])
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -12,50 +12,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.operators import features as ft
-from callsift.session import settle
+from callsift.session import settled
 
 MAX_ITERATIONS = 1000
 INVERSE_PENALTY = 1.0
 TREES, DEPTH, RATE, SEED = 100, 3, 0.1, 42
 
 
-def _with_label_back(stages: list, frame: DataFrame, label: str, to: str) -> PipelineModel:
-    """Fit label numbers and stages, and name the predicted label at the end."""
+def _fitted(stages: list, frame: DataFrame, label: str, to: str) -> PipelineModel:
+    """Fit stages on the rows with a known label, and name the predicted label at the end.
+
+    Label numbers are needed for fitting only. They are no part of the model, so calls without a
+    label, or with one not seen before, are predicted like all others.
+    """
     indexer = ft.label_stage(label).fit(frame)
     fitted = Pipeline(stages=stages).fit(indexer.transform(frame))
     back = IndexToString(inputCol="prediction", outputCol=to, labels=indexer.labels)
-    return PipelineModel([indexer, *fitted.stages, back])
+    return PipelineModel([*fitted.stages, back])
+
+
+def labels_of(model: PipelineModel) -> list[str]:
+    """The labels a model knows, in the order of their numbers."""
+    return list(model.stages[-1].getLabels())
 
 
 def train_issue(training: DataFrame, max_iter: int = MAX_ITERATIONS) -> PipelineModel:
     """Balanced multinomial logistic regression on text, numbers and campaign.
 
     The columns it needs are written out once: counting classes and terms, and every later pass,
-    read those instead of repeating the joins.
+    read those instead of repeating the joins. They are removed once the model is fitted.
     """
     needed = ["issue_category", "combined_text", "campaign_name", *ft.ISSUE_NUMBERS]
-    frame = settle(ft.issue_frame(training).select(*needed), "issue")
-    rows = frame.count()
-    # The penalty of the summed loss, restated for Spark's mean loss; balanced weights sum to rows.
-    classifier = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="class_weight", maxIter=max_iter,
-        regParam=1.0 / (INVERSE_PENALTY * max(rows, 1)), standardization=False,
-        family="multinomial",
-    )
-    stages = [*ft.feature_pipeline("issue").getStages(), classifier]
-    weighted = ft.balanced_weights(frame, "issue_category")
-    return _with_label_back(stages, weighted, "issue_category", "predicted")
+    known = ft.issue_frame(training.filter("issue_category IS NOT NULL")).select(*needed)
+    with settled(known, "issue") as frame:
+        rows = frame.count()
+        # The penalty of the summed loss, restated for Spark's mean loss; balanced weights sum to rows.
+        classifier = LogisticRegression(
+            featuresCol="features", labelCol="label", weightCol="class_weight", maxIter=max_iter,
+            regParam=1.0 / (INVERSE_PENALTY * max(rows, 1)), standardization=False,
+            family="multinomial",
+        )
+        stages = [*ft.feature_pipeline("issue").getStages(), classifier]
+        weighted = ft.balanced_weights(frame, "issue_category")
+        return _fitted(stages, weighted, "issue_category", "predicted")
 
 
 def train_resolution(training: DataFrame, trees: int = TREES) -> PipelineModel:
     """Boosted trees, one set per resolution class."""
-    frame = settle(ft.resolution_frame(training), "resolution")
-    boosted = GBTClassifier(maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED)
-    classifier = OneVsRest(
-        classifier=boosted, featuresCol="features", labelCol="label", parallelism=3
-    )
-    stages = [*ft.feature_pipeline("resolution").getStages(), classifier]
-    return _with_label_back(stages, frame, "resolution", "predicted")
+    known = ft.resolution_frame(training.filter("resolution IS NOT NULL"))
+    with settled(known, "resolution") as frame:
+        boosted = GBTClassifier(maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED)
+        classifier = OneVsRest(
+            classifier=boosted, featuresCol="features", labelCol="label", parallelism=3
+        )
+        stages = [*ft.feature_pipeline("resolution").getStages(), classifier]
+        return _fitted(stages, frame, "resolution", "predicted")
 
 
 def _confidence(df: DataFrame):
@@ -74,7 +85,7 @@ def _confidence(df: DataFrame):
 
 def predict(model: PipelineModel, frame: DataFrame, actual: str, *keep: str) -> DataFrame:
     """(contact_id, actual, predicted, correct, confidence) for each row of a model frame, and the
-    columns to keep."""
+    columns to keep. `correct` is null where the actual label is not known."""
     scored = model.transform(frame)
     return scored.select(
         "contact_id",
@@ -99,10 +110,36 @@ def predict_resolution(model: PipelineModel, training: DataFrame) -> DataFrame:
     )
 
 
+def with_predictions(call_summary: DataFrame, issues: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The summary table with `pred_issue_category` and `pred_resolution` from the two prediction
+    frames; a call that has no new prediction keeps the one it had."""
+    sides = {
+        "pred_issue_category": issues.select("contact_id", F.col("predicted").alias("_issue")),
+        "pred_resolution": resolutions.select(
+            "contact_id", F.col("predicted_resolution").alias("_resolution")),
+    }
+    out = call_summary
+    for name, side in sides.items():
+        fresh = [c for c in side.columns if c != "contact_id"][0]
+        one = side.groupBy("contact_id").agg(F.max(fresh).alias(fresh))
+        old = F.col(name) if name in out.columns else F.lit(None).cast("string")
+        out = out.join(one, "contact_id", "left").withColumn(name, F.coalesce(fresh, old)).drop(fresh)
+    return out
+
+
+def model_meta(model: PipelineModel, training: DataFrame, label: str, **more) -> dict:
+    """What is stored beside a model: its labels in order, its columns and the rows it learned from."""
+    columns = [*ft.ISSUE_NUMBERS, "campaign_name", "combined_text"] if label == "issue_category" else (
+        list(ft.RESOLUTION_NUMBERS))
+    frame = training if label == "issue_category" else ft.not_abandoned(training)
+    trained = frame.filter(F.col(label).isNotNull()).count()
+    return {"labels": labels_of(model), "columns": columns, "trained_on": trained, "target": label, **more}
+
+
 def save(model: PipelineModel, path: str, meta: dict) -> None:
-    """The model and one JSON row about it (labels, columns, training rows)."""
+    """The model and one JSON row about it, see `model_meta`; its labels are always stored."""
     model.write().overwrite().save(f"{path}/model")
-    row = [(json.dumps(meta, sort_keys=True),)]
+    row = [(json.dumps({"labels": labels_of(model), **meta}, sort_keys=True),)]
     spark = SparkSession.getActiveSession()
     spark.createDataFrame(row, "meta string").write.mode("overwrite").text(f"{path}/meta")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -35,18 +36,20 @@ def build_session(name: str = "callsift", master: str | None = None, **extra: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    Only a local session without the setting gets a temporary folder of its own.
-    """
+    """The folder all executors can reach, as the cluster names it."""
     configured = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"{CHECKPOINT_SETTING} must name a shared folder on a cluster")
-    made = tempfile.mkdtemp(prefix="callsift-")
-    spark.conf.set(CHECKPOINT_SETTING, made)
-    return made
+    if not configured:
+        raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
+    return configured
+
+
+def ensure_shared_dir(spark: SparkSession) -> SparkSession:
+    """For tests, benchmarks and trials on one machine: a temporary folder where none is set."""
+    if not (spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_SETTING} must name a shared folder on a cluster")
+        spark.conf.set(CHECKPOINT_SETTING, tempfile.mkdtemp(prefix="callsift-"))
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -59,3 +62,20 @@ def settle(df, label: str = "settled"):
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+@contextmanager
+def settled(df, label: str = "settled"):
+    """`settle` for a table that nothing needs after the block, and that is removed then."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)

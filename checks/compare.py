@@ -11,7 +11,7 @@ import time
 import duckdb
 import pandas as pd
 
-from callsift.session import build_session
+from callsift.session import build_session, ensure_shared_dir
 from checks.oracle import SQL
 from checks.queries import QUERIES
 
@@ -75,7 +75,9 @@ def differences(spark, con, folder: str, name: str) -> list[str]:
 
 
 def main(folder: str, names: list[str]) -> int:
-    spark = build_session("checks", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    spark = ensure_shared_dir(
+        build_session("checks", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0

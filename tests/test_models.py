@@ -73,6 +73,8 @@ def test_defaults_and_frames(training):
     assert first["campaign_name"] == "Unknown" and first["combined_text"] == " please invoice charge refund"
     frame = ft.resolution_frame(training)
     assert frame.count() == 45
+    unknown = training.withColumn("resolution", F.when(F.col("contact_id") > 5, F.col("resolution")))
+    assert ft.resolution_frame(unknown).filter("resolution IS NULL").count() == 6
     row = frame.filter("contact_id = 1").first()
     assert (row["sla_met"], row["issue_num"], row["sentiment_customer_num"]) == (1.0, 1.0, 1.0)
 
@@ -88,6 +90,10 @@ def test_standard_scale(spark):
     spread = math.sqrt(14 / 3)
     assert [round(a, 9) for a, _ in got] == [round((v - 3) / spread, 9) for v in (1, 2, 6)]
     assert [b for _, b in got] == [0.0, 0.0, 0.0]
+    tiny = spark.createDataFrame([(0.0001, 2e13), (0.0003, 4e13)], "a double, b double")
+    got = [tuple(round(x, 6) for x in r) for r in ft.standard_scale(tiny, ["a", "b"]).collect()]
+    assert sorted(got) == [(-1.0, -1.0), (1.0, 1.0)]
+    assert ft.standard_scale(tiny.limit(0), ["a"]).count() == 0
 
 
 def test_class_weights(spark, rows):
@@ -104,7 +110,7 @@ def test_issue_model_round_trip(spark, training, tmp_path):
     assert told.filter(~F.col("confidence").rlike(r"^\d+%$")).count() == 0
     tr.save(model, str(tmp_path / "m"), {"trained_on": 60})
     loaded, meta = tr.load(spark, str(tmp_path / "m"))
-    assert meta == {"trained_on": 60}
+    assert meta == {"trained_on": 60, "labels": ["Account Access", "Billing", "Technical Issue"]}
     assert tr.predict(loaded, frame, "issue_category").exceptAll(told).count() == 0
 
 
@@ -115,3 +121,25 @@ def test_resolution_model(training):
                             "confidence", "overall_score"]
     assert told.filter("correct").count() == 45
     assert told.select("predicted_resolution").distinct().count() == 3
+
+
+def test_every_call_is_predicted(spark, training):
+    """Calls without a label and with one not seen in training are predicted like the others."""
+    model = tr.train_issue(training.filter("contact_id < 50"), max_iter=50)
+    relabelled = training.withColumn("issue_category", F.when(F.col("contact_id") >= 50, F.when(
+        F.col("contact_id") % 2 == 0, "Never seen")).otherwise(F.col("issue_category")))
+    told = {r["contact_id"]: r for r in tr.predict_issue(model, relabelled).collect()}
+    assert len(told) == 60 and all(r["predicted"] for r in told.values())
+    assert told[51]["correct"] is None and told[52]["correct"] is False and told[1]["correct"] is True
+    assert tr.predict_issue(model, relabelled.limit(0)).count() == 0
+    assert tr.predict_issue(model, relabelled.filter("contact_id = 52")).count() == 1
+
+
+def test_predictions_go_into_the_summary(spark, training, rows):
+    issues = tr.predict_issue(tr.train_issue(training, max_iter=30), training.filter("contact_id < 3"))
+    found = tr.predict_resolution(tr.train_resolution(training, trees=2), training.filter("contact_id < 3"))
+    stored = training.select("contact_id", F.lit("old").alias("pred_issue_category")).filter("contact_id in (1, 9)")
+    table = tr.with_predictions(stored, issues, found)
+    assert rows(table) == [(1, "Account Access", "Escalated"), (9, "old", None)]
+    meta = tr.model_meta(tr.train_resolution(training, trees=2), training, "resolution")
+    assert meta["labels"] == ["Escalated", "Resolved", "Unresolved"] and meta["trained_on"] == 45

@@ -12,6 +12,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from callsift.functions import text as tx
 from callsift.plans.once import computed_once
 from callsift.plans.sizing import blocks, lookup_side
+from callsift.session import settle
 
 KEY = "contact_id"
 PARENT_SIZE, PARENT_OVERLAP = 2000, 200
@@ -26,7 +29,9 @@ CHILD_SIZE, CHILD_OVERLAP = 400, 50
 TOP_K = 7
 CONTEXT_PARENTS = 3
 QUERIES_PER_PASS = 4_096
-DIGITS = 9
+MERGE_GROUPS = 64
+# The last bits of a sum depend on how rows were blocked; 40 leading ones decide, so equal texts tie.
+LAST_BITS = 12
 
 
 def chunk(docs: DataFrame, size: int = PARENT_SIZE, overlap: int = PARENT_OVERLAP,
@@ -97,6 +102,14 @@ def _names(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def _leading(costs: np.ndarray) -> np.ndarray:
+    """Costs rounded to their leading bits, whatever their size."""
+    half, mask = 1 << (LAST_BITS - 1), ~((1 << LAST_BITS) - 1)
+    whole = np.ascontiguousarray(costs, dtype=np.float64)
+    rounded = ((whole.view(np.int64) + half) & mask).view(np.float64)
+    return np.where(np.isfinite(whole), rounded, whole)
+
+
 def _scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type: T.DataType, k: int,
                costs: Callable) -> DataFrame:
     """(query_id, keys, cost): each task's k cheapest rows per query, ties by key.
@@ -118,7 +131,7 @@ def _scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type:
         for frame in frames:
             for start in range(0, len(frame), 1024):
                 part = frame.iloc[start:start + 1024]
-                matrix = np.round(costs(part), DIGITS)
+                matrix = _leading(costs(part))
                 if len(part) > k:
                     limit = np.partition(matrix, k - 1, axis=0)[k - 1]
                 else:
@@ -134,9 +147,17 @@ def _scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type:
 
 
 def _ranked(best: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k best of the tasks' lists, which hold at most k rows per query and task."""
+    """The k best of the tasks' lists, which hold at most k rows per query and task.
+
+    Lists of many tasks are first cut in groups by hash, so that a search with few queries over many
+    tasks does not end in as few tasks as there are queries.
+    """
+    group = F.pmod(F.xxhash64(*keys), F.lit(MERGE_GROUPS))
+    within = Window.partitionBy("query_id", "_group").orderBy("cost", *keys)
+    some = best.withColumn("_group", group).withColumn("hit_rank", F.row_number().over(within))
     window = Window.partitionBy("query_id").orderBy("cost", *keys)
-    numbered = best.withColumn("hit_rank", F.row_number().over(window))
+    cut = some.filter(F.col("hit_rank") <= k).drop("_group", "hit_rank")
+    numbered = cut.withColumn("hit_rank", F.row_number().over(window))
     return numbered.filter(F.col("hit_rank") <= k)
 
 
@@ -180,43 +201,93 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "v
 
 def document_topk(queries: DataFrame, docs: DataFrame, fn: Callable,
                   key: str | list[str] = KEY, k: int = TOP_K) -> DataFrame:
-    """Whole documents nearest to each query text, both embedded by the same function."""
-    return vector_topk(embed(queries, fn), embed(docs, fn), key, k)
+    """Whole documents nearest to each query text, both embedded by the same function.
 
+    The embedded queries are written out, so that each is embedded once however often they are read.
+    """
+    return vector_topk(settle(embed(queries, fn), "queries"), embed(docs, fn), key, k)
 
-def _postings(docs: DataFrame, keys: list[str], vocabulary: DataFrame) -> DataFrame:
-    """(keys, length, term_no, tf) of the vocabulary's terms in each document."""
-    words = computed_once(docs.select(*keys, "text"), _tokens=tx.tokens(F.col("text")))
-    exploded = words.select(
-        *keys, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")
-    )
-    held = exploded.join(F.broadcast(vocabulary), "term")
-    return held.groupBy(*keys, "length", "term_no").agg(F.count("*").alias("tf"))
 
+def _known_terms(terms: list[str]) -> Callable:
+    """A function from an Arrow column of word lists to (row, term number) of the words in `terms`."""
+
+    def find(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        numbers = pc.index_in(tokens.flatten(), value_set=pa.array(terms, pa.string()))
+        known = numbers.is_valid().to_numpy(zero_copy_only=False)
+        lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(tokens)), lengths)[known]
+        return rows, numbers.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    return find
 
-def _weighted(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """`postings` with weight (1 + ln tf) * idf / sqrt(length), idf = ln((1 + N) / (1 + df)) + 1.
 
-    The idf table has at most one row per vocabulary term, and the vocabulary was broadcast already.
-    Counting by a condition on tf, which always holds, keeps this branch equal to the other one, so
-    that Spark reuses its shuffle and reads the documents once.
+def _tokenised(docs: DataFrame, *keys: str) -> DataFrame:
+    words = tx.tokens(F.col("text")).alias("tokens")
+    return docs.select(*keys, words)
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """How many documents hold each term, and how many documents there are.
+
+    Each task counts its own documents and sends one row per term it has met.
     """
-    total = docs.agg(F.count("*")).scalar()
-    document_count = F.count_if(F.col("tf") > 0).alias("df")
-    terms = postings.groupBy("term_no").agg(document_count).select(
-        "term_no", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf")
-    )
-    joined = postings.join(F.broadcast(terms), "term_no")
-    weight = (1 + F.log("tf")) * F.col("idf") / F.sqrt("length")
-    return joined.withColumn("weight", weight)
+    find = _known_terms(terms)
+
+    def count(batches):
+        held, total = np.zeros(len(terms) + 1, dtype=np.int64), 0
+        for batch in batches:
+            rows, numbers = find(batch.column(0))
+            pairs = np.unique(rows * len(terms) + numbers)
+            held[:-1] += np.bincount(pairs % max(len(terms), 1), minlength=len(terms))[: len(terms)]
+            total += len(batch)
+        held[-1] = total
+        met = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(held[met])], ["term_no", "n"])
+
+    counted = _tokenised(docs).mapInArrow(count, "term_no long, n long")
+    out = np.zeros(len(terms) + 1, dtype=np.int64)
+    for term_no, n in counted.groupBy("term_no").agg(F.sum("n")).collect():
+        out[term_no] = n
+    return out[:-1], int(out[-1])
+
+
+def weighted_terms(docs: DataFrame, keys: list[str], terms: list[str], idf: np.ndarray) -> DataFrame:
+    """(keys, terms, weights): per document its known terms with (1 + ln tf) * idf / sqrt(length).
+
+    A document is one row and is counted where it lies; documents without a known term drop out.
+    """
+    find = _known_terms(terms)
+
+    def weigh(batches):
+        for batch in batches:
+            tokens = batch.column(len(keys))
+            rows, numbers = find(tokens)
+            cells, times = np.unique(rows * len(terms) + numbers, return_counts=True)
+            row, number = cells // len(terms), cells % len(terms)
+            lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            weights = (1 + np.log(times)) * idf[number] / np.sqrt(lengths[row])
+            met, first = np.unique(row, return_index=True)
+            bounds = pa.array(np.append(first, len(row)), pa.int32())
+            kept = [batch.column(i).take(pa.array(met)) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([
+                *kept, pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32))),
+                pa.ListArray.from_arrays(bounds, pa.array(weights)),
+            ], [*keys, "terms", "weights"])
+
+    schema = T.StructType([
+        *[T.StructField(name, docs.schema[name].dataType) for name in keys],
+        T.StructField("terms", T.ArrayType(T.IntegerType())),
+        T.StructField("weights", T.ArrayType(T.DoubleType())),
+    ])
+    return _tokenised(docs, *keys).mapInArrow(weigh, schema)
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY,
                  k: int = TOP_K) -> DataFrame:
     """The k best documents per query text by the sum of tf-idf weights of shared words.
 
-    Only words of the block's queries are counted in the corpus. Counts fold before the shuffle, so
-    a word that fills a third of the corpus costs one row per document, not one per occurrence.
+    Only words of the block's queries are counted in the corpus. One scan adds up how many documents
+    hold each word, a second one scores every document in its own row; documents are never shuffled.
     """
 
     keys = _names(key)
@@ -253,15 +324,9 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
             scores = total.reshape(len(lists), width)
             return np.where(scores > 0, -scores, np.inf)
 
-        spark = docs.sparkSession
-        vocabulary = spark.createDataFrame(
-            pd.DataFrame({"term": terms, "term_no": range(len(terms))}),
-            "term string, term_no int",
-        )
-        weighted = _weighted(docs, _postings(docs, keys, vocabulary))
-        lists = weighted.groupBy(*keys).agg(
-            F.collect_list(F.struct("term_no", "weight")).alias("_p")
-        ).select(*keys, F.col("_p.term_no").alias("terms"), F.col("_p.weight").alias("weights"))
+        held, total = document_frequencies(docs, terms)
+        idf = np.log((total + 1) / (held + 1)) + 1
+        lists = weighted_terms(docs, keys, terms, idf)
         return _ranked(_scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.length("text"))

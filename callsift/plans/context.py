@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from callsift.operators import retrieval as rt
+from callsift.plans.sizing import lookup_side
 from callsift.session import settle
 
 
@@ -14,8 +15,20 @@ def chunk_hits(docs: DataFrame, queries: DataFrame, k: int = rt.TOP_K) -> DataFr
     return rt.tfidf_search(children, queries, [rt.KEY, "parent_no", "child_no"], k)
 
 
+def vector_hits(docs: DataFrame, queries: DataFrame, embed, k: int = rt.TOP_K) -> DataFrame:
+    """The k nearest child chunks per query by the vectors of `embed`, a function of a list of texts."""
+    _, children = rt.parent_child_chunks(docs)
+    return rt.document_topk(queries, children, embed, [rt.KEY, "parent_no", "child_no"], k)
+
+
 def contexts(docs: DataFrame, queries: DataFrame, k: int = rt.TOP_K,
-             n: int = rt.CONTEXT_PARENTS) -> DataFrame:
-    """Context text and source calls per query. The few hits are written out between the steps."""
-    parents, _ = rt.parent_child_chunks(docs)
-    return rt.parents_of_hits(settle(chunk_hits(docs, queries, k), "hits"), parents, n)
+             n: int = rt.CONTEXT_PARENTS, embed=None) -> DataFrame:
+    """Context text and source calls per query; hits by words, or by vectors where `embed` is given.
+
+    The few hits are written out between the steps, and only documents with a hit are cut again.
+    """
+    found = chunk_hits(docs, queries, k) if embed is None else vector_hits(docs, queries, embed, k)
+    hits = settle(found, "hits")
+    wanted = lookup_side(hits.select(rt.KEY).distinct())
+    parents, _ = rt.parent_child_chunks(docs.join(wanted, rt.KEY, "left_semi"))
+    return rt.parents_of_hits(hits, parents, n)

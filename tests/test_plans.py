@@ -14,7 +14,8 @@ from checks.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables")
 MODELS = {"train_issue_classifier", "predict_issue", "train_resolution_model", "predict_resolution",
-          "tfidf_features", "save_models"}
+          "tfidf_features", "save_models", "predict_issue_cover", "predict_resolution_cover",
+          "saved_model_meta", "summary_predictions"}
 # One row per distinct score rounded to one digit.
 SINGLE_TASK_WINDOWS = {"agent_leaderboard"}
 
@@ -51,11 +52,13 @@ def test_scans_read_only_what_is_used(spark):
 
 
 @needs_tables
-def test_documents_are_read_once_for_search(spark):
+def test_search_never_shuffles_documents(spark):
     search = QUERIES["tfidf_search"](spark, FOLDER)
     search.collect()
     final = plan_of(search).split("Initial Plan")[0]
     assert final.count("regexp_extract_all") == 1
+    for exchange in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", final):
+        assert exchange.startswith("query_id")
 
 
 def test_small_sides_are_checked(spark, rows):
@@ -66,6 +69,7 @@ def test_small_sides_are_checked(spark, rows):
     assert "broadcast" not in sizing.lookup_side(df, 49)._jdf.queryExecution().logical().toString()
     parts = sizing.blocks(df, "id", 20)
     assert len(parts) == 3 and sum(p.count() for p in parts) == 50
+    assert sizing.inline_if_small(df, 50, max_bytes=100)[1] is False
     heavy = sizing.blocks(df, "id", 100, F.lit(10), max_bytes=100)
     assert len(heavy) == 5 and sum(p.count() for p in heavy) == 50
 

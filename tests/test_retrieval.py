@@ -150,3 +150,36 @@ def test_embedding_hooks(spark):
     near = rt.document_topk(
         df.select(F.col("contact_id").alias("query_id"), "text"), df, lambda t: [[float(len(x))] for x in t], k=1)
     assert all(r["query_id"] == r["contact_id"] for r in near.collect())
+
+
+def test_small_distances_are_told_apart(spark, rows):
+    corpus = spark.createDataFrame([(1, [3e-6]), (2, [1e-6]), (3, [2e-6])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [0.0])], "query_id long, embedding array<double>")
+    hits = rt.vector_topk(queries, corpus, k=2)
+    assert rows(hits, "vec_id", "hit_rank") == [(2, 1), (3, 2)]
+
+
+def test_each_text_is_embedded_once(spark, monkeypatch):
+    monkeypatch.setattr(rt, "QUERIES_PER_PASS", 5)
+    seen = spark.sparkContext.accumulator(0)
+
+    def sizes(texts):
+        seen.add(len(texts))
+        return [[float(len(t))] for t in texts]
+
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 31)], "contact_id long, text string")
+    queries = docs.filter("contact_id <= 4").withColumnRenamed("contact_id", "query_id")
+    rt.document_topk(queries, docs, sizes, k=1).collect()
+    assert seen.value == 34
+
+
+def test_context_by_vectors(spark):
+    docs = spark.createDataFrame(
+        [(1, "a" * 3000), (2, "b" * 500), (3, None)], "contact_id long, text string")
+    queries = spark.createDataFrame([(5, "bbb")], "query_id long, text string")
+
+    def share(texts):
+        return [[t.count("a") / len(t), t.count("b") / len(t)] for t in texts]
+
+    row = cx.contexts(docs, queries, k=2, embed=share).first()
+    assert row["context"] == "b" * 500 and row["sources"] == "2"

@@ -53,17 +53,10 @@ def without_fence(text: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Whether a JSON value counts as true: false, 0, empty and null do not."""
-    kind = F.schema_of_variant(value)
-    as_text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    empty_nested = F.to_json(value).isin("[]", "{}")
-    return (
-        F.when(value.isNull() | (kind == "VOID"), False)
-        .when(kind == "BOOLEAN", as_text == "true")
-        .when(kind == "STRING", F.length(as_text) > 0)
-        .when(number.isNotNull(), number != 0)
-        .otherwise(~empty_nested)
-    )
+    shown = F.to_json(value)
+    zero = F.when(shown.rlike("^-?[0-9]"), F.coalesce(shown.try_cast("double") == 0, F.lit(False)))
+    untrue = shown.isNull() | shown.isin("false", "null", '""', "[]", "{}")
+    return ~(untrue | F.coalesce(zero, F.lit(False)))
 
 
 def whole_number(value: Column, default: int) -> Column:

@@ -14,15 +14,23 @@ EXACT = "decimal(18,6)"
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of a DOUBLE column, held to six digits after the point, as DECIMAL.
+    """Sum of a DOUBLE column, held to nine digits after the point, as DECIMAL.
 
-    Whole parts and millionths are summed as BIGINT, which stays in generated code; casting each
-    value to DECIMAL would go through its text.
+    Nine digits tell small values apart and still drop the binary rest of decimal values up to a
+    million, which would move exact ties. Whole parts, millionths and billionths are summed as BIGINT,
+    which stays in generated code and has room for 10^12 rows.
     """
     whole = F.floor(value)
-    millionths = F.floor((value - whole) * F.lit(1e6) + F.lit(0.5))
-    fraction = F.sum(millionths).cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")
-    return (F.sum(whole).cast("decimal(20,0)") + fraction).cast("decimal(28,6)")
+    rest = (value - whole) * F.lit(1e6)
+    upper = F.floor(rest)
+    lower = F.floor((rest - upper) * F.lit(1e3) + F.lit(0.5))
+
+    def scaled(part: Column, unit: str, kind: str) -> Column:
+        return F.sum(part).cast("decimal(19,0)") * F.lit(unit).cast(kind)
+
+    fraction = scaled(upper, "0.000001", "decimal(7,6)") + (
+        scaled(lower, "0.000000001", "decimal(10,9)"))
+    return (F.sum(whole).cast("decimal(19,0)") + fraction).cast("decimal(31,9)")
 
 
 def ratio(numerator: Column, denominator: Column, digits: int) -> Column:

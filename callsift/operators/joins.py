@@ -14,6 +14,7 @@ from callsift.plans.dedupe import distinct_keys, first_match
 from callsift.plans.sizing import lookup_side
 
 KEY = "contact_id"
+# The columns that the joined tables hold.
 SUMMARY_COLUMNS = (
     "overall_score", "resolution", "sentiment_agent", "sentiment_customer", "issue_category",
     "ai_recommendation", "pred_issue_category", "pred_resolution", "key_moments",

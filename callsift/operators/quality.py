@@ -14,6 +14,7 @@ from callsift.functions.text import stable_key
 from callsift.plans.dedupe import distinct_keys
 
 KEY = "contact_id"
+# Column names that count as scores.
 SCORE_NAMES = ("score", "quality_score", "avg_score", "total_score", "qs")
 
 
@@ -94,17 +95,18 @@ def load_audit(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def profile(df: DataFrame, name: str) -> DataFrame:
-    """Columns, rows, date ranges and score statistics of a table from one pass over it."""
+def profile(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Columns, rows, date ranges and score statistics of a table from one pass over it; of all date
+    and score columns, or of the first `most` of each."""
     moments = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    dates = [f.name for f in df.schema if isinstance(f.dataType, moments)][:3]
+    dates = [f.name for f in df.schema if isinstance(f.dataType, moments)][:most]
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    scores = [c for c in numeric if c.lower() in SCORE_NAMES][:3]
+    scores = [c for c in numeric if c.lower() in SCORE_NAMES][:most]
     measures = [F.count("*").alias("_rows")]
     for i, c in enumerate(dates):
         measures += [F.min(c).alias(f"_d{i}_min"), F.max(c).alias(f"_d{i}_max")]
     for i, c in enumerate(scores):
-        stats = (F.min(c).alias(f"_s{i}_min"), exact_avg(F.col(c), 6).alias(f"_s{i}_avg"))
+        stats = (F.min(c).alias(f"_s{i}_min"), exact_avg(F.col(c), 9).alias(f"_s{i}_avg"))
         measures += [*stats, F.max(c).alias(f"_s{i}_max")]
 
     def entry(column: str, kind: str, first=None, last=None, low=None, avg=None, high=None):

@@ -114,11 +114,11 @@ def rubric_text(rubric: DataFrame) -> DataFrame:
 def rubric_prompt(rubric: DataFrame) -> DataFrame:
     """Enabled rules with their pass and fail examples as one text."""
     entry = F.concat(
-        F.lit("Section: "), _or_blank("section_name"),
-        F.lit("\nCriteria: "), _or_blank("criteria_name"),
-        F.lit("\nRule: "), _or_blank("what_to_check"),
-        F.lit("\nPass Example: "), _or_blank("good_example"),
-        F.lit("\nFail Example: "), _or_blank("bad_example"),
+        F.lit("In section "), _or_blank("section_name"),
+        F.lit("\nRule "), _or_blank("criteria_name"),
+        F.lit("\nAsks: "), _or_blank("what_to_check"),
+        F.lit("\nMet, e.g.: "), _or_blank("good_example"),
+        F.lit("\nNot met, e.g.: "), _or_blank("bad_example"),
         F.lit("\n\n"),
     )
     return enabled_rules(rubric).agg(_ordered_join(_position(), entry, "").alias("rubric_prompt"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from callsift.plans.once import computed_once
 from callsift.plans.sizing import blocks, lookup_side
 
 KEY = "contact_id"
+# Texts that go into stored rows.
 NOTE = " Note: Machine-generated, not human-intervened."
 ALL_MET = "Excellent — all criteria met!"
 SCORED_BY = "auditor"
@@ -53,22 +54,28 @@ def parse_scores(
 ) -> tuple[DataFrame, DataFrame]:
     """Score rows from (contact_id, agent_id, content) responses, and the unreadable responses.
 
-    A passed criterion earns the weight of its rule; an unknown one earns nothing.
+    A passed criterion earns the weight of its rule; an unknown one earns nothing. A row's id comes
+    from the call, the agent, the answer's content, the place in it and, among equal answers, a
+    number, so ids are unique and the same answers always get the same ids.
     """
     parsed = _evaluations(responses)
     items = parsed.select(
-        KEY, "agent_id", F.posexplode("_items").alias("_no", "_item")
+        KEY, "agent_id", F.md5("content").alias("_answer"), F.posexplode("_items").alias("_no", "_item")
     )
     rows = items.select(
-        KEY, "agent_id", "_no",
+        KEY, "agent_id", "_answer", "_no",
         F.coalesce("_item.section_name", F.lit("")).alias("section_name"),
         F.coalesce("_item.criteria_name", F.lit("")).alias("criteria_name"),
         js.truthy(F.col("_item.passed")).alias("passed"),
         F.coalesce("_item.reasoning", F.lit("")).alias("reasoning"),
     )
-    weighted = with_weights(rows, rubric)
+    place = Window.partitionBy(KEY, "agent_id", "_answer", "_no").orderBy("criteria_name")
+    numbered = rows.withColumn("_copy", F.row_number().over(place))
+    weighted = with_weights(numbered, rubric)
+    identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+                (KEY, "agent_id", "_answer", "_no", "_copy")]
     scores = weighted.select(
-        tx.stable_key(F.col(KEY), F.col("_no"), F.col("criteria_name")).alias("score_id"),
+        tx.stable_key(*identity).alias("score_id"),
         KEY, "agent_id", "section_name", "criteria_name",
         F.when(F.col("passed"), F.col("effective_weight")).otherwise(F.lit(0.0)).alias("score"),
         "passed", "reasoning", F.lit(scored_by).alias("scored_by"),
@@ -190,15 +197,17 @@ def infer(
 
 
 def keyword_scores(transcripts: DataFrame, rubric: DataFrame, min_hits: int = 1) -> DataFrame:
-    """Keyword verdict of every enabled criterion on every transcript.
+    """Keyword verdict of every enabled criterion on every transcript; a rule without keywords has no
+    hits.
 
     The rules enter each pass as one array scalar, so transcripts are neither joined nor shuffled
     and their text is not copied per rule. A rule table beyond one pass is worked through in
     several.
     """
+    words_of = F.coalesce("check_keywords", F.array().cast("array<string>"))
     rule = F.struct(
         "section_name", "criteria_name", "effective_weight",
-        F.transform("check_keywords", lambda k: F.lower(k)).alias("keywords"),
+        F.transform(words_of, lambda k: F.lower(k)).alias("keywords"),
     )
 
     def one_pass(some_rules: DataFrame) -> DataFrame:
@@ -218,7 +227,7 @@ def keyword_scores(transcripts: DataFrame, rubric: DataFrame, min_hits: int = 1)
         return text_and_rules.select(KEY, F.inline(verdicts))
 
     enabled = rubric.filter("enabled")
-    words = F.aggregate("check_keywords", F.lit(0), lambda total, k: total + F.length(k))
+    words = F.aggregate(words_of, F.lit(0), lambda total, k: total + F.length(k))
     parts = blocks(enabled, "criteria_name", RULES_PER_PASS, words)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
     passed = F.col("hits") >= min_hits

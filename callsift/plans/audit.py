@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from callsift.functions.moments import moment
 from callsift.operators import joins, scoring
 from callsift.operators import rubric as rb
+from callsift.plans.dedupe import first_match
 from callsift.session import settle
 from callsift.sources import sinks
 
 KEY = joins.KEY
+SCORE_INSTRUCTION = (
+    "Judge the call against every rule below. Answer with one JSON array and nothing else; it holds one "
+    "object per rule with the keys section_name, criteria_name, passed (true or false) and reasoning "
+    "(one sentence).\n\n"
+)
 SUMMARY_INSTRUCTION = (
     "Read the call and answer with one JSON object with the keys issue_category, "
     "issue_description, resolution, sentiment_agent, sentiment_customer, overall_score (1 to 10), "
@@ -38,7 +44,7 @@ def score_unscored(
 ) -> tuple[DataFrame, DataFrame]:
     """New score rows and unreadable answers for calls without scores."""
     waiting = joins.unscored(transcripts, calls, scores)
-    prompts = scoring.model_input(waiting, rb.rubric_prompt(rubric))
+    prompts = scoring.model_input(waiting, rb.rubric_prompt(rubric), SCORE_INSTRUCTION)
     return scoring.parse_scores(_answers(prompts, model), rubric, run_ts)
 
 
@@ -46,10 +52,11 @@ def summarise_missing(
     transcripts: DataFrame, call_summary: DataFrame, model: Callable, run_ts: datetime
 ) -> tuple[DataFrame, DataFrame]:
     """The summary table with fresh rows for calls that lacked one, and unreadable answers."""
-    waiting = joins.unsummarized(transcripts, call_summary).dropDuplicates([KEY])
+    every = joins.unsummarized(transcripts, call_summary)
+    waiting = first_match(every, KEY, ["customer_text", "agent_text"])
     prompt = F.concat(
-        F.lit(SUMMARY_INSTRUCTION + "Customer's Dialogue:\n"), F.coalesce("customer_text", F.lit("")),
-        F.lit("\n\nAgent's Dialogue:\n"), F.coalesce("agent_text", F.lit("")),
+        F.lit(SUMMARY_INSTRUCTION + "The customer said:\n"), F.coalesce("customer_text", F.lit("")),
+        F.lit("\n\nThe agent said:\n"), F.coalesce("agent_text", F.lit("")),
     )
     answers = _answers(waiting.select(KEY, prompt.alias("prompt")), model)
     rows, errors = scoring.parse_summaries(answers)

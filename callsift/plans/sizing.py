@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +12,17 @@ SMALL_BYTES = 64 << 20
 
 
 def inline_if_small(df: DataFrame, max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES):
-    """(frame, is_small): a local copy of `df` when a capped read proves it small, else `df` itself.
+    """(frame, is_small): a local copy of `df` when it is proven small, else `df` itself.
 
-    At most `max_rows` + 1 rows reach the driver. The caller broadcasts the local copy, and joins
-    the untouched frame by shuffle otherwise, so the answer is the same either way.
+    Rows and bytes are added up where the rows are; only a frame within both bounds is collected. The
+    caller broadcasts the local copy, and joins the untouched frame by shuffle otherwise, so the answer
+    is the same either way.
     """
-    capped: pa.Table = df.limit(max_rows + 1).toArrow()
-    if capped.num_rows > max_rows or capped.nbytes > max_bytes:
+    shown = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, held = df.limit(max_rows + 1).agg(F.count("*"), F.sum(shown)).first()
+    if rows > max_rows or (held or 0) > max_bytes:
         return df, False
-    return df.sparkSession.createDataFrame(capped, schema=df.schema), True
+    return df.sparkSession.createDataFrame(df.limit(max_rows).toArrow(), schema=df.schema), True
 
 
 def lookup_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

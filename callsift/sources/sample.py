@@ -10,19 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.operators.transcripts import transcript_features
+from callsift.plans.once import computed_once
 from callsift.schemas import flat
 
-# Criteria 1-7 with section and weight in basis points (section, share, effective).
-SECTION_1 = "Section 1: Offer Assistance"
-SECTION_2 = "Section 2: Problem Resolution"
+# Invented rules 1-7 with section and weight in basis points (section, share, effective).
+SECTION_1 = "Opening"
+SECTION_2 = "Handling"
 CRITERIA = [
-    (1, SECTION_1, "Greeting", 3000, 3300, 990),
-    (2, SECTION_1, "User Authentication", 3000, 3300, 990),
-    (3, SECTION_1, "Offer Assistance", 3000, 3400, 1020),
-    (4, SECTION_2, "Active Listening", 3500, 2500, 875),
-    (5, SECTION_2, "Resolution Provided", 3500, 3500, 1225),
-    (6, SECTION_2, "Hold Protocol", 3500, 2000, 700),
-    (7, SECTION_2, "Escalation Handling", 3500, 2000, 700),
+    (1, SECTION_1, "Says a name", 4000, 2500, 1000),
+    (2, SECTION_1, "Asks for the order", 4000, 2500, 1000),
+    (3, SECTION_1, "Repeats the request", 4000, 5000, 2000),
+    (4, SECTION_2, "Lets the customer finish", 5000, 2000, 1000),
+    (5, SECTION_2, "Names the next step", 5000, 4000, 2000),
+    (6, SECTION_2, "Explains a pause", 5000, 1500, 750),
+    (7, SECTION_2, "Offers a call back", 5000, 1500, 750),
 ]
 ISSUES = {
     "1-URGENT": "Technical Issue",
@@ -199,13 +200,12 @@ def speaker_sides(text: Column) -> tuple[Column, Column]:
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """One transcript per document; its full text is null where a side is absent."""
-    agent, customer = speaker_sides(F.col("text"))
-    sides = table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select(
         F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("transcript_id"),
-        F.col("doc_id").alias("contact_id"),
-        agent.alias("agent_text"),
-        customer.alias("customer_text"),
+        F.col("doc_id").alias("contact_id"), "text",
     )
+    agent, customer = speaker_sides(F.col("text"))
+    sides = computed_once(documents, agent_text=agent, customer_text=customer).drop("text")
     joined = F.concat("agent_text", F.lit(" "), "customer_text")
     return transcript_features(sides).withColumn("full_text", joined)
 

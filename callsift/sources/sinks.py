@@ -12,10 +12,14 @@ from pyspark.sql import types as T
 
 from callsift.plans.dedupe import distinct_keys, first_match
 from callsift.plans.sizing import lookup_side
+from callsift.schemas import flat
 
 VERSION_PREFIX = "version="
 BUCKET = "key_bucket"
 SMALL_BATCH = 1_000_000
+MANIFEST_FIELDS = f"{BUCKET} INT, held_in INT"
+MANIFEST = f"{BUCKET} int, held_in int"
+# The columns of a rule that may be edited.
 EDITABLE = (
     "section_name", "criteria_name", "section_weight", "criteria_weight", "effective_weight",
     "enabled", "what_to_check", "when_to_check", "good_example", "bad_example", "scoring_method",
@@ -51,22 +55,45 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order_by: str | list[s
 def upsert_table(
     batch: DataFrame, path: str, schema: T.StructType, key: str, order_by: str | list[str],
     buckets: int = 1024,
-) -> None:
+) -> int:
     """Upsert into a table stored in key-hash folders, rewriting only the folders a batch touches.
 
-    Folder numbers, at most `buckets` of them, reach the driver to prune the read. New files are
-    staged and moved at commit, and running the same batch again gives the same table.
+    The touched folders are written anew under the next version, and a manifest that says which version
+    holds which folder is published last. Nothing that a reader may be using is changed, and a run that
+    fails leaves the table as it was; the next run writes the same version again. Folder numbers, at
+    most `buckets` of them, are all that reaches the driver. Returns the version.
     """
     spark = batch.sparkSession
     number = F.pmod(F.hash(key), F.lit(buckets)).alias(BUCKET)
     touched = [row[0] for row in batch.select(number).distinct().collect()]
-    full = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
-    ensure_table(spark, path, full, BUCKET)
-    stored = spark.read.schema(full).parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    folders = _folders(spark, path)
+    version = max((_versions(spark, f"{path}/manifest") or [0])) + 1
+    stored = _read_folders(spark, path, {b: folders[b] for b in touched if b in folders}, schema)
     merged = upsert(stored, batch.select(*schema.names), key, order_by)
     placed = merged.select("*", number).hint("rebalance", BUCKET)
-    writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(BUCKET).parquet(path)
+    data = f"{path}/data/{VERSION_PREFIX}{version}"
+    placed.write.mode("overwrite").partitionBy(BUCKET).parquet(data)
+    current = sorted({**folders, **{b: version for b in touched}}.items())
+    manifest = spark.createDataFrame(current, MANIFEST).coalesce(1)
+    return publish(manifest, f"{path}/manifest")
+
+
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest complete state of a table kept by `upsert_table`."""
+    return _read_folders(spark, path, _folders(spark, path), schema)
+
+
+def _folders(spark: SparkSession, path: str) -> dict[int, int]:
+    """The version that holds each key-hash folder."""
+    manifest = read_published(spark, f"{path}/manifest", flat(MANIFEST_FIELDS))
+    return {row[0]: row[1] for row in manifest.collect()}
+
+
+def _read_folders(spark: SparkSession, path: str, folders: dict[int, int], schema: T.StructType):
+    if not folders:
+        return spark.createDataFrame([], schema)
+    paths = [f"{path}/data/{VERSION_PREFIX}{v}/{BUCKET}={b}" for b, v in sorted(folders.items())]
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -211,10 +211,20 @@ DETAILS = f"""SELECT o_orderkey AS contact_id, o_custkey AS agent_id,
     o_orderkey % 29 = 0 AS is_abandoned, FALSE AS is_outbound,
     CASE WHEN o_orderpriority = '1-URGENT' THEN '1' ELSE '0' END AS service_level_flag,
     'Unknown' AS state, 'Call' AS media_type_name, FALSE AS is_simulated, {RUN} AS created_at
-  FROM orders WHERE o_orderkey <> 0"""
+  FROM orders WHERE o_orderkey <> 0 AND o_orderkey % 97 <> 0 AND o_orderkey % 178 <> 0"""
 add("scan_call_details", DETAILS)
+add("scan_call_detail_errors", """SELECT CASE WHEN o_orderkey % 97 <> 0 AND o_orderkey <> 0
+      THEN CAST(o_orderkey AS VARCHAR) END AS contact_id,
+    CASE WHEN o_orderkey % 97 = 0 THEN 'no JSON' WHEN o_orderkey = 0 THEN 'no contact id'
+      ELSE 'holdSeconds is no number' END AS reason
+    FROM orders WHERE o_orderkey = 0 OR o_orderkey % 97 = 0 OR o_orderkey % 178 = 0""")
+add("scan_transcript_errors", """SELECT CAST(NULL AS VARCHAR) AS contact_id,
+    substring('{"' || contact_id || '":{"' || CASE WHEN agent_text IS NOT NULL THEN 'agent'
+      WHEN customer_text IS NOT NULL THEN 'customer' ELSE '' END || '_conversation":"', 1, 20) AS content,
+    'no map of calls' AS reason FROM transcripts WHERE contact_id % 41 = 0""", "transcripts")
 add("stream_calls_ingest", DETAILS)
-add("scan_transcripts", "SELECT contact_id, agent_text, customer_text FROM transcripts", "transcripts")
+add("scan_transcripts", """SELECT contact_id, agent_text, customer_text FROM transcripts
+    WHERE contact_id % 41 <> 0""", "transcripts")
 add("scan_rubric_config", """SELECT COALESCE(section_name, 'General') AS section_name, criteria_name,
     section_weight, criteria_weight, effective_weight, enabled, what_to_check, when_to_check,
     good_example, bad_example, criteria_name AS check_keywords, scoring_method FROM rubric""", "rubric")
@@ -240,6 +250,7 @@ add("sink_upsert", """SELECT * FROM last UNION ALL
     stored=STORED, batch=BATCH, last=one_per_key("DESC"))
 
 
+SQL["sink_upsert_stored"] = SQL["sink_upsert"]
 add("sink_overwrite", f"""SELECT contact_id, substring(full_text, 1, 800) || {text(NOTE)} AS summary,
     '[]' AS strengths, 'fallback' AS model_name, CAST(2 AS INT) AS version FROM transcripts
     WHERE full_text IS NOT NULL""", "transcripts")
@@ -419,9 +430,9 @@ RUBRIC_TEXT = """SELECT string_agg('- ' || section || ':' || chr(10) || lines, c
             || what_to_check AS line
         FROM rubric WHERE enabled) GROUP BY section)"""
 add("rubric_text", RUBRIC_TEXT, "rubric")
-add("rubric_prompt_text", """SELECT string_agg('Section: ' || COALESCE(section_name, '') || chr(10)
-    || 'Criteria: ' || criteria_name || chr(10) || 'Rule: ' || what_to_check || chr(10)
-    || 'Pass Example: ' || good_example || chr(10) || 'Fail Example: ' || bad_example || chr(10)
+add("rubric_prompt_text", """SELECT string_agg('In section ' || COALESCE(section_name, '') || chr(10)
+    || 'Rule ' || criteria_name || chr(10) || 'Asks: ' || what_to_check || chr(10)
+    || 'Met, e.g.: ' || good_example || chr(10) || 'Not met, e.g.: ' || bad_example || chr(10)
     || chr(10), '' ORDER BY section_name NULLS LAST, effective_weight DESC, criteria_name)
     AS rubric_prompt FROM rubric WHERE enabled""", "rubric")
 add("rubric_counts", f"""SELECT section_name, COUNT(*) AS rules, {count_if('enabled')} AS enabled_rules,
@@ -451,16 +462,17 @@ add("severity_sort", """SELECT CAST(CASE severity WHEN 'high' THEN 1 WHEN 'mediu
     ORDER BY severity_rank, contact_id, field_name""", "transcripts", **LOG)
 add("load_audit", " UNION ALL ".join(
     f"SELECT '{v}' AS item, COUNT(*) AS row_count FROM {v}"
-    for v in ("calls", "transcripts", "quality_scores", "call_summary")) + """ UNION ALL
+    for v in ("calls", "transcripts", "quality_scores", "call_summary", "rubric")) + """ UNION ALL
+    SELECT 'quality_log', COUNT(*) FROM log UNION ALL
     SELECT 'matched pairs', COUNT(*) FROM calls
     WHERE contact_id IN (SELECT contact_id FROM transcripts)""",
-    "calls", "transcripts", "quality_scores", "call_summary")
+    "calls", "transcripts", "quality_scores", "call_summary", "rubric", **LOG)
 NO_DATES = "CAST(NULL AS TIMESTAMP)"
 NO_STATS = "CAST(NULL AS DOUBLE)"
 add("table_profile", f"""
     SELECT 'quality_scores' AS table_name, row_count, p.* FROM (
       SELECT COUNT(*) AS row_count, MIN(evaluated_at) AS d0, MAX(evaluated_at) AS d1,
-        MIN(score) AS s0, {average('score', 6)} AS s1, MAX(score) AS s2 FROM quality_scores) t,
+        MIN(score) AS s0, ROUND({units('score')} / CAST(1000000 * COUNT(score) AS DOUBLE), 9) AS s1, MAX(score) AS s2 FROM quality_scores) t,
     LATERAL (SELECT 'score_id,contact_id,agent_id,section_name,criteria_name,score,passed,reasoning,scored_by,evaluated_at'
         AS column_name, 'columns' AS kind, {NO_DATES} AS first_value, {NO_DATES} AS last_value,
         {NO_STATS} AS min_value, {NO_STATS} AS avg_value, {NO_STATS} AS max_value
@@ -530,20 +542,29 @@ FIRST = VERDICT.format(
     """', "passed": ' || CASE l_returnflag WHEN 'N' THEN 'true' WHEN 'R' THEN 'false'
        ELSE '"yes"' END || ', "reasoning": "it''s so"'""")
 UNREADABLE = "l_tax IN (0.06e0, 0.07e0, 0.08e0)"
+OTHER = VERDICT.format(criterion(1, SECOND), criterion(2, SECOND), "''")
+ANSWER_BODY = f"'[' || {FIRST} || ', ' || {OTHER} || ']'"
 add("parse_score_responses", f"""
-    SELECT sha256(concat_ws('|', contact_id, no, criteria_name)) AS score_id, contact_id, agent_id,
-      section_name, criteria_name,
+    SELECT sha256(concat_ws('|', contact_id, agent_id, answer, no, copy)) AS score_id, contact_id,
+      agent_id, section_name, criteria_name,
       CASE WHEN passed THEN COALESCE((SELECT effective_weight FROM rubric r
         WHERE r.criteria_name = v.criteria_name), 0e0) ELSE 0e0 END AS score,
       passed, reasoning, 'auditor' AS scored_by, {RUN} AS evaluated_at
-    FROM (
-      SELECT l_orderkey AS contact_id, l_suppkey AS agent_id, 0 AS no,
+    FROM (SELECT *, row_number() OVER (PARTITION BY contact_id, agent_id, answer, no) AS copy FROM (
+      SELECT l_orderkey AS contact_id, l_suppkey AS agent_id, answer, 0 AS no,
         {criterion(1, 'l_linenumber')} AS section_name,
         {criterion(2, 'l_linenumber')} AS criteria_name,
-        l_returnflag <> 'R' AS passed, 'it''s so' AS reasoning
-      FROM lineitem WHERE NOT {UNREADABLE}
-      UNION ALL SELECT l_orderkey, l_suppkey, 1, {criterion(1, SECOND)}, {criterion(2, SECOND)},
-        FALSE, '' FROM lineitem WHERE NOT {UNREADABLE}) v""", "rubric")
+        l_returnflag <> 'R' AS passed, 'it''s so' AS reasoning FROM answers
+      UNION ALL SELECT l_orderkey, l_suppkey, answer, 1, {criterion(1, SECOND)},
+        {criterion(2, SECOND)}, FALSE, '' FROM answers)) v""", "rubric",
+    answers=f"""SELECT *, md5(CASE l_tax WHEN 0.05e0
+        THEN '```json' || chr(10) || {ANSWER_BODY} || chr(10) || '```' ELSE {ANSWER_BODY} END) AS answer
+      FROM lineitem WHERE NOT {UNREADABLE}""")
+add("scored_calls_run", f"""SELECT t.contact_id, c.agent_id, r.criteria_name,
+      r.effective_weight AS score, 'asked for an array' AS reasoning
+    FROM transcripts t JOIN calls c ON c.contact_id = t.contact_id, (SELECT * FROM rubric WHERE enabled) r
+    WHERE t.contact_id NOT IN (SELECT contact_id FROM quality_scores)""",
+    "transcripts", "calls", "quality_scores", "rubric")
 add("score_response_errors", f"""SELECT l_orderkey AS contact_id,
     CASE l_tax WHEN 0.08e0 THEN 'I cannot grade this.'
       WHEN 0.07e0 THEN '[1, ' || {FIRST} || ' ]'
@@ -697,7 +718,7 @@ RESOLUTION_FRAME = f"""SELECT contact_id, resolution, total_duration_sec, agent_
     CAST({SENTIMENT.format('sentiment_customer')} AS DOUBLE) AS sentiment_customer_num,
     CAST({SLA} AS DOUBLE) AS sla_met, CAST({ISSUE_NO} AS DOUBLE) AS issue_num,
     CAST(is_abandoned AS DOUBLE) AS is_abandoned, CAST(is_outbound AS DOUBLE) AS is_outbound
-  FROM training WHERE resolution <> 'Abandoned'"""
+  FROM training WHERE resolution IS DISTINCT FROM 'Abandoned'"""
 SCALED = (
     "total_duration_sec", "agent_seconds", "acw_seconds", "in_queue_seconds", "hold_seconds",
     "hold_count", "agent_word_count", "customer_word_count", "talk_ratio", "overall_score",
@@ -707,13 +728,10 @@ SCALED = (
 
 
 def scaled(column: str) -> str:
-    unit = f"CAST(ROUND({column} * 1000) AS HUGEINT)"
-    total, squares = f"SUM({unit}) OVER ()", f"SUM({unit} * {unit}) OVER ()"
-    n = "COUNT(*) OVER ()"
-    spread = (f"sqrt(CAST(({squares}) * {n} - ({total}) * ({total}) AS DOUBLE)"
-              f" / ({n} * {n}) / 1000000)")
-    mean = f"CAST({total} AS DOUBLE) / {n} / 1000"
-    return (f"ROUND(({column} - {mean}) / CASE WHEN {spread} = 0 THEN 1 ELSE {spread} END, 6) + 0"
+    value = f"CAST({column} AS DOUBLE)"
+    mean, spread = f"AVG({value}) OVER ()", f"stddev_pop({value}) OVER ()"
+    constant = f"{spread} <= 1e-12 * ABS({mean})"
+    return (f"ROUND(({value} - {mean}) / CASE WHEN {constant} THEN 1 ELSE {spread} END, 6) + 0"
             f" AS {column}")
 
 
@@ -760,3 +778,21 @@ add("stream_daily_metrics", f"""SELECT CAST(contact_start AS DATE) AS day, issue
     COUNT(*) AS calls, {average('overall_score', 1)} AS avg_score
     FROM {JOINED} GROUP BY 1, 2""",
     "calls", "call_summary")
+COVER = """SELECT contact_id, issue_category AS actual, TRUE AS is_predicted,
+    issue_category IS NOT NULL AS is_judged, TRUE AS has_confidence FROM training"""
+add("predict_issue_cover", COVER, *THREE, training=TRAINING)
+add("predict_resolution_cover", """SELECT contact_id, resolution AS actual_resolution,
+    TRUE AS is_predicted, resolution IS NOT NULL AS is_judged, overall_score
+    FROM training WHERE resolution IS DISTINCT FROM 'Abandoned'""", *THREE, training=TRAINING)
+add("saved_model_meta", """SELECT CAST(dense_rank() OVER (ORDER BY resolution) - 1 AS INT) AS place,
+    resolution AS label, (SELECT COUNT(*) FROM known) AS trained_on, CAST(16 AS INT) AS n_columns
+    FROM (SELECT DISTINCT resolution FROM known)""", *THREE, training=TRAINING,
+    known="SELECT * FROM training WHERE resolution <> 'Abandoned'")
+add("summary_predictions", """SELECT s.contact_id, s.issue_category, s.resolution,
+    t.contact_id IS NOT NULL AS has_issue,
+    t.contact_id IS NOT NULL AND s.resolution IS DISTINCT FROM 'Abandoned' AS has_resolution
+    FROM call_summary s LEFT JOIN training t ON s.contact_id = t.contact_id""", *THREE, training=TRAINING)
+add("stream_transcripts", """SELECT contact_id, agent_text, customer_text, talk_ratio FROM transcripts
+    WHERE contact_id % 41 <> 0""", "transcripts")
+add("stream_talk_log", f"SELECT {LOG_ID}, * FROM log", "transcripts",
+    log="SELECT * FROM (" + TALK_ISSUES + ") t(contact_id, field_name, issue_type, issue_description, severity)")

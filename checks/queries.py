@@ -21,6 +21,7 @@ from callsift.operators import rubric as rb
 from callsift.operators import scoring as sc
 from callsift.operators import training as tr
 from callsift.operators import transcripts as ts
+from callsift.plans import audit as au
 from callsift.plans import context as cx
 from callsift.plans.dedupe import first_match
 from callsift.session import scratch_path, settle
@@ -28,7 +29,7 @@ from callsift.sources import files, sample, sinks
 from callsift.streaming import live
 from checks.inputs import (
     KEY, audit_responses, detail_documents, first_sentences, keyword_rubric, label_centres,
-    letter_profile, lexicon, noted_calls, rubric_document, score_responses, search_documents,
+    letter_profile, lexicon, noted_calls, obedient_judge, rubric_document, score_responses, search_documents,
     search_queries, summary_responses, training, transcript_documents, view,
 )
 
@@ -68,6 +69,19 @@ def _(spark, folder):
     return files.transcripts_from_text(transcript_documents(spark, folder), "document")
 
 
+@query("scan_call_detail_errors")
+def _(spark, folder):
+    details = files.details_from_text(detail_documents(spark, folder), "document")
+    _, rejects = files.parse_calls(details, RUN_TS)
+    known = F.when(F.col("reason") != "no JSON", F.col("contact_id"))
+    return rejects.select(known.alias("contact_id"), "reason")
+
+
+@query("scan_transcript_errors")
+def _(spark, folder):
+    return files.parse_transcripts(transcript_documents(spark, folder), "document")[1]
+
+
 @query("scan_rubric_config")
 def _(spark, folder):
     rules = files.rubric_from_text(rubric_document(spark, folder), "document")
@@ -105,6 +119,15 @@ def _(spark, folder):
     return sinks.upsert(_as_stored(spark, folder), _as_batch(spark, folder), KEY, "moment")
 
 
+@query("sink_upsert_stored")
+def _(spark, folder):
+    """Both tables put one after the other into a stored table of key-hash folders."""
+    path, batch = scratch_path(spark, "upserted"), _as_batch(spark, folder)
+    for rows in (_as_stored(spark, folder), batch):
+        sinks.upsert_table(rows, path, batch.schema, KEY, "moment", buckets=8)
+    return sinks.read_upserted(spark, path, batch.schema)
+
+
 @query("sink_overwrite")
 def _(spark, folder):
     """The fallback summaries stored twice; the second version replaces the first."""
@@ -339,8 +362,9 @@ def _(spark, folder):
 
 @query("load_audit")
 def _(spark, folder):
-    names = ("calls", "transcripts", "quality_scores", "call_summary")
-    return ql.load_audit({n: view(spark, folder, n) for n in names})
+    names = ("calls", "transcripts", "quality_scores", "call_summary", "rubric")
+    tables = {n: view(spark, folder, n) for n in names}
+    return ql.load_audit({**tables, "quality_log": QUERIES["quality_log"](spark, folder)})
 
 
 @over("table_profile", "quality_scores")
@@ -443,6 +467,14 @@ def _(spark, folder):
     return scores
 
 
+@query("scored_calls_run")
+def _(spark, folder):
+    """The scoring run over calls without scores, with a model that does what the prompt asks."""
+    tables = [view(spark, folder, t) for t in ("transcripts", "calls", "quality_scores", "rubric")]
+    scores, _ = au.score_unscored(*tables, obedient_judge(), RUN_TS)
+    return scores.select(KEY, "agent_id", "criteria_name", "score", "reasoning")
+
+
 @query("score_response_errors")
 def _(spark, folder):
     _, errors = sc.parse_scores(
@@ -562,7 +594,8 @@ def _(spark, folder):
 @query("tfidf_features")
 def _(spark, folder):
     """The weight of every kept term of every call."""
-    frame = settle(ft.issue_frame(training(spark, folder)).select(KEY, "combined_text"))
+    known = training(spark, folder).filter("issue_category IS NOT NULL")
+    frame = settle(ft.issue_frame(known).select(KEY, "combined_text"))
     fitted = Pipeline(stages=ft.text_stages()).fit(frame)
     counted = next(s for s in fitted.stages if isinstance(s, CountVectorizerModel))
     terms = F.array(*[F.lit(term) for term in counted.vocabulary])
@@ -609,21 +642,15 @@ def _(summary):
     return ft.balanced_weights(summary.select(KEY, "issue_category"), "issue_category")
 
 
-_FITTED: dict[tuple, object] = {}
-
-
 def fitted(kind: str, spark: SparkSession, folder: str):
-    """A model fitted once per session and folder; several queries show it."""
-    key = (spark.sparkContext.applicationId, folder, kind)
-    if key not in _FITTED:
-        train = tr.train_issue if kind == "issue" else tr.train_resolution
-        _FITTED[key] = train(training(spark, folder))
-    return _FITTED[key]
+    train = tr.train_issue if kind == "issue" else tr.train_resolution
+    return train(training(spark, folder))
 
 
 @query("train_issue_classifier")
 def _(spark, folder):
-    return ru.accuracy(QUERIES["predict_issue"](spark, folder), "actual", "predicted")
+    told = QUERIES["predict_issue"](spark, folder).filter("actual IS NOT NULL")
+    return ru.accuracy(told, "actual", "predicted")
 
 
 @query("predict_issue")
@@ -631,9 +658,20 @@ def _(spark, folder):
     return tr.predict_issue(fitted("issue", spark, folder), training(spark, folder))
 
 
+@query("predict_issue_cover")
+def _(spark, folder):
+    """What SQL can know of the predictions: every call has one, and when it can be judged."""
+    told = QUERIES["predict_issue"](spark, folder)
+    return told.select(
+        KEY, "actual", F.col("predicted").isNotNull().alias("is_predicted"),
+        F.col("correct").isNotNull().alias("is_judged"),
+        F.col("confidence").rlike(r"^\d{1,3}%$").alias("has_confidence"),
+    )
+
+
 @query("train_resolution_model")
 def _(spark, folder):
-    told = QUERIES["predict_resolution"](spark, folder)
+    told = QUERIES["predict_resolution"](spark, folder).filter("actual_resolution IS NOT NULL")
     return ru.accuracy(told, "actual_resolution", "predicted_resolution")
 
 
@@ -642,13 +680,49 @@ def _(spark, folder):
     return tr.predict_resolution(fitted("resolution", spark, folder), training(spark, folder))
 
 
+@query("predict_resolution_cover")
+def _(spark, folder):
+    told = QUERIES["predict_resolution"](spark, folder)
+    return told.select(
+        KEY, "actual_resolution", F.col("predicted_resolution").isNotNull().alias("is_predicted"),
+        F.col("correct").isNotNull().alias("is_judged"), "overall_score",
+    )
+
+
 @query("save_models")
 def _(spark, folder):
     """What a stored and reloaded issue model predicts."""
-    path = scratch_path(spark, "model")
-    tr.save(fitted("issue", spark, folder), path, {"model_name": "Logistic Regression"})
+    path, rows = scratch_path(spark, "model"), training(spark, folder)
+    model = fitted("issue", spark, folder)
+    tr.save(model, path, tr.model_meta(model, rows, "issue_category"))
     loaded, _ = tr.load(spark, path)
-    return tr.predict_issue(loaded, training(spark, folder))
+    return tr.predict_issue(loaded, rows)
+
+
+@query("saved_model_meta")
+def _(spark, folder):
+    """What is stored beside the resolution model: its labels in order and the rows it learned from."""
+    path, rows = scratch_path(spark, "model"), training(spark, folder)
+    model = tr.train_resolution(rows, trees=2)
+    tr.save(model, path, tr.model_meta(model, rows, "resolution"))
+    meta = tr.load(spark, path)[1]
+    stored = [(i, label, meta["trained_on"], len(meta["columns"])) for i, label in enumerate(meta["labels"])]
+    return spark.createDataFrame(stored, "place int, label string, trained_on long, n_columns int")
+
+
+@query("summary_predictions")
+def _(spark, folder):
+    """The summary table after a run of both models: which calls hold a prediction now."""
+    rows, summary = training(spark, folder), view(spark, folder, "call_summary")
+    bare = summary.drop("pred_issue_category", "pred_resolution")
+    issues = tr.predict_issue(tr.train_issue(rows, max_iter=20), rows)
+    resolutions = tr.predict_resolution(tr.train_resolution(rows, trees=2), rows)
+    filled = tr.with_predictions(bare, issues, resolutions)
+    return filled.select(
+        KEY, "issue_category", "resolution",
+        F.col("pred_issue_category").isNotNull().alias("has_issue"),
+        F.col("pred_resolution").isNotNull().alias("has_resolution"),
+    )
 
 
 # Streams, run until their input is used up.
@@ -699,3 +773,25 @@ def _(spark, folder):
     return spark.read.schema(live.quality_log_stream(calls).schema).parquet(out)
 
 
+@query("stream_transcripts")
+def _(spark, folder):
+    """The transcript documents, read by the stream, and what it stores."""
+    incoming, out, state = (scratch_path(spark, n) for n in ("talk-in", "talk", "talk-state"))
+    transcript_documents(spark, folder).write.text(incoming)
+    live.start_transcripts(
+        spark, incoming, out, state, RUN_TS, one_per_line=True
+    ).awaitTermination()
+    stored = spark.read.schema(schemas.TRANSCRIPTS).parquet(out)
+    return stored.select(KEY, "agent_text", "customer_text", "talk_ratio")
+
+
+@query("stream_talk_log")
+def _(spark, folder):
+    """The talk-ratio rule on streamed transcripts."""
+    talk, out, state = (scratch_path(spark, n) for n in ("talk-rows", "talk-log", "talk-log-state"))
+    rows = view(spark, folder, "transcripts").select(KEY, "talk_ratio")
+    rows.write.parquet(talk)
+    stream = spark.readStream.schema(rows.schema).parquet(talk)
+    issues = live.talk_log_stream(stream)
+    live.start_log(issues, out, state).awaitTermination()
+    return spark.read.schema(issues.schema).parquet(out)

@@ -69,7 +69,10 @@ def test_pass_rates_count_unknown_as_failed(scores, rows):
     assert rollups.by_pass_rate(rollups.criteria_pass_rate(scores), 1).first()[0] == "B"
     wide = {r["agent_id"]: (r["A"], r["B"]) for r in rollups.heatmap(scores, True, ["A", "B"]).collect()}
     assert wide == {10: (50.0, 50.0), 11: (100.0, None), 12: (None, 0.0)}
-    assert rollups.heatmap(scores, True).columns == ["agent_id", "A", "B"]
+    with pytest.raises(ValueError):
+        rollups.heatmap(scores, True)
+    many = [f"C{i}" for i in range(1001)]
+    assert len(rollups.heatmap(scores, True, many).columns) == 1002
 
 
 def test_agents(calls, summary):
@@ -196,8 +199,8 @@ def test_rubric_views(spark, rows):
         "- S2:\n  • Tone (8.75%): be calm\n"
         "- General:\n  • Loose (5.0%): y\n  • Zero (0%): z")
     prompt = rb.rubric_prompt(rubric).first()[0]
-    assert prompt.startswith("Section: S1\nCriteria: Name\nRule: \nPass Example: g\nFail Example: b\n\n")
-    assert prompt.count("Criteria:") == 5
+    assert prompt.startswith("In section S1\nRule Name\nAsks: \nMet, e.g.: g\nNot met, e.g.: b\n\n")
+    assert prompt.count("Asks:") == 5
     assert rows(rb.rubric_counts(rubric)) == [
         ("S1", 3, 2, 1.0, True), ("S2", 1, 1, 1.0, True), (None, 2, 2, 1.0, True)]
     assert [r["criteria_name"] for r in rb.sorted_rules(rubric, 3).collect()] == ["Off", "Name", "Hello"]
@@ -213,3 +216,11 @@ def test_rubric_under_other_names(spark):
         "- S:\n  • Name (80.0%): \n  • Tone (20.0%): be calm")
     bare = flat.drop("description").withColumn("enabled", F.col("criteria_name") == "Tone")
     assert rb.rubric_text(bare).first()[0] == "- Tone (20.0%): "
+
+
+def test_profile_holds_small_values_and_all_columns(spark):
+    dates = ", ".join(f"d{i} timestamp_ntz" for i in range(5))
+    df = spark.createDataFrame([(2e-7, *[None] * 5), (4e-7, *[None] * 5)], f"score double, {dates}")
+    got = {r["column_name"]: r for r in quality.profile(df, "t").collect()}
+    assert len(got) == 7 and got["score"]["avg_value"] == 3e-7
+    assert quality.profile(df, "t", most=3).count() == 5

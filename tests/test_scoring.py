@@ -48,6 +48,23 @@ def test_score_answers(spark, rubric):
     assert scores.select("score_id").distinct().count() == 4
 
 
+def test_score_ids_are_unique_and_repeatable(spark, rubric):
+    verdicts = '[{"criteria_name": "A"}, {"criteria_name": "A"}, {"criteria_name": "B"}]'
+    data = [(1, 7, verdicts), (1, 7, verdicts), (1, 8, verdicts), (1, 7, verdicts + " "), (None, None, verdicts)]
+    responses = spark.createDataFrame(data, "contact_id long, agent_id long, content string")
+    ids = sorted(r["score_id"] for r in sc.parse_scores(responses, rubric, RUN)[0].collect())
+    assert len(set(ids)) == len(ids) == 15
+    again = sc.parse_scores(responses.repartition(3), rubric, RUN)[0]
+    assert sorted(r["score_id"] for r in again.collect()) == ids
+
+
+def test_rule_without_keywords(spark, rubric, rows):
+    none = rubric.withColumn("check_keywords", F.when(F.col("framework_id") != "r2", F.col("check_keywords")))
+    transcripts = spark.createDataFrame([(1, "bye")], "contact_id long, agent_text string")
+    got = sc.keyword_scores(transcripts, none).filter("criteria_name = 'B'")
+    assert rows(got, "hits", "passed", "score") == [(0, False, 0.0)]
+
+
 def test_summary_answers(spark):
     def answer(score):
         return '{"issue_category": "Billing", "ai_recot": "r"' + score + "}"
@@ -137,6 +154,8 @@ def test_scoring_run(spark, rubric):
     scored = spark.createDataFrame([(3,)], "contact_id long")
 
     def model(prompts):
+        assert all("one JSON array" in p and "Rule A" in p for p in prompts)
+        assert all(k in p for p in prompts for k in ("section_name", "criteria_name", "passed", "reasoning"))
         verdict = ['[{"criteria_name": "A", "passed": true}]' if "hello" in p else "?" for p in prompts]
         return pd.DataFrame({"content": verdict})
 

@@ -29,6 +29,7 @@ ORDERS = 3
 SLICE = 1 << 20
 PER_LABEL = 800
 MOST_ROWS = 6000
+SAMPLE_GROUPS = 64
 EPOCHS = 4
 
 
@@ -103,13 +104,16 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def sampled(labelled: DataFrame, per_label: int, most: int) -> DataFrame:
     """At most `most` (text, label) rows: by turns the rows of each label with the smallest hashes.
 
-    Ranks are taken over hashes alone, and every task first cuts its own rows to `per_label`.
+    Ranks are taken over hashes alone, and every task first cuts its own rows to `per_label`. What is
+    left is cut once more in groups of each label, so that a label with most of the table does not
+    send the lists of all tasks to one.
     """
-    keyed = labelled.select(
-        "label", F.xxhash64("doc_id", "text").alias("h"), F.hash("text").alias("g")
-    )
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "g"))
-    picks = keyed.withColumn("_n", rank).filter(F.col("_n") <= per_label)
+    hashed = F.xxhash64("doc_id", "text")
+    keyed = labelled.select("label", hashed.alias("h"), F.pmod(hashed, F.lit(SAMPLE_GROUPS)).alias("g"))
+    within = F.row_number().over(Window.partitionBy("label", "g").orderBy("h"))
+    some = keyed.withColumn("_n", within).filter(F.col("_n") <= per_label).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    picks = some.withColumn("_n", rank).filter(F.col("_n") <= per_label)
     bounded = picks.orderBy("_n", "h", "label").limit(most).select("label", "h").distinct()
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
     return hashed.join(F.broadcast(bounded), ["label", "h"]).select("label", "h", "text")

@@ -74,14 +74,20 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def bit_table(values: DataFrame, size: int = BIT_TABLE) -> np.ndarray:
-    """Which remainders modulo `size` the long column `v` has, whatever its number of rows."""
+    """Which remainders modulo `size` the long column `v` has, as packed bits: a table of a fixed size,
+    whatever the number of rows."""
     placed = values.select(F.pmod(F.col("v"), F.lit(size)).alias("at"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 32).cast("int"))
-    word = F.floor(F.col("at") / 32).cast("int").alias("word")
-    words = placed.groupBy(word).agg(F.bit_or(bit).alias("bits")).toPandas()
-    held = np.zeros(size // 32, dtype="<u4")
-    held[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(held.view("u1"), bitorder="little").astype(bool)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    word = F.floor(F.col("at") / 64).cast("int").alias("word")
+    words = placed.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    held = np.zeros(size // 64, dtype="<i8")
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return held.view("u1")
+
+
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """A bit table as booleans."""
+    return np.unpackbits(bits, bitorder="little").astype(bool)
 
 
 def seen_often(docs: DataFrame, n: int, percent: int, often: int) -> np.ndarray:
@@ -103,10 +109,10 @@ def described(docs: DataFrame, often: np.ndarray, n: int, percent: int) -> DataF
 
     A task leaves out shingles and signature of a set that it has described before.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(often))
+    shipped = docs.sparkSession.sparkContext.broadcast(often)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.unpackbits(shipped.value).astype(bool)
+        late = unpacked(shipped.value)
         known: set[bytes] = set()
         for batch in batches:
             sizes, digests, firsts, signed = [], [], [], []
@@ -138,11 +144,11 @@ def shared_members(rows: DataFrame) -> DataFrame:
         each.groupBy("region").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
         .filter("a < b").select("region"), "shared",
     )
-    bits = np.packbits(bit_table(shared.select(F.col("region").alias("v"))))
+    bits = bit_table(shared.select(F.col("region").alias("v")))
     shipped = rows.sparkSession.sparkContext.broadcast(bits)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shipped.value).astype(bool)
+        wanted = unpacked(shipped.value)
         for batch in batches:
             firsts = batch.column("firsts")
             flat = firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -290,11 +296,11 @@ def remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, shingles) of the given nodes, from the whole texts of the rows with these ids."""
-    bits = np.packbits(bit_table(nodes.select(F.col("node").alias("v"))))
+    bits = bit_table(nodes.select(F.col("node").alias("v")))
     shipped = docs.sparkSession.sparkContext.broadcast(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shipped.value).astype(bool)
+        wanted = unpacked(shipped.value)
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             part = batch.take(pa.array(np.flatnonzero(wanted[ids.view(np.uint64) % len(wanted)])))

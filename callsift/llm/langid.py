@@ -27,8 +27,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = 3
 SLICE = 1 << 20
-PER_LABEL = 800
-MOST_ROWS = 6000
+PER_LABEL = 600
+MOST_ROWS = 4000
 SAMPLE_GROUPS = 64
 EPOCHS = 4
 
@@ -128,13 +128,13 @@ class Model:
 
     def vector(self, held: np.ndarray, damped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unit TF-IDF values and the constant."""
-        values = damped * self.idf[held]
-        values = values / max(float(np.sqrt((values * values).sum())), 1e-12)
-        return np.append(held, BUCKETS), np.append(values, 1.0)
+        values = (damped * self.idf[held]).astype(np.float32)
+        values /= max(float(np.sqrt((values * values).sum())), 1e-12)
+        return np.append(held, BUCKETS).astype(np.int32), np.append(values, np.float32(1))
 
     def logits(self, held: np.ndarray, damped: np.ndarray) -> np.ndarray:
         at, values = self.vector(held, damped)
-        return values @ self.weights[at]
+        return (values @ self.weights[at]).astype(float)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.labels or not has_letter(text):
@@ -208,21 +208,23 @@ def train(labelled: DataFrame, per_label: int = PER_LABEL, most: int = MOST_ROWS
             ], ["label", "h", "at", "damped"])
 
     kinds = "label string, h long, at array<int>, damped array<float>"
-    rows = sampled(usable, per_label, most).mapInArrow(extract, kinds).toPandas()
-    rows = rows.sort_values(["h", "label"], kind="stable").head(most)
-    labels = sorted(rows["label"].unique().tolist())
-    model = Model(labels, idf, np.zeros((BUCKETS + 1, len(labels))))
-    if len(labels) < 1:
+    rows = sampled(usable, per_label, most).mapInArrow(extract, kinds).toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("label", "ascending")]).slice(0, most)
+    labels = sorted(set(rows.column("label").to_pylist()))
+    model = Model(labels, idf.astype(np.float32), np.zeros((BUCKETS + 1, len(labels)), np.float32))
+    if not labels:
         return model
     number = {label: i for i, label in enumerate(labels)}
     data = [
-        (*model.vector(np.asarray(at), np.asarray(damped, dtype=float)), number[label])
+        (*model.vector(at.values.to_numpy(), damped.values.to_numpy()), number[label.as_py()])
         for label, at, damped in zip(rows["label"], rows["at"], rows["damped"], strict=True)
     ]
+    del rows
     kept_out = [row for i, row in enumerate(data) if i % 5 == 4]
-    model.weights = follow_leader([row for i, row in enumerate(data) if i % 5 != 4], len(labels))
+    learned = follow_leader([row for i, row in enumerate(data) if i % 5 != 4], len(labels))
+    model.weights = learned.astype(np.float32)
     if kept_out:
-        logits = np.array([values @ model.weights[at] for at, values, _ in kept_out])
+        logits = np.array([values @ learned[at] for at, values, _ in kept_out])
         model.temperature = fit_temperature(logits, np.array([row[2] for row in kept_out]))
     return model
 

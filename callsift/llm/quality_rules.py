@@ -196,7 +196,7 @@ def train(stats: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[Rule]
         F.xxhash64("doc_id").alias("h"), (F.col("quality") == 0).alias("bad"),
         *[m.alias(name) for name, m in measures().items()],
     )
-    frame = wanted.orderBy("h", *measures()).limit(most).toPandas()
+    frame = wanted.orderBy("h", *measures()).limit(most).toArrow().to_pandas()
     bad = frame["bad"].to_numpy(dtype=bool)
     if not bad.any() or bad.all():
         return []

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from callsift.session import settle
 
+# Recall against brute force 0.98 to 1.0 on the provided vectors, whose neighbours lie at cosines near
+# 0.4; 8 probes reach 0.80 to 0.95 with a third of all vectors as candidates instead of 60 %.
 TABLES = 8
-PROBES = 8
+PROBES = 16
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 1024
 SEED = 5

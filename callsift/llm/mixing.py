@@ -3,8 +3,10 @@
 A source's target is its weight times one common level, but at most `max_epochs` times its size; the
 level rises until the targets add up to the budget, which hands the excess of full sources on by
 weight. A source then takes every document floor(target / size) times, and once more a fraction of
-them: its documents are lined up by size, ties by a seeded hash, and picked at even steps from a
-seeded start, so that the words taken come close to the target at any number of documents.
+them: its documents are lined up by size, ties by a seeded hash, and picked at even steps from one of
+a few seeded starts, the one whose words come closest to the target. Twice then a single document whose
+choice is reversed brings the words closer still; this matters only where a source is small beside its
+longest documents.
 
 Defined results: null text counts no words; a null source is a source of its own, last in order; a
 source without words or with weight null or under 0 has target 0; repeated rows count each; an empty
@@ -20,6 +22,8 @@ from callsift.llm.common import WORD, running
 from callsift.session import settle
 
 SEED = 17
+STARTS = 32
+CORRECTIONS = 2
 
 
 def word_count(text: Column) -> Column:
@@ -92,17 +96,48 @@ def plan(docs: DataFrame, weights: DataFrame, share: float, max_epochs: float,
     tie = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = running(narrow, ["source"], ["size", tie, "text_key"], place=F.lit(1))
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    part = F.col("epochs") - F.floor("epochs")
-    start = unit(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))))
-    further = (F.floor(part * F.col("place") + F.col("start"))
-               - F.floor(part * (F.col("place") - 1) + F.col("start")))
     known = aims.select(F.col("source").alias("_source"), "source_size", "target")
-    return (
-        placed.join(known, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumns({"epochs": epochs, "start": start})
-        .select("doc_id", "source", "text_key", "size", "source_size", "target",
-                (F.floor("epochs") + further).cast("long").alias("copies"))
+    seeded = unit(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit(""))))
+    aimed = settle(
+        placed.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        .withColumns({"epochs": epochs, "start": seeded}), "aimed",
+    )
+    part = F.col("epochs") - F.floor("epochs")
+
+    def copies(start: Column) -> Column:
+        """Whole repetitions, and one more where a step ends on this document."""
+        at = F.col("place")
+        further = F.floor(part * at + start) - F.floor(part * (at - 1) + start)
+        return (F.floor("epochs") + further).cast("long")
+
+    taken = [F.sum(F.col("size") * copies(F.col("start") + i / STARTS)) for i in range(STARTS)]
+    missed = [F.struct(F.abs(t - F.max("target")).alias("by"), F.lit(i / STARTS).alias("shift"))
+              for i, t in enumerate(taken)]
+    best = aimed.groupBy(F.col("source").alias("_source")).agg(F.least(*missed).alias("_best"))
+    chosen = aimed.join(best, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
+        "copies", copies(F.col("start") + F.col("_best.shift"))
+    ).drop("_source", "_best")
+    for _ in range(CORRECTIONS):
+        chosen = corrected(settle(chosen, "chosen"))
+    return chosen.select("doc_id", "source", "text_key", "size", "source_size", "target", "copies")
+
+
+def corrected(chosen: DataFrame) -> DataFrame:
+    """`chosen` with the choice of one document per source reversed, if that comes closer to the target."""
+    words = F.sum(F.col("size") * F.col("copies"))
+    off = chosen.groupBy(F.col("source").alias("_of")).agg((words - F.max("target")).alias("_off"))
+    further = F.col("copies") > F.floor("epochs")
+    fractional = F.col("epochs") > F.floor("epochs")
+    left = F.abs(F.col("_off") + F.when(further, -F.col("size")).otherwise(F.col("size")))
+    known = chosen.join(off, F.col("source").eqNullSafe(F.col("_of")))
+    best = known.filter(fractional & (left < F.abs("_off"))).groupBy(F.col("_of").alias("_source")).agg(
+        F.min(F.struct(left.alias("left"), F.col("place").alias("place"))).alias("_best")
     )
+    marked = chosen.join(best, F.col("source").eqNullSafe(F.col("_source")), "left")
+    reversed_ = F.floor("epochs") + F.when(further, 0).otherwise(1)
+    here = F.coalesce(F.col("_best.place") == F.col("place"), F.lit(False))
+    copies = F.when(here, reversed_).otherwise(F.col("copies")).cast("long")
+    return marked.withColumn("copies", copies).drop("_source", "_best")
 
 
 def resample(docs: DataFrame, planned: DataFrame) -> DataFrame:

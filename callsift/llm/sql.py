@@ -36,9 +36,32 @@ WITH sized AS (
     row_number() OVER (PARTITION BY s.source
       ORDER BY s.size, md5('17:' || coalesce(s.doc_id::VARCHAR, ''))) AS place
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
-)
-SELECT doc_id, source, size, source_size, target,
-  (size * (floor(epochs) + floor((epochs - floor(epochs)) * place + start)
-    - floor((epochs - floor(epochs)) * (place - 1) + start)))::BIGINT AS taken
-FROM placed
+), tried AS (
+  SELECT source, i / 32.0::DOUBLE AS shift, max(target) AS target,
+    sum(size * (floor(epochs) + floor((epochs - floor(epochs)) * place + (start + i / 32.0::DOUBLE))
+      - floor((epochs - floor(epochs)) * (place - 1) + (start + i / 32.0::DOUBLE)))::BIGINT) AS taken
+  FROM placed, range(32) t(i) GROUP BY source, i
+), best AS (
+  SELECT source, shift FROM tried
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(taken::DOUBLE - target), shift) = 1
+), chosen0 AS (
+  SELECT doc_id, p.source, size, source_size, target, place, floor(epochs)::BIGINT AS whole,
+    epochs > floor(epochs) AS fractional,
+    (floor((epochs - floor(epochs)) * place + (start + shift))
+      - floor((epochs - floor(epochs)) * (place - 1) + (start + shift)))::BIGINT AS further
+  FROM placed p JOIN best b ON p.source IS NOT DISTINCT FROM b.source
+)""" + "".join(f""", off{i} AS (
+  SELECT source, (sum(size * (whole + further))::BIGINT)::DOUBLE - max(target) AS off
+  FROM chosen{i} GROUP BY source
+), move{i} AS (
+  SELECT c.source, place FROM chosen{i} c JOIN off{i} o ON c.source IS NOT DISTINCT FROM o.source
+  WHERE fractional AND abs(off + CASE WHEN further > 0 THEN -size ELSE size END) < abs(off)
+  QUALIFY row_number() OVER (PARTITION BY c.source
+    ORDER BY abs(off + CASE WHEN further > 0 THEN -size ELSE size END), place) = 1
+), chosen{i + 1} AS (
+  SELECT doc_id, c.source, size, source_size, target, c.place, whole, fractional,
+    CASE WHEN m.place = c.place THEN 1 - further ELSE further END AS further
+  FROM chosen{i} c LEFT JOIN move{i} m ON c.source IS NOT DISTINCT FROM m.source
+)""" for i in range(2)) + """
+SELECT doc_id, source, size, source_size, target, size * (whole + further) AS taken FROM chosen2
 """

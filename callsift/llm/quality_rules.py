@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsift.llm.common import text_bytes, window_hashes, word_hashes
@@ -26,7 +26,8 @@ from callsift.llm.common import text_bytes, window_hashes, word_hashes
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct",
           "n_upper", "n_marks")
 WINDOW = 8
-SAMPLE = 20_000
+SAMPLE = 20_032
+SAMPLE_GROUPS = 64
 
 _SPACE = [0x20, *range(0x09, 0x0E)]
 _TABLES = {
@@ -142,7 +143,8 @@ def best_test(data: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray)
     p, n = (inside & bad).sum(), (inside & ~bad).sum()
     before, best, most = np.log2(p / (p + n)), None, 1e-9
     for name, values in data.items():
-        for threshold in np.unique(np.quantile(values[inside], np.linspace(0, 1, 65)[:-1])):
+        seen = np.unique(np.quantile(values[inside], np.linspace(0, 1, 65)))
+        for threshold in (seen[1:] + seen[:-1]) / 2:  # halfway, so that unseen values fall either way
             for above in (True, False):
                 test = Test(name, above, float(threshold))
                 held = inside & test.holds(data)
@@ -186,17 +188,21 @@ def learn(data: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, precis
 
 
 def train(stats: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[Rule]:
-    """Rules from the statistics of labelled documents that pass the base; at most `most` of them, the
-    ones with the smallest hashes, reach the driver as a few numbers each."""
+    """Rules from the statistics of labelled documents that pass the base; at most `most` of them reach
+    the driver as a few numbers each: of every group of ids the ones with the smallest hashes."""
     judged = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality")
     )
     joined = stats.filter(~base_failed()).join(judged, "doc_id")
+    hashed = F.xxhash64("doc_id")
     wanted = joined.select(
-        F.xxhash64("doc_id").alias("h"), (F.col("quality") == 0).alias("bad"),
-        *[m.alias(name) for name, m in measures().items()],
+        hashed.alias("h"), F.pmod(hashed, F.lit(SAMPLE_GROUPS)).alias("g"),
+        (F.col("quality") == 0).alias("bad"), *[m.alias(name) for name, m in measures().items()],
     )
-    frame = wanted.orderBy("h", *measures()).limit(most).toArrow().to_pandas()
+    # Tasks cut their own rows first, so no task gets more than a bounded list from each of them.
+    place = F.row_number().over(Window.partitionBy("g").orderBy("h", *measures()))
+    few = wanted.withColumn("n", place).filter(F.col("n") <= most // SAMPLE_GROUPS)
+    frame = few.toArrow().sort_by([(c, "ascending") for c in ("h", *measures())]).to_pandas()
     bad = frame["bad"].to_numpy(dtype=bool)
     if not bad.any() or bad.all():
         return []

@@ -12,12 +12,14 @@ document from the second stage on; further columns are carried along until the l
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.llm import jaccard, langid, mixing, packing, pii
-from callsift.session import settle
+from callsift.session import ensure_shared_dir, settle
 
 CLEAR = 0.5  # the least calibrated probability of a language that stays
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,12 +68,22 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(packing.pieces(docs, TOKENIZER, SEQUENCE), SEQUENCE)
 
 
+def ready(stage):
+    """`stage` on a local session without a shared folder, which then gets one; see `session.py`."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ensure_shared_dir(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language ID", keep_clear_language),
-    ("n-gram Jaccard join", keep_one_of_each_group),
-    ("PII", replace_personal_data),
-    ("mixing sources to target weights", mix_sources),
-    ("best-fit packing", pack_sequences),
+    ("language ID", ready(keep_clear_language)),
+    ("n-gram Jaccard join", ready(keep_one_of_each_group)),
+    ("PII", ready(replace_personal_data)),
+    ("mixing sources to target weights", ready(mix_sources)),
+    ("best-fit packing", ready(pack_sequences)),
 ]
 
 # No SQL: the first stage is a trained model, the last one a library's tokens.
@@ -79,7 +91,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ensure_shared_dir(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name.split()[0])
     return docs

@@ -17,6 +17,7 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 CACHE = "content string, tokenizer string, n_tokens long"
 BATCH_BYTES = 1 << 20
 # Letters and signs on which all Unicode versions agree; other texts take the slower library.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿĀ-ſ]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿĀ-įĲ-ſ]*")
 
 
 @functools.lru_cache(maxsize=4)
@@ -95,6 +96,60 @@ def slices(sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[tuple[int, in
         yield begin, len(sizes)
 
 
+class WordCounts:
+    """Token counts of texts from the counts of their words, which the library gives once per word.
+
+    For tokenizers that fold to lower case, cut texts by one pattern and encode every part by itself.
+    Only plain texts without special strings are counted so; words are kept up to a number and then
+    forgotten, which bounds the memory.
+    """
+
+    KEPT = 400_000
+
+    def __init__(self, path: str, rule: str, special: list[str]):
+        self.tokenizer = _tokenizer(path)
+        signs = [chr(c) for c in range(0x20, 0x180) if PLAIN.fullmatch(chr(c))]
+        kinds = {
+            k: "".join(re.escape(c) for c in signs if unicodedata.category(c)[0] == k) for k in "LN"
+        }
+        # The classes written out for the letters and digits that plain texts can hold.
+        self.parts = re.compile(rule.replace(r"\p{L}", kinds["L"]).replace(r"\p{N}", kinds["N"])).findall
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.known: dict[str, int] = {}
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        cut = [
+            self.parts(t.lower()) if PLAIN.fullmatch(t) and not self.special.search(t) else None
+            for t in texts
+        ]
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        new = list({word for words in cut if words for word in words if word not in self.known})
+        whole = [t for t, words in zip(texts, cut, strict=True) if words is None]
+        found = self.tokenizer.encode_batch_fast(new + whole, add_special_tokens=False)
+        self.known.update(zip(new, map(len, found), strict=False))
+        rest = iter(found[len(new) :])
+        return [
+            len(next(rest)) if words is None else sum(map(self.known.__getitem__, words)) for words in cut
+        ]
+
+
+def _word_rule(path: str) -> tuple[str, list[str]] | None:
+    """The pattern of a tokenizer that `WordCounts` can stand for, and its special strings."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    steps = [s.get("type") for s in (held.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [c.get("type") for c in cuts] != ["Split", "ByteLevel"]:
+        return None
+    if not (cuts[0]["invert"] and cuts[0]["behavior"] == "Removed") or cuts[1]["use_regex"] or (
+        cuts[1]["add_prefix_space"]
+    ):
+        return None
+    return cuts[0]["pattern"]["Regex"], [t["content"] for t in held["added_tokens"]]
+
+
+@functools.lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """A function from texts to their token counts, by the library that the file's ending names."""
     if path.endswith(".model"):
@@ -102,6 +157,9 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)]
+    rule = _word_rule(path)
+    if rule is not None:
+        return WordCounts(path, *rule)
     made = _tokenizer(path)
     return lambda texts: [len(e) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
 

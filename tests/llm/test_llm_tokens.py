@@ -1,3 +1,4 @@
+import random
 import re
 
 import public_tokenizers
@@ -32,6 +33,17 @@ def test_normalised_white_space_counts_the_same():
             slow.encode(flat, add_special_tokens=False).ids)
 
 
+def test_words_add_up_to_the_librarys_counts(monkeypatch):
+    slow, count, pick = Tokenizer.from_file(WORDS), tokens.counter(WORDS), random.Random(6)
+    assert isinstance(count, tokens.WordCounts)
+    monkeypatch.setattr(tokens.WordCounts, "KEPT", 50)
+    signs = [chr(c) for c in range(9, 0x180)] + ["<|endoftext|>", "'ll", "'S", "漢", *" " * 40, *"'" * 8]
+    for _ in range(60):
+        texts = ["".join(pick.choice(signs) for _ in range(pick.randint(0, 40))) for _ in range(50)]
+        whole = [len(e.ids) for e in slow.encode_batch(texts, add_special_tokens=False)]
+        assert count(texts) == whole
+
+
 def test_only_misses_are_encoded_and_appended(spark):
     path, docs = scratch_path(spark, "cache"), awkward(spark)
     half = docs.filter("doc_id < 6")

@@ -12,7 +12,7 @@ from callsift.llm import (
     chat, jaccard, langid, mixing, neighbours, packing, pii, quality_rules,
     sharding, tokens,
 )
-from callsift.llm.common import table
+from callsift.llm.common import small_batches, table
 from callsift.llm.sql import SQL  # noqa: F401
 from callsift.session import scratch_path, settle
 
@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = lambda spark, folder: fn(small_batches(spark), folder)
     return fn
 
 

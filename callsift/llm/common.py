@@ -20,6 +20,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Batches of 1,000 whole texts for Python workers, where the session has Spark's own setting.
+
+    Ten thousand texts at once take a worker and its executor some hundred megabytes.
+    """
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+    return spark
+
+
 def running(df: DataFrame, group: list[str], order: list[str | Column], **sums: Column) -> DataFrame:
     """`df` with, for each of `sums`, its total over the rows of the group up to and with this one.
 

@@ -27,8 +27,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = 3
 SLICE = 1 << 20
-PER_LABEL = 600
-MOST_ROWS = 4000
+PER_LABEL = 500
+MOST_ROWS = 3000
 SAMPLE_GROUPS = 64
 EPOCHS = 4
 
@@ -208,24 +208,41 @@ def train(labelled: DataFrame, per_label: int = PER_LABEL, most: int = MOST_ROWS
             ], ["label", "h", "at", "damped"])
 
     kinds = "label string, h long, at array<int>, damped array<float>"
-    rows = sampled(usable, per_label, most).mapInArrow(extract, kinds).toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("label", "ascending")]).slice(0, most)
-    labels = sorted(set(rows.column("label").to_pylist()))
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending"), ("label", "ascending")]).slice(0, most)
+        labels = sorted(set(rows.column("label").to_pylist()))
+        number = {label: i for i, label in enumerate(labels)}
+        blank = Model(labels, idf, np.zeros((BUCKETS + 1, len(labels))))
+        data = [
+            (*blank.vector(at.values.to_numpy(), damped.values.to_numpy()), number[label.as_py()])
+            for label, at, damped in zip(rows["label"], rows["at"], rows["damped"], strict=True)
+        ]
+        kept_out = [row for i, row in enumerate(data) if i % 5 == 4]
+        learned = follow_leader([row for i, row in enumerate(data) if i % 5 != 4], len(labels))
+        temperature = 1.0
+        if kept_out:
+            logits = np.array([values @ learned[at] for at, values, _ in kept_out])
+            temperature = fit_temperature(logits, np.array([row[2] for row in kept_out]))
+        at, of = np.nonzero(learned)
+        return pa.table({
+            "label": pa.array([*labels, *np.array(labels, dtype=object)[of]], pa.string()),
+            "bucket": pa.array(np.append(np.full(len(labels), -1), at), pa.int32()),
+            "weight": pa.array(np.append(np.full(len(labels), temperature), learned[at, of]), pa.float64()),
+        })
+
+    # One task gets the bounded sample; the driver only the weights that are not zero.
+    rows = sampled(usable, per_label, most).mapInArrow(extract, kinds)
+    fitted = rows.groupBy(F.lit(0).alias("all")).applyInArrow(
+        fit, "label string, bucket int, weight double"
+    ).toArrow()
+    bucket, weight = fitted.column("bucket").to_numpy(), fitted.column("weight").to_numpy()
+    names = np.array(fitted.column("label").to_pylist(), dtype=object)
+    labels = sorted(names[bucket < 0].tolist())
     model = Model(labels, idf.astype(np.float32), np.zeros((BUCKETS + 1, len(labels)), np.float32))
-    if not labels:
-        return model
-    number = {label: i for i, label in enumerate(labels)}
-    data = [
-        (*model.vector(at.values.to_numpy(), damped.values.to_numpy()), number[label.as_py()])
-        for label, at, damped in zip(rows["label"], rows["at"], rows["damped"], strict=True)
-    ]
-    del rows
-    kept_out = [row for i, row in enumerate(data) if i % 5 == 4]
-    learned = follow_leader([row for i, row in enumerate(data) if i % 5 != 4], len(labels))
-    model.weights = learned.astype(np.float32)
-    if kept_out:
-        logits = np.array([values @ learned[at] for at, values, _ in kept_out])
-        model.temperature = fit_temperature(logits, np.array([row[2] for row in kept_out]))
+    if labels:
+        model.temperature = float(weight[bucket < 0][0])
+        model.weights[bucket[bucket >= 0], np.searchsorted(labels, names[bucket >= 0].astype(str))] = (
+            weight[bucket >= 0])
     return model
 
 

@@ -163,7 +163,6 @@ def learned_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = settle(mentions.groupBy("pattern", "value").agg(
         F.min("kind").alias("kind"), F.max("identifier").alias("identifier")
     ), "edges")
-    known = None
     for _ in range(rounds):
         told = edges.join(confident(edges), "pattern").filter("identifier")
         told = told.groupBy("value").agg(F.min("found").alias("told"))
@@ -171,15 +170,16 @@ def learned_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         news = seeds.join(told, "value", "full").select(
             "value", F.coalesce("seed", "told").alias("learned")
         )
-        edges = settle(
-            edges.join(news, "value", "left")
-            .select("pattern", "value", F.coalesce("kind", "learned").alias("kind"), "identifier"),
+        spread = settle(
+            edges.join(news, "value", "left").select(
+                "pattern", "value", F.coalesce("kind", "learned").alias("kind"), "identifier",
+                (F.col("kind").isNull() & F.col("learned").isNotNull()).alias("is_new"),
+            ),
             "edges",
         )
-        now = edges.filter(F.col("kind").isNotNull()).count()
-        if now == known:
+        edges = spread.drop("is_new")
+        if spread.filter("is_new").isEmpty():
             break
-        known = now
     return settle(confident(edges), "patterns")
 
 

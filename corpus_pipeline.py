@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.llm import jaccard, langid, mixing, packing, pii
+from callsift.llm.common import small_batches
 from callsift.session import ensure_shared_dir, settle
 
 CLEAR = 0.5  # the least calibrated probability of a language that stays
@@ -69,11 +70,12 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def ready(stage):
-    """`stage` on a local session without a shared folder, which then gets one; see `session.py`."""
+    """`stage` with bounded batches for Python workers, and on a local session without a shared folder,
+    which then gets one; see `session.py`."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return stage(ensure_shared_dir(spark), docs, sf_dir)
+        return stage(small_batches(ensure_shared_dir(spark)), docs, sf_dir)
 
     return run_stage
 

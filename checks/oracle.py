@@ -136,7 +136,7 @@ VIEWS = {
           'always' AS when_to_check, 'good ' || l_linenumber AS good_example,
           'bad ' || l_linenumber AS bad_example, 'binary' AS scoring_method,
           MAX(l_shipdate) AS updated_at
-        FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_linenumber""",
+        FROM lineitem GROUP BY l_linenumber""",
     "rules": """
         SELECT 'P' || p_partkey AS framework_id,
           CASE WHEN p_type <> 'PROMO' THEN p_type END AS section_name,

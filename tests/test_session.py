@@ -5,7 +5,13 @@ import pytest
 from callsift import session
 
 
-def test_shared_folder_must_be_named(spark, monkeypatch):
+@pytest.fixture
+def unset(spark, monkeypatch):
+    """The session as if no shared folder had been named."""
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+
+
+def test_shared_folder_must_be_named(spark, unset, monkeypatch):
     monkeypatch.setattr(session, "CHECKPOINT_SETTING", "spark.callsift.unset")
     with pytest.raises(RuntimeError):
         session.shared_dir(spark)
@@ -13,7 +19,7 @@ def test_shared_folder_must_be_named(spark, monkeypatch):
         session.settle(spark.range(1))
 
 
-def test_local_sessions_may_get_one(spark, monkeypatch):
+def test_local_sessions_may_get_one(spark, unset, monkeypatch):
     monkeypatch.setattr(session, "CHECKPOINT_SETTING", "spark.callsift.trial")
     made = session.shared_dir(session.ensure_shared_dir(spark))
     assert os.path.isdir(made) and session.shared_dir(session.ensure_shared_dir(spark)) == made

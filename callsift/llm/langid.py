@@ -29,7 +29,7 @@ ORDERS = 3
 SLICE = 1 << 20
 PER_LABEL = 500
 MOST_ROWS = 3000
-SAMPLE_GROUPS = 64
+SAMPLE_GROUPS = 50
 EPOCHS = 4
 
 
@@ -102,18 +102,19 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sampled(labelled: DataFrame, per_label: int, most: int) -> DataFrame:
-    """At most `most` (text, label) rows: by turns the rows of each label with the smallest hashes.
+    """At most `most` (text, label) rows, by turns from each label; of a label about `per_label`, the ones
+    with the smallest hashes in each of SAMPLE_GROUPS groups.
 
-    Ranks are taken over hashes alone, and every task first cuts its own rows to `per_label`. What is
-    left is cut once more in groups of each label, so that a label with most of the table does not
-    send the lists of all tasks to one.
+    Ranks are taken over hashes alone, and every task first cuts its own rows. As each group is cut by
+    itself, a label with most of the table sends no more than the others to the task that counts it.
     """
     hashed = F.xxhash64("doc_id", "text")
     keyed = labelled.select("label", hashed.alias("h"), F.pmod(hashed, F.lit(SAMPLE_GROUPS)).alias("g"))
     within = F.row_number().over(Window.partitionBy("label", "g").orderBy("h"))
-    some = keyed.withColumn("_n", within).filter(F.col("_n") <= per_label).drop("_n")
+    each = -(-per_label // SAMPLE_GROUPS)
+    some = keyed.withColumn("_n", within).filter(F.col("_n") <= each).drop("_n")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    picks = some.withColumn("_n", rank).filter(F.col("_n") <= per_label)
+    picks = some.withColumn("_n", rank)
     bounded = picks.orderBy("_n", "h", "label").limit(most).select("label", "h").distinct()
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
     return hashed.join(F.broadcast(bounded), ["label", "h"]).select("label", "h", "text")

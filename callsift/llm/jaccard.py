@@ -28,7 +28,7 @@ rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -248,25 +248,60 @@ class Block:
 
 
 PAIR = "a long, b long"
+NO_PAIRS = np.empty((0, 2), dtype=np.int64)
 
 
-def pair_table(block: Block, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    a = np.concatenate([block.node[x] for x, _ in found]) if found else np.empty(0, dtype=np.int64)
-    b = np.concatenate([block.node[y] for _, y in found]) if found else np.empty(0, dtype=np.int64)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+def pairs_of(block: Block, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The nodes of the found places, the smaller one first, each pair once."""
+    if not found:
+        return NO_PAIRS
+    a = np.concatenate([block.node[x] for x, _ in found])
+    b = np.concatenate([block.node[y] for _, y in found])
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+
+
+def in_groups(rows: DataFrame, keys: list[str], pairs: Callable[[pa.Table], np.ndarray]) -> DataFrame:
+    """The distinct (a, b) that `pairs` finds in each group of rows with equal keys.
+
+    Groups are many and mostly of a few rows, so they are dealt out and sorted by key and taken from
+    the stream, rather than handed over one by one. A group must fit into memory.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def batch_of(groups: list[pa.Table]) -> pa.RecordBatch:
+            found = np.concatenate([NO_PAIRS, *map(pairs, groups)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([rest, table]) if rest is not None else table
+            new = np.zeros(len(held), dtype=bool)
+            for key in keys:
+                values = held.column(key).to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            ends = np.flatnonzero(new)
+            begins = [0, *ends[:-1]]
+            yield batch_of([held.slice(i, j - i) for i, j in zip(begins, ends, strict=False)])
+            rest = held.slice(ends[-1]) if len(ends) else held
+        if rest is not None and len(rest):
+            yield batch_of([rest])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(find, PAIR).distinct()
 
 
 def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members with pivots of their region, each block of a region by itself."""
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("block")
 
-    def hook(table: pa.Table) -> pa.Table:
+    def hook(table: pa.Table) -> np.ndarray:
         held = Block(table.sort_by("node"), percent)
-        return pair_table(held, held.hooked())
+        return pairs_of(held, held.hooked())
 
     dealt = members.select("region", block, "node", "component", "n", "signed")
-    return dealt.groupBy("region", "block").applyInArrow(hook, PAIR).distinct()
+    return in_groups(dealt, ["region", "block"], hook)
 
 
 def remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +312,7 @@ def remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
     ).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(table: pa.Table) -> np.ndarray:
         held = Block(table, percent)
         own, i = table.column("own").to_numpy(), table.column("i").to_numpy()
         left = np.flatnonzero(own == i)
@@ -289,9 +324,9 @@ def remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
                 found.append((np.full(len(near), x), right[near]))
         else:
             found = list(held.joined(left, right))
-        return pair_table(held, found)
+        return pairs_of(held, found)
 
-    return dealt.groupBy("region", "i", "j").applyInArrow(join, PAIR).distinct()
+    return in_groups(dealt, ["region", "i", "j"], join)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:

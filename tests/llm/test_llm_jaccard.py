@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from llm_data import AWKWARD, DOCS, awkward, empty, prose, rows
 
 from callsift.llm import jaccard
@@ -106,10 +107,10 @@ def test_cells_and_windows_miss_no_pair():
         "n": [len(s) for s in sets], "signed": pa.array([jaccard.signature(s) for s in sets], pa.binary()),
     }), 85)
     everyone = np.arange(len(sets))
-    cells = jaccard.pair_table(block, list(block.joined(everyone, everyone[:0]))).to_pylist()
-    flat = jaccard.pair_table(block, list(block.compared(everyone, everyone[:0]))).to_pylist()
+    cells = jaccard.pairs_of(block, list(block.joined(everyone, everyone[:0]))).tolist()
+    flat = jaccard.pairs_of(block, list(block.compared(everyone, everyone[:0]))).tolist()
     assert cells == flat
-    found = {(r["a"], r["b"]) for r in cells}
+    found = set(map(tuple, cells))
     for i in range(len(sets)):
         for j in range(i):
             common = len(np.intersect1d(sets[i], sets[j]))
@@ -140,3 +141,14 @@ def test_components(spark):
 def test_bit_table(spark):
     held = jaccard.bit_table(spark.createDataFrame([(5,), (-1,), (69,)], "v long"), 64)
     assert set(np.flatnonzero(jaccard.unpacked(held))) == {5, 63}
+
+
+def test_groups_are_whole_across_batches(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(300).select((F.col("id") % 13).alias("k"), "id")
+        got = jaccard.in_groups(rows, ["k"], lambda t: np.array([[t["k"][0].as_py(), len(t)]]))
+        assert {tuple(r) for r in got.collect()} == {(k, 24 if k == 0 else 23) for k in range(13)}
+        assert jaccard.in_groups(rows.limit(0), ["k"], lambda t: t).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

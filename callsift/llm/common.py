@@ -42,14 +42,13 @@ def running(df: DataFrame, group: list[str], order: list[str | Column], **sums:
     Rows equal in group and order lie in one part and get their sums in any order. The rows dealt
     out are written once, so part numbers stay the same when a lost executor's work is repeated.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"_key_{i}" for i in range(len(order))]
     named = df.withColumns({
         **{k: F.col(o) if isinstance(o, str) else o for k, o in zip(keys, order, strict=True)},
         **{f"_value_{n}": v.cast("long") for n, v in sums.items()},
     })
     dealt = settle(
-        named.repartitionByRange(parts, *group, *keys).withColumn("_part", F.spark_partition_id()),
+        named.repartitionByRange(*group, *keys).withColumn("_part", F.spark_partition_id()),
         "ranges",
     )
     totals = dealt.groupBy(*group, "_part").agg(*[F.sum(f"_value_{n}").alias(n) for n in sums])

@@ -25,7 +25,7 @@ HEADLINE = (
     "rolling_7d_score", "first_match_dedupe", "parse_score_responses", "parse_summary_responses",
     "parse_ai_summary", "assemble_model_input", "model_inference_batch", "keyword_rubric_score",
     "sentiment_label", "chunk_documents", "vector_topk", "document_topk", "tfidf_search",
-    "child_to_parent", "stream_daily_metrics",
+    "child_to_parent", "stream_daily_metrics", "predict_issue", "predict_resolution",
 )
 RUNS = 2
 

@@ -22,6 +22,7 @@ from callsift.llm import jaccard, langid, mixing, packing, pii
 from callsift.llm.common import small_batches
 from callsift.session import ensure_shared_dir, settle
 
+WORDS, ALIKE = 5, 80  # near copies share this percent of the union of their runs of so many words
 CLEAR = 0.5  # the least calibrated probability of a language that stays
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -41,11 +42,12 @@ def keep_clear_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id.
+    """Of documents that links connect, the one with the smallest doc_id. Two documents link when their
+    sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Rows without a doc_id stay if nothing with a doc_id is linked to them, one of each text.
     """
-    grouped = settle(jaccard.linked(docs), "groups")
+    grouped = settle(jaccard.linked(docs, n=WORDS, percent=ALIKE), "groups")
     kept = grouped.filter("doc_id = component_id").select("doc_id").distinct()
     known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id").dropDuplicates(["doc_id"])
     unknown = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])

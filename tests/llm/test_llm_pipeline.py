@@ -102,3 +102,20 @@ def test_columns_of_the_same_name_survive(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = corpus_pipeline.settle(stage(spark, docs, str(tmp_path)))
     assert {(r["score"], r["lang_pred"]) for r in docs.collect()} == {(0.25, "kept")}
+
+
+def test_copies_from_five_words_and_four_fifths_go(spark, tmp_path):
+    """Copies at similarities between 0.80 and 0.85, and one just below 0.80 that stays."""
+    def similarity(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        return len(x & y) / len(x | y)
+
+    rows = []
+    for i, cut in enumerate([30, 33, 36, 39, 41]):
+        words = [f"{w}{j}" for j, w in enumerate(prose(900 + i, 204).split())]
+        part = words[: 204 - cut]
+        assert (similarity(words, part) >= 0.8) == (cut < 41) and 0.79 < similarity(words, part) < 0.855
+        rows += [(i, " ".join(words), "xx", "s", 5), (100 + i, " ".join(part), "xx", "s", 5)]
+    docs = spark.createDataFrame(rows, PLAIN)
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, 4, 104}

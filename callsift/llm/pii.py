@@ -1,12 +1,19 @@
 """Personal data by fixed patterns and bootstrapped contextual extraction, in DataFrame functions only.
 
 Four kinds are found by their form. These base spans, and long hexadecimal secrets, are the seeds of a
-bootstrap: every mention of the form word, sign, value ("token = b44e15...") is an edge between a
-lexical pattern (the word in lower case and its sign) and an instance (the value). A pattern's
-confidence for a kind is the share of its distinct instances known to be of that kind, ordinary words
-included. Patterns that are confident and have enough support make their other identifier-like values
-known, these support further patterns, and so on for a few rounds. All mentions of the patterns that
-are confident in the end become spans beside the base ones.
+bootstrap over one graph of lexical patterns and instances, which has two sorts of edges:
+
+- Every mention of the form word, sign, value ("token = b44e15...") links the pattern of the word in
+  lower case and its sign with the value, ordinary words included. Mentions may overlap.
+- Every seed and every other identifier-like candidate is linked with the one, two and three words
+  before it and with the word after it, whatever stands between.
+
+A pattern's confidence for a kind is the share of its distinct instances known to be of that kind, the
+ordinary words in the place of an instance included. For words around an instance these are counted
+only for patterns that are confident without them, as they can make no pattern more confident.
+Patterns that are confident and have enough support make their other identifier-like instances known,
+these support further patterns, and so on until no new instance appears. All identifier-like instances
+of the patterns that are confident in the end become spans beside the base ones.
 
 Positions count code points. They come from the lengths of the parts between matches, as Spark gives
 matches without positions.
@@ -35,12 +42,21 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SECRET = r"^[0-9A-Fa-f]{32,}$"
-MENTION = r"""(?<![\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_]{0,30}+)(["'\x20]{0,2}+[:=#]["'\x20:=#]{0,3}+)([^\s"',;]{4,}+)"""
+MENTION = r"""(?<![\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_]{0,30}+)(["'\x20]{0,2}+[:=#]["'\x20:=#]{0,3}+)"""
+VALUE = r"""[^\s"',;]{4,}+"""
 TAIL = r"[.!?)\]}>]+$"
+# A number in groups, or a run of such characters with a digit or an at sign in it.
+PART = r"[\p{L}\p{N}_@.%+/-]"
+NUMBER = r"\+?+[0-9](?:[\x20().-]{0,2}+[0-9])++(?![._%+/-]*+[\p{L}\p{N}_@])"
+CANDIDATE = rf"(?<!{PART})(?:{NUMBER}|(?:(?![0-9@]){PART})*+[0-9@]{PART}*+)"
+WORD = r"[\p{L}\p{N}_]+"
+BEFORE, AFTER = 120, 60  # characters in which the words around a candidate are looked for
+WORDS_BEFORE = 3
 CONFIDENT = 0.6
 SUPPORT = 3
-ROUNDS = 3
 
+MENTIONS = "array<struct<start:int,text:string,pattern:string>>"
+CANDIDATES = "array<struct<start:int,text:string,before:string,after:string>>"
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -93,6 +109,64 @@ def spans(text: Column, pattern: str, valid: Callable[[Column], Column], likely:
     return F.when(likely, listed).otherwise(nothing)
 
 
+def mentions_in(text: Column) -> Column:
+    """Start and text of the value and pattern of every mention; a value may hold further mentions."""
+    whole = MENTION + f"(?=({VALUE}))"
+    zipped = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(whole), F.lit(0)).alias("found"),
+        F.regexp_extract_all(text, F.lit(whole), F.lit(3)).alias("value"),
+        F.split(text, whole, -1).alias("gap"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(MENTIONS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["found"]), F.lit(0))
+        sign = F.regexp_extract(x["found"], "[:=#]", 0)
+        word = F.regexp_extract(x["found"], rf"^{WORD}", 0)
+        mention = F.array(F.struct(
+            end.alias("start"), F.regexp_replace(x["value"], TAIL, "").alias("text"),
+            F.concat(F.lower(word), sign).alias("pattern"),
+        ))
+        kept = F.when(x["found"].isNotNull(), F.concat(acc["out"], mention))
+        return F.struct(end.alias("at"), kept.otherwise(acc["out"]).alias("out"))
+
+    sign = text.contains(":") | text.contains("=") | text.contains("#")
+    listed = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.when(sign, listed).otherwise(F.array().cast(MENTIONS))
+
+
+def candidates_in(text: Column) -> Column:
+    """Start and text of everything that may be an identifier, and the text before and after it, in
+    which an earlier candidate is only a 0."""
+    gap = F.split(text, CANDIDATE, -1)
+    zipped = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), gap.alias("gap"),
+        F.transform(F.slice(gap, 2, F.size(gap)), lambda g: F.left(g, F.lit(AFTER))).alias("next"),
+    )
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(CANDIDATES).alias("out")
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        tail = F.right(F.concat(acc["tail"], F.right(x["gap"], F.lit(BEFORE))), F.lit(BEFORE))
+        own = F.regexp_replace(x["found"], "^[._%/-]+", "")
+        held = F.array(F.struct(
+            (begin + F.length(x["found"]) - F.length(own)).alias("start"),
+            F.regexp_replace(own, TAIL, "").alias("text"), tail.alias("before"),
+            x["next"].alias("after"),
+        ))
+        return F.struct(
+            (begin + F.coalesce(F.length(x["found"]), F.lit(0))).alias("at"),
+            F.concat(tail, F.lit(" 0 ")).alias("tail"),
+            F.when(x["found"].isNotNull() & (F.length(own) > 2), F.concat(acc["out"], held))
+            .otherwise(acc["out"]).alias("out"),
+        )
+
+    listed = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike("[0-9@]"), listed).otherwise(F.array().cast(CANDIDATES))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     digit = text.rlike("[0-9]")
     return {
@@ -104,52 +178,114 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def examined(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, the base spans of each kind and all mentions, from one pass over the text."""
+    """doc_id, text_key, the base spans of each kind, all mentions and candidates, from one pass over the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select("doc_id", text.alias("text"))
-    sign = F.col("text").contains(":") | F.col("text").contains("=") | F.col("text").contains("#")
-    mentions = spans(F.col("text"), MENTION, lambda t: F.lit(True), sign)
     return computed_once(
-        named, **base_spans(F.col("text")), mentions=mentions, text_key=F.xxhash64("text")
+        named, **base_spans(F.col("text")), mentions=mentions_in(F.col("text")),
+        candidates=candidates_in(F.col("text")), text_key=F.xxhash64("text"),
     ).drop("text")
 
 
+def words(text: Column) -> Column:
+    """All words in lower case, numbers in them as 0."""
+    plain = F.regexp_replace(F.lower(text), "[0-9]+", "0")
+    return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
+
+
+def words_around(c: Column) -> Column:
+    """The patterns of a candidate: one to three words before it, and the word after it."""
+    def last(n: int) -> Column:
+        few = F.slice(words(c["before"]), -n, n)
+        return F.when(F.size(words(c["before"])) >= n, F.concat(F.array_join(few, " "), F.lit(" _")))
+
+    after = F.concat(F.lit("_ "), F.get(words(c["after"]), F.lit(0)))
+    return F.array_compact(F.array(*[last(n) for n in range(1, WORDS_BEFORE + 1)], after))
+
+
 def mentions_of(found: DataFrame) -> DataFrame:
-    """One row per mention: doc_id, text_key, pattern, value key, place of the value, its kind if it
-    begins where a base span begins or has the form of a secret, and whether it looks like an
-    identifier."""
-    each = found.filter(F.size("mentions") > 0).select(
-        "doc_id", "text_key", *KINDS, F.explode("mentions").alias("m")
-    )
-    whole = F.col("m.text")
-    sign = F.regexp_extract(F.regexp_extract(whole, MENTION, 2), "[:=#]", 0)
-    value = F.regexp_replace(F.regexp_extract(whole, MENTION, 3), TAIL, "")
-    start = F.col("m.end") - F.length(F.regexp_extract(whole, MENTION, 3))
-    named = each.select(
-        "doc_id", "text_key", *KINDS, value.alias("value"), start.alias("start"),
-        F.concat(F.lower(F.regexp_extract(whole, MENTION, 1)), sign).alias("pattern"),
-    )
+    """One row per edge of the graph and place: doc_id, text_key, pattern, value key, place of the value,
+    its kind if a base span begins where it does (of a candidate: in it) or it has the form of a secret,
+    whether it looks like an identifier, and whether it is held by a base span."""
+    assigned = F.transform("mentions", lambda m: F.struct(
+        m["start"].alias("start"), m["text"].alias("text"), F.array(m["pattern"]).alias("patterns"),
+        F.lit(1).alias("width"),
+    ))
+    around = F.transform("candidates", lambda c: F.struct(
+        c["start"].alias("start"), c["text"].alias("text"), words_around(c).alias("patterns"),
+        F.length(c["text"]).alias("width"),
+    ))
+    each = found.filter((F.size("mentions") > 0) | (F.size("candidates") > 0)).select(
+        "doc_id", "text_key", *KINDS, F.explode(F.concat(assigned, around)).alias("m")
+    ).select("doc_id", "text_key", *KINDS, "m.*")
+    start, end = F.col("start"), F.col("start") + F.col("width")
     begins = [
-        F.when(F.exists(kind, lambda s: s["start"] == F.col("start")), F.lit(kind)) for kind in KINDS
+        F.when(F.exists(kind, lambda s: (s["start"] >= start) & (s["start"] < end)), F.lit(kind))
+        for kind in KINDS
     ]
-    secret = F.when(F.col("value").rlike(SECRET), F.lit("secret"))
-    identifier = (F.length("value") >= 6) & (
-        F.col("value").contains("@") | (F.length(_digits(F.col("value"))) >= 3)
+    whole = start + F.length("text")
+    inside = reduce(lambda a, b: a | b, [
+        F.exists(kind, lambda s: (s["start"] < whole) & (s["end"] > start)) for kind in KINDS
+    ])
+    secret = F.when(F.col("text").rlike(SECRET), F.lit("secret"))
+    identifier = (F.length("text") >= 6) & (
+        F.col("text").contains("@") | (F.length(_digits(F.col("text"))) >= 3)
+    )
+    told = computed_once(
+        each, value=F.md5("text"), end=whole, kind=F.coalesce(*begins, secret), identifier=identifier,
+        held=inside,
+    ).filter((F.col("width") == 1) | F.col("identifier") | F.col("kind").isNotNull())
+    return told.select(
+        "doc_id", "text_key", F.explode("patterns").alias("pattern"), "value", "start", "end", "kind",
+        "identifier", "held",
     )
-    return named.select(
-        "doc_id", "text_key", "pattern", F.md5("value").alias("value"), "start",
-        (F.col("start") + F.length("value")).alias("end"),
-        F.coalesce(*begins, secret).alias("kind"), identifier.alias("identifier"),
+
+
+def ordinary(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, n_ordinary): the distinct ordinary words in the place of an instance, for those of
+    `patterns` that are words around one, over all texts."""
+    asked = patterns.filter(around(F.col("pattern"))).select("pattern").distinct()
+    nearest = F.when(F.endswith("pattern", F.lit(" _")), F.element_at(F.split("pattern", " "), -2))
+    keys = asked.select(nearest.alias("key"), F.element_at(F.split("pattern", " "), -1).alias("next"))
+    before = keys.filter("key IS NOT NULL").select(F.col("key").alias("w1")).distinct()
+    behind = keys.filter("key IS NULL").select(F.col("next").alias("after")).distinct()
+    marked = F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " 0 ")
+    held = computed_once(docs.select("text"), w=words(marked)).select("w")
+    places = F.transform("w", lambda word, i: F.struct(
+        word.alias("word"), *[F.get("w", i - n).alias(f"w{n}") for n in range(1, WORDS_BEFORE + 1)],
+        F.get("w", i + 1).alias("after"),
+    ))
+    each = held.select(F.inline(places)).filter(~F.col("word").contains("0"))
+
+    def last(n: int) -> Column:
+        parts = [F.col(f"w{i}") for i in range(n, 0, -1)]
+        return F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *parts, F.lit("_")))
+
+    lefts = F.array_compact(F.array(*[last(n) for n in range(1, WORDS_BEFORE + 1)]))
+    left = each.join(before, "w1", "left_semi").select("word", F.explode(lefts).alias("pattern"))
+    right = each.join(behind, "after", "left_semi").select(
+        "word", F.concat(F.lit("_ "), F.col("after")).alias("pattern")
     )
+    found = left.unionByName(right).join(asked, "pattern", "left_semi").distinct()
+    return found.groupBy("pattern").agg(F.count("*").alias("n_ordinary"))
+
 
+def around(pattern: Column) -> Column:
+    """Whether a pattern is words around an instance, not a word and a sign."""
+    return F.endswith(pattern, F.lit(" _")) | F.startswith(pattern, F.lit("_ "))
 
-def confident(edges: DataFrame) -> DataFrame:
-    """(pattern, kind) of the patterns confident in one kind, over distinct (pattern, value) edges."""
+
+def confident(edges: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """(pattern, kind) of the patterns confident in one kind, over distinct (pattern, value) edges and
+    the numbers of ordinary words in `plain`."""
     kinds = (*KINDS, "secret")
     counts = edges.groupBy("pattern").agg(
         F.count("*").alias("total"),
         *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds],
     )
+    if plain is not None:
+        more = F.col("total") + F.coalesce("n_ordinary", F.lit(0))
+        counts = counts.join(plain, "pattern", "left").withColumn("total", more)
     best = F.greatest(*[
         F.struct(F.col(f"n_{k}").alias("n"), F.lit(k).alias("kind")) for k in kinds
     ])
@@ -158,34 +294,41 @@ def confident(edges: DataFrame) -> DataFrame:
     ).select("pattern", F.col("best.kind").alias("found"))
 
 
-def learned_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrapped(edges: DataFrame, known: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """The confident patterns once no new instance appears. Every round but the last makes at least one
+    more instance known, so the rounds come to an end."""
+    while True:
+        spread = edges.join(known, "value", "left").select(
+            "pattern", "value", F.coalesce("kind", "learned").alias("kind"), "identifier"
+        )
+        patterns = settle(confident(spread, plain), "patterns")
+        told = spread.filter(F.col("identifier") & F.col("kind").isNull()).join(patterns, "pattern")
+        news = settle(told.groupBy("value").agg(F.min("found").alias("learned")), "news")
+        if news.isEmpty():
+            return patterns
+        known = settle(known.unionByName(news), "known")
+
+
+def learned_patterns(mentions: DataFrame, docs: DataFrame) -> DataFrame:
     """(pattern, found) after bootstrapping over the graph of patterns and instances."""
     edges = settle(mentions.groupBy("pattern", "value").agg(
         F.min("kind").alias("kind"), F.max("identifier").alias("identifier")
     ), "edges")
-    for _ in range(rounds):
-        told = edges.join(confident(edges), "pattern").filter("identifier")
-        told = told.groupBy("value").agg(F.min("found").alias("told"))
-        seeds = edges.filter(F.col("kind").isNotNull()).groupBy("value").agg(F.min("kind").alias("seed"))
-        news = seeds.join(told, "value", "full").select(
-            "value", F.coalesce("seed", "told").alias("learned")
-        )
-        spread = settle(
-            edges.join(news, "value", "left").select(
-                "pattern", "value", F.coalesce("kind", "learned").alias("kind"), "identifier",
-                (F.col("kind").isNull() & F.col("learned").isNotNull()).alias("is_new"),
-            ),
-            "edges",
-        )
-        edges = spread.drop("is_new")
-        if spread.filter("is_new").isEmpty():
-            break
-    return settle(confident(edges), "patterns")
+    known = settle(
+        edges.filter(F.col("kind").isNotNull()).groupBy("value").agg(F.min("kind").alias("learned")),
+        "known",
+    )
+    hopeful = bootstrapped(edges, known)
+    if hopeful.filter(around(F.col("pattern"))).isEmpty():
+        return hopeful
+    plain = settle(ordinary(docs, hopeful), "ordinary")
+    return bootstrapped(edges.join(hopeful, "pattern", "left_semi"), known, plain)
 
 
 def discovered(mentions: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, text_key and the spans that confident patterns add, as kind:start:end structs."""
-    hits = mentions.filter("identifier").join(patterns, "pattern")
+    fresh = F.col("identifier") & ~(around(F.col("pattern")) & F.col("held"))
+    hits = mentions.filter(fresh).join(patterns, "pattern")
     span = F.struct(F.col("found").alias("kind"), "start", "end")
     grouped = hits.select("doc_id", "text_key", span.alias("s")).distinct().groupBy("doc_id", "text_key")
     return grouped.agg(F.sort_array(F.collect_list("s")).alias("added"))
@@ -207,10 +350,10 @@ def found_spans(docs: DataFrame) -> DataFrame:
     """
     found = settle(examined(docs), "examined")
     mentions = settle(mentions_of(found), "mentions")
-    added = discovered(mentions, learned_patterns(mentions)).select(
+    added = discovered(mentions, learned_patterns(mentions, docs)).select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "added"
     )
-    base = found.drop("mentions")
+    base = found.drop("mentions", "candidates")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     joined = base.join(added, same, "left")
 

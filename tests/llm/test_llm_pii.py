@@ -100,3 +100,31 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.report(awkward(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_around_a_seed_find_more(spark):
+    """Seeds in prose, without a sign before them, make patterns of the words around them."""
+    texts = [f"you may write to ann{i}@mail.example.com today" for i in range(5)]
+    texts += [f"reach me by phone +1 437 555 06{i}9" for i in range(5)]
+    texts += [f"our key is {hashlib.md5(str(i).encode()).hexdigest()} ok" for i in range(5)]
+    texts += ["you may write to ann.lee77123 today", "phone: 555 123 4567", "our key is 5fa2-77x1-99 ok",
+              "page 123456 of it", "we sold 1234567 in all"]
+    texts += [f"the 10.5.{i}.7 here" for i in range(4)] + ["the 2468101 here"]  # "the" has other words, too
+    texts += [f"the {w} here" for w in "dog cat cow pig hen".split()]
+    got = check(spark, texts)
+    assert got[24]["spans"] == ""
+    assert "email:17:29" in got[15]["spans"].split(",")
+    assert got[16]["spans"] == "phone:7:19"
+    assert got[17]["spans"] == "secret:11:23"
+    assert got[18]["spans"] == got[19]["spans"] == ""
+
+
+def test_learning_goes_on_until_nothing_is_new(spark):
+    """Each context is learned from the one before it, over more rounds than three."""
+    texts = [f"hosta: 10.0.{i}.1" for i in range(9)]
+    for level in range(6):
+        for name in "abcdefg"[level : level + 2]:
+            texts += [f"host{name}: box{level}-77{i}-x" for i in range(4)]
+            texts += [f"host{name}: 10.1.{level}.{i}" for i in range(1)]
+    got = check(spark, texts)
+    assert all("ip:" in got[i]["spans"] for i in range(len(texts)))

@@ -4,7 +4,8 @@ Four kinds are found by their form. These base spans, and long hexadecimal secre
 bootstrap over one graph of lexical patterns and instances, which has two sorts of edges:
 
 - Every mention of the form word, sign, value ("token = b44e15...") links the pattern of the word in
-  lower case and its sign with the value, ordinary words included. Mentions may overlap.
+  lower case and its sign with the value, ordinary words included. A value ends before a further word
+  and sign, and mentions may overlap, so each of several chained assignments is an edge.
 - Every seed and every other identifier-like candidate is linked with the one, two and three words
   before it and with the word after it, whatever stands between.
 
@@ -43,8 +44,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 SECRET = r"^[0-9A-Fa-f]{32,}$"
 MENTION = r"""(?<![\p{L}\p{N}_])(\p{L}[\p{L}\p{N}_]{0,30}+)(["'\x20]{0,2}+[:=#]["'\x20:=#]{0,3}+)"""
-VALUE = r"""[^\s"',;]{4,}+"""
-TAIL = r"[.!?)\]}>]+$"
+# The value after a mention's sign: it ends before a further word and sign that have a value.
+VALUE = r"""(?:(?!(?<![\p{L}\p{N}_])\p{L}[\p{L}\p{N}_]{0,30}+[:=#]["'\x20:=#]{0,3}+[^\s"',;]{4})[^\s"',;]){4,}+"""
+TAIL = r"[.!?)\]}>&]+$"
 # A number in groups, or a run of such characters with a digit or an at sign in it.
 PART = r"[\p{L}\p{N}_@.%+/-]"
 NUMBER = r"\+?+[0-9](?:[\x20().-]{0,2}+[0-9])++(?![._%+/-]*+[\p{L}\p{N}_@])"

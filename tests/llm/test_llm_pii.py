@@ -128,3 +128,15 @@ def test_learning_goes_on_until_nothing_is_new(spark):
             texts += [f"host{name}: 10.1.{level}.{i}" for i in range(1)]
     got = check(spark, texts)
     assert all("ip:" in got[i]["spans"] for i in range(len(texts)))
+
+
+def test_nested_and_chained_assignments(spark):
+    key = "5fa2b6cd" * 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(
+        [f"config: token={key}", "Note: email: jane@x.org", "?user=jdoe77123&token=abc123456"])],
+        "doc_id long, text string")
+    found = pii.examined(docs).selectExpr("doc_id", "inline(mentions)")
+    edges = {(r["doc_id"], r["pattern"], r["start"], r["text"]) for r in found.collect()}
+    assert edges >= {(0, "token=", 14, key), (1, "email:", 13, "jane@x.org"), (2, "user=", 6, "jdoe77123"),
+                     (2, "token=", 22, "abc123456")}
+    assert not any(r[1] in ("config:", "note:") for r in edges)

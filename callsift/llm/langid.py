@@ -105,19 +105,21 @@ def sampled(labelled: DataFrame, per_label: int, most: int) -> DataFrame:
     """At most `most` (text, label) rows, by turns from each label; of a label about `per_label`, the ones
     with the smallest hashes in each of SAMPLE_GROUPS groups.
 
-    Ranks are taken over hashes alone, and every task first cuts its own rows. As each group is cut by
+    Rows with the same label and hash are one, and ranks are taken over hashes alone. As each group is cut by
     itself, a label with most of the table sends no more than the others to the task that counts it.
     """
     hashed = F.xxhash64("doc_id", "text")
-    keyed = labelled.select("label", hashed.alias("h"), F.pmod(hashed, F.lit(SAMPLE_GROUPS)).alias("g"))
+    group = F.pmod("h", F.lit(SAMPLE_GROUPS)).alias("g")
+    keyed = labelled.select("label", hashed.alias("h")).distinct().select("label", "h", group)
     within = F.row_number().over(Window.partitionBy("label", "g").orderBy("h"))
     each = -(-per_label // SAMPLE_GROUPS)
     some = keyed.withColumn("_n", within).filter(F.col("_n") <= each).drop("_n")
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     picks = some.withColumn("_n", rank)
-    bounded = picks.orderBy("_n", "h", "label").limit(most).select("label", "h").distinct()
+    bounded = picks.orderBy("_n", "h", "label").limit(most).select("label", "h")
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
-    return hashed.join(F.broadcast(bounded), ["label", "h"]).select("label", "h", "text")
+    found = hashed.join(F.broadcast(bounded), ["label", "h"])
+    return found.groupBy("label", "h").agg(F.min("text").alias("text"))
 
 
 @dataclass

@@ -98,3 +98,13 @@ def test_strong_penalty_leaves_few_weights():
     loose = langid.follow_leader(rows, 2, l1=0.0)
     strict = langid.follow_leader(rows, 2, l1=2.0)
     assert (strict != 0).sum() < (loose != 0).sum() / 3
+
+
+def test_repeated_rows_are_sampled_once(spark):
+    rows = [(None, "the same text", "hot")] * 4000 + [(i, f"text {i}", "seldom") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = langid.sampled(docs, per_label=100, most=langid.MOST_ROWS).groupBy("label").count().collect()
+    counts = {r["label"]: r["count"] for r in got}
+    assert counts["hot"] == 1 and 50 <= counts["seldom"] <= 100
+    model = langid.train(docs)
+    assert model.labels == ["hot", "seldom"]

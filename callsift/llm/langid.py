@@ -27,8 +27,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 ORDERS = 3
 SLICE = 1 << 20
-PER_LABEL = 500
-MOST_ROWS = 3000
+PER_LABEL = 600
+MOST_ROWS = 4000
 SAMPLE_GROUPS = 50
 EPOCHS = 4
 

@@ -108,3 +108,10 @@ def test_repeated_rows_are_sampled_once(spark):
     assert counts["hot"] == 1 and 50 <= counts["seldom"] <= 100
     model = langid.train(docs)
     assert model.labels == ["hot", "seldom"]
+
+
+def test_the_sample_has_its_full_size(spark):
+    rows = [(i, f"text {i}", f"label{i % 2}") for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = langid.sampled(docs, langid.PER_LABEL, langid.MOST_ROWS).groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {"label0": 600, "label1": 600}

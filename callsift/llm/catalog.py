@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.llm import (
-    chat, jaccard, langid, mixing, neighbours, packing, pii, quality_rules,
-    sharding, tokens,
+    chat, clustering, infilling, jaccard, langid, mixing, neighbours, packing, pii, quality_rules,
+    sharding, tokens, toxicity,
 )
 from callsift.llm.common import small_batches, table
 from callsift.llm.sql import SQL  # noqa: F401
@@ -114,3 +114,38 @@ def op9_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
 def op10_contextual_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, by form and by bootstrapped context."""
     return pii.report(table(spark, folder, "documents"))
+
+
+@query
+def op11_shallot_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors of 64 components in 40 clusters, after five rounds and a last assignment."""
+    found = clustering.clustered(table(spark, folder, "embeddings"), k=40, rounds=5, d=64, seed=2)
+    shown = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(shown, 256).alias("centroid_sha256"),
+    )
+
+
+@query
+def op12_pattern_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document, learned from labels outside the held-out fold."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.train(docs.filter(~fold), labels.filter(~fold))
+    judged = toxicity.scored(docs, model)
+    return judged.select(
+        "doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "n_clauses",
+    )
+
+
+@query
+def op13_skip_list_infill(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a fill-in-middle example, and the text got back from it."""
+    made = infilling.transformed(table(spark, folder, "documents"))
+    back = infilling.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )

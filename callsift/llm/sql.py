@@ -65,3 +65,68 @@ WITH sized AS (
 )""" for i in range(2)) + """
 SELECT doc_id, source, size, source_size, target, size * (whole + further) AS taken FROM chosen2
 """
+
+SQL["op11_shallot_clusters"] = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64
+), parts AS MATERIALIZED (
+  SELECT r, unnest(range(64)) AS i, unnest(v) AS x FROM kept
+), c0 AS MATERIALIZED (
+  SELECT c, unnest(range(64)) AS i, unnest(v) AS x FROM (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), v) - 1 AS c, v FROM kept
+    QUALIFY c < 40)
+)""" + "".join(f""", a{t} AS MATERIALIZED (
+  SELECT r, c, d FROM (
+    SELECT p.r, c.c, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d
+    FROM parts p JOIN c{t} c ON p.i = c.i GROUP BY p.r, c.c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+), c{t + 1} AS MATERIALIZED (
+  SELECT o.c, o.i, coalesce(n.x, o.x) AS x FROM c{t} o LEFT JOIN (
+    SELECT a.c, p.i, ((sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS x
+    FROM a{t} a JOIN parts p ON a.r = p.r GROUP BY a.c, p.i) n ON o.c = n.c AND o.i = n.i
+)""" for t in range(5)) + """, last AS (
+  SELECT r, c, d FROM (
+    SELECT p.r, c.c, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d
+    FROM parts p JOIN c5 c ON p.i = c.i GROUP BY p.r, c.c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+), shown AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS digest FROM c5 GROUP BY c
+)
+SELECT k.vec_id, l.c::INTEGER AS cluster, l.d AS distance,
+  (sum(l.d) OVER (PARTITION BY l.c))::BIGINT AS cluster_inertia, (sum(l.d) OVER ())::BIGINT AS inertia,
+  s.digest AS centroid_sha256
+FROM last l JOIN kept k ON l.r = k.r JOIN shown s ON s.c = l.c
+"""
+
+SQL["op13_skip_list_infill"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''),
+      '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, len(tokens)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(tokens) + 1) AS h1,
+    ('0x' || h[9:16])::BIGINT % (len(tokens) + 1) AS h2,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4
+  FROM cut
+), formed AS (
+  SELECT doc_id, n, text,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h3 >= 50 THEN 'plain' WHEN h4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(tokens[1:least(h1, h2)], '') AS prefix,
+    array_to_string(tokens[least(h1, h2) + 1:greatest(h1, h2)], '') AS middle,
+    array_to_string(tokens[greatest(h1, h2) + 1:], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM formed
+"""

@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op9_virtual_slots": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_contextual_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op11_shallot_clusters": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op12_pattern_grammar": "doc_id held_out score predicted",
+    "op13_skip_list_infill": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
 }
 
 

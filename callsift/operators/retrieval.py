@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from callsift.functions import text as tx
 from callsift.plans.once import computed_once
@@ -146,7 +147,7 @@ def _scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type:
     return corpus.mapInPandas(run, schema)
 
 
-def _ranked(best: DataFrame, keys: list[str], k: int) -> DataFrame:
+def ranked(best: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best of the tasks' lists, which hold at most k rows per query and task.
 
     Lists of many tasks are first cut in groups by hash, so that a search with few queries over many
@@ -192,7 +193,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "v
         slim = corpus.select(*keys, "embedding").filter("embedding IS NOT NULL")
         kind = block.schema["query_id"].dataType
         best = _scan_best(slim, keys, held["query_id"].tolist(), kind, k, costs)
-        return _ranked(best, keys, k)
+        return ranked(best, keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.size("embedding") * 8)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
@@ -226,68 +227,50 @@ def _tokenised(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*keys, words)
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """How many documents hold each term, and how many documents there are.
+def counted_terms(docs: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
+    """(keys, terms, times, length): per document its known terms, how often each occurs, and its words.
 
-    Each task counts its own documents and sends one row per term it has met.
+    A document is one row and is counted where it lies; documents without a known term drop out. Each task
+    adds a row without terms whose length is the number of documents it has read.
     """
     find = _known_terms(terms)
 
     def count(batches):
-        held, total = np.zeros(len(terms) + 1, dtype=np.int64), 0
-        for batch in batches:
-            rows, numbers = find(batch.column(0))
-            pairs = np.unique(rows * len(terms) + numbers)
-            held[:-1] += np.bincount(pairs % max(len(terms), 1), minlength=len(terms))[: len(terms)]
-            total += len(batch)
-        held[-1] = total
-        met = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(held[met])], ["term_no", "n"])
-
-    counted = _tokenised(docs).mapInArrow(count, "term_no long, n long")
-    out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for term_no, n in counted.groupBy("term_no").agg(F.sum("n")).collect():
-        out[term_no] = n
-    return out[:-1], int(out[-1])
-
-
-def weighted_terms(docs: DataFrame, keys: list[str], terms: list[str], idf: np.ndarray) -> DataFrame:
-    """(keys, terms, weights): per document its known terms with (1 + ln tf) * idf / sqrt(length).
-
-    A document is one row and is counted where it lies; documents without a known term drop out.
-    """
-    find = _known_terms(terms)
-
-    def weigh(batches):
+        total = 0
         for batch in batches:
             tokens = batch.column(len(keys))
             rows, numbers = find(tokens)
             cells, times = np.unique(rows * len(terms) + numbers, return_counts=True)
-            row, number = cells // len(terms), cells % len(terms)
-            lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
-            weights = (1 + np.log(times)) * idf[number] / np.sqrt(lengths[row])
+            row, number = cells // max(len(terms), 1), cells % max(len(terms), 1)
             met, first = np.unique(row, return_index=True)
             bounds = pa.array(np.append(first, len(row)), pa.int32())
             kept = [batch.column(i).take(pa.array(met)) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([
                 *kept, pa.ListArray.from_arrays(bounds, pa.array(number.astype(np.int32))),
-                pa.ListArray.from_arrays(bounds, pa.array(weights)),
-            ], [*keys, "terms", "weights"])
+                pa.ListArray.from_arrays(bounds, pa.array(times.astype(np.int32))),
+                tokens.value_lengths().cast(pa.int64()).take(pa.array(met)),
+            ], schema=told)
+            total += len(batch)
+        nothing = [pa.nulls(1, told.field(i).type) for i in range(len(told) - 1)]
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array([total], pa.int64())], schema=told)
 
     schema = T.StructType([
         *[T.StructField(name, docs.schema[name].dataType) for name in keys],
         T.StructField("terms", T.ArrayType(T.IntegerType())),
-        T.StructField("weights", T.ArrayType(T.DoubleType())),
+        T.StructField("times", T.ArrayType(T.IntegerType())),
+        T.StructField("length", T.LongType()),
     ])
-    return _tokenised(docs, *keys).mapInArrow(weigh, schema)
+    told = to_arrow_schema(schema)
+    return _tokenised(docs, *keys).mapInArrow(count, schema)
 
 
 def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY,
                  k: int = TOP_K) -> DataFrame:
     """The k best documents per query text by the sum of tf-idf weights of shared words.
 
-    Only words of the block's queries are counted in the corpus. One scan adds up how many documents
-    hold each word, a second one scores every document in its own row; documents are never shuffled.
+    Texts are read once: a scan keeps, for every document in its own row, how often the words of the
+    block's queries occur. How many documents hold each word, and every document's score, come from these
+    lists. Documents are never shuffled.
     """
 
     keys = _names(key)
@@ -315,7 +298,8 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
             sizes = np.array([len(x) for x in lists])
             rows = np.repeat(np.arange(len(lists)), sizes)
             numbers = np.concatenate(lists).astype(np.int64)
-            weights = np.concatenate(part["weights"].tolist()).astype(np.float64)
+            times = np.concatenate(part["times"].tolist()).astype(np.float64)
+            weights = (1 + np.log(times)) * idf[numbers] / np.sqrt(part["length"].to_numpy()[rows])
             spread = first[numbers + 1] - first[numbers]
             start = np.repeat(first[numbers], spread)
             within = np.arange(len(start)) - np.repeat(np.cumsum(spread) - spread, spread)
@@ -324,10 +308,14 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
             scores = total.reshape(len(lists), width)
             return np.where(scores > 0, -scores, np.inf)
 
-        held, total = document_frequencies(docs, terms)
+        counted = settle(counted_terms(docs, keys, terms), "terms")
+        held = np.zeros(len(terms), dtype=np.int64)
+        lists = counted.filter("terms IS NOT NULL")
+        for number, n in lists.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+            held[number] = n
+        total = counted.filter("terms IS NULL").agg(F.sum("length")).first()[0]
         idf = np.log((total + 1) / (held + 1)) + 1
-        lists = weighted_terms(docs, keys, terms, idf)
-        return _ranked(_scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
+        return ranked(_scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.length("text"))
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 _TYPES = {
     "BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(),
     "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP_NTZ": T.TimestampNTZType(),
-    "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
+    "DATE": T.DateType(), "ARRAY<FLOAT>": T.ArrayType(T.FloatType()),
 }
 
 

@@ -117,6 +117,11 @@ def _store(spark: SparkSession, path: str):
     return root.getFileSystem(spark._jsc.hadoopConfiguration()), root
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, root = _store(spark, path)
+    return fs.exists(root)
+
+
 def ensure_table(
     spark: SparkSession, path: str, schema: T.StructType, *partition_by: str
 ) -> None:

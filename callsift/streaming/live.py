@@ -15,9 +15,10 @@ from callsift import schemas
 from callsift.functions.numbers import exact_sum, ratio
 from callsift.operators import quality
 from callsift.plans import loads
-from callsift.sources import files, sinks
+from callsift.sources import files, keyed, sinks
 
 EPOCH, DAY = "1970-01-01", 86_400
+DAILY = schemas.flat("day DATE, issue_category STRING, calls BIGINT, avg_score DOUBLE")
 
 
 def _run(writer, trigger_seconds: int | None) -> StreamingQuery:
@@ -49,21 +50,22 @@ def start_ingest(
     spark: SparkSession, folder: str, out: str, checkpoint: str, run_ts: datetime | None = None,
     trigger_seconds: int | None = None, one_per_line: bool = False, rejects_out: str | None = None,
 ) -> StreamingQuery:
-    """Append calls of new files to the table at `out`; a call already there is left alone.
+    """Add calls of new files to the table at `out`, which `keyed.read` reads; a call already there is left
+    alone.
 
     Within a batch the first file by name wins. A repeated batch finds its calls in the table and
     adds nothing. Without `run_ts` every batch is stamped with the time it runs at. Unreadable
-    documents go to `rejects_out`.
+    documents go to `rejects_out`. A trigger reads the key filters of its calls' folders, and keys only
+    where a call may be stored already; see `keyed`.
     """
-    sinks.ensure_table(spark, out, schemas.CALLS)
+    keyed.ensure(spark, out)
 
     def add(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.schema(schemas.CALLS).parquet(out)
         at = run_ts or datetime.now(UTC)
-        batch = batch.persist()  # read once for the size check and both writes
+        batch = batch.persist()  # read once for both writes
         try:
             calls, rejects = files.parse_calls(batch, at, files.FILE_NAME)
-            sinks.append(loads.new_calls(stored, calls, small_batch=True), out)
+            keyed.insert_ignore(calls, out, schemas.CALLS, loads.KEY, files.FILE_NAME)
             _keep_rejects(rejects, rejects_out, number)
         finally:
             batch.unpersist()
@@ -77,15 +79,14 @@ def start_transcripts(
     spark: SparkSession, folder: str, out: str, checkpoint: str, run_ts: datetime | None = None,
     trigger_seconds: int | None = None, one_per_line: bool = False, rejects_out: str | None = None,
 ) -> StreamingQuery:
-    """Append transcripts of new files, with their features, to the table at `out`; a call that has
-    one is left alone."""
-    sinks.ensure_table(spark, out, schemas.TRANSCRIPTS)
+    """Add transcripts of new files, with their features, to the table at `out`, which `keyed.read` reads;
+    a call that has one is left alone."""
+    keyed.ensure(spark, out)
 
     def add(batch: DataFrame, number: int) -> None:
-        stored = batch.sparkSession.read.schema(schemas.TRANSCRIPTS).parquet(out)
         parsed, rejects = files.parse_transcripts(batch, "value")
         rows = loads.transcript_rows(parsed, run_ts or datetime.now(UTC))
-        sinks.append(sinks.unseen(stored, rows, loads.KEY, "transcript_id", small_batch=True), out)
+        keyed.insert_ignore(rows, out, schemas.TRANSCRIPTS, loads.KEY, "transcript_id")
         _keep_rejects(rejects, rejects_out, number)
 
     texts = transcripts_stream(spark, folder, one_per_line)
@@ -123,21 +124,33 @@ def daily_metrics_stream(stream: DataFrame, delay: str | None = "1 day") -> Data
 
 
 def start_daily_metrics(
-    stream: DataFrame, out: str, checkpoint: str, trigger_seconds: int | None = None
+    stream: DataFrame, out: str, checkpoint: str, trigger_seconds: int | None = None,
+    delay: str = "7 days",
 ) -> StreamingQuery:
-    """Keep the complete daily table at `out` current, one published version per batch."""
+    """Keep the daily table at `out` current; `read_daily` reads it.
 
-    def replace(batch: DataFrame, _: int) -> None:
-        sinks.publish(batch, out)
+    State holds the days of the last `delay` only: older ones are closed and leave it, and a row that comes
+    later still is dropped. A batch hands on the groups it has changed, which replace theirs in the day's
+    folder; other days are not touched, and a repeated batch changes nothing. A new checkpoint counts anew
+    and replaces the groups that it meets.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        keyed.merge_parts(batch, out, "day", ["issue_category"], checkpoint, number)
 
-    metrics = daily_metrics_stream(stream, delay=None)
+    metrics = daily_metrics_stream(stream, delay)
     writer = (
-        metrics.writeStream.outputMode("complete").foreachBatch(replace)
+        metrics.writeStream.outputMode("update").foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
     )
     return _run(writer, trigger_seconds)
 
 
+def read_daily(spark: SparkSession, out: str) -> DataFrame:
+    """The daily table as it now is."""
+    return keyed.read_parts(spark, out, DAILY, "day")
+
+
 def quality_log_stream(calls: DataFrame, max_hold: float = 1000.0) -> DataFrame:
     """The call rules of the quality log on a stream of calls; needs no state."""
     return quality.call_issues(calls, max_hold)

@@ -19,13 +19,14 @@ from callsift.operators import retrieval as rt
 from callsift.operators import rollups as ru
 from callsift.operators import rubric as rb
 from callsift.operators import scoring as sc
+from callsift.operators import textindex as ti
 from callsift.operators import training as tr
 from callsift.operators import transcripts as ts
 from callsift.plans import audit as au
 from callsift.plans import context as cx
 from callsift.plans.dedupe import first_match
 from callsift.session import scratch_path, settle
-from callsift.sources import files, sample, sinks
+from callsift.sources import files, keyed, sample, sinks
 from callsift.streaming import live
 from checks.inputs import (
     KEY, audit_responses, detail_documents, first_sentences, keyword_rubric, label_centres,
@@ -589,6 +590,23 @@ def _(spark, folder):
     return cx.contexts(search_documents(spark, folder), search_queries(spark, folder))
 
 
+@query("indexed_search")
+def _(spark, folder):
+    """The search over a stored index that was built in two steps."""
+    path, docs = scratch_path(spark, "index"), search_documents(spark, folder)
+    for part in (docs.filter(F.col(KEY) % 3 != 0), docs):
+        ti.append(part, path, KEY)
+    hits = ti.search(search_queries(spark, folder), path, KEY)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("indexed_contexts")
+def _(spark, folder):
+    path, docs = scratch_path(spark, "chunk-index"), search_documents(spark, folder)
+    cx.index_chunks(docs, path)
+    return cx.contexts(docs, search_queries(spark, folder), index=path)
+
+
 # Features and models.
 
 @query("tfidf_features")
@@ -737,7 +755,7 @@ def _(spark, folder):
         live.start_ingest(
             spark, incoming, out, state, RUN_TS, one_per_line=True
         ).awaitTermination()
-    return spark.read.schema(schemas.CALLS).parquet(out)
+    return keyed.read(spark, out, schemas.CALLS)
 
 
 def _order_stream(spark, folder):
@@ -756,8 +774,7 @@ def _(spark, folder):
         (cents % 10001 / F.lit(100.0)).alias("overall_score"),
     )
     live.start_daily_metrics(stream, out, state).awaitTermination()
-    schema = live.daily_metrics_stream(stream, None).schema
-    return sinks.read_published(spark, out, schema)
+    return live.read_daily(spark, out)
 
 
 @query("stream_quality_log")
@@ -781,7 +798,7 @@ def _(spark, folder):
     live.start_transcripts(
         spark, incoming, out, state, RUN_TS, one_per_line=True
     ).awaitTermination()
-    stored = spark.read.schema(schemas.TRANSCRIPTS).parquet(out)
+    stored = keyed.read(spark, out, schemas.TRANSCRIPTS)
     return stored.select(KEY, "agent_text", "customer_text", "talk_ratio")
 
 

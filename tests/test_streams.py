@@ -3,8 +3,10 @@
 import json
 from datetime import datetime
 
+import numpy as np
+
 from callsift import schemas
-from callsift.sources import files, sinks
+from callsift.sources import keyed
 from callsift.streaming import live
 
 RUN = datetime(2026, 1, 1)
@@ -23,7 +25,7 @@ def test_ingest_ignores_known_calls(spark, tmp_path, rows):
     live.start_ingest(spark, str(incoming), out, state, RUN).awaitTermination()
     put(incoming, "b", 2, 3)
     live.start_ingest(spark, str(incoming), out, state, RUN).awaitTermination()
-    stored = files.read_table(spark, out, schemas.CALLS)
+    stored = keyed.read(spark, out, schemas.CALLS)
     assert rows(stored, "contact_id", "first_name") == [(1, "a"), (2, "a"), (3, "b")]
 
 
@@ -33,7 +35,7 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path, rows):
     for run in range(2):
         state = str(tmp_path / f"state{run}")
         live.start_ingest(spark, str(incoming), out, state, RUN).awaitTermination()
-    assert rows(files.read_table(spark, out, schemas.CALLS), "contact_id") == [(1,), (2,)]
+    assert rows(keyed.read(spark, out, schemas.CALLS), "contact_id") == [(1,), (2,)]
 
 
 def test_batches_are_stamped_when_they_run_and_rejects_kept(spark, tmp_path, rows):
@@ -44,7 +46,7 @@ def test_batches_are_stamped_when_they_run_and_rejects_kept(spark, tmp_path, row
     live.start_ingest(spark, str(incoming), out, state, rejects_out=bad).awaitTermination()
     put(incoming, "b", 3)
     live.start_ingest(spark, str(incoming), out, state, rejects_out=bad).awaitTermination()
-    stamps = rows(files.read_table(spark, out, schemas.CALLS), "contact_id", "created_at")
+    stamps = rows(keyed.read(spark, out, schemas.CALLS), "contact_id", "created_at")
     assert [k for k, _ in stamps] == [1, 3] and stamps[0][1] < stamps[1][1]
     assert rows(spark.read.parquet(bad), "reason") == [("no JSON",)]
 
@@ -62,9 +64,11 @@ def test_transcripts_and_their_log(spark, tmp_path, rows):
         live.start_transcripts(spark, str(incoming), out, str(tmp_path / "s1"), RUN).awaitTermination()
         say("b.json", "2", "hello you", "hi")
         say("c.json", "1", "late", "late")
-    assert rows(files.read_table(spark, out, schemas.TRANSCRIPTS), "contact_id", "agent_text") == [
+    assert rows(keyed.read(spark, out, schemas.TRANSCRIPTS), "contact_id", "agent_text") == [
         (1, "hi"), (2, "hello you")]
-    stream = spark.readStream.schema(schemas.TRANSCRIPTS).parquet(out)
+    talk = str(tmp_path / "talk-rows")
+    keyed.read(spark, out, schemas.TRANSCRIPTS).write.parquet(talk)
+    stream = spark.readStream.schema(schemas.TRANSCRIPTS).parquet(talk)
     live.start_log(live.talk_log_stream(stream), log, str(tmp_path / "s2")).awaitTermination()
     assert rows(spark.read.parquet(log), "contact_id", "field_name") == [(1, "talk_ratio")]
 
@@ -84,14 +88,88 @@ def test_daily_table_stays_whole(spark, tmp_path, rows):
     def run():
         stream = spark.readStream.schema(METRICS).parquet(source)
         live.start_daily_metrics(stream, out, state).awaitTermination()
-        schema = live.daily_metrics_stream(stream, None).schema
-        return [(d.day, *r) for d, *r in rows(sinks.read_published(spark, out, schema))]
+        return [(d.day, *r) for d, *r in rows(live.read_daily(spark, out))]
 
     assert run() == [(1, "A", 2, 15.0), (2, None, 1, None)]
     feed(spark, source, (day, "A", 30.0))
     assert run() == [(1, "A", 3, 20.0), (2, None, 1, None)]
 
 
+def test_old_days_leave_the_state_and_late_rows_are_dropped(spark, tmp_path, rows):
+    source, out, state = (str(tmp_path / n) for n in ("in", "daily", "state"))
+    day = datetime(2025, 1, 1, 8)
+
+    def run():
+        stream = spark.readStream.schema(METRICS).parquet(source)
+        query = live.start_daily_metrics(stream, out, state, delay="2 days")
+        query.awaitTermination()
+        told = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return [(d.day, *r) for d, *r in rows(live.read_daily(spark, out))], told[-1]
+
+    feed(spark, source, (day, "A", 10.0), (day, "B", 1.0), (day.replace(day=2), "A", 5.0))
+    assert run() == ([(1, "A", 1, 10.0), (1, "B", 1, 1.0), (2, "A", 1, 5.0)], 3)
+    feed(spark, source, (day.replace(day=20), "A", 7.0), (day, "A", 30.0))  # still in time
+    table, held = run()
+    assert table == [(1, "A", 2, 20.0), (1, "B", 1, 1.0), (2, "A", 1, 5.0), (20, "A", 1, 7.0)]
+    assert held == 1  # the first two days are closed
+    feed(spark, source, (day, "A", 99.0), (day.replace(day=19), "C", 3.0))  # one too late, one not
+    assert run()[0] == sorted([*table, (19, "C", 1, 3.0)], key=repr)
+
+
+def test_a_batch_touches_its_days_only_and_once(spark, tmp_path, rows):
+    out = str(tmp_path / "daily")
+
+    def batch(*values):
+        return spark.createDataFrame([(datetime(2025, 1, d).date(), c, n, s) for d, c, n, s in values], live.DAILY)
+
+    def versions():
+        return {r["part"]: r["held_in"] for r in keyed._manifest(spark, out, keyed.PARTS)}
+
+    assert keyed.merge_parts(batch((1, "A", 1, 1.0), (1, None, 2, None), (2, "A", 3, 3.0)), out, "day",
+                             ["issue_category"], "run", 0)
+    more = batch((2, "A", 4, 4.0), (3, None, 1, None))
+    assert keyed.merge_parts(more, out, "day", ["issue_category"], "run", 1)
+    want = [(1, "A", 1, 1.0), (1, None, 2, None), (2, "A", 4, 4.0), (3, None, 1, None)]
+    for _ in range(2):
+        assert sorted([(d.day, *r) for d, *r in rows(live.read_daily(spark, out))], key=repr) == sorted(want, key=repr)
+        assert versions() == {"2025-01-01": 1, "2025-01-02": 2, "2025-01-03": 2}
+        assert not keyed.merge_parts(more, out, "day", ["issue_category"], "run", 1)
+
+
+def test_files_read_per_trigger_do_not_grow(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(keyed, "MOST_FILES", 3)
+    out, schema = str(tmp_path / "keyed"), keyed.flat("k BIGINT, v STRING")
+    read, opened = keyed._read, []
+    monkeypatch.setattr(keyed, "_read", lambda s, p, pairs, *a: opened.append((p, len(pairs))) or read(s, p, pairs, *a))
+    keyed.ensure(spark, out)
+    per_batch = []
+    for number in range(12):
+        opened.clear()
+        fresh = [(number * 100 + i, f"b{number}") for i in range(100)]
+        again = [(number * 50 + i, "late") for i in range(3)] if number else []
+        frame = spark.createDataFrame(fresh + again, schema)
+        assert keyed.insert_ignore(frame, out, schema, "k", "v", folders=4) == 100
+        per_batch.append(sum(n for p, n in opened if p.endswith("/data")))
+    stored = rows(keyed.read(spark, out, schema))
+    assert stored == sorted([(i, f"b{i // 100}") for i in range(1200)], key=repr)
+    # At most the folders' files, once for keys that may be known and once where folders are merged or
+    # filters made anew.
+    assert max(per_batch) <= 3 * 4 * 3
+    opened.clear()
+    assert keyed.insert_ignore(spark.createDataFrame([(10**9, "x")], schema), out, schema, "k", "v", folders=4) == 1
+    assert sum(n for p, n in opened if p.endswith("/data")) <= 3  # one folder at most, for a new key mostly none
+
+
+def test_bloom_filters_never_miss():
+    pick = np.random.Generator(np.random.PCG64(1))
+    h, g = (pick.integers(-(2**63), 2**63, 4000, dtype=np.int64) for _ in range(2))
+    bits = keyed.filled(h[:1000], g[:1000], 1000)
+    bits = keyed.filled(h[1000:2000], g[1000:2000], 2000, bits)
+    assert keyed.may_hold(bits, h[:2000], g[:2000]).all()
+    assert keyed.may_hold(bits, h[2000:], g[2000:]).mean() < 0.02
+    assert not keyed.is_full(bits, 2000) and keyed.is_full(bits, 10**6) and keyed.is_full(None, 0)
+
+
 def test_watermark_closes_days(spark, tmp_path, rows):
     source, out, state = (str(tmp_path / n) for n in ("in", "closed", "state"))
     day = datetime(2025, 1, 1, 8)

@@ -76,7 +76,8 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents that share 85 % of their 4-word shingles."""
-    return jaccard.linked(table(spark, folder, "documents"), n=4, percent=85)
+    found = jaccard.linked(table(spark, folder, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query

@@ -22,8 +22,9 @@ fixed size, which only ever save work.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; equal sets are one node and always linked; rows that share a
-doc_id are one document; a component of rows without doc_id has a null id; an empty table gives no
-rows. Only doc_id and text are read.
+doc_id are one document; rows without doc_id link like all others, and a component of such rows alone has
+a null id; an empty table gives no rows. Only doc_id and text are read; doc_id must be a whole number or
+a text of one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.llm.common import window_hashes, word_hashes
@@ -105,7 +106,8 @@ def seen_often(docs: DataFrame, n: int, percent: int, often: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, often: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Per row: doc_id, set size, the set's 128-bit digest (hi, lo), its first shingles and signature.
+    """Per row: doc_id, a hash of its text (null counts as empty), set size, the set's 128-bit digest (hi,
+    lo), its first shingles and signature.
 
     A task leaves out shingles and signature of a set that it has described before.
     """
@@ -126,16 +128,21 @@ def described(docs: DataFrame, often: np.ndarray, n: int, percent: int) -> DataF
                 signed.append(signature(shingles) if fresh else None)
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]),
+                batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(halves[:, 0]),
                 pa.array(halves[:, 1]), pa.array(firsts, pa.list_(pa.int64())),
                 pa.array(signed, pa.binary()),
-            ], ["doc_id", "n", "hi", "lo", "firsts", "signed"])
+            ], ["doc_id", "text_key", "n", "hi", "lo", "firsts", "signed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        describe, "doc_id long, n long, hi long, lo long, firsts array<long>, signed binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("text_key")).mapInArrow(
+        describe,
+        "doc_id long, text_key long, n long, hi long, lo long, firsts array<long>, signed binary",
     )
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def shared_members(rows: DataFrame) -> DataFrame:
     """(region, hi, lo): the sets that have a first shingle in common with another set."""
     begun = rows.filter(F.col("firsts").isNotNull())
@@ -330,33 +337,49 @@ def remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, shingles) of the given nodes, from the whole texts of the rows with these ids."""
-    bits = bit_table(nodes.select(F.col("node").alias("v")))
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)
+    """(node, shingles) of the given (node, hi, lo, _least), from whole texts of the rows with these ids.
+
+    A set that only rows without doc_id hold is found by its digest among these rows. A task gives each
+    set once.
+    """
+    known = bit_table(nodes.filter(F.col("_least").isNotNull()).select(F.col("_least").alias("v")))
+    nameless = bit_table(nodes.filter(F.col("_least").isNull()).select(F.col("hi").alias("v")))
+    shipped = docs.sparkSession.sparkContext.broadcast((known, nameless))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = unpacked(shipped.value)
+        wanted, by_digest = map(unpacked, shipped.value)
+        some_nameless, given = by_digest.any(), set()
         for batch in batches:
+            no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            part = batch.take(pa.array(np.flatnonzero(wanted[ids.view(np.uint64) % len(wanted)])))
-            found = [s.view(np.int64) for s in row_sets(part.column(1), n)]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in found]
-            halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            asked = wanted[ids.view(np.uint64) % len(wanted)] & ~no_id | (no_id & some_nameless)
+            part = batch.take(pa.array(np.flatnonzero(asked)))
+            held, halves = [], []
+            for i, shingles in enumerate(row_sets(part.column(1), n)):
+                digest = xxhash.xxh3_128_digest(shingles.tobytes())
+                hi, lo = (int(x) for x in np.frombuffer(digest, dtype="<i8"))
+                listed = part.column(0)[i].is_valid or by_digest[hi % len(by_digest)]
+                if listed and digest not in given:
+                    given.add(digest)
+                    held.append(shingles.view(np.int64))
+                    halves.append((hi, lo))
             yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array(halves[:, 0]), pa.array(found, pa.list_(pa.int64()))
-            ], ["node", "hi", "shingles"])
+                pa.array([hi for hi, _ in halves], pa.int64()), pa.array([lo for _, lo in halves], pa.int64()),
+                pa.array(held, pa.list_(pa.int64())),
+            ], ["hi", "lo", "shingles"])
 
-    built = docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(
-        build, "node long, hi long, shingles array<long>"
+    built = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        build, "hi long, lo long, shingles array<long>"
     )
-    return built.join(nodes, ["node", "hi"]).dropDuplicates(["node", "hi"]).select("node", "shingles")
+    found = built.join(nodes.select("node", "hi", "lo"), ["hi", "lo"])
+    return found.dropDuplicates(["hi", "lo"]).select("node", "shingles")
 
 
 def checked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The (a, b) pairs that are links, by the exact similarity of their whole sets."""
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    held = settle(sets_of(docs, settle(nodes.join(asked.distinct(), "node").select("node", "hi"), "asked"),
-                          n), "sets")
+    wanted = nodes.join(asked.distinct(), "node").select("node", "hi", "lo", "_least")
+    held = settle(sets_of(docs, settle(wanted, "asked"), n), "sets")
     x = held.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = held.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -366,7 +389,11 @@ def checked(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85, often: int = OFTEN) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles and component_id, the smallest doc_id that links
-    reach. Two documents link when they share `percent` of the union of their n-word shingles."""
+    reach. Two documents link when they share `percent` of the union of their n-word shingles.
+
+    Two more columns serve rows that doc_id can't tell apart: `text_key`, see above, and `group`, a number
+    of the component whether or not it has a doc_id, null for an empty set.
+    """
     rows = settle(described(docs, seen_often(docs, n, percent, often), n, percent), "described")
     nodes = settle(
         rows.filter("n > 0").groupBy("hi", "lo").agg(
@@ -402,9 +429,10 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, often: int = OFTEN) -
     )
     named = settle(ids, "ids")
     least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    of_set = named.join(least, "component").select("hi", "lo", "component_id")
-    joined = rows.select("doc_id", "n", "hi", "lo").join(of_set, ["hi", "lo"], "left")
+    of_set = named.join(least, "component").select("hi", "lo", "component", "component_id")
+    joined = rows.select("doc_id", "text_key", "n", "hi", "lo").join(of_set, ["hi", "lo"], "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_key", F.col("component").alias("group"),
     )

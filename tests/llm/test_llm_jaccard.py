@@ -98,6 +98,19 @@ def test_sets_without_id_among_them(spark):
     assert got == {(None, None), (5, 5)}
 
 
+def test_links_through_a_set_without_id(spark):
+    """Documents 1 and 3 are each near a third text, but not near each other."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[:185]), " ".join(words), " ".join(words[15:])]
+    for middle, want in ((2, 1), (None, 1)):
+        frame = spark.createDataFrame([(1, texts[0]), (middle, texts[1]), (3, texts[2]), (None, texts[1])],
+                                      "doc_id long, text string")
+        got = jaccard.linked(frame.repartition(3)).collect()
+        assert [r["component_id"] for r in got] == [want] * 4
+    alone = spark.createDataFrame([(1, texts[0]), (3, texts[2])], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard.linked(alone).collect()} == {1, 3}
+
+
 def test_cells_and_windows_miss_no_pair():
     pick = random.Random(2)
     texts = [edited(prose(f, 90), pick, pick.choice([0.01, 0.03])) for f in range(30) for _ in range(12)]

@@ -25,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callsift.llm.jaccard import bit_table, unpacked
+from callsift.session import settle
+
 CACHE = "content string, tokenizer string, n_tokens long"
 BATCH_BYTES = 1 << 20
+HELD_DIGESTS = 1_000_000  # that a task remembers to leave out copies
 # Letters and signs on which all Unicode versions agree; other texts take the slower library.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ÿĀ-įĲ-ſ]*")
 
@@ -101,10 +105,10 @@ class WordCounts:
 
     For tokenizers that fold to lower case, cut texts by one pattern and encode every part by itself.
     Only plain texts without special strings are counted so; words are kept up to a number and then
-    forgotten, which bounds the memory.
+    forgotten, and words longer than LONG at once, which bounds the memory.
     """
 
-    KEPT = 400_000
+    KEPT, LONG = 400_000, 256
 
     def __init__(self, path: str, rule: str, special: list[str]):
         self.tokenizer = _tokenizer(path)
@@ -127,11 +131,16 @@ class WordCounts:
         new = list({word for words in cut if words for word in words if word not in self.known})
         whole = [t for t, words in zip(texts, cut, strict=True) if words is None]
         found = self.tokenizer.encode_batch_fast(new + whole, add_special_tokens=False)
-        self.known.update(zip(new, map(len, found), strict=False))
+        fresh = dict(zip(new, map(len, found), strict=False))
+        self.known.update(fresh)
         rest = iter(found[len(new) :])
-        return [
+        counts = [
             len(next(rest)) if words is None else sum(map(self.known.__getitem__, words)) for words in cut
         ]
+        for word in fresh:
+            if len(word) > self.LONG:
+                del self.known[word]
+        return counts
 
 
 def _word_rule(path: str) -> tuple[str, list[str]] | None:
@@ -195,17 +204,44 @@ def read_cache(spark, path: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(path).dropDuplicates(["content", "tokenizer"])
 
 
+def missing_texts(docs: DataFrame, content: Column, known: DataFrame) -> DataFrame:
+    """(content, text), one row per digest of `docs` that `known` lacks.
+
+    Which digests are missing is found on digests alone. Texts are looked at where they lie: a task hands on
+    a text only if its digest may be missing, by a bit table of a fixed size, and only once, so neither
+    texts with a stored count nor a task's copies are shuffled.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(content.alias("content"), F.coalesce("text", F.lit("")).alias("text"))
+    misses = settle(
+        keyed.select("content").distinct().join(known.select("content"), "content", "left_anti"), "misses"
+    )
+    shipped = spark.sparkContext.broadcast(bit_table(misses.select(F.xxhash64("content").alias("v"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, given = unpacked(shipped.value), set()
+        for batch in batches:
+            at = batch.column("h").to_numpy().view(np.uint64) % np.uint64(len(wanted))
+            kept = []
+            for i in np.flatnonzero(wanted[at]):
+                digest = batch.column("content")[int(i)].as_py()
+                if digest not in given:
+                    kept.append(i)
+                    if len(given) < HELD_DIGESTS:  # beyond it copies are let through, and folded below
+                        given.add(digest)
+            yield batch.take(pa.array(kept, pa.int64())).drop_columns(["h"])
+
+    likely = keyed.withColumn("h", F.xxhash64("content")).mapInArrow(pick, "content string, text string")
+    first = F.row_number().over(Window.partitionBy("content").orderBy("text"))
+    return likely.withColumn("_n", first).filter("_n = 1").drop("_n").join(misses, "content", "left_semi")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of whole texts; `cache` is the folder of stored counts."""
     spark, version, collapse = docs.sparkSession, file_digest(tokenizer), collapses(tokenizer)
     content = F.md5(normalised(F.col("text"), collapse))
     known = read_cache(spark, cache).filter(F.col("tokenizer") == version)
-    # One row per digest and task survives before the shuffle, so copies don't travel.
-    first = F.row_number().over(Window.partitionBy("content").orderBy("text"))
-    distinct = docs.select(content.alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-    misses = distinct.withColumn("_n", first).filter("_n = 1").drop("_n").join(
-        known.select("content"), "content", "left_anti"
-    )
+    misses = missing_texts(docs, content, known)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)

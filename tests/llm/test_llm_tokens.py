@@ -86,3 +86,19 @@ def test_slices():
     import numpy as np
     assert list(tokens.slices(np.array([5, 5, 20, 1, 1]), 10)) == [(0, 2), (2, 3), (3, 5)]
     assert list(tokens.slices(np.array([], dtype=int), 10)) == []
+
+
+def test_a_full_cache_shuffles_no_text(spark):
+    path, docs = scratch_path(spark, "cache"), awkward(spark).select("doc_id", "text")
+    tokens.count_tokens(docs, WORDS, path).collect()
+    content = tokens.F.md5(tokens.normalised(tokens.F.col("text"), tokens.collapses(WORDS)))
+    version = tokens.file_digest(WORDS)
+    known = tokens.read_cache(spark, path).filter(tokens.F.col("tokenizer") == version)
+    left = tokens.missing_texts(docs, content, known)
+    assert left.count() == 0
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    # All text that a shuffle sees comes out of the Python step, which hands on missing texts only.
+    above, below = plan.split("MapInArrow", 1)
+    assert "Window" in above and "Window" not in below and "Join" not in below
+    fewer = known.filter(known["content"] != known.first()["content"])
+    assert tokens.missing_texts(docs, content, fewer).count() == 1

@@ -45,13 +45,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of documents that links connect, the one with the smallest doc_id. Two documents link when their
     sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Rows without a doc_id stay if nothing with a doc_id is linked to them, one of each text.
+    Of rows that share a doc_id the one with the smallest hash of its text stays, on any partitioning. Rows
+    without a doc_id link like all others: one stays of each group that no doc_id is in, again the one
+    with the smallest hash, and one of each text without words.
     """
     grouped = settle(jaccard.linked(docs, n=WORDS, percent=ALIKE), "groups")
-    kept = grouped.filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id").dropDuplicates(["doc_id"])
-    unknown = docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return known.select(*docs.columns).unionByName(unknown)
+    known = grouped.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_key"))
+    nameless = grouped.filter("doc_id IS NULL AND component_id IS NULL")
+    alone = nameless.groupBy(F.coalesce("group", "text_key")).agg(F.min("text_key").alias("_key"))
+    kept = known.unionByName(alone.select(F.lit(None).cast("long").alias("doc_id"), "_key"))
+    wanted = kept.withColumnsRenamed({"doc_id": "_id"})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    found = docs.withColumn("_text", jaccard.text_key()).join(wanted, same)
+    return found.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

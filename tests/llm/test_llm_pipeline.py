@@ -119,3 +119,21 @@ def test_copies_from_five_words_and_four_fifths_go(spark, tmp_path):
     docs = spark.createDataFrame(rows, PLAIN)
     kept = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in kept.collect()} == {0, 1, 2, 3, 4, 104}
+
+
+def test_rows_without_id_and_ids_with_two_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(300)]
+    whole, cut, other = " ".join(words), " ".join(words[:280]), prose(7, 60)
+    rows = [(1, whole), (None, whole), (None, cut), (2, cut), (None, other), (None, other),
+            (None, other + " and more"), (None, None), (None, ""), (5, prose(8, 50)), (5, prose(9, 50))]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 5) for i, t in rows], PLAIN)
+    kept = [
+        sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[1][1](
+            spark, docs.repartition(n), str(tmp_path)).collect()), key=repr)
+        for n in (1, 5)
+    ]
+    assert kept[0] == kept[1]
+    ids = [i for i, _ in kept[0]]
+    assert sorted(i for i in ids if i is not None) == [1, 5]
+    texts = [t for i, t in kept[0] if i is None]
+    assert len(texts) == 2 and sum(bool(t) for t in texts) == 1  # one of the others, one empty

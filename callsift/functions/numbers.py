@@ -1,8 +1,7 @@
 """Sums and ratios that do not depend on the order in which tasks finish.
 
 DOUBLE sums change in the last digits with the order of partial results, which moves rounded
-averages across ties. Sums here run on whole numbers, so a result is the same on 8 cores and on
-1,000.
+averages across ties. Sums here are exact, so a result is the same on 8 cores and on 1,000.
 """
 
 from __future__ import annotations
@@ -11,31 +10,77 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EXACT = "decimal(18,6)"
+DIGIT = 28  # bits of a value that one BIGINT sum takes, which leaves room for 2^35 rows
+TOP, LOW = 40, -44  # the powers of two between which three such sums hold a value
+WHOLE = "decimal(31,9)"
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of a DOUBLE column, held to nine digits after the point, as DECIMAL.
+    """Sum of a numeric column as the DOUBLE nearest to the true sum, as `math.fsum` gives it.
 
-    Nine digits tell small values apart and still drop the binary rest of decimal values up to a
-    million, which would move exact ties. Whole parts, millionths and billionths are summed as BIGINT,
-    which stays in generated code and has room for 10^12 rows.
+    A value is split by exponent: a multiple of 2^40, three digits of 28 bits down to 2^-44, and what is
+    below. The digits are summed as BIGINT, the outer parts as DOUBLE. Those sums are exact too, as long
+    as values are zero or from 2^-10 to 2^80 in size; beyond that only bits far outside the rounding of
+    a result are lost, and no value is ever dropped. NaN and infinity give what Spark's sum gives. Five
+    plain sums stay in generated code and fold inside each task.
     """
-    whole = F.floor(value)
-    rest = (value - whole) * F.lit(1e6)
-    upper = F.floor(rest)
-    lower = F.floor((rest - upper) * F.lit(1e3) + F.lit(0.5))
-
-    def scaled(part: Column, unit: str, kind: str) -> Column:
-        return F.sum(part).cast("decimal(19,0)") * F.lit(unit).cast(kind)
-
-    fraction = scaled(upper, "0.000001", "decimal(7,6)") + (
-        scaled(lower, "0.000000001", "decimal(10,9)"))
-    return (F.sum(whole).cast("decimal(19,0)") + fraction).cast("decimal(31,9)")
+    x = value.cast("double")
+    finite = F.abs(x) < float("inf")
+    inner = x % F.lit(2.0 ** TOP)
+    parts, rest = [], F.when(finite, inner)
+    for power in range(TOP - DIGIT, LOW - 1, -DIGIT):
+        digit = (rest * F.lit(2.0 ** -power)).cast("long")  # towards zero, so that nothing is rounded
+        parts.append(F.sum(digit))
+        rest = rest - digit * F.lit(2.0 ** power)
+    outer = F.sum(F.when(finite, x - inner).otherwise(x))
+    return _joined(outer, parts, F.sum(rest))
+
+
+def _joined(outer: Column, digits: list[Column], rest: Column) -> Column:
+    """The nearest DOUBLE to the sum of all parts, the carries of the digits brought upwards first."""
+    mask, carried = F.lit((1 << DIGIT) - 1), F.lit(0).cast("long")
+    placed = []
+    for i, digit in enumerate(reversed(digits)):
+        total = digit + carried
+        carried = F.shiftright(total, DIGIT)
+        own = total if i == len(digits) - 1 else total.bitwiseAND(mask)
+        placed.append(own * F.lit(2.0 ** (LOW + i * DIGIT)))
+    low, middle, top = placed
+    # Up to 2^36 both inner sums are exact, so the last one rounds once.
+    plain = (top + middle) + (low + rest)
+    usual = (outer == 0) & (F.abs(top) < F.lit(2.0 ** 36))
+    # Elsewhere the error of every step is kept and added at the end.
+    start = F.struct(outer.alias("s"), F.lit(0.0).alias("e"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["s"] + x
+        back = s - acc["s"]
+        return F.struct(s.alias("s"), (acc["e"] + (acc["s"] - (s - back)) + (x - back)).alias("e"))
+
+    careful = F.aggregate(F.array(top, middle, low, rest), start, step, lambda acc: acc["s"] + acc["e"])
+    return F.when(usual, plain).when(F.abs(outer) < float("inf"), careful).otherwise(outer)
+
+
+def as_decimal(value: Column) -> Column:
+    """A DOUBLE with nine digits after the point as DECIMAL, so that decimal ties stay ties; null where it
+    has no room."""
+    return F.when(F.abs(value) < 1e20, value).cast(WHOLE)
+
+
+def ratio(numerator: Column, denominator: Column, digits: int, times: int = 1) -> Column:
+    """times * numerator / denominator rounded half up; null when the denominator is zero or null.
+
+    Numbers that no DECIMAL holds, not a number and infinity among them, are divided as DOUBLE.
+    """
+    top = numerator.cast("double")
+    exact = F.round(F.try_divide(as_decimal(top) * times, denominator), digits).cast("double")
+    return F.when(F.abs(top) < 1e20, exact).otherwise(F.try_divide(top * times, denominator))
 
 
-def ratio(numerator: Column, denominator: Column, digits: int) -> Column:
-    """numerator / denominator rounded half up; null when the denominator is zero or null."""
-    return F.round(F.try_divide(numerator, denominator), digits).cast("double")
+def scaled_sum(value: Column, times: int) -> Column:
+    """times * the exact sum, to nine digits after the point where a DECIMAL holds it."""
+    total = exact_sum(value)
+    return F.coalesce((as_decimal(total) * times).cast("double"), total * times)
 
 
 def exact_avg(value: Column, digits: int, divide_by: int = 1) -> Column:
@@ -46,7 +91,8 @@ def exact_avg(value: Column, digits: int, divide_by: int = 1) -> Column:
 
 def share_pct(part: Column, whole: Column, digits: int = 1) -> Column:
     """100 * part / whole of two counts, rounded half up."""
-    return ratio(part.cast("decimal(20,0)") * 100, whole, digits)
+    share = F.try_divide(part.cast("decimal(20,0)") * 100, whole)
+    return F.round(share, digits).cast("double")
 
 
 def count_where(condition: Column) -> Column:

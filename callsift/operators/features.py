@@ -17,6 +17,7 @@ from callsift.functions.text import WORD_CLASS
 from callsift.plans.sizing import lookup_side
 
 VOCABULARY = 300
+MOST_VALUES = 10_000
 # The columns that the two models use.
 ISSUE_NUMBERS = (
     "total_duration_sec", "agent_word_count", "customer_word_count", "talk_ratio",
@@ -207,6 +208,32 @@ class PopulationScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultPa
         return MomentScaler(inputCols=columns, means=means, spreads=usable)
 
 
+class ValueNumbers(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                   DefaultParamsWritable):
+    """Numbers of a text column's values in alphabetical order.
+
+    At most MOST_VALUES values are taken to the driver; a column with more is no category, and fitting says
+    so instead.
+    """
+
+    invalid = Param(Params._dummy(), "invalid", "what becomes of unseen values", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, invalid="keep"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> mlf.StringIndexerModel:
+        name = self.getInputCol()
+        values = df.select(F.col(name).alias("v")).filter("v IS NOT NULL").distinct()
+        first = [r["v"] for r in values.orderBy("v").limit(MOST_VALUES + 1).collect()]
+        if len(first) > MOST_VALUES:
+            raise ValueError(f"{name} has more than {MOST_VALUES} different values")
+        return mlf.StringIndexerModel.from_labels(
+            first, name, self.getOutputCol(), handleInvalid=self.getOrDefault(self.invalid)
+        )
+
+
 def text_stages(text_col: str = "combined_text", vocabulary: int = VOCABULARY,
                 stop_words: list[str] | None = None) -> list:
     """tf-idf of words and word pairs: most frequent terms, 1 + ln tf, smooth idf, unit length."""
@@ -231,19 +258,14 @@ def text_stages(text_col: str = "combined_text", vocabulary: int = VOCABULARY,
 def onehot_stages(col: str = "campaign_name") -> list:
     """One-hot in alphabetical order; an unseen category is all zero."""
     return [
-        mlf.StringIndexer(
-            inputCol=col, outputCol=f"{col}_no", handleInvalid="keep",
-            stringOrderType="alphabetAsc",
-        ),
+        ValueNumbers(inputCol=col, outputCol=f"{col}_no", invalid="keep"),
         mlf.OneHotEncoder(inputCol=f"{col}_no", outputCol=f"{col}_vec", dropLast=True),
     ]
 
 
-def label_stage(col: str, to: str = "label") -> mlf.StringIndexer:
+def label_stage(col: str, to: str = "label") -> ValueNumbers:
     """Alphabetical label numbers."""
-    return mlf.StringIndexer(
-        inputCol=col, outputCol=to, handleInvalid="skip", stringOrderType="alphabetAsc"
-    )
+    return ValueNumbers(inputCol=col, outputCol=to, invalid="skip")
 
 
 def feature_pipeline(kind: str) -> Pipeline:

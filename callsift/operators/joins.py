@@ -14,6 +14,7 @@ from callsift.plans.dedupe import distinct_keys, first_match
 from callsift.plans.sizing import lookup_side
 
 KEY = "contact_id"
+MOST_WAITING = 1_000_000
 # The columns that the joined tables hold.
 SUMMARY_COLUMNS = (
     "overall_score", "resolution", "sentiment_agent", "sentiment_customer", "issue_category",
@@ -77,26 +78,34 @@ def call_detail(calls: DataFrame, scores: DataFrame, contact_id: int | None = No
 def unsummarized(transcripts: DataFrame, call_summary: DataFrame) -> DataFrame:
     """Transcripts whose call has no summary, or once per summary without a category.
 
-    Summaries are counted per call first, so the right side is unique and a hot key folds early.
+    Which calls these are is found on keys alone, summaries counted per call first, so that a hot key folds
+    early. Where the waiting calls prove few, no text is shuffled.
     """
     empty = F.count_if(F.col("issue_category").isNull()).alias("_empty")
     summaries = call_summary.groupBy(KEY).agg(empty)
-    joined = transcripts.select(KEY, "agent_text", "customer_text").join(summaries, KEY, "left")
-    times = F.coalesce("_empty", F.lit(1)).cast("int")
-    return joined.filter(times > 0).select(
-        KEY, "agent_text", "customer_text", F.explode(F.array_repeat(F.lit(1), times)).alias("_one")
-    ).drop("_one")
+    known = distinct_keys(transcripts, KEY).join(summaries, KEY, "left")
+    times = F.coalesce("_empty", F.lit(1)).cast("int").alias("_times")
+    waiting = known.select(KEY, times).filter("_times > 0")
+    # A null key joins nothing, but its transcript has no summary either.
+    nameless = transcripts.filter(F.col(KEY).isNull()).select(KEY, "agent_text", "customer_text")
+    joined = transcripts.select(KEY, "agent_text", "customer_text").join(
+        lookup_side(waiting.filter(F.col(KEY).isNotNull()), MOST_WAITING), KEY)
+    repeated = joined.select(
+        KEY, "agent_text", "customer_text", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_one")
+    )
+    return repeated.drop("_one").unionByName(nameless)
 
 
 def unscored(transcripts: DataFrame, calls: DataFrame, scores: DataFrame) -> DataFrame:
     """Transcribed calls NOT IN the scored ones: one null key among the scores empties the result.
 
-    An anti join by shuffle plus a one-value check for null keys; the check reads only the key
-    column's statistics where the files hold them.
+    An anti join on keys alone plus a one-value check for null keys; the check reads only the key
+    column's statistics where the files hold them. Where the waiting calls prove few, no text is shuffled.
     """
-    pairs = transcripts.select(KEY, "full_text").join(calls.select(KEY, "agent_id"), KEY)
     null_keys = scores.filter(F.col(KEY).isNull()).agg(F.count("*")).scalar()
-    remaining = pairs.join(distinct_keys(scores, KEY), KEY, "left_anti")
+    keys = distinct_keys(transcripts, KEY).join(distinct_keys(scores, KEY), KEY, "left_anti")
+    waiting = calls.select(KEY, "agent_id").join(keys, KEY, "left_semi")
+    remaining = transcripts.select(KEY, "full_text").join(lookup_side(waiting, MOST_WAITING), KEY)
     return remaining.filter(null_keys == 0).select(KEY, "agent_id", "full_text")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callsift.functions.labels import severity_rank
-from callsift.functions.numbers import exact_avg
+from callsift.functions.numbers import exact_avg, exact_sum
 from callsift.functions.text import stable_key
 from callsift.plans.dedupe import distinct_keys
 
@@ -95,6 +95,27 @@ def load_audit(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def file_audit(details: DataFrame, transcripts: DataFrame, call_of: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+    """Files, their bytes, and calls with both kinds of files, from two `files.listed_files`.
+
+    `call_of` is the pattern whose group is the call's id in a path.
+    """
+    def counted(name: str, listed: DataFrame) -> DataFrame:
+        return listed.agg(
+            F.lit(name).alias("item"), F.count("*").alias("n_files"),
+            F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"),
+        )
+
+    def ids(listed: DataFrame) -> DataFrame:
+        return listed.select(F.regexp_extract("path", call_of, 1).alias("id"), "n_bytes")
+
+    calls, talks = ids(details), ids(transcripts).select("id")
+    pairs = calls.join(distinct_keys(talks, "id"), "id", "left_semi").groupBy("id").agg(
+        F.sum("n_bytes").alias("n_bytes"))
+    return counted("call detail files", details).unionByName(
+        counted("transcript files", transcripts)).unionByName(counted("matched pairs", pairs))
+
+
 def profile(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Columns, rows, date ranges and score statistics of a table from one pass over it; of all date
     and score columns, or of the first `most` of each."""
@@ -106,7 +127,10 @@ def profile(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     for i, c in enumerate(dates):
         measures += [F.min(c).alias(f"_d{i}_min"), F.max(c).alias(f"_d{i}_max")]
     for i, c in enumerate(scores):
-        stats = (F.min(c).alias(f"_s{i}_min"), exact_avg(F.col(c), 9).alias(f"_s{i}_avg"))
+        mean = exact_sum(F.col(c)) / F.count(c)
+        # Nine digits after the point, but a small mean keeps its own.
+        average = F.when(F.abs(mean) < 1e-6, mean).otherwise(exact_avg(F.col(c), 9))
+        stats = (F.min(c).alias(f"_s{i}_min"), average.alias(f"_s{i}_avg"))
         measures += [*stats, F.max(c).alias(f"_s{i}_max")]
 
     def entry(column: str, kind: str, first=None, last=None, low=None, avg=None, high=None):

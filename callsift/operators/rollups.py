@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callsift.functions.moments import moment
-from callsift.functions.numbers import count_where, exact_avg, exact_sum, ratio, share_pct
+from callsift.functions.numbers import (
+    count_where, exact_avg, exact_sum, ratio, scaled_sum, share_pct,
+)
 
 KEY = "contact_id"
 AGENT_GROUP = ("agent_id", "team_name", "skill_name")
@@ -153,7 +155,7 @@ def agent_avg_quality(scores: DataFrame) -> DataFrame:
     return scores.groupBy("agent_id").agg(
         n.alias("total_calls"),
         ratio(points, n, 4).alias("avg_quality"),
-        ratio(points * 100, n, 1).alias("avg_quality_pct"),
+        ratio(points, n, 1, times=100).alias("avg_quality_pct"),
     )
 
 
@@ -167,7 +169,7 @@ def most_failed(scores: DataFrame, k: int) -> DataFrame:
 def call_scores(scores: DataFrame) -> DataFrame:
     """Score of a call: the weights of its passed criteria, in percent."""
     return scores.groupBy(KEY).agg(
-        (exact_sum(F.col("score")) * 100).cast("double").alias("overall_score")
+        scaled_sum(F.col("score"), 100).alias("overall_score")
     )
 
 
@@ -196,7 +198,7 @@ def rolling_score(per_day: DataFrame, days: int = 7) -> DataFrame:
     ahead = F.sequence(F.lit(0), F.lit(days - 1))
     spread = per_day.select("day", "score_sum", "scored", F.explode(ahead).alias("_ahead"))
     summed = spread.groupBy(F.date_add("day", F.col("_ahead")).alias("day")).agg(
-        ratio(F.sum("score_sum"), F.sum("scored"), 1).alias("rolling_score"),
+        ratio(exact_sum(F.col("score_sum")), F.sum("scored"), 1).alias("rolling_score"),
         F.bool_or(F.col("_ahead") == 0).alias("_present"),
     )
     return summed.filter("_present").drop("_present")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +18,15 @@ from callsift.functions import text as tx
 from callsift.functions.moments import moment
 from callsift.operators.joins import with_weights
 from callsift.plans.once import computed_once
-from callsift.plans.sizing import blocks, lookup_side
+from callsift.plans.sizing import blocks, inline_if_small, lookup_side
 
 KEY = "contact_id"
 # Texts that go into stored rows.
 NOTE = " Note: Machine-generated, not human-intervened."
 ALL_MET = "Excellent — all criteria met!"
 SCORED_BY = "auditor"
-RULES_PER_PASS = 1_000
+RULES_PER_PASS = 100_000
+MOST_CRITERIA = 2_048
 DEFAULT_SCORE = 5
 EVALUATION = "array<struct<section_name: string, criteria_name: string, passed: variant, reasoning: string>>"
 SUMMARY_FIELDS = (
@@ -58,20 +62,21 @@ def parse_scores(
     from the call, the agent, the answer's content, the place in it and, among equal answers, a
     number, so ids are unique and the same answers always get the same ids.
     """
-    parsed = _evaluations(responses)
+    # Equal answers of a call are read once; how many there were numbers their rows.
+    folded = responses.groupBy(KEY, "agent_id", "content").agg(F.count("*").alias("_n"))
+    parsed = _evaluations(folded)
+    copies = F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")
     items = parsed.select(
-        KEY, "agent_id", F.md5("content").alias("_answer"), F.posexplode("_items").alias("_no", "_item")
+        KEY, "agent_id", "_n", F.md5("content").alias("_answer"), F.posexplode("_items").alias("_no", "_item")
     )
     rows = items.select(
-        KEY, "agent_id", "_answer", "_no",
+        KEY, "agent_id", "_answer", "_no", copies,
         F.coalesce("_item.section_name", F.lit("")).alias("section_name"),
         F.coalesce("_item.criteria_name", F.lit("")).alias("criteria_name"),
         js.truthy(F.col("_item.passed")).alias("passed"),
         F.coalesce("_item.reasoning", F.lit("")).alias("reasoning"),
     )
-    place = Window.partitionBy(KEY, "agent_id", "_answer", "_no").orderBy("criteria_name")
-    numbered = rows.withColumn("_copy", F.row_number().over(place))
-    weighted = with_weights(numbered, rubric)
+    weighted = with_weights(rows, rubric)
     identity = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
                 (KEY, "agent_id", "_answer", "_no", "_copy")]
     scores = weighted.select(
@@ -82,8 +87,8 @@ def parse_scores(
         moment(run_ts).alias("evaluated_at"),
     )
     reason = F.when(F.col("_json").isNull(), "no array").otherwise("not readable")
-    errors = parsed.filter("_items IS NULL").select(KEY, "content", reason.alias("reason"))
-    return scores, errors
+    errors = parsed.filter("_items IS NULL").select(KEY, "content", reason.alias("reason"), copies)
+    return scores, errors.drop("_copy")
 
 
 def parse_summaries(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -196,39 +201,71 @@ def infer(
     return df.mapInPandas(run, T.StructType(df.schema.fields + added.fields))
 
 
+class Keywords:
+    """All keywords of some rules as one automaton, and the rules that each of them counts for."""
+
+    def __init__(self, lists: list[list[str | None]]):
+        self.n_rules = len(lists)
+        self.everywhere = np.zeros(self.n_rules, dtype=np.int64)  # the empty text is in every text
+        rules_of: dict[str, list[int]] = {}
+        for rule, words in enumerate(lists):
+            for word in words:
+                if word:
+                    rules_of.setdefault(word, []).append(rule)
+                elif word is not None:
+                    self.everywhere[rule] += 1
+        self.rules_of = [np.array(rules) for rules in rules_of.values()]
+        self.automaton = ahocorasick.Automaton()
+        for number, word in enumerate(rules_of):
+            self.automaton.add_word(word, number)
+        if rules_of:
+            self.automaton.make_automaton()
+
+    def hits(self, text: str) -> np.ndarray:
+        """For each rule how many of its keywords the text holds, from one walk over the text."""
+        out = self.everywhere.copy()
+        if self.rules_of:
+            for number in {number for _, number in self.automaton.iter(text)}:
+                np.add.at(out, self.rules_of[number], 1)
+        return out
+
+
 def keyword_scores(transcripts: DataFrame, rubric: DataFrame, min_hits: int = 1) -> DataFrame:
     """Keyword verdict of every enabled criterion on every transcript; a rule without keywords has no
     hits.
 
-    The rules enter each pass as one array scalar, so transcripts are neither joined nor shuffled
-    and their text is not copied per rule. A rule table beyond one pass is worked through in
-    several.
+    The keywords of a pass over the rules form one automaton, which goes through each text once, however
+    many they are; transcripts are neither joined nor shuffled. The rules of a pass are at most
+    RULES_PER_PASS and 64 MB of keywords; a larger table is worked through in several.
     """
     words_of = F.coalesce("check_keywords", F.array().cast("array<string>"))
-    rule = F.struct(
-        "section_name", "criteria_name", "effective_weight",
-        F.transform(words_of, lambda k: F.lower(k)).alias("keywords"),
-    )
+    rule = F.struct("section_name", "criteria_name", "effective_weight")
 
     def one_pass(some_rules: DataFrame) -> DataFrame:
-        rules = some_rules.agg(F.collect_list(rule)).scalar()
-        spoken = F.lower(F.coalesce("agent_text", F.lit("")))
-        text_and_rules = transcripts.select(KEY, spoken.alias("_text"), rules.alias("_rules"))
-        verdicts = F.transform(
-            "_rules",
-            lambda r: F.struct(
-                r["section_name"].alias("section_name"),
-                r["criteria_name"].alias("criteria_name"),
-                r["effective_weight"].alias("effective_weight"),
-                F.size(F.filter(r["keywords"], lambda k: F.contains(F.col("_text"), k)))
-                .cast("bigint").alias("hits"),
-            ),
-        )
-        return text_and_rules.select(KEY, F.inline(verdicts))
+        lowered = F.transform(words_of, lambda k: F.lower(k)).alias("keywords")
+        held = some_rules.select(rule.alias("rule"), lowered).toArrow()
+        shipped = transcripts.sparkSession.sparkContext.broadcast(held.column("keywords").to_pylist())
+        numbered = held.select(["rule"]).append_column("no", pa.array(range(len(held)), pa.int32()))
+        listed = transcripts.sparkSession.createDataFrame(numbered)
+        in_order = F.array_sort(F.collect_list(F.struct("no", "rule")))
+        rules = listed.agg(F.transform(in_order, lambda r: r["rule"])).scalar()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keywords = Keywords(shipped.value)
+            for batch in batches:
+                found = [keywords.hits(t.as_py()) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(KEY), pa.array(found, pa.list_(pa.int64()))], [KEY, "hits"])
+
+        spoken = F.lower(F.coalesce("agent_text", F.lit(""))).alias("text")
+        schema = T.StructType([transcripts.schema[KEY], T.StructField("hits", T.ArrayType(T.LongType()))])
+        counted = transcripts.select(KEY, spoken).mapInArrow(count, schema)
+        each = F.arrays_zip(rules.alias("rule"), F.col("hits"))
+        return counted.select(KEY, F.inline(each)).select(KEY, "rule.*", "hits")
 
     enabled = rubric.filter("enabled")
-    words = F.aggregate(words_of, F.lit(0), lambda total, k: total + F.length(k))
-    parts = blocks(enabled, "criteria_name", RULES_PER_PASS, words)
+    size = F.aggregate(words_of, F.lit(0), lambda total, k: total + F.coalesce(F.length(k), F.lit(0)))
+    parts = blocks(enabled, "criteria_name", RULES_PER_PASS, size)
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])
     passed = F.col("hits") >= min_hits
     score = F.when(passed, F.col("effective_weight")).otherwise(F.lit(0.0))
@@ -270,18 +307,61 @@ def sentiment(
     )
 
 
+def _criteria_in_order(scores: DataFrame, rubric: DataFrame) -> list | None:
+    """The names of all scored criteria in rubric order, those outside the rubric last; None if they are
+    more than MOST_CRITERIA."""
+    order = rubric.groupBy("criteria_name").agg(F.min("framework_id").alias("_place"))
+    named = order.select(F.col("criteria_name").alias("_name"), "_place")
+    every = scores.select("criteria_name").distinct().join(
+        named, F.col("criteria_name").eqNullSafe(F.col("_name")), "left").select("criteria_name", "_place")
+    few, small = inline_if_small(every, MOST_CRITERIA)
+    if not small:
+        return None
+    listed = [(r["_place"], r["criteria_name"]) for r in few.collect()]
+    return [name for _, name in sorted(listed, key=lambda x: (
+        x[0] is None, "" if x[0] is None else x[0], x[1] is not None, x[1] or ""))]
+
+
 def _failed_in_order(scores: DataFrame, rubric: DataFrame) -> DataFrame:
     """Per call the distinct failed criteria in rubric order, those outside the rubric last.
 
-    The set is bounded by the rubric and folds inside each task, however many score rows a call has.
+    A call's failed criteria are bits, one word of 64 for so many names, which fold inside each task in a
+    hash aggregation, however many score rows a call has. Names beyond MOST_CRITERIA are gathered as sets.
     """
-    order = lookup_side(
-        rubric.groupBy("criteria_name").agg(F.min("framework_id").alias("_place"))
-    )
     failed = ~F.coalesce("passed", F.lit(False))
+    names = _criteria_in_order(scores, rubric)
+    if names is None:
+        return _failed_sets(scores.select(KEY, "criteria_name", failed.alias("_failed")), rubric)
+    numbered = pa.table({"_name": pa.array(names, pa.string()), "_no": pa.array(range(len(names)), pa.int32())})
+    places = F.broadcast(scores.sparkSession.createDataFrame(numbered))
     placed = scores.select(KEY, "criteria_name", failed.alias("_failed")).join(
-        order, "criteria_name", "left"
+        places, F.col("criteria_name").eqNullSafe(F.col("_name")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_no") % 64)
+    words = [
+        F.bit_or(F.when(F.col("_failed") & (F.floor(F.col("_no") / 64) == w), bit)).alias(f"_w{w}")
+        for w in range(-(-len(names) // 64))
+    ]
+    held = placed.groupBy(KEY).agg(*words) if words else placed.select(KEY).distinct()
+
+    def named(word: Column, own: list[str | None]) -> Column:
+        """The names whose bits are set in a word."""
+        bits = F.coalesce(word, F.lit(0).cast("long"))
+        places = F.filter(
+            F.sequence(F.lit(0), F.lit(len(own) - 1)), lambda i: F.call_function("bit_get", bits, i) == 1)
+        listed = F.array(*[F.lit(n).cast("string") for n in own])
+        return F.transform(places, lambda i: F.get(listed, i))
+
+    lists = [named(F.col(f"_w{w}"), names[64 * w : 64 * w + 64]) for w in range(len(words))]
+    found = F.concat(*lists) if lists else F.array().cast("array<string>")
+    return held.select(KEY, found.alias("failed"))
+
+
+def _failed_sets(scores: DataFrame, rubric: DataFrame) -> DataFrame:
+    """The same for any number of names, by an aggregation of sets."""
+    order = lookup_side(
+        rubric.groupBy("criteria_name").agg(F.min("framework_id").alias("_place"))
     )
+    placed = scores.join(order, "criteria_name", "left")
     unknown = F.col("_place").isNull().alias("unknown")
     entry = F.when(F.col("_failed"), F.struct(unknown, "_place", "criteria_name"))
     sets = placed.groupBy(KEY).agg(F.array_sort(F.collect_set(entry)).alias("_set"))

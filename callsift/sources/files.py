@@ -25,6 +25,12 @@ def _whole(text: Column) -> Column:
     return F.coalesce(plain.try_cast("bigint"), exact)
 
 
+def _finite(text: Column) -> Column:
+    """A number; null for anything else, for what is not a number and for infinity."""
+    number = text.try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def _flag(text: Column) -> Column:
     """Missing, false, empty and zero are false, anything else is true."""
     plain = F.lower(F.trim(text))
@@ -54,8 +60,8 @@ def parse_calls(details: DataFrame, run_ts: datetime, *keep: str) -> tuple[DataF
     typed = {
         "contact_id": _whole(F.col("contactId")),
         "agent_id": _whole(F.col("agentId")),
-        **{name: F.trim(key).try_cast("double") for name, key in numbers.items()},
-        "hold_count": F.trim("holdCount").try_cast("double").try_cast("int"),
+        **{name: _finite(F.trim(key)) for name, key in numbers.items()},
+        "hold_count": _finite(F.trim("holdCount")).try_cast("int"),
     }
     sources = {"agent_id": "agentId", **numbers, "hold_count": "holdCount"}
     read = computed_once(details, **{f"_{name}": value for name, value in typed.items()})
@@ -126,6 +132,13 @@ def read_calls(
     return parse_calls(read_call_details(spark, path, one_per_line), run_ts)
 
 
+def listed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, n_bytes) of all files below a folder whose name matches; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+        "pathGlobFilter", pattern).load(path)
+    return found.select("path", F.col("length").alias("n_bytes"))
+
+
 def details_from_text(df: DataFrame, text_col: str) -> DataFrame:
     """Raw call documents held as text in a column instead of in files."""
     parsed = F.from_json(

@@ -467,6 +467,14 @@ add("load_audit", " UNION ALL ".join(
     SELECT 'matched pairs', COUNT(*) FROM calls
     WHERE contact_id IN (SELECT contact_id FROM transcripts)""",
     "calls", "transcripts", "quality_scores", "call_summary", "rubric", **LOG)
+add("distinct_calls_by_month", """SELECT strftime(evaluated_at, '%Y-%m') AS month,
+    COUNT(DISTINCT contact_id) AS total_calls FROM quality_scores GROUP BY 1""", "quality_scores")
+add("file_audit", """SELECT 'call detail files' AS item, COUNT(*) AS n_files,
+    CAST(SUM(length(s_name) + 1) AS BIGINT) AS n_bytes FROM supplier UNION ALL
+    SELECT 'transcript files', COUNT(*), CAST(COALESCE(SUM(5), 0) AS BIGINT) FROM supplier
+    WHERE s_acctbal > 0 UNION ALL
+    SELECT 'matched pairs', COUNT(*), CAST(COALESCE(SUM(length(s_name) + 1), 0) AS BIGINT) FROM supplier
+    WHERE s_suppkey IN (SELECT s_suppkey + 3 FROM supplier WHERE s_acctbal > 0)""")
 NO_DATES = "CAST(NULL AS TIMESTAMP)"
 NO_STATS = "CAST(NULL AS DOUBLE)"
 add("table_profile", f"""

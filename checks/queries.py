@@ -24,6 +24,7 @@ from callsift.operators import training as tr
 from callsift.operators import transcripts as ts
 from callsift.plans import audit as au
 from callsift.plans import context as cx
+from callsift.plans import days as ds
 from callsift.plans.dedupe import first_match
 from callsift.session import scratch_path, settle
 from callsift.sources import files, keyed, sample, sinks
@@ -332,6 +333,16 @@ over("total_calls_distinct", "quality_scores")(ru.total_calls)
 over("agent_avg_quality", "quality_scores")(ru.agent_avg_quality)
 
 
+@query("distinct_calls_by_month")
+def _(spark, folder):
+    """Calls per month of score rows, merged from the stored days of two batches."""
+    path, scores = scratch_path(spark, "days"), view(spark, folder, "quality_scores")
+    for number, half in enumerate((F.col(KEY) % 2 == 0, F.col(KEY) % 2 != 0)):
+        ds.add_days(scores.filter(half), path, "evaluated_at", "checks", number)
+    stored = ds.read_days(spark, path).withColumn("month", F.date_format("day", "yyyy-MM"))
+    return ds.distinct_calls(stored, "month")
+
+
 @over("most_failed_criteria", "quality_scores")
 def _(scores):
     return ru.most_failed(scores, 5)
@@ -368,6 +379,19 @@ def _(spark, folder):
     return ql.load_audit({**tables, "quality_log": QUERIES["quality_log"](spark, folder)})
 
 
+@query("file_audit")
+def _(spark, folder):
+    """One file per supplier as call detail, one per supplier with money as transcript."""
+    rows = sample.table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    details, talk = scratch_path(spark, "detail-files"), scratch_path(spark, "transcript-files")
+    one = rows.select("s_suppkey", F.col("s_name").alias("value")).coalesce(1)
+    one.write.partitionBy("s_suppkey").text(details)
+    rich = rows.filter("s_acctbal > 0").select(F.col("s_suppkey") + 3, F.lit("talk").alias("value"))
+    rich.toDF("s_suppkey", "value").coalesce(1).write.partitionBy("s_suppkey").text(talk)
+    listed = [files.listed_files(spark, p, "part-*") for p in (details, talk)]
+    return ql.file_audit(*listed, call_of="s_suppkey=([0-9]+)/")
+
+
 @over("table_profile", "quality_scores")
 def _(scores):
     return ql.profile(scores, "quality_scores")

@@ -1,8 +1,10 @@
 import json
+import math
 import random
 import re
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from callsift.functions import jsontext as js
@@ -33,6 +35,50 @@ def test_weight_percent(spark):
     assert got == [8.75, 100.0, 1.5, 0.0, 0.0]
 
 
+def sums_of(spark, groups):
+    rows = [(i, float(x)) for i, values in enumerate(groups) for x in values]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(4)
+    got = df.groupBy("g").agg(numbers.exact_sum(F.col("v")).alias("s")).collect()
+    return {r["g"]: r["s"] for r in got}
+
+
+def test_exact_sum_is_fsum(spark):
+    pick = random.Random(3)
+    groups = [
+        [pick.uniform(-1, 1) * 10 ** pick.randint(-3, 22) for _ in range(pick.randint(1, 40))]
+        for _ in range(400)
+    ]
+    groups += [[0.1] * n for n in (1, 3, 10, 999)]
+    groups += [[1e20, 1.0, -1e20], [2.0**53, 1.0, 1.0], [2.0**60, 0.5, -(2.0**60)], [-57.2, -0.3], [-0.0],
+               [1e16, 1.0, 1e-3], [2.0**36, 2.0**-44, -1.0], [-(2.0**40), 2.0**-40], [5e11 + 0.125] * 7]
+    got = sums_of(spark, groups)
+    assert got == {i: math.fsum(values) for i, values in enumerate(groups)}
+
+
+def test_exact_sum_of_tiny_huge_and_odd_values(spark):
+    got = sums_of(spark, [[2e-10, 4e-10], [1e-300, 1e-300], [1e300, 1e300], [float("inf"), 1.0],
+                          [float("inf"), float("-inf")], [float("nan"), 1.0], [-1e19, 5.0]])
+    assert got[0] == pytest.approx(6e-10, rel=1e-15) and got[1] == 2e-300 and got[2] == 2e300
+    assert got[3] == math.inf and math.isnan(got[4]) and math.isnan(got[5]) and got[6] == -1e19 + 5.0
+    df = spark.createDataFrame([(float("nan"),), (1.0,)], "v double")
+    assert math.isnan(df.agg(numbers.exact_avg(F.col("v"), 1)).first()[0])
+    big = spark.createDataFrame([(1e19,), (3e19,), (float("inf"),)], "v double")
+    assert big.filter("v < 1e20").agg(numbers.exact_avg(F.col("v"), 1)).first()[0] == 2e19
+    assert big.agg(numbers.exact_avg(F.col("v"), 1)).first()[0] == math.inf
+
+
+def test_decimal_ties_round_up(spark):
+    df = spark.createDataFrame([(57.2,), (57.3,)], "v double")
+    row = df.agg(numbers.exact_avg(F.col("v"), 1), numbers.scaled_sum(F.col("v"), 100)).first()
+    assert tuple(row) == (57.3, 11450.0)
+
+
+def test_exact_sum_stays_in_generated_code(spark):
+    df = spark.range(10).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    plan = df.groupBy("g").agg(numbers.exact_sum(F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHash" not in plan and "SortAggregate" not in plan
+
+
 def test_ratio_of_nothing_is_null(spark):
     df = spark.createDataFrame([], "v double")
     assert df.agg(numbers.exact_avg(F.col("v"), 1)).first()[0] is None

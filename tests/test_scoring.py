@@ -1,6 +1,9 @@
 """Model answers, batch inference, keyword and sentiment scores."""
 
 import json
+import os
+import random
+import time
 from datetime import datetime
 
 import pandas as pd
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from callsift import schemas
 from callsift.operators import scoring as sc
+from callsift.plans.answers import answered, stored_answers
 from callsift.plans.audit import audit_all, score_unscored, summarise_missing
 
 RUN = datetime(2026, 1, 1)
@@ -108,6 +112,30 @@ def test_keyword_scores(spark, rubric, rows, monkeypatch):
     assert rows(strict, "contact_id", "criteria_name") == [(1, "A")]
 
 
+def test_many_keywords_in_one_walk(spark):
+    pick = random.Random(2)
+    words = ["".join(pick.choice("abc") for _ in range(pick.randint(1, 6))) for _ in range(300)]
+    lists = [[pick.choice([*words, "", None]) for _ in range(pick.randint(0, 12))] for _ in range(200)]
+    texts = ["".join(pick.choice("abc ") for _ in range(n)) for n in (0, 5, 60, 800)]
+    keywords = sc.Keywords(lists)
+    for text in texts:
+        assert keywords.hits(text).tolist() == [sum(k is not None and k in text for k in ks) for ks in lists]
+    assert sc.Keywords([]).hits("abc").tolist() == [] and sc.Keywords([[], [""]]).hits("x").tolist() == [0, 1]
+
+
+def test_time_hardly_grows_with_keywords():
+    text = " ".join(f"word{i % 997}" for i in range(40_000))
+
+    def seconds(n):
+        keywords = sc.Keywords([[f"ward{i}x", f"other{i}"] for i in range(n)])
+        began = time.perf_counter()
+        for _ in range(5):
+            keywords.hits(text)
+        return time.perf_counter() - began
+
+    assert seconds(5_000) < 10 * seconds(5)
+
+
 def test_sentiment(spark, rows):
     lexicon = spark.createDataFrame([("good", 1), ("bad", -1)], "token string, polarity int")
     transcripts = spark.createDataFrame(
@@ -127,6 +155,58 @@ def test_failed_and_recommendation(spark, rubric, rows):
     assert rows(sc.recommendations(scores, rubric, 2)) == [(1, "Improve: A, B"), (2, sc.ALL_MET)]
 
 
+def test_failed_criteria_beyond_a_word_of_bits(spark, rubric, monkeypatch):
+    pick = random.Random(5)
+    names = [f"c{i:03}" for i in range(150)] + ["A", "B", None]
+    data = [(pick.randrange(20), pick.choice(names), pick.choice([True, False, None])) for _ in range(900)]
+    scores = spark.createDataFrame(data, "contact_id long, criteria_name string, passed boolean")
+    frame = sc.failed_criteria(scores, rubric)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan
+    bits = sorted(map(tuple, frame.collect()))
+    monkeypatch.setattr(sc, "MOST_CRITERIA", 5)
+    assert sorted(map(tuple, sc.failed_criteria(scores, rubric).collect())) == bits
+    assert sc.failed_criteria(scores.limit(0), rubric).count() == 0
+
+
+def test_equal_answers_are_numbered(spark, rubric):
+    content = '[{"criteria_name": "A", "passed": true}, {"criteria_name": "B", "passed": false}]'
+    answers = [(1, 7, content)] * 3 + [(2, 7, content), (1, 8, content)] + [(3, 7, "?")] * 2
+    responses = spark.createDataFrame(answers, "contact_id long, agent_id long, content string")
+    scores, errors = sc.parse_scores(responses, rubric, RUN)
+    got = scores.collect()
+    assert len(got) == 10 and len({r["score_id"] for r in got}) == 10
+    assert [tuple(r) for r in errors.collect()] == [(3, "?", "no array")] * 2
+
+
+def test_answers_are_asked_once_and_kept(spark, tmp_path):
+    store, asked = str(tmp_path / "answers"), spark.sparkContext.accumulator(0)
+    prompts = spark.createDataFrame(
+        [(i, f"prompt {i % 30}") for i in range(90)] + [(90, None)], "contact_id long, prompt string")
+    broken = str(tmp_path / "broken")
+    open(broken, "w").close()
+
+    def model(texts):
+        if os.path.exists(broken) and any(t == "prompt 7" for t in texts):
+            raise RuntimeError("the model is gone")
+        asked.add(len(texts))
+        return pd.DataFrame({"content": [None if t is None else t.upper() for t in texts]})
+
+    with pytest.raises(Exception, match="gone"):
+        answered(prompts, model, store, per_wave=4)
+    kept = stored_answers(spark, store).count()
+    before = asked.value
+    assert 0 < kept < 31
+    os.remove(broken)
+    got = answered(prompts, model, store, per_wave=4).collect()
+    assert len(got) == 91 and asked.value - before == 31 - kept  # nothing that was stored is asked again
+    assert all(r["content"] == (None if r["contact_id"] == 90 else f"PROMPT {r['contact_id'] % 30}") for r in got)
+    answered(prompts, model, store).collect()
+    assert asked.value - before == 31 - kept
+    answered(prompts.limit(3), model, store, "another model").collect()
+    assert asked.value - before == 31 - kept + 3
+
+
 def test_citations(spark, rows):
     data = [("see 12", [12, 7]), ("none", [3, 3, 5]), ("no ids", []), ("null ids", None),
             ("many", list(range(20, 40)))]

@@ -43,6 +43,7 @@ SCHEMAS = {
     "p_retailprice DOUBLE",
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_acctbal DOUBLE",
     "benchmark": "item_id BIGINT, text STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
     "value DOUBLE, props STRING",

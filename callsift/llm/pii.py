@@ -19,6 +19,11 @@ of the patterns that are confident in the end become spans beside the base ones.
 Positions count code points. They come from the lengths of the parts between matches, as Spark gives
 matches without positions.
 
+What is looked at: a mention's word has at most 31 characters, its value at least 4. The words around a
+candidate are those in the 120 characters before it and the 60 behind it; a word that reaches beyond is
+taken from there. To be discovered, a value needs 6 characters and an at sign or 3 digits; base spans have
+no such limits.
+
 Defined results: null and empty texts have no spans; rows equal in doc_id and text get the same spans,
 each; spans of different kinds may overlap and all are reported; an empty table gives no rows. Only
 doc_id and text are read, and `redacted` replaces only text.
@@ -26,13 +31,14 @@ doc_id and text are read, and `redacted` replaces only text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callsift.plans.once import computed_once
+from callsift.plans.sizing import lookup_side
 from callsift.session import settle
 
 # Possessive forms of the base patterns: they match the same texts without going back, and a match
@@ -54,6 +60,8 @@ CANDIDATE = rf"(?<!{PART})(?:{NUMBER}|(?:(?![0-9@]){PART})*+[0-9@]{PART}*+)"
 WORD = r"[\p{L}\p{N}_]+"
 BEFORE, AFTER = 120, 60  # characters in which the words around a candidate are looked for
 WORDS_BEFORE = 3
+WORD_BITS = 1 << 16
+FIRST_LOOK, WIDER = 4_096, 16
 CONFIDENT = 0.6
 SUPPORT = 3
 
@@ -243,32 +251,62 @@ def mentions_of(found: DataFrame) -> DataFrame:
     )
 
 
+def asked_bits(words_asked: DataFrame) -> Column:
+    """Which remainders modulo WORD_BITS the hashes of the words `w` have, as one array of longs: a table of
+    a fixed size for a look in the row."""
+    at = F.pmod(F.xxhash64("w"), F.lit(WORD_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    held = words_asked.select(F.floor(at / 64).alias("word"), bit.alias("bit"))
+    every = words_asked.sparkSession.range(WORD_BITS // 64).select(
+        F.col("id").alias("word"), F.lit(0).cast("long").alias("bit")
+    )
+    words_of = held.unionByName(every).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    return words_of.agg(F.transform(ordered, lambda s: s["bits"])).scalar()
+
+
+def may_be_asked(bits: Column, word: Column) -> Column:
+    """Whether a word may be in a table of `asked_bits`; null counts as no."""
+    at = F.pmod(F.xxhash64(word), F.lit(WORD_BITS))
+    held = F.call_function("bit_get", F.get(bits, F.floor(at / 64).cast("int")), (at % 64).cast("int"))
+    return word.isNotNull() & (held == 1)
+
+
 def ordinary(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, n_ordinary): the distinct ordinary words in the place of an instance, for those of
-    `patterns` that are words around one, over all texts."""
+    `patterns` that are words around one, over all texts.
+
+    One pass over the texts: words whose neighbour can't be the nearest word of a pattern are left out in
+    the row, before anything is built for them, and only the others make edges.
+    """
     asked = patterns.filter(around(F.col("pattern"))).select("pattern").distinct()
-    nearest = F.when(F.endswith("pattern", F.lit(" _")), F.element_at(F.split("pattern", " "), -2))
-    keys = asked.select(nearest.alias("key"), F.element_at(F.split("pattern", " "), -1).alias("next"))
-    before = keys.filter("key IS NOT NULL").select(F.col("key").alias("w1")).distinct()
-    behind = keys.filter("key IS NULL").select(F.col("next").alias("after")).distinct()
+    parts = F.split("pattern", " ")
+    nearest = F.when(F.endswith("pattern", F.lit(" _")), F.element_at(parts, -2)).otherwise(parts[1])
     marked = F.regexp_replace(F.coalesce("text", F.lit("")), CANDIDATE, " 0 ")
-    held = computed_once(docs.select("text"), w=words(marked)).select("w")
-    places = F.transform("w", lambda word, i: F.struct(
-        word.alias("word"), *[F.get("w", i - n).alias(f"w{n}") for n in range(1, WORDS_BEFORE + 1)],
-        F.get("w", i + 1).alias("after"),
-    ))
-    each = held.select(F.inline(places)).filter(~F.col("word").contains("0"))
+    bits = asked_bits(asked.select(nearest.alias("w")).distinct())
+    read = computed_once(docs.select("text"), w=words(marked)).select("w", bits.alias("_bits"))
+    near = F.transform("w", lambda word: may_be_asked(F.col("_bits"), word))
+    held = computed_once(read.filter(F.size("w") > 0), near=near).filter(F.exists("near", lambda hit: hit))
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("w") - 1),
+        lambda i: (F.coalesce(F.get("near", i - 1), F.lit(False)) | F.coalesce(
+            F.get("near", i + 1), F.lit(False))) & ~F.contains(F.get("w", i), F.lit("0")),
+    )
 
-    def last(n: int) -> Column:
-        parts = [F.col(f"w{i}") for i in range(n, 0, -1)]
-        return F.when(F.col(f"w{n}").isNotNull(), F.concat_ws(" ", *parts, F.lit("_")))
+    def edge(i: Column) -> Column:
+        def last(n: int) -> Column:
+            few = F.slice("w", F.greatest(i - n + 1, F.lit(1)), n)
+            return F.when(i >= n, F.concat(F.array_join(few, " "), F.lit(" _")))
+
+        after = F.concat(F.lit("_ "), F.get("w", i + 1))
+        patterns_of = F.array(*[last(n) for n in range(1, WORDS_BEFORE + 1)], after)
+        return F.struct(F.get("w", i).alias("word"), F.array_compact(patterns_of).alias("patterns"))
 
-    lefts = F.array_compact(F.array(*[last(n) for n in range(1, WORDS_BEFORE + 1)]))
-    left = each.join(before, "w1", "left_semi").select("word", F.explode(lefts).alias("pattern"))
-    right = each.join(behind, "after", "left_semi").select(
-        "word", F.concat(F.lit("_ "), F.col("after")).alias("pattern")
+    each = held.select(F.explode(places).alias("i"), "w")
+    edges = each.select(edge(F.col("i")).alias("e")).select(
+        "e.word", F.explode("e.patterns").alias("pattern")
     )
-    found = left.unionByName(right).join(asked, "pattern", "left_semi").distinct()
+    found = edges.join(lookup_side(asked), "pattern", "left_semi").distinct()
     return found.groupBy("pattern").agg(F.count("*").alias("n_ordinary"))
 
 
@@ -321,10 +359,43 @@ def learned_patterns(mentions: DataFrame, docs: DataFrame) -> DataFrame:
         "known",
     )
     hopeful = bootstrapped(edges, known)
-    if hopeful.filter(around(F.col("pattern"))).isEmpty():
+    asked = hopeful.filter(around(F.col("pattern"))).select("pattern")
+    if asked.isEmpty():
         return hopeful
-    plain = settle(ordinary(docs, hopeful), "ordinary")
-    return bootstrapped(edges.join(hopeful, "pattern", "left_semi"), known, plain)
+    totals = edges.join(asked, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("all"))
+    left, plain = unrefuted(docs, settle(totals, "asked"))
+    kept = hopeful.filter(~around(F.col("pattern"))).select("pattern").unionByName(left.select("pattern"))
+    return bootstrapped(edges.join(kept, "pattern", "left_semi"), known, plain)
+
+
+def looks(docs: DataFrame, first: int = FIRST_LOOK, wider: int = WIDER) -> Iterator[DataFrame]:
+    """Growing parts of the table, by a hash: about `first` rows, each time `wider` times as many, at last
+    all rows."""
+    n, size = docs.count(), first
+    while size < n:
+        at = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n))
+        yield docs.filter(at < size)
+        size *= wider
+    yield docs
+
+
+def unrefuted(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of the (pattern, all) `asked` that ordinary words in their place don't rule out, and the numbers
+    of these words over all texts.
+
+    A pattern with more ordinary words than even an instance of the right kind in every place would allow is
+    ruled out, whatever else is found. Common words are so after a look at few texts, and are not looked
+    for in more of them; what is left in the end was counted in all.
+    """
+    left, seen = asked, None
+    for part in looks(docs):
+        seen = settle(ordinary(part, left), "ordinary")
+        together = F.col("all") + F.coalesce("n_ordinary", F.lit(0))
+        still = left.join(seen, "pattern", "left").filter(F.col("all") >= CONFIDENT * together)
+        left = settle(still.select("pattern", "all"), "asked")
+        if left.isEmpty():
+            break
+    return left, seen
 
 
 def discovered(mentions: DataFrame, patterns: DataFrame) -> DataFrame:

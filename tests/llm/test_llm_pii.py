@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from llm_data import AWKWARD, awkward, empty
+from llm_data import AWKWARD, awkward, empty, prose
 
 from callsift.llm import pii
 
@@ -140,3 +141,41 @@ def test_nested_and_chained_assignments(spark):
     assert edges >= {(0, "token=", 14, key), (1, "email:", 13, "jane@x.org"), (2, "user=", 6, "jdoe77123"),
                      (2, "token=", 22, "abc123456")}
     assert not any(r[1] in ("config:", "note:") for r in edges)
+
+
+def test_looks_rule_out_what_all_texts_would(spark, monkeypatch):
+    """Growing looks leave the same patterns and counts as one look at all texts."""
+    pick = random.Random(8)
+    common = ["the", "of", "and", "ticket", "account", "ref"]
+    docs = spark.createDataFrame(
+        [(i, " ".join(pick.choice([*common, prose(i * 9 + j, 1)]) for j in range(30))) for i in range(400)],
+        "doc_id long, text string")
+    asked = spark.createDataFrame(
+        [("the _", 5), ("account _", 400), ("_ of", 3), ("of the _", 2), ("never seen _", 1)],
+        "pattern string, all long")
+    whole = [tuple(sorted(map(tuple, f.collect()))) for f in pii.unrefuted(docs, asked)]
+    real = pii.looks
+    monkeypatch.setattr(pii, "looks", lambda d: real(d, 10, 3))
+    left, seen = pii.unrefuted(docs, asked)
+    assert tuple(sorted(map(tuple, left.collect()))) == whole[0]
+    kept = {p for p, _ in whole[0]}
+    assert {"never seen _", "account _"} >= kept >= {"never seen _"}
+    assert {r for r in map(tuple, seen.collect()) if r[0] in kept} == {r for r in whole[1] if r[0] in kept}
+
+
+def test_ordinary_words_like_plain_python(spark):
+    texts = [prose(i, 60) + f" order A{i}77123 of the day. the the {i}" for i in range(30)] + [None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = ["the _", "of the _", "_ of", "day the the _", "order _", "_ order"]
+    want = {}
+    for text in texts:
+        words = re.findall(r"[^\W]+", re.sub(r"[0-9]+", "0", re.sub(r"\S*[0-9]\S*", " 0 ", (text or "").lower())))
+        for i, word in enumerate(words):
+            if "0" in word:
+                continue
+            near = [" ".join(words[i - n : i]) + " _" for n in (1, 2, 3) if i >= n]
+            near += [f"_ {words[i + 1]}"] if i + 1 < len(words) else []
+            for pattern in set(near) & set(patterns):
+                want.setdefault(pattern, set()).add(word)
+    got = pii.ordinary(docs, spark.createDataFrame([(p,) for p in patterns], "pattern string")).collect()
+    assert {r["pattern"]: r["n_ordinary"] for r in got} == {p: len(w) for p, w in want.items()}

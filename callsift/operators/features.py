@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml import feature as mlf
@@ -15,8 +20,10 @@ from pyspark.sql import functions as F
 from callsift.functions import labels
 from callsift.functions.text import WORD_CLASS
 from callsift.plans.sizing import lookup_side
+from callsift.session import settled
 
 VOCABULARY = 300
+SUMMARY_ROOM = 50_000
 MOST_VALUES = 10_000
 # The columns that the two models use.
 ISSUE_NUMBERS = (
@@ -108,29 +115,95 @@ class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return df.withColumn(self.getOutputCol(), F.concat(words, pairs))
 
 
-class FrequentTerms(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
-                    DefaultParamsWritable):
-    """Counts of the most frequent terms, equally frequent ones in alphabetical order.
+class Summary:
+    """Counts of the most frequent terms of a stream in bounded room.
+
+    When more than `room` terms are held, the count of the first that has no place is taken from all, which
+    leaves at most `room`. So a term's true count is its count here, or more by at most `lost`.
+    """
+
+    def __init__(self, room: int):
+        self.room, self.lost = room, 0
+        self.counts: dict[str, int] = {}
+
+    def add(self, terms: pa.Array) -> None:
+        found = terms.value_counts()
+        for term, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+            if term is not None:
+                self.counts[term] = self.counts.get(term, 0) + n
+        if len(self.counts) > self.room:
+            least = sorted(self.counts.values(), reverse=True)[self.room]
+            self.counts = {t: n - least for t, n in self.counts.items() if n > least}
+            self.lost += least
+
+
+def summarised(lists: DataFrame, room: int) -> DataFrame:
+    """(term, n) of every task's summary of a column of term lists, and per task a row without a term that
+    says how much a count may be short."""
 
-    The vocabulary comes from one aggregation whose counts fold inside each task; only the chosen
-    terms reach the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Summary(room)
+        for batch in batches:
+            held.add(batch.column(0).flatten())
+        terms, counts = [None, *held.counts], [held.lost, *held.counts.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["term", "n"])
+
+    return lists.mapInArrow(run, "term string, n long")
+
+
+def frequent_terms(lists: DataFrame, size: int, room: int = SUMMARY_ROOM) -> list[str]:
+    """The `size` most frequent terms of a column of term lists, equally frequent ones in alphabetical order.
+
+    Tasks send a summary of `room` terms each instead of all their terms. The sums rule out every term that
+    can't be among the first `size`; what is left is counted again exactly, unless no summary lost anything.
+    Where a term that no summary holds might still be among them, the room is widened.
     """
+    while True:
+        with settled(summarised(lists, room).groupBy("term").agg(F.sum("n").alias("n")), "terms") as sums:
+            lost = sums.filter("term IS NULL").agg(F.sum("n")).first()[0] or 0
+            known = sums.filter("term IS NOT NULL")
+            first = known.orderBy(F.desc("n"), "term").limit(size).collect()
+            if not lost:
+                return [r["term"] for r in first]
+            least = first[-1]["n"] if len(first) == size else 0
+            if lost >= least:
+                room *= 4
+                continue
+            # At most the first `size` and those within `lost` of the last of them.
+            likely = [r["term"] for r in known.filter(F.col("n") + lost >= least).select("term").collect()]
+        break
+    wanted = lists.sparkSession.sparkContext.broadcast(likely)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = pa.array(wanted.value, pa.string())
+        held = np.zeros(len(asked) + 1, dtype=np.int64)
+        for batch in batches:
+            at = pc.index_in(batch.column(0).flatten(), value_set=asked).fill_null(len(asked))
+            held += np.bincount(at.to_numpy(zero_copy_only=False), minlength=len(held))
+        yield pa.RecordBatch.from_arrays([asked, pa.array(held[:-1])], ["term", "n"])
+
+    counts = lists.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(size).collect()]
+
+
+class FrequentTerms(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
+                    DefaultParamsWritable):
+    """Counts of the most frequent terms, equally frequent ones in alphabetical order; see
+    `frequent_terms`."""
 
     size = Param(Params._dummy(), "size", "terms to keep", TypeConverters.toInt)
 
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, size=VOCABULARY):
         super().__init__()
+        self._setDefault(size=VOCABULARY)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> mlf.CountVectorizerModel:
-        # Exploding a bare column makes Spark test its size first, and tokenise a second time.
         terms = F.coalesce(F.col(self.getInputCol()), F.array().cast("array<string>"))
-        counts = df.select(F.explode(terms).alias("term")).groupBy("term").count()
-        best = counts.orderBy(F.desc("count"), "term").limit(self.getOrDefault(self.size))
-        return mlf.CountVectorizerModel.from_vocabulary(
-            [row["term"] for row in best.collect()], self.getInputCol(), self.getOutputCol()
-        )
+        best = frequent_terms(df.select(terms.alias("terms")), self.getOrDefault(self.size))
+        return mlf.CountVectorizerModel.from_vocabulary(best, self.getInputCol(), self.getOutputCol())
 
 
 class AddVectors(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable,
@@ -221,6 +294,7 @@ class ValueNumbers(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, invalid="keep"):
         super().__init__()
+        self._setDefault(invalid="keep")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> mlf.StringIndexerModel:

@@ -111,7 +111,7 @@ def _leading(costs: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(whole), rounded, whole)
 
 
-def _scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type: T.DataType, k: int,
+def scan_best(corpus: DataFrame, keys: list[str], query_ids: list, query_type: T.DataType, k: int,
                costs: Callable) -> DataFrame:
     """(query_id, keys, cost): each task's k cheapest rows per query, ties by key.
 
@@ -162,7 +162,7 @@ def ranked(best: DataFrame, keys: list[str], k: int) -> DataFrame:
     return numbered.filter(F.col("hit_rank") <= k)
 
 
-def _nothing(queries: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
+def no_hits(queries: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame:
     """The empty result of a block without queries or without words."""
     schema = T.StructType([
         queries.schema["query_id"],
@@ -181,7 +181,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "v
     def one_pass(block: DataFrame) -> DataFrame:
         held = block.select("query_id", "embedding").toArrow().to_pandas()
         if not len(held):
-            return _nothing(block, corpus, keys)
+            return no_hits(block, corpus, keys)
         points = np.array(held["embedding"].tolist(), dtype=np.float64)
         squares = (points * points).sum(axis=1)
 
@@ -192,7 +192,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, key: str | list[str] = "v
 
         slim = corpus.select(*keys, "embedding").filter("embedding IS NOT NULL")
         kind = block.schema["query_id"].dataType
-        best = _scan_best(slim, keys, held["query_id"].tolist(), kind, k, costs)
+        best = scan_best(slim, keys, held["query_id"].tolist(), kind, k, costs)
         return ranked(best, keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.size("embedding") * 8)
@@ -281,7 +281,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
             "query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")
         ).toArrow().to_pandas()
         if not len(pairs):
-            return _nothing(block, docs, keys)
+            return no_hits(block, docs, keys)
         query_ids = sorted(pairs["query_id"].unique().tolist())
         terms = sorted(pairs["term"].unique().tolist())
         place = {term: i for i, term in enumerate(terms)}
@@ -315,7 +315,7 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, key: str | list[str] = KEY
             held[number] = n
         total = counted.filter("terms IS NULL").agg(F.sum("length")).first()[0]
         idf = np.log((total + 1) / (held + 1)) + 1
-        return ranked(_scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
+        return ranked(scan_best(lists, keys, query_ids, kind, k, costs), keys, k)
 
     parts = blocks(queries, "query_id", QUERIES_PER_PASS, F.length("text"))
     found = reduce(DataFrame.unionByName, [one_pass(part) for part in parts])

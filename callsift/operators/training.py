@@ -5,18 +5,20 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callsift.operators import features as ft
+from callsift.operators.boosting import MulticlassBoosting
 from callsift.session import settled
+from callsift.sources import sinks
 
 MAX_ITERATIONS = 1000
 INVERSE_PENALTY = 1.0
-TREES, DEPTH, RATE, SEED = 100, 3, 0.1, 42
+TREES, DEPTH, RATE = 100, 3, 0.1
 
 
 def _fitted(stages: list, frame: DataFrame, label: str, to: str) -> PipelineModel:
@@ -58,29 +60,17 @@ def train_issue(training: DataFrame, max_iter: int = MAX_ITERATIONS) -> Pipeline
 
 
 def train_resolution(training: DataFrame, trees: int = TREES) -> PipelineModel:
-    """Boosted trees, one set per resolution class."""
+    """Boosted trees, one per resolution class and round, on shared residuals."""
     known = ft.resolution_frame(training.filter("resolution IS NOT NULL"))
     with settled(known, "resolution") as frame:
-        boosted = GBTClassifier(maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=SEED)
-        classifier = OneVsRest(
-            classifier=boosted, featuresCol="features", labelCol="label", parallelism=3
-        )
+        classifier = MulticlassBoosting(rounds=trees, depth=DEPTH, rate=RATE)
         stages = [*ft.feature_pipeline("resolution").getStages(), classifier]
         return _fitted(stages, frame, "resolution", "predicted")
 
 
 def _confidence(df: DataFrame):
-    """Largest class probability as whole percent; raw margins go through softmax first."""
-    if "probability" in df.columns:
-        best = F.array_max(vector_to_array("probability"))
-    else:
-        raw = vector_to_array("rawPrediction")
-        top = F.array_max(raw)
-        total = F.aggregate(
-            F.transform(raw, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b
-        )
-        best = F.lit(1.0) / total
-    return F.round(best * 100, 0).cast("int")
+    """The largest class probability as whole percent."""
+    return F.round(F.array_max(vector_to_array("probability")) * 100, 0).cast("int")
 
 
 def predict(model: PipelineModel, frame: DataFrame, actual: str, *keep: str) -> DataFrame:
@@ -136,14 +126,21 @@ def model_meta(model: PipelineModel, training: DataFrame, label: str, **more) ->
     return {"labels": labels_of(model), "columns": columns, "trained_on": trained, "target": label, **more}
 
 
-def save(model: PipelineModel, path: str, meta: dict) -> None:
-    """The model and one JSON row about it, see `model_meta`; its labels are always stored."""
-    model.write().overwrite().save(f"{path}/model")
-    row = [(json.dumps({"labels": labels_of(model), **meta}, sort_keys=True),)]
+def save(model: PipelineModel, path: str, meta: dict) -> int:
+    """Store the model as the next version below `path`, and one JSON row about it, see `model_meta`; its
+    labels are always stored. The row is written last and makes the version count, so a run that fails
+    before leaves the last complete version in place. Returns the version."""
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame(row, "meta string").write.mode("overwrite").text(f"{path}/meta")
+    version = 1 + max(sinks.versions(spark, f"{path}/meta"), default=0)
+    model.write().overwrite().save(f"{path}/model/{sinks.VERSION_PREFIX}{version}")
+    row = [(json.dumps({"labels": labels_of(model), **meta}, sort_keys=True),)]
+    told = spark.createDataFrame(row, "meta string")
+    told.write.mode("overwrite").text(f"{path}/meta/{sinks.VERSION_PREFIX}{version}")
+    return version
 
 
 def load(spark, path: str) -> tuple[PipelineModel, dict]:
-    row = spark.read.text(f"{path}/meta").first()
-    return PipelineModel.load(f"{path}/model"), json.loads(row[0])
+    """The newest complete version of a model and what is stored about it."""
+    version = max(sinks.versions(spark, f"{path}/meta"))
+    row = spark.read.text(f"{path}/meta/{sinks.VERSION_PREFIX}{version}").first()
+    return PipelineModel.load(f"{path}/model/{sinks.VERSION_PREFIX}{version}"), json.loads(row[0])

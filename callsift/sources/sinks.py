@@ -67,7 +67,7 @@ def upsert_table(
     number = F.pmod(F.hash(key), F.lit(buckets)).alias(BUCKET)
     touched = [row[0] for row in batch.select(number).distinct().collect()]
     folders = _folders(spark, path)
-    version = max((_versions(spark, f"{path}/manifest") or [0])) + 1
+    version = max((versions(spark, f"{path}/manifest") or [0])) + 1
     stored = _read_folders(spark, path, {b: folders[b] for b in touched if b in folders}, schema)
     merged = upsert(stored, batch.select(*schema.names), key, order_by)
     placed = merged.select("*", number).hint("rebalance", BUCKET)
@@ -131,7 +131,7 @@ def ensure_table(
         spark.createDataFrame([], schema).write.partitionBy(*partition_by).parquet(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of the table at `path`."""
     fs, root = _store(spark, path)
     if not fs.exists(root):
@@ -147,7 +147,7 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 
 def publish(df: DataFrame, path: str) -> int:
     """Write `df` as the next version of the table at `path`; returns the version number."""
-    done = _versions(df.sparkSession, path)
+    done = versions(df.sparkSession, path)
     number = done[-1] + 1 if done else 1
     df.write.mode("overwrite").parquet(f"{path}/{VERSION_PREFIX}{number}")
     return number
@@ -155,7 +155,7 @@ def publish(df: DataFrame, path: str) -> int:
 
 def read_published(spark: SparkSession, path: str, schema) -> DataFrame:
     """The newest complete version, or an empty table when there is none."""
-    done = _versions(spark, path)
+    done = versions(spark, path)
     if not done:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{path}/{VERSION_PREFIX}{done[-1]}")

@@ -18,7 +18,7 @@ from callsift.plans import loads
 from callsift.sources import files, keyed, sinks
 
 EPOCH, DAY = "1970-01-01", 86_400
-DAILY = schemas.flat("day DATE, issue_category STRING, calls BIGINT, avg_score DOUBLE")
+DAILY = schemas.flat("year STRING, day DATE, issue_category STRING, calls BIGINT, avg_score DOUBLE")
 
 
 def _run(writer, trigger_seconds: int | None) -> StreamingQuery:
@@ -130,13 +130,14 @@ def start_daily_metrics(
     """Keep the daily table at `out` current; `read_daily` reads it.
 
     State holds the days of the last `delay` only: older ones are closed and leave it, and a row that comes
-    later still is dropped. A batch hands on the groups it has changed, which replace theirs in the day's
-    folder; other days are not touched, and a repeated batch changes nothing. A new checkpoint counts anew
-    and replaces the groups that it meets.
+    later still is dropped. A batch hands on the groups it has changed, which replace theirs in the folder
+    of their year, some hundred small rows; other years are not touched, and a repeated batch changes
+    nothing. A new checkpoint counts anew and replaces the groups that it meets.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        keyed.merge_parts(batch, out, "day", ["issue_category"], checkpoint, number)
+        by_year = batch.select(F.date_format("day", "yyyy").alias("year"), "*")
+        keyed.merge_parts(by_year, out, "year", ["day", "issue_category"], checkpoint, number)
 
     metrics = daily_metrics_stream(stream, delay)
     writer = (
@@ -148,7 +149,7 @@ def start_daily_metrics(
 
 def read_daily(spark: SparkSession, out: str) -> DataFrame:
     """The daily table as it now is."""
-    return keyed.read_parts(spark, out, DAILY, "day")
+    return keyed.read_parts(spark, out, DAILY, "year").drop("year")
 
 
 def quality_log_stream(calls: DataFrame, max_hold: float = 1000.0) -> DataFrame:

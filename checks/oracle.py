@@ -714,6 +714,7 @@ add("child_to_parent", """SELECT query_id,
           GROUP BY ALL))
     JOIN parents USING (contact_id, parent_no) WHERE place <= 3 GROUP BY query_id""",
     **CHUNKS, named=f"SELECT *, {NAMED} AS chunk_id FROM children", **search("named", "chunk_id"))
+SQL["vector_topk_stored"] = SQL["vector_topk"]
 SQL["indexed_search"] = SQL["tfidf_search"]
 SQL["indexed_contexts"] = SQL["child_to_parent"]
 

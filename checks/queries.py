@@ -22,6 +22,7 @@ from callsift.operators import scoring as sc
 from callsift.operators import textindex as ti
 from callsift.operators import training as tr
 from callsift.operators import transcripts as ts
+from callsift.operators import vectorindex as vi
 from callsift.plans import audit as au
 from callsift.plans import context as cx
 from callsift.plans import days as ds
@@ -596,6 +597,14 @@ def _(spark, folder):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@query("vector_topk_stored")
+def _(spark, folder):
+    """The same from stored cells."""
+    path = scratch_path(spark, "cells")
+    vi.build(sample.table(spark, folder, "embeddings"), path)
+    return vi.search(label_centres(spark, folder), path).withColumn("distance", F.round("distance", 6))
+
+
 @query("document_topk")
 def _(spark, folder):
     return rt.document_topk(
@@ -745,7 +754,7 @@ def _(spark, folder):
 def _(spark, folder):
     """What is stored beside the resolution model: its labels in order and the rows it learned from."""
     path, rows = scratch_path(spark, "model"), training(spark, folder)
-    model = tr.train_resolution(rows, trees=2)
+    model = fitted("resolution", spark, folder)
     tr.save(model, path, tr.model_meta(model, rows, "resolution"))
     meta = tr.load(spark, path)[1]
     stored = [(i, label, meta["trained_on"], len(meta["columns"])) for i, label in enumerate(meta["labels"])]
@@ -757,8 +766,8 @@ def _(spark, folder):
     """The summary table after a run of both models: which calls hold a prediction now."""
     rows, summary = training(spark, folder), view(spark, folder, "call_summary")
     bare = summary.drop("pred_issue_category", "pred_resolution")
-    issues = tr.predict_issue(tr.train_issue(rows, max_iter=20), rows)
-    resolutions = tr.predict_resolution(tr.train_resolution(rows, trees=2), rows)
+    issues = tr.predict_issue(fitted("issue", spark, folder), rows)
+    resolutions = tr.predict_resolution(fitted("resolution", spark, folder), rows)
     filled = tr.with_predictions(bare, issues, resolutions)
     return filled.select(
         KEY, "issue_category", "resolution",

@@ -41,12 +41,13 @@ def test_merged_days_count_like_all_rows(spark, tmp_path):
     assert not days.add_days(late, path, "at", "run", 1)
 
 
-def test_a_new_day_touches_one_partition(spark, tmp_path):
-    path = str(tmp_path / "days")
-    days.add_days(rows_of(spark, [1, 2, 3]), path, "at", "run", 0)
-    days.add_days(rows_of(spark, [9]).filter("at IS NOT NULL AND contact_id IS NOT NULL"), path, "at", "run", 1)
+def test_a_new_day_touches_one_folder(spark, tmp_path):
+    path, frame = str(tmp_path / "days"), rows_of(spark, [1, 2, 3])
+    both = frame.unionByName(frame.withColumn("at", F.col("at") - F.make_dt_interval(F.lit(40))))
+    days.add_days(both, path, "at", "run", 0)
+    days.add_days(rows_of(spark, [9]), path, "at", "run", 1)
     held = {r["part"]: r["held_in"] for r in keyed._manifest(spark, path, keyed.PARTS)}
-    assert held == {"2025-01-01": 1, "2025-01-02": 1, "2025-01-03": 1, "2025-01-09": 2}
+    assert held == {"2024-11": 1, "2025-01": 2}
 
 
 def test_sketches_are_near(spark, tmp_path):

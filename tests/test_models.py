@@ -1,6 +1,7 @@
 """Features and models on small fixtures."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -60,6 +61,40 @@ def test_text_weights(spark):
     assert got == brute_tfidf(texts, {"the", "is", "on", "of", "and"})
 
 
+@pytest.mark.parametrize("room", [10_000, 60, 12])
+def test_frequent_terms_with_any_room(spark, room):
+    """The same terms as counting all, ties included, also where summaries lose counts and are widened."""
+    pick = random.Random(6)
+    names = [f"t{i:03}" for i in range(400)]
+    lists = [pick.choices(names, [1 / (1 + i // 5) for i in range(400)], k=pick.randint(0, 60)) for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in [*lists, []]], "terms array<string>").repartition(5)
+    counts = Counter(t for x in lists for t in x)
+    for size in (5, 40, 1000):
+        want = [t for t, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+        assert ft.frequent_terms(df, size, room) == want
+    assert ft.frequent_terms(df.limit(0), 5, room) == []
+
+
+def test_too_many_values_are_no_category(spark, monkeypatch):
+    monkeypatch.setattr(ft, "MOST_VALUES", 3)
+    df = spark.createDataFrame([(x,) for x in "abcd"], "campaign_name string")
+    with pytest.raises(ValueError, match="more than 3"):
+        ft.label_stage("campaign_name").fit(df)
+    assert ft.label_stage("campaign_name").fit(df.filter("campaign_name <> 'd'")).labels == ["a", "b", "c"]
+
+
+def test_a_save_that_fails_leaves_the_last_model(spark, training, tmp_path, monkeypatch):
+    path, model = str(tmp_path / "m"), tr.train_resolution(training, trees=2)
+    assert tr.save(model, path, {"trained_on": 1}) == 1
+    monkeypatch.setattr(tr.json, "dumps", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        tr.save(model, path, {"trained_on": 2})
+    monkeypatch.undo()
+    assert tr.load(spark, path)[1]["trained_on"] == 1
+    assert tr.save(model, path, {"trained_on": 3}) == 2
+    assert tr.load(spark, path)[1]["trained_on"] == 3
+
+
 def test_unseen_category_is_all_zero(spark):
     seen = spark.createDataFrame([("b",), ("a",)], "campaign_name string")
     model = Pipeline(stages=ft.onehot_stages()).fit(seen)

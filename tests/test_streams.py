@@ -120,20 +120,22 @@ def test_a_batch_touches_its_days_only_and_once(spark, tmp_path, rows):
     out = str(tmp_path / "daily")
 
     def batch(*values):
-        return spark.createDataFrame([(datetime(2025, 1, d).date(), c, n, s) for d, c, n, s in values], live.DAILY)
+        rows_of = [(f"part {d}", datetime(2025, 1, d).date(), c, n, s) for d, c, n, s in values]
+        return spark.createDataFrame(rows_of, live.DAILY)
 
     def versions():
         return {r["part"]: r["held_in"] for r in keyed._manifest(spark, out, keyed.PARTS)}
 
-    assert keyed.merge_parts(batch((1, "A", 1, 1.0), (1, None, 2, None), (2, "A", 3, 3.0)), out, "day",
-                             ["issue_category"], "run", 0)
+    keys = ["day", "issue_category"]
+    assert keyed.merge_parts(batch((1, "A", 1, 1.0), (1, None, 2, None), (2, "A", 3, 3.0)), out, "year",
+                             keys, "run", 0)
     more = batch((2, "A", 4, 4.0), (3, None, 1, None))
-    assert keyed.merge_parts(more, out, "day", ["issue_category"], "run", 1)
+    assert keyed.merge_parts(more, out, "year", keys, "run", 1)
     want = [(1, "A", 1, 1.0), (1, None, 2, None), (2, "A", 4, 4.0), (3, None, 1, None)]
     for _ in range(2):
         assert sorted([(d.day, *r) for d, *r in rows(live.read_daily(spark, out))], key=repr) == sorted(want, key=repr)
-        assert versions() == {"2025-01-01": 1, "2025-01-02": 2, "2025-01-03": 2}
-        assert not keyed.merge_parts(more, out, "day", ["issue_category"], "run", 1)
+        assert versions() == {"part 1": 1, "part 2": 2, "part 3": 2}
+        assert not keyed.merge_parts(more, out, "year", keys, "run", 1)
 
 
 def test_files_read_per_trigger_do_not_grow(spark, tmp_path, monkeypatch, rows):

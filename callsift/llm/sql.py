@@ -66,6 +66,58 @@ WITH sized AS (
 SELECT doc_id, source, size, source_size, target, size * (whole + further) AS taken FROM chosen2
 """
 
+SQL["op3_prefix_targets"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT -7, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(t)
+), pieces AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    coalesce(role, '') = 'assistant' AS target,
+    length('<|' || regexp_replace(coalesce(role, ''), '([\\|])', '\\\1', 'g') || '|>' || chr(10)
+      || regexp_replace(coalesce(text, ''), '([\\|])', '\\\1', 'g') || '<|end|>' || chr(10)) AS chars
+  FROM turns
+), placed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+    ROWS UNBOUNDED PRECEDING) AS upto FROM pieces
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (target), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (target), '')) AS loss_sha256,
+  (coalesce(sum(upto) FILTER (target), 0) + max(upto) - coalesce(max(upto) FILTER (target), 0))::BIGINT
+    AS formatted_chars, count(*) FILTER (target) AS n_examples
+FROM placed GROUP BY conv_id
+"""
+
+SQL["op6_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle
+  FROM words
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), ways AS MATERIALIZED (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reached r JOIN ways l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, l.component_id
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN least l ON d.doc_id = l.a
+"""
+
 SQL["op11_shallot_clusters"] = """
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id,

@@ -17,8 +17,10 @@ region, regions with the same members are joined once, and everything below happ
   until they are small or no longer get smaller, and all pairs of different components there whose
   signatures are within reach are checked on the whole sets.
 
-Regions of any size are cut into blocks, and a task compares two blocks. The driver holds bit tables of a
-fixed size, which only ever save work.
+Regions of more than BLOCK members are split in Spark, by pivots, cells and windows shared by all tasks;
+cells that are still large, and don't get smaller, are cut into blocks, and a task compares two of them.
+Inside a task the same goes on with smaller cells. The driver holds bit tables, which only ever save work;
+they grow with the number of keys in them, up to 128 MB.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; equal sets are one node and always linked; rows that share a
@@ -37,16 +39,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callsift.llm.common import window_hashes, word_hashes
+from callsift.llm.common import mix, window_hashes, word_hashes
 from callsift.llm.components import components
-from callsift.session import settle
+from callsift.plans.sizing import lookup_side
+from callsift.session import settle, settled
 
 CELLS = 512
-BIT_TABLE = 1 << 24
+BIT_TABLE, MOST_BITS = 1 << 24, 1 << 30
 OFTEN = 32  # a shingle that more documents than this begin with goes to the end of the order
 BLOCK = 2048
 SMALL = 96
 PIVOTS = 8
+REGION_PIVOTS = 24  # about so many split a region, or cell, of more than BLOCK members
 
 
 def row_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -65,7 +69,7 @@ def first_shingles(shingles: np.ndarray, often: np.ndarray, percent: int) -> np.
     n = len(shingles)
     if not n:
         return shingles
-    late = often[shingles % np.uint64(len(often))]
+    late = in_table(often, shingles)
     return np.concatenate([shingles[~late], shingles[late]])[: n - (percent * n + 99) // 100 + 1]
 
 
@@ -74,9 +78,14 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount(cells.astype(np.int64), minlength=CELLS), 255).astype("u1").tobytes()
 
 
+def table_size(n: int) -> int:
+    """Bits for n keys, so that about one other value in sixteen is taken for one of them at most; no more
+    than MOST_BITS, which is 128 MB, beyond which more are."""
+    return min(MOST_BITS, max(BIT_TABLE, 1 << (16 * n - 1).bit_length()))
+
+
 def bit_table(values: DataFrame, size: int = BIT_TABLE) -> np.ndarray:
-    """Which remainders modulo `size` the long column `v` has, as packed bits: a table of a fixed size,
-    whatever the number of rows."""
+    """Which remainders modulo `size`, a power of two, the long column `v` has, as packed bits."""
     placed = values.select(F.pmod(F.col("v"), F.lit(size)).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     word = F.floor(F.col("at") / 64).cast("int").alias("word")
@@ -86,14 +95,15 @@ def bit_table(values: DataFrame, size: int = BIT_TABLE) -> np.ndarray:
     return held.view("u1")
 
 
-def unpacked(bits: np.ndarray) -> np.ndarray:
-    """A bit table as booleans."""
-    return np.unpackbits(bits, bitorder="little").astype(bool)
+def in_table(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values may be in a bit table."""
+    at = values.view(np.uint64) & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def seen_often(docs: DataFrame, n: int, percent: int, often: int) -> np.ndarray:
     """Bits of the shingles that more than `often` documents begin with, counted over all documents."""
-    nothing = np.zeros(1, dtype=bool)
+    nothing = np.zeros(1, dtype="u1")
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +112,8 @@ def seen_often(docs: DataFrame, n: int, percent: int, often: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["v"])
 
     counted = docs.select("text").mapInArrow(begin, "v long").groupBy("v").count()
-    return bit_table(counted.filter(F.col("count") > often).select("v"))
+    with settled(counted.filter(F.col("count") > often).select("v"), "often") as found:
+        return bit_table(found, table_size(found.count()))
 
 
 def described(docs: DataFrame, often: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -114,7 +125,7 @@ def described(docs: DataFrame, often: np.ndarray, n: int, percent: int) -> DataF
     shipped = docs.sparkSession.sparkContext.broadcast(often)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = unpacked(shipped.value)
+        late = shipped.value
         known: set[bytes] = set()
         for batch in batches:
             sizes, digests, firsts, signed = [], [], [], []
@@ -151,16 +162,16 @@ def shared_members(rows: DataFrame) -> DataFrame:
         each.groupBy("region").agg(F.min("hi").alias("a"), F.max("hi").alias("b"))
         .filter("a < b").select("region"), "shared",
     )
-    bits = bit_table(shared.select(F.col("region").alias("v")))
+    bits = bit_table(shared.select(F.col("region").alias("v")), table_size(shared.count()))
     shipped = rows.sparkSession.sparkContext.broadcast(bits)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = unpacked(shipped.value)
+        wanted = shipped.value
         for batch in batches:
             firsts = batch.column("firsts")
             flat = firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(len(batch)), firsts.value_lengths().to_numpy(zero_copy_only=False))
-            kept = wanted[flat.view(np.uint64) % np.uint64(len(wanted))]
+            kept = in_table(wanted, flat)
             at = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat[kept]), batch.column("hi").take(at), batch.column("lo").take(at)],
@@ -193,8 +204,7 @@ class Block:
         self.node = table.column("node").to_numpy()
         self.component = table.column("component").to_numpy()
         self.size = table.column("n").to_numpy()
-        raw = b"".join(v.as_py() for v in table.column("signed"))
-        self.cells = np.frombuffer(raw, dtype="u1").reshape(-1, CELLS).astype(np.int16)
+        self.cells = signatures(table.column("signed").to_pylist())
         self.percent = percent
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -311,29 +321,113 @@ def pivot_pairs(members: DataFrame, percent: int) -> DataFrame:
     return in_groups(dealt, ["region", "block"], hook)
 
 
+MEMBER = "region long, part long, home boolean, node long, component long, n long, signed binary"
+
+
+def split(places: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Places in the Voronoi cells of pivots of their part, for parts with pivots.
+
+    Pivots are members by hash, about REGION_PIVOTS of each part. A home member is at home in the cell of its
+    nearest pivot and a guest of the others whose window it falls into; a guest is one of all it falls into.
+    """
+    chosen = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("homes")) < REGION_PIVOTS
+    pivots = places.filter(F.col("home") & chosen).groupBy("region", "part").agg(
+        F.array_sort(F.collect_list(F.struct("node", "signed"))).alias("pivots"))
+    dealt = places.drop("homes").join(lookup_side(pivots), ["region", "part"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            region, part = (table.column(c).to_numpy().view(np.uint64) for c in ("region", "part"))
+            key = region ^ mix(part)
+            for one in np.unique(key):
+                own = table.filter(pa.array(key == one))
+                listed = own.column("pivots")[0].as_py()
+                middle = signatures([p["signed"] for p in listed])
+                cells = signatures(own.column("signed").to_pylist())
+                away = np.stack([np.abs(cells - m).sum(axis=1, dtype=np.int64) for m in middle], axis=1)
+                window = away.min(axis=1) + 2 * reach(own.column("n").to_numpy(), percent)
+                row, cell = np.nonzero(away <= window[:, None])
+                home = np.array(own.column("home").to_pylist(), dtype=bool)
+                home = home[row] & (away.argmin(axis=1)[row] == cell)
+                names = mix(np.array([p["node"] for p in listed], dtype=np.int64).view(np.uint64)
+                            ^ own.column("part").to_numpy()[:1].view(np.uint64)).view(np.int64)
+                at = pa.array(row)
+                yield from pa.table({
+                    "region": own.column("region").take(at), "part": pa.array(names[cell]),
+                    "home": pa.array(home), "node": own.column("node").take(at),
+                    "component": own.column("component").take(at), "n": own.column("n").take(at),
+                    "signed": own.column("signed").take(at), "parent": own.column("part").take(at),
+                }).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(deal, f"{MEMBER}, parent long")
+
+
+def signatures(signed: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signed), dtype="u1").reshape(-1, CELLS).astype(np.int16)
+
+
+def in_parts(members: DataFrame, percent: int) -> DataFrame:
+    """`members` in parts small enough for a task, or that cells don't make smaller: places with `homes`, the
+    members at home in the part, and `size`, guests included.
+
+    Regions of more than BLOCK members are split into cells, and cells again, all of them in one shuffle per
+    turn. A split is taken back where it copies members too often or leaves a cell nearly as large.
+    """
+    whole = members.select(
+        "region", F.lit(0).cast("long").alias("part"), F.lit(True).alias("home"), "node", "component", "n",
+        "signed", F.col("size").alias("homes"), "size",
+    )
+    done, left, turn = whole.filter(F.col("homes") <= BLOCK), whole.filter(F.col("homes") > BLOCK), 0
+    left = settle(left, "places")
+    while not left.isEmpty():
+        cut = settle(split(left.drop("size"), percent, turn), "places")
+        sizes = cut.groupBy("region", "parent", "part").agg(
+            F.count_if("home").alias("homes"), F.count("*").alias("size"))
+        before = left.groupBy("region", "part").agg(F.first("homes").alias("was"), F.count("*").alias("rows"))
+        after = sizes.groupBy("region", F.col("parent").alias("part")).agg(
+            F.max("homes").alias("most"), F.sum("size").alias("copies"))
+        judged = settle(before.join(after, ["region", "part"], "left").select(
+            "region", "part", (
+                (F.col("copies") < REGION_PIVOTS * F.col("rows") / 3) & (F.col("most") < 0.9 * F.col("was"))
+            ).alias("better")), "judged")
+        better = judged.filter("better").select("region", F.col("part").alias("parent"))
+        kept = judged.filter("NOT coalesce(better, false)").select("region", "part")
+        done = done.unionByName(left.join(kept, ["region", "part"]))
+        now = cut.join(better, ["region", "parent"]).join(
+            sizes.filter("homes > 0"), ["region", "parent", "part"]).drop("parent")
+        now = settle(now, "places")
+        done = done.unionByName(now.filter(F.col("homes") <= BLOCK))
+        left = settle(now.filter(F.col("homes") > BLOCK), "places")
+        turn += 1
+    return done
+
+
 def remaining_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All possible pairs across components, every two blocks of a region compared once."""
+    """All possible pairs across components, every two blocks of a part compared once."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = members.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)}).select(
-        "region", "node", "component", "n", "signed", "own",
+    placed = in_parts(members, percent)
+    dealt = placed.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("node"), blocks)}).select(
+        "region", "part", "home", "node", "component", "n", "signed", "own",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"),
     ).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def join(table: pa.Table) -> np.ndarray:
         held = Block(table, percent)
+        home = np.array(table.column("home").to_pylist(), dtype=bool)
         own, i = table.column("own").to_numpy(), table.column("i").to_numpy()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own != i)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own != i)
         if len(right):  # two blocks: pairs inside one are another task's
             found = []
             for x in left:
-                near = held.possible(np.full(len(right), x), right)
-                found.append((np.full(len(near), x), right[near]))
+                others = right if home[x] else right[home[right]]
+                near = held.possible(np.full(len(others), x), others)
+                found.append((np.full(len(near), x), others[near]))
         else:
-            found = list(held.joined(left, right))
+            found = list(held.joined(left[home[left]], left[~home[left]]))
         return pairs_of(held, found)
 
-    return in_groups(dealt, ["region", "i", "j"], join)
+    return in_groups(dealt, ["region", "part", "i", "j"], join)
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -342,23 +436,25 @@ def sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     A set that only rows without doc_id hold is found by its digest among these rows. A task gives each
     set once.
     """
-    known = bit_table(nodes.filter(F.col("_least").isNotNull()).select(F.col("_least").alias("v")))
-    nameless = bit_table(nodes.filter(F.col("_least").isNull()).select(F.col("hi").alias("v")))
+    size = table_size(nodes.count())
+    known = bit_table(nodes.filter(F.col("_least").isNotNull()).select(F.col("_least").alias("v")), size)
+    nameless = bit_table(nodes.filter(F.col("_least").isNull()).select(F.col("hi").alias("v")), size)
     shipped = docs.sparkSession.sparkContext.broadcast((known, nameless))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, by_digest = map(unpacked, shipped.value)
+        wanted, by_digest = shipped.value
         some_nameless, given = by_digest.any(), set()
         for batch in batches:
             no_id = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            asked = wanted[ids.view(np.uint64) % len(wanted)] & ~no_id | (no_id & some_nameless)
+            asked = in_table(wanted, ids) & ~no_id | (no_id & some_nameless)
             part = batch.take(pa.array(np.flatnonzero(asked)))
             held, halves = [], []
             for i, shingles in enumerate(row_sets(part.column(1), n)):
                 digest = xxhash.xxh3_128_digest(shingles.tobytes())
-                hi, lo = (int(x) for x in np.frombuffer(digest, dtype="<i8"))
-                listed = part.column(0)[i].is_valid or by_digest[hi % len(by_digest)]
+                halves_of = np.frombuffer(digest, dtype="<i8")
+                hi, lo = (int(x) for x in halves_of)
+                listed = part.column(0)[i].is_valid or in_table(by_digest, halves_of[:1])[0]
                 if listed and digest not in given:
                     given.add(digest)
                     held.append(shingles.view(np.int64))

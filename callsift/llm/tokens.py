@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callsift.llm.jaccard import bit_table, unpacked
+from callsift.llm.jaccard import bit_table, in_table, table_size
 from callsift.session import settle
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -208,22 +208,25 @@ def missing_texts(docs: DataFrame, content: Column, known: DataFrame) -> DataFra
     """(content, text), one row per digest of `docs` that `known` lacks.
 
     Which digests are missing is found on digests alone. Texts are looked at where they lie: a task hands on
-    a text only if its digest may be missing, by a bit table of a fixed size, and only once, so neither
+    a text only if its digest may be missing, by a bit table, and only once, so neither
     texts with a stored count nor a task's copies are shuffled.
     """
     spark = docs.sparkSession
     keyed = docs.select(content.alias("content"), F.coalesce("text", F.lit("")).alias("text"))
+    first = F.row_number().over(Window.partitionBy("content").orderBy("text"))
+    if known.isEmpty():  # every digest is missing; the window folds a task's copies before the shuffle
+        return keyed.withColumn("_n", first).filter("_n = 1").drop("_n")
     misses = settle(
         keyed.select("content").distinct().join(known.select("content"), "content", "left_anti"), "misses"
     )
-    shipped = spark.sparkContext.broadcast(bit_table(misses.select(F.xxhash64("content").alias("v"))))
+    hashes = misses.select(F.xxhash64("content").alias("v"))
+    shipped = spark.sparkContext.broadcast(bit_table(hashes, table_size(misses.count())))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, given = unpacked(shipped.value), set()
+        wanted, given = shipped.value, set()
         for batch in batches:
-            at = batch.column("h").to_numpy().view(np.uint64) % np.uint64(len(wanted))
             kept = []
-            for i in np.flatnonzero(wanted[at]):
+            for i in np.flatnonzero(in_table(wanted, batch.column("h").to_numpy())):
                 digest = batch.column("content")[int(i)].as_py()
                 if digest not in given:
                     kept.append(i)
@@ -232,7 +235,6 @@ def missing_texts(docs: DataFrame, content: Column, known: DataFrame) -> DataFra
             yield batch.take(pa.array(kept, pa.int64())).drop_columns(["h"])
 
     likely = keyed.withColumn("h", F.xxhash64("content")).mapInArrow(pick, "content string, text string")
-    first = F.row_number().over(Window.partitionBy("content").orderBy("text"))
     return likely.withColumn("_n", first).filter("_n = 1").drop("_n").join(misses, "content", "left_semi")
 
 

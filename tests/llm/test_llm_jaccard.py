@@ -131,6 +131,45 @@ def test_cells_and_windows_miss_no_pair():
                 assert (j, i) in found
 
 
+def open_region(spark, n, seed=3, families=8):
+    """Members of one region: sets of many families, of which those of one are near each other."""
+    pick = random.Random(seed)
+    rows, texts = [], []
+    heads = [prose(5000 + f, 60) for f in range(families)]
+    for i in range(n):
+        texts.append(edited(heads[i % families], pick, pick.choice([0.01, 0.02, 0.04])))
+    sets = list(jaccard.row_sets(pa.array(texts), 4))
+    for i, s in enumerate(sets):
+        rows.append((77, i, i, len(s), bytearray(jaccard.signature(s)), n))
+    return sets, spark.createDataFrame(
+        rows, "region long, node long, component long, n long, signed binary, size long").repartition(4)
+
+
+def test_large_regions_are_split_and_lose_no_pair(spark, monkeypatch):
+    sets, members = open_region(spark, 1500)
+    want = {tuple(sorted(r)) for r in jaccard.remaining_pairs(members, 85).collect()}  # one task
+    monkeypatch.setattr(jaccard, "BLOCK", 250)
+    parts = jaccard.in_parts(members, 85)
+    assert parts.select("part").distinct().count() > 5
+    sizes = [r["size"] for r in parts.groupBy("region", "part").agg(
+        jaccard.F.first("size").alias("size")).collect()]
+    assert sum(s * s for s in sizes) < 0.5 * 1500 * 1500
+    got = {tuple(sorted(r)) for r in jaccard.remaining_pairs(members, 85).collect()}
+    assert got == want
+    for i, j in [(a, b) for a in range(0, 1500, 100) for b in range(a)]:
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * common >= 85 * (len(sets[i]) + len(sets[j]) - common):
+            assert (j, i) in got
+
+
+def test_a_region_that_cells_do_not_divide(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    _, members = open_region(spark, 300, families=1)
+    want = {tuple(sorted(r)) for r in jaccard.remaining_pairs(members, 85).collect()}
+    monkeypatch.setattr(jaccard, "BLOCK", 2048)
+    assert {tuple(sorted(r)) for r in jaccard.remaining_pairs(members, 85).collect()} == want
+
+
 def test_components(spark):
     pick = random.Random(4)
     pairs = [(pick.randrange(400), pick.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)]
@@ -153,7 +192,9 @@ def test_components(spark):
 
 def test_bit_table(spark):
     held = jaccard.bit_table(spark.createDataFrame([(5,), (-1,), (69,)], "v long"), 64)
-    assert set(np.flatnonzero(jaccard.unpacked(held))) == {5, 63}
+    assert jaccard.in_table(held, np.array([5, -1, 69, 6, 63, 0])).tolist() == [True, True, True, False, True, False]
+    assert jaccard.table_size(3) == 1 << 24 and jaccard.table_size(10**7) == 1 << 28
+    assert jaccard.table_size(10**10) == 1 << 30
 
 
 def test_groups_are_whole_across_batches(spark, monkeypatch):

@@ -45,7 +45,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of documents that links connect, the one with the smallest doc_id. Two documents link when their
     sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Of rows that share a doc_id the one with the smallest hash of its text stays, on any partitioning. Rows
+    Of rows that share a doc_id the one with the smallest hash of its text stays, and of rows that share the
+    text too the one with the smallest hash of all columns, on any partitioning. Rows
     without a doc_id link like all others: one stays of each group that no doc_id is in, again the one
     with the smallest hash, and one of each text without words.
     """
@@ -53,11 +54,17 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     known = grouped.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("text_key").alias("_key"))
     nameless = grouped.filter("doc_id IS NULL AND component_id IS NULL")
     alone = nameless.groupBy(F.coalesce("group", "text_key")).agg(F.min("text_key").alias("_key"))
-    kept = known.unionByName(alone.select(F.lit(None).cast("long").alias("doc_id"), "_key"))
-    wanted = kept.withColumnsRenamed({"doc_id": "_id"})
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    found = docs.withColumn("_text", jaccard.text_key()).join(wanted, same)
-    return found.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    keyed = docs.withColumns({"_text": jaccard.text_key(), "_row": F.xxhash64(*docs.columns)})
+    # Of rows with equal id and text the one with the smallest hash, found without moving any text.
+    first = keyed.groupBy("doc_id", "_text").agg(F.min("_row").alias("_row"))
+    one = first.withColumnRenamed("_text", "_key")
+    wanted = one.filter("doc_id IS NOT NULL").join(known, ["doc_id", "_key"])
+    nameless = one.filter("doc_id IS NULL").drop("doc_id").join(alone.select("_key"), "_key")
+    found = keyed.join(wanted.withColumnRenamed("_key", "_text"), ["doc_id", "_text", "_row"])
+    others = keyed.filter(F.col("doc_id").isNull()).join(
+        nameless.withColumnRenamed("_key", "_text"), ["_text", "_row"])
+    return found.dropDuplicates(["doc_id", "_text", "_row"]).select(*docs.columns).unionByName(
+        others.dropDuplicates(["_text", "_row"]).select(*docs.columns))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from callsift.functions import jsontext as js
 from callsift.functions import text as tx
@@ -27,6 +29,7 @@ ALL_MET = "Excellent — all criteria met!"
 SCORED_BY = "auditor"
 RULES_PER_PASS = 100_000
 MOST_CRITERIA = 2_048
+MOST_TOKENS = 1_000_000
 DEFAULT_SCORE = 5
 EVALUATION = "array<struct<section_name: string, criteria_name: string, passed: variant, reasoning: string>>"
 SUMMARY_FIELDS = (
@@ -279,34 +282,69 @@ def sentiment(
 ) -> DataFrame:
     """Positive / Neutral / Negative per speaker from a (token, polarity) lexicon.
 
-    One shuffle: tokens outside the lexicon are dropped before it, and an empty marker token keeps
-    calls without any known word.
+    A lexicon that proves small is looked up where the text lies, so that a call sends four numbers and no
+    tokens; a larger one is joined.
     """
-    marker = F.lit("")
-    sides = F.array(
-        *[
-            F.struct(F.lit(side).alias("side"), F.array_append(tx.tokens(F.col(text)), marker)
-                     .alias("tokens"))
-            for side, text in (("agent", "agent_text"), ("customer", "customer_text"))
-        ]
-    )
-    spoken = transcripts.select(KEY, F.inline(sides)).select(
-        KEY, "side", F.explode("tokens").alias("token")
-    )
-    known = spoken.join(lookup_side(lexicon, 1_000_000), "token", "left").filter(
-        F.col("polarity").isNotNull() | (F.col("token") == marker)
-    )
+    known = lexicon.filter("polarity IS NOT NULL AND token IS NOT NULL").groupBy("token").agg(
+        F.sum("polarity").cast("double").alias("polarity"), F.count("*").cast("double").alias("n"))
+    few, small = inline_if_small(known, MOST_TOKENS)
+    sums = _looked_up(transcripts, few.toArrow()) if small else _joined_sums(transcripts, known)
 
     def label(side: str) -> Column:
-        value = F.when(F.col("side") == side, F.col("polarity"))
-        mean = F.try_divide(F.sum(value).cast("double"), F.count(value))
+        mean = F.try_divide(F.sum(f"{side}_sum"), F.sum(f"{side}_n"))
         return F.when(mean > hi, "Positive").when(mean < lo, "Negative").otherwise("Neutral")
 
-    return known.groupBy(KEY).agg(
+    return sums.groupBy(KEY).agg(
         label("agent").alias("sentiment_agent"), label("customer").alias("sentiment_customer")
     )
 
 
+SIDES = ("agent", "customer")
+
+
+def _looked_up(transcripts: DataFrame, known: pa.Table) -> DataFrame:
+    """Per transcript and side the sum of polarities and the number of words in the lexicon."""
+    shipped = transcripts.sparkSession.sparkContext.broadcast(known.combine_chunks())
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shipped.value
+        words = table.column("token").combine_chunks()
+        values = [np.append(table.column(c).to_numpy(), 0.0) for c in ("polarity", "n")]
+        for batch in batches:
+            out = []
+            for side in SIDES:
+                tokens = batch.column(side)
+                at = pc.index_in(tokens.flatten(), value_set=words).fill_null(len(words))
+                rows = np.repeat(np.arange(len(batch)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+                out += [pa.array(np.bincount(rows, v[at.to_numpy(zero_copy_only=False)], len(batch)))
+                        for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), *out], schema=told)
+
+    schema = T.StructType([transcripts.schema[KEY], *[
+        T.StructField(f"{side}_{what}", T.DoubleType()) for side in SIDES for what in ("sum", "n")
+    ]])
+    told = to_arrow_schema(schema)
+    spoken = [tx.tokens(F.col(f"{side}_text")).alias(side) for side in SIDES]
+    return transcripts.select(KEY, *spoken).mapInArrow(look, schema)
+
+
+def _joined_sums(transcripts: DataFrame, known: DataFrame) -> DataFrame:
+    """The same for a lexicon of any size, one row per known token; an empty marker token keeps calls
+    without any."""
+    marker = F.lit("")
+    sides = F.array(*[
+        F.struct(F.lit(side).alias("side"),
+                 F.array_append(tx.tokens(F.col(f"{side}_text")), marker).alias("tokens"))
+        for side in SIDES
+    ])
+    spoken = transcripts.select(KEY, F.inline(sides)).select(KEY, "side", F.explode("tokens").alias("token"))
+    found = spoken.join(known, "token", "left").filter(F.col("n").isNotNull() | (F.col("token") == marker))
+    return found.select(KEY, *[
+        F.when(F.col("side") == side, F.col(column)).alias(f"{side}_{what}")
+        for side in SIDES for column, what in (("polarity", "sum"), ("n", "n"))
+    ])
+
+
 def _criteria_in_order(scores: DataFrame, rubric: DataFrame) -> list | None:
     """The names of all scored criteria in rubric order, those outside the rubric last; None if they are
     more than MOST_CRITERIA."""

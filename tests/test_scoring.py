@@ -145,6 +145,21 @@ def test_sentiment(spark, rows):
         (1, "Positive", "Negative"), (2, "Neutral", "Neutral"), (3, "Neutral", "Neutral")]
 
 
+def test_sentiment_by_join_is_the_same(spark, rows, monkeypatch):
+    pick = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    lexicon = spark.createDataFrame(
+        [(w, pick.choice([-1, 0, 1, None])) for w in words[:20]] + [("w1", 1), (None, 1)],
+        "token string, polarity int")
+    data = [(pick.randrange(25), *[" ".join(pick.choices(words, k=pick.randint(0, 8))) or None for _ in "ab"])
+            for _ in range(60)]
+    transcripts = spark.createDataFrame(data, "contact_id long, agent_text string, customer_text string")
+    here = rows(sc.sentiment(transcripts, lexicon))
+    monkeypatch.setattr(sc, "MOST_TOKENS", 3)
+    assert rows(sc.sentiment(transcripts, lexicon)) == here
+    assert {r[0] for r in here} == {r[0] for r in data}
+
+
 def test_failed_and_recommendation(spark, rubric, rows):
     scores = spark.createDataFrame(
         [(1, "B", False), (1, "A", False), (1, "A", False), (1, "?", None), (2, "A", True)],

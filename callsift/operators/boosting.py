@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 BINS = 64
 UNIT = float(1 << 30)
+ROWS_OF_TASK = 20_000
 ROUNDS_KEPT = 10  # rounds after which the rows' scores are brought up to date
 Tree = dict[str, np.ndarray]  # feature, threshold, bin of the inner nodes; value of the leaves
 
@@ -175,11 +176,11 @@ class MulticlassBoosting(Estimator, _Boosting, DefaultParamsReadable, DefaultPar
         # A class without rows has no score that any row could lift above the others'.
         start = np.log(np.maximum([counts.get(c, 0) / total for c in range(n_classes)], 1e-300))
         thresholds = quantiles(rows, len(rows.first()["x"]))
-        trees = self._boosted(rows, thresholds, start, n_classes) if n_classes > 1 else []
+        trees = self._boosted(rows, thresholds, start, n_classes, total) if n_classes > 1 else []
         return MulticlassModel._made(self, start, trees)
 
     def _boosted(self, rows: DataFrame, thresholds: list[np.ndarray], start: np.ndarray,
-                 n_classes: int) -> list[list[Tree]]:
+                 n_classes: int, total: int) -> list[list[Tree]]:
         depth, rate = self.getOrDefault(self.depth), self.getOrDefault(self.rate)
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +201,11 @@ class MulticlassBoosting(Estimator, _Boosting, DefaultParamsReadable, DefaultPar
                 labels = np.frombuffer(b"".join(r["labels"] for r in held), dtype=kind).astype(np.int64)
                 yield bins, labels, np.tile(start, (len(bins), 1))
 
-        tasks = rows.sparkSession.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < tasks:  # a small table in few files
-            rows = rows.repartition(tasks)
-        packed = rows.mapInArrow(pack, "bins binary, labels binary")
+        # Small tables in as few tasks as they are worth, larger ones in all there are.
+        worth, held = -(-total // ROWS_OF_TASK), rows.rdd.getNumPartitions()
+        wanted = max(1, min(worth, max(held, rows.sparkSession.sparkContext.defaultParallelism)))
+        dealt = rows.repartition(wanted) if held < wanted else rows.coalesce(wanted)
+        packed = dealt.mapInArrow(pack, "bins binary, labels binary")
         state = packed.rdd.mapPartitions(unpack).persist(StorageLevel.MEMORY_AND_DISK)
         done: list[list[Tree]] = []
         recent: list[list[Tree]] = []

@@ -7,27 +7,29 @@
 
 A term's bucket comes from its hash, so a search opens the folders of its own terms only. A segment's
 documents are dealt into parts of about PART_DOCS by the hash of their key; a posting row holds the
-entries of one term in one part, with the largest weight among them. Rows are bounded by the size of a
-part, however frequent the term.
+entries of one term in one part, as lists of keys and weights, with the largest weight among them. Rows are
+bounded by the size of a part, however frequent the term.
 
 A search first reads the heads of its terms. Per query and part the sum of the largest weights is a bound
 of every score there. The parts with the highest bounds are scored first, and their k-th best score is what
 a part's bound must reach: all others are skipped with their postings. All words of a document lie in the
-same part, so scores are whole, and the result is exact. Weights are summed in whole 2^-40, which makes
+same part, so scores are whole, and the result is exact; they are added up where the part's postings are, and only
+its k best documents per query go further. Weights are summed in whole 2^-40, which makes
 scores independent of the order of tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from callsift.functions import text as tx
 from callsift.operators.retrieval import QUERIES_PER_PASS, TOP_K, ranked
@@ -53,32 +55,56 @@ def segments(spark: SparkSession, path: str) -> dict[int, int]:
     return {r["segment"]: r["n_docs"] for r in listed.collect()}
 
 
-def _entries(docs: DataFrame, keys: list[str], parts: int) -> DataFrame:
-    """(part, term, keys, weight): every word of every document once, with (1 + ln times) / sqrt(length)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column("tokens")
-            lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
-            words = tokens.flatten().dictionary_encode()
-            n = max(len(words.dictionary), 1)
-            rows = np.repeat(np.arange(len(batch)), lengths)
-            cells, times = np.unique(
-                rows * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-            at = cells // n
-            weights = (1 + np.log(times)) / np.sqrt(lengths[at])
-            kept = [batch.column(c).take(pa.array(at)) for c in ("part", *keys)]
-            yield pa.RecordBatch.from_arrays(
-                [words.dictionary.take(pa.array(cells % n)), pa.array(weights), *kept],
-                ["term", "weight", "part", *keys],
-            )
+def _grouped_by(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the codes 0 to n - 1 begins in the sorted codes, and their end."""
+    return np.searchsorted(codes, np.arange(n + 1))
+
+
+def _entries_type(key_fields: list) -> T.StructType:
+    """One list per key column and one of weights, of equal length."""
+    weights = T.StructField("weight", T.DoubleType())
+    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in [*key_fields, weights]])
+
+
+def _postings(docs: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """(bucket, term, part, best, n, entries): every word of every document once, with
+    (1 + ln times) / sqrt(length).
+
+    Texts are dealt out by part, and all postings of a part are made where its texts are, so words are not
+    shuffled one by one.
+    """
+    entries = _entries_type([docs.schema[c] for c in keys])
+    schema = T.StructType([*flat("term STRING, part INT, best DOUBLE, n BIGINT").fields,
+                           T.StructField("entries", entries)])
+    told = to_arrow_schema(schema)
+
+    def build(part: tuple, rows: pa.Table) -> pa.Table:
+        tokens = rows.column("tokens").combine_chunks()
+        lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+        words = tokens.flatten().dictionary_encode()
+        n = len(words.dictionary)
+        at_row = np.repeat(np.arange(len(rows)), lengths)
+        cells, times = np.unique(
+            words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(rows), 1) + at_row,
+            return_counts=True)
+        word, at = np.divmod(cells, max(len(rows), 1))
+        weights = (1 + np.log(times)) / np.sqrt(lengths[at])
+        first = _grouped_by(word, n)
+        bounds, order = pa.array(first.astype(np.int32)), pa.array(at)
+        lists = [pa.ListArray.from_arrays(bounds, rows.column(c).combine_chunks().take(order)) for c in keys]
+        lists.append(pa.ListArray.from_arrays(bounds, pa.array(weights)))
+        best = np.maximum.reduceat(weights, first[:-1]) if n else np.zeros(0)
+        held = pa.StructArray.from_arrays(lists, names=[*keys, "weight"])
+        return pa.table([
+            words.dictionary, pa.array(np.full(n, part[0].as_py(), dtype=np.int32)), pa.array(best),
+            pa.array(np.diff(first)), held.cast(told.field("entries").type),
+        ], schema=told)
 
     part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
-    schema = T.StructType([
-        T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType()),
-        T.StructField("part", T.IntegerType()), *[T.StructField(c, docs.schema[c].dataType) for c in keys],
-    ])
-    return docs.select(*keys, part, tx.tokens(F.col("text")).alias("tokens")).mapInArrow(count, schema)
+    dealt = docs.select(*keys, part, "text").repartition("part")
+    tokens = dealt.select(*keys, "part", tx.tokens(F.col("text")).alias("tokens"))
+    made = tokens.groupBy("part").applyInArrow(build, schema)
+    return made.select(_bucket("term"), *schema.names)
 
 
 def append(docs: DataFrame, path: str, key: str | list[str]) -> int:
@@ -98,10 +124,7 @@ def append(docs: DataFrame, path: str, key: str | list[str]) -> int:
     new.select(*keys).write.mode("overwrite").parquet(kept)
     n_docs = spark.read.schema(new.select(*keys).schema).parquet(kept).count()
     parts = max(1, math.ceil(n_docs / PART_DOCS))
-    entry = F.struct(*keys, "weight")
-    postings = _entries(new, keys, parts).groupBy(_bucket("term"), "term", "part").agg(
-        F.max("weight").alias("best"), F.count("*").alias("n"), F.collect_list(entry).alias("entries")
-    )
+    postings = _postings(new, keys, parts)
     out = f"{path}/postings/segment={number}"
     _by_bucket(postings).write.mode("overwrite").partitionBy("bucket").parquet(out)
     heads = spark.read.schema(postings.drop("entries").schema).parquet(out)
@@ -123,7 +146,7 @@ def _segments_of(spark: SparkSession, path: str, numbers: list[int], schema: T.S
 
 
 def _term_rows(spark: SparkSession, path: str, name: str, numbers: list[int], buckets: list[int],
-               entries: T.DataType | None = None) -> DataFrame:
+               entries: T.StructType | None = None) -> DataFrame:
     """Heads or postings in the folders of the given buckets."""
     fields = flat("term STRING, part INT, best DOUBLE, n BIGINT").fields
     more = [T.StructField("entries", entries)] if entries else []
@@ -164,6 +187,80 @@ def _key_fields(spark: SparkSession, path: str, held: dict[int, int], keys: list
     return [stored[c] for c in keys]
 
 
+def _scorer(weighed: DataFrame, fields: list, query_field: T.StructField, k: int):
+    """The function of a part's postings and the queries that want it, to (query_id, keys, cost): per query
+    the k best documents of the part, ties by key, and those without a key.
+
+    The words of a pass's queries go to every task; scores stay in the task that adds them up.
+    """
+    names = [f.name for f in fields]
+    told = to_arrow_schema(T.StructType([query_field, *fields, T.StructField("cost", T.LongType())]))
+    words = weighed.sparkSession.sparkContext.broadcast(weighed.select("query_id", "term", "idf").toArrow())
+
+    def best_of(postings: pa.Table, pairs: pa.Table) -> pa.Table:
+        if not len(postings) or not len(pairs):
+            return told.empty_table()
+        held = [pa.chunked_array([c.field(i) for c in postings.column("entries").chunks])
+                for i in range(len(names) + 1)]
+        sizes = pc.list_value_length(held[-1]).to_numpy()
+        end = np.cumsum(sizes)
+        weights = pc.list_flatten(held[-1]).to_numpy()
+        columns = [pc.list_flatten(c).combine_chunks() for c in held[:-1]]
+        keyed, doc = _numbered(columns, names)
+        no_key = np.zeros(len(keyed), dtype=bool)
+        for c in names:
+            no_key |= keyed.column(c).is_null().to_numpy()
+        place = {term: i for i, term in enumerate(postings.column("term").to_pylist())}
+        asked = words.value
+        asked = asked.filter(pc.is_in(asked.column("query_id"), pairs.column("query_id")))
+        asked = asked.filter(pc.is_in(asked.column("term"), postings.column("term")))
+        by_query: dict = {}
+        for query, term, idf in zip(*(c.to_pylist() for c in asked.columns), strict=True):
+            by_query.setdefault(query, []).append((place[term], idf))
+        units: dict[int, np.ndarray] = {}
+        found, total = [], np.zeros(len(keyed), dtype=np.int64)
+        for query, of in by_query.items():
+            total[:] = 0
+            for row, idf in of:
+                at = slice(end[row] - sizes[row], end[row])
+                if row not in units:
+                    units[row] = np.floor(weights[at] * idf * UNIT + 0.5).astype(np.int64)
+                np.add.at(total, doc[at], units[row])  # a key can come twice
+            met = np.flatnonzero(total)
+            if len(met) > k:
+                least = np.partition(total[met], len(met) - k)[len(met) - k]
+                near = met[total[met] >= least]
+                kept = near[np.argsort(-total[near], kind="stable")[:k]]
+                met = np.union1d(kept, met[no_key[met]])
+            found.append((query, met, -total[met]))
+        if not found:
+            return told.empty_table()
+        rows = pa.array(np.concatenate([met for _, met, _ in found]))
+        queries = [query for query, met, _ in found for _ in met]
+        return pa.table([
+            pa.array(queries, told.field("query_id").type), *[keyed.column(c).take(rows) for c in names],
+            pa.array(np.concatenate([cost for _, _, cost in found])),
+        ], schema=told)
+
+    return best_of
+
+
+def _numbered(columns: list[pa.Array], names: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """The different keys in ascending order, and the number of each row's key among them."""
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for column in columns:
+        coded = column.dictionary_encode(null_encoding="encode")
+        code = code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        code = np.unique(code, return_inverse=True)[1]
+    first = np.unique(code, return_index=True)[1]
+    each = pa.table([c.take(pa.array(first)) for c in columns], names=names)
+    order = pc.sort_indices(
+        each, sort_keys=[(c, "ascending") for c in names], null_placement="at_start").to_numpy()
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return each.take(pa.array(order)), back[code]
+
+
 def _hits(asked: DataFrame, path: str, held: dict[int, int], buckets: list[int], keys: list[str], k: int,
           schema: T.StructType) -> DataFrame:
     spark, numbers = asked.sparkSession, sorted(held)
@@ -178,18 +275,18 @@ def _hits(asked: DataFrame, path: str, held: dict[int, int], buckets: list[int],
             most.alias("bound")), "bounds",
     )
     fields = [schema[c] for c in keys]
-    entries = T.ArrayType(T.StructType([*fields, T.StructField("weight", T.DoubleType())]))
-    rows = _term_rows(spark, path, "postings", numbers, buckets, entries)
+    rows = _term_rows(spark, path, "postings", numbers, buckets, _entries_type(fields))
+    best_of = _scorer(weighed, fields, schema["query_id"], k)
 
     def scored(pairs: DataFrame) -> DataFrame:
         """The k best per query in the given parts."""
-        wanted = pairs.select("query_id", "segment", "part").join(weighed, "query_id")
-        each = rows.select("term", "segment", "part", "entries").join(
-            lookup_side(wanted, 1_000_000), ["term", "segment", "part"]
-        ).select("query_id", "idf", F.explode("entries").alias("e"))
-        units = F.floor(F.col("e.weight") * F.col("idf") * UNIT + 0.5)
-        sums = each.groupBy("query_id", *[F.col(f"e.`{c}`").alias(c) for c in keys]).agg(
-            (-F.sum(units)).alias("cost"))
+        wanted = lookup_side(pairs.select("segment", "part").distinct(), 1_000_000)
+        some = rows.join(terms, "term", "left_semi").join(wanted, ["segment", "part"], "left_semi")
+        each = some.select("term", "segment", "part", "entries").groupBy("segment", "part").cogroup(
+            pairs.select("query_id", "segment", "part").groupBy("segment", "part"))
+        told = T.StructType([schema["query_id"], *fields, T.StructField("cost", T.LongType())])
+        # Documents without a key can lie in several segments and count as one.
+        sums = each.applyInArrow(best_of, told).groupBy("query_id", *keys).agg(F.sum("cost").alias("cost"))
         return ranked(sums, keys, k)
 
     order = F.row_number().over(

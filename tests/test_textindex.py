@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callsift.operators import retrieval as rt
 from callsift.operators import textindex as ti
@@ -105,3 +106,27 @@ def test_contexts_from_the_index(spark, tmp_path):
     cx.index_chunks(docs, path)
     got, want = cx.contexts(docs, queries, index=path), cx.contexts(docs, queries)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_scores_stay_with_their_part(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ti, "PART_DOCS", 100)
+    docs = spark.range(500).select(F.col("id").alias("contact_id"), F.lit("one word").alias("text"))
+    path, seen = str(tmp_path / "index"), []
+    ti.append(docs, path, "contact_id")
+    real = ti.ranked
+    monkeypatch.setattr(ti, "ranked", lambda df, keys, k: seen.append(df.count()) or real(df, keys, k))
+    queries = spark.createDataFrame([(i, "word") for i in range(20)], "query_id long, text string")
+    found = hits(ti.search(queries, path, "contact_id", 2))
+    assert [h[:3] for h in found] == [(i, rank, rank - 1) for i in range(20) for rank in (1, 2)]
+    assert seen[0] + seen[1] <= 20 * 2 * 5  # queries, hits and parts; not each document for each query
+
+
+def test_keys_that_repeat_or_are_null_count_as_one_document(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red"), (1, "red blue"), (2, "red"), (None, "red"), (None, "red")],
+                                 "contact_id long, text string")
+    path, asks = str(tmp_path / "index"), spark.createDataFrame([(9, "red")], "query_id long, text string")
+    ti.append(docs, path, "contact_id")
+    got = {h["contact_id"]: (h["hit_rank"], h["score"]) for h in ti.search(asks, path, "contact_id", 5).collect()}
+    unit = got[2][1]
+    assert got[None] == (1, pytest.approx(2 * unit)) and got[1] == (2, pytest.approx(unit * (1 + 0.5 ** 0.5)))
+    assert len(ti.search(asks, path, "contact_id", 1).collect()) == 1

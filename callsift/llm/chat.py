@@ -5,7 +5,8 @@ trainable. Because the template formats turn after turn, an example's text is a
 conversation's formatted text. Examples are therefore kept as one row per turn: the formatted turn,
 where it lies in the conversation, and for an assistant turn the example it ends (its length and the
 span under the loss mask). That is as long as the input, whatever the length of a conversation;
-`example_texts` writes the prefixes out for a trainer that wants whole strings.
+`example_texts` writes the prefixes out as whole strings, and `read_back` reads them, not the turns. Written
+out, a conversation's examples grow with the square of its turns; a task holds one example at a time.
 
 A turn is written as `<|role|>`, a line break, the text, `<|end|>` and a line break. Inside role and
 text a backslash and a bar get a backslash in front, so no text can contain a mark, and reading back
@@ -19,6 +20,7 @@ repeated rows are turns of their own; an empty table has no turns. Only the four
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -66,7 +68,8 @@ def examples(conversations: DataFrame) -> DataFrame:
     )
 
 
-_PIECE = re.compile(r"<\|((?:[^|\\]|\\.)*)\|>\n((?:[^|\\]|\\.)*)<\|end\|>\n", re.DOTALL)
+_PLAIN = r"([^|\\]*(?:\\.[^|\\]*)*)"
+_PIECE = re.compile(rf"<\|{_PLAIN}\|>\n{_PLAIN}<\|end\|>\n", re.DOTALL)
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
@@ -84,55 +87,83 @@ def in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
 
 
+Written = tuple[int | None, int | None, str, int | None, int | None]
+
+
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[Written]:
+    """(conv_id, example_no, text, loss_start, loss_end) of every example, its text written out whole, and
+    without a number the turns after a conversation's last reply."""
+    names = ("conv_id", "piece", "example_no", "loss_start", "loss_end")
+    begun, key, parts, new = False, None, [], 0
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in names]
+        for conv, piece, number, start, end in zip(*columns, strict=True):
+            if not begun or conv != key:
+                if new:
+                    yield key, None, "".join(parts[-new:]), None, None
+                begun, key, parts, new = True, conv, [], 0
+            parts.append(piece)
+            new += 1
+            if number is not None:
+                parts, new = ["".join(parts)], 0
+                yield key, number, parts[0], start, end
+    if new:
+        yield key, None, "".join(parts[-new:]), None, None
+
+
+def _turns(text: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of every turn of a formatted text."""
+    at = 0
+    while at < len(text):
+        found = _PIECE.match(text, at)
+        if found is None:
+            raise ValueError(f"no formatted turn at character {at}")
+        role, said = found.groups()
+        yield (_ESCAPE.sub(r"\1", role), _ESCAPE.sub(r"\1", said)) if "\\" in found[0] else (role, said)
+        at = found.end()
+
+
 def read_back(rows: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its formatted turns.
+    """Digests of each conversation, read from its examples as `example_texts` writes them.
 
-    Turns stream past in order, so a conversation of any length needs no more memory than a batch.
+    Every example is written out and read in the same task, one at a time: it has to begin with the example
+    before it, what follows are further turns, and its reply is what lies under the loss mask.
     """
     kinds = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
              "formatted_chars long, n_examples long")
+    names = [k.split()[0] for k in kinds.split(", ")]
+
+    def told(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(c, pa.string() if n.endswith("sha256") else pa.int64())
+            for n, c in zip(names, zip(*done, strict=True), strict=True)
+        ], names)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, done = None, []
-        names = [k.split()[0] for k in kinds.split(", ")]
-
-        def close() -> None:
-            key, n, turns, chars, loss, formatted, count, tail = state
-            done.append((key, n, turns.hexdigest(), chars, loss.hexdigest(), formatted + tail, count))
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in
-                       ("conv_id", "piece", "start", "example_chars", "loss_start", "loss_end")]
-            for key, piece, start, example, loss_from, loss_to in zip(*columns, strict=True):
-                if state is None or state[0] != key:
-                    if state is not None:
-                        close()
-                    state = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                role, text = read_piece(piece)
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                if example is None:
-                    state[7] += len(piece)  # text after the last reply is in no example
-                else:
-                    masked = piece[loss_from - start : loss_to - start]
-                    reply = _ESCAPE.sub(r"\1", masked)
-                    state[3] += len(reply)
-                    state[4].update(reply.encode())
-                    state[5] += example
-                    state[6] += 1
-                    state[7] = 0
-            if done:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(c, pa.string() if n.endswith("sha256") else pa.int64())
-                    for n, c in zip(names, zip(*done, strict=True), strict=True)
-                ], names)
+        done: list[tuple] = []
+        for key, examples_of in itertools.groupby(_written(batches), key=lambda example: example[0]):
+            n_turns = loss_chars = formatted = n_examples = 0
+            turns, loss, before = hashlib.sha256(), hashlib.sha256(), ""
+            for _, number, text, start, end in examples_of:
+                further = text
+                if number is not None:
+                    if not text.startswith(before):
+                        raise ValueError("an example does not begin with the one before it")
+                    further, before = text[len(before):], text
+                    reply = _ESCAPE.sub(r"\1", text[start:end])
+                    loss_chars += len(reply)
+                    loss.update(reply.encode())
+                    n_examples += 1
+                for role, said in _turns(further):
+                    n_turns += 1
+                    turns.update(f"{role}\n{said}\n".encode())
+                formatted += len(text)
+            done.append((key, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), formatted, n_examples))
+            if len(done) == 1000:
+                yield told(done)
                 done.clear()
-        if state is not None:
-            close()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(c, pa.string() if n.endswith("sha256") else pa.int64())
-                for n, c in zip(names, zip(*done, strict=True), strict=True)
-            ], names)
+        if done:
+            yield told(done)
 
     return in_order(rows).mapInArrow(digest, kinds)
 
@@ -143,21 +174,14 @@ def example_texts(rows: DataFrame) -> DataFrame:
     Their total length grows with the square of a conversation's turns.
     """
     kinds = "conv_id long, example_no long, text string, loss_start long, loss_end long"
+    schema = pa.schema([("conv_id", pa.int64()), ("example_no", pa.int64()), ("text", pa.string()),
+                        ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if parts is None or row["conv_id"] != key:
-                    key, parts = row["conv_id"], []
-                parts.append(row["piece"])
-                if row["example_no"] is not None:
-                    parts = ["".join(parts)]
-                    yield pa.RecordBatch.from_pylist([{
-                        "conv_id": key, "example_no": row["example_no"], "text": parts[0],
-                        "loss_start": row["loss_start"], "loss_end": row["loss_end"],
-                    }], pa.schema([("conv_id", pa.int64()), ("example_no", pa.int64()),
-                                   ("text", pa.string()), ("loss_start", pa.int64()),
-                                   ("loss_end", pa.int64())]))
+        for example in _written(batches):
+            if example[1] is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([value], field.type) for value, field in zip(example, schema, strict=True)],
+                    schema=schema)
 
     return in_order(rows).mapInArrow(write, kinds)

@@ -3,6 +3,7 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import prose
+from pyspark.sql import functions as F
 
 from callsift.llm import chat
 
@@ -83,3 +84,12 @@ def test_escapes_are_reversible(text, role):
 def test_empty(spark):
     rows = chat.examples(frame(spark, []))
     assert rows.count() == 0 and chat.read_back(rows).count() == 0 and chat.example_texts(rows).count() == 0
+
+
+def test_digests_are_read_from_the_written_examples(spark):
+    rows = chat.examples(frame(spark, [*ROWS, (77, 0, "end", "a"), (77, 1, "assistant", "b|end|>\n")]))
+    written = {(r["conv_id"], r["example_no"]): r["text"] for r in chat.example_texts(rows).collect()}
+    assert list(chat._turns(written[77, 1])) == [("end", "a"), ("assistant", "b|end|>\n")]
+    # What the turns say of an example's length is not what counts.
+    told = [chat.read_back(r).orderBy("conv_id").collect() for r in (rows, rows.withColumn("example_chars", F.lit(1)))]
+    assert told[0] == told[1]

@@ -2,8 +2,9 @@
 
 In every round one tree per class is fitted to the residuals of one shared softmax. Values are binned once,
 by quantiles; a level of all trees of a round is grown from one aggregation of residuals by (class, node,
-feature, bin), which every task adds up over its own rows. What reaches the driver is one table of that
-fixed size per level, whatever the number of rows. Sums run on whole numbers, so the trees don't depend on
+feature, bin), which every task adds up over its own rows; the tables of all tasks are added up class by class
+in the executors. What reaches the driver is one table of that fixed size per level, whatever the number of
+rows and tasks. Sums run on whole numbers, so the trees don't depend on
 the order of tasks.
 
 The rows' bins and scores stay in the executors, a byte per value; scores are brought up to date every few
@@ -234,17 +235,20 @@ def _level_sums(state: RDD, recent: list[list[Tree]], depth: int):
     """The function that adds up a level of the trees being grown, over all rows in one aggregation."""
 
     def at_level(trees: list[Tree], level: int) -> np.ndarray:
-        def add_up(parts: Iterator) -> Iterator[np.ndarray]:
+        def add_up(parts: Iterator) -> Iterator[tuple[int, np.ndarray]]:
             for bins, labels, scores in parts:
                 left = residuals(added(scores, recent, bins, "bin"), labels)
-                yield np.stack([
-                    sums_of(bins, leaf_of(tree, bins, "bin", level), 2 ** level, left[:, c], level == depth - 1)
-                    for c, tree in enumerate(trees)
-                ])
-
-        # A table of fixed size per task; those of many tasks are added up in the executors first.
-        steps = 1 if state.getNumPartitions() <= 64 else 2
-        return state.mapPartitions(add_up).treeReduce(np.add, steps)
+                for c, tree in enumerate(trees):
+                    node = leaf_of(tree, bins, "bin", level)
+                    yield c, sums_of(bins, node, 2 ** level, left[:, c], level == depth - 1)
+
+        tables = state.mapPartitions(add_up)
+        if state.getNumPartitions() > 1:
+            tables = tables.reduceByKey(np.add, min(len(trees), state.getNumPartitions()))
+        out = [0] * len(trees)
+        for c, table in tables.collect():  # one of fixed size per class
+            out[c] = out[c] + table
+        return np.stack(out)
 
     return at_level
 

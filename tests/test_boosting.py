@@ -88,3 +88,22 @@ def test_one_class_and_no_rows(spark):
         frame(spark, values, np.zeros(20))).collect()} == {(0.0, 1.0)}
     with pytest.raises(ValueError, match="no labelled rows"):
         bo.MulticlassBoosting().fit(frame(spark, values, np.zeros(20)).limit(0))
+
+
+def test_one_table_per_class_reaches_the_driver(spark):
+    """However many tasks there are."""
+    rng = np.random.default_rng(3)
+    blocks = [(rng.integers(0, 9, (50, 2), dtype=np.uint8), rng.integers(0, 3, 50), np.zeros((50, 3))) for _ in range(12)]
+    trees = [{"feature": np.zeros(1, int), "bin": np.array([4]), "threshold": np.zeros(1), "value": np.zeros(2)}] * 3
+    sums = {}
+    for parts in (1, 12):
+        state = spark.sparkContext.parallelize(blocks, parts)
+        read = []
+        kind, real = type(state), type(state).collect
+        try:
+            kind.collect = lambda self, read=read, real=real: read.append(self.getNumPartitions()) or real(self)
+            sums[parts] = bo._level_sums(state, [], 1)(trees, 0)
+        finally:
+            kind.collect = real
+        assert read and max(read) <= 3
+    assert sums[1].shape == (3, 1, 2, bo.BINS, 3) and (sums[1] == sums[12]).all()

@@ -100,20 +100,31 @@ def file_audit(details: DataFrame, transcripts: DataFrame, call_of: str = r"([^/
 
     `call_of` is the pattern whose group is the call's id in a path.
     """
-    def counted(name: str, listed: DataFrame) -> DataFrame:
-        return listed.agg(
-            F.lit(name).alias("item"), F.count("*").alias("n_files"),
-            F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n_bytes"),
-        )
+    def ids(listed: DataFrame, kind: str) -> DataFrame:
+        return listed.select(F.lit(kind).alias("kind"), F.regexp_extract("path", call_of, 1).alias("id"), "n_bytes")
+
+    def of(kind: str, value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == kind, value).otherwise(0))
+
+    one = F.lit(1).cast("bigint")
+    each = ids(details, "detail").unionByName(ids(transcripts, "talk")).groupBy("id").agg(
+        of("detail", one).alias("details"), of("detail", F.col("n_bytes")).alias("detail_bytes"),
+        of("talk", one).alias("talks"), of("talk", F.col("n_bytes")).alias("talk_bytes"),
+    )
+    paired = (F.col("details") > 0) & (F.col("talks") > 0)
 
-    def ids(listed: DataFrame) -> DataFrame:
-        return listed.select(F.regexp_extract("path", call_of, 1).alias("id"), "n_bytes")
+    def item(name: str, files: Column, n_bytes: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("item"), F.coalesce(F.sum(files), F.lit(0)).cast("bigint").alias("n_files"),
+            F.coalesce(F.sum(n_bytes), F.lit(0)).cast("bigint").alias("n_bytes"),
+        )
 
-    calls, talks = ids(details), ids(transcripts).select("id")
-    pairs = calls.join(distinct_keys(talks, "id"), "id", "left_semi").groupBy("id").agg(
-        F.sum("n_bytes").alias("n_bytes"))
-    return counted("call detail files", details).unionByName(
-        counted("transcript files", transcripts)).unionByName(counted("matched pairs", pairs))
+    items = each.agg(F.array(
+        item("call detail files", F.col("details"), F.col("detail_bytes")),
+        item("transcript files", F.col("talks"), F.col("talk_bytes")),
+        item("matched pairs", F.when(paired, one), F.when(paired, F.col("detail_bytes"))),
+    ).alias("items"))
+    return items.select(F.inline("items"))
 
 
 def profile(df: DataFrame, name: str, most: int | None = None) -> DataFrame:

@@ -385,10 +385,13 @@ def _(spark, folder):
     """One file per supplier as call detail, one per supplier with money as transcript."""
     rows = sample.table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     details, talk = scratch_path(spark, "detail-files"), scratch_path(spark, "transcript-files")
-    one = rows.select("s_suppkey", F.col("s_name").alias("value")).coalesce(1)
-    one.write.partitionBy("s_suppkey").text(details)
+    one = rows.select("s_suppkey", F.col("s_name").alias("value"))
     rich = rows.filter("s_acctbal > 0").select(F.col("s_suppkey") + 3, F.lit("talk").alias("value"))
-    rich.toDF("s_suppkey", "value").coalesce(1).write.partitionBy("s_suppkey").text(talk)
+    for path, texts in ((details, one), (talk, rich.toDF("s_suppkey", "value"))):
+        # All rows of a supplier in one task make one file; tasks put their files in place themselves.
+        dealt = texts.repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(
+            "s_suppkey").text(path)
     listed = [files.listed_files(spark, p, "part-*") for p in (details, talk)]
     return ql.file_audit(*listed, call_of="s_suppkey=([0-9]+)/")
 

@@ -234,3 +234,18 @@ def test_first_of_equal_rows_is_one_row(spark, rows):
 
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.lit(1).alias("v"))
     assert rows(first_match(df, "k", "v")) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_file_audit_reads_each_listing_once(spark, tmp_path):
+    from callsift.operators import quality as ql
+
+    for name, files_of in (("details", {"1.json": "abc", "2.json": "d"}), ("talk", {"2.json": "x", "3.json": "yy"})):
+        (tmp_path / name).mkdir()
+        for file, text in files_of.items():
+            (tmp_path / name / file).write_text(text)
+    told = ql.file_audit(*[files.listed_files(spark, str(tmp_path / name)) for name in ("details", "talk")])
+    assert {tuple(r) for r in told.collect()} == {
+        ("call detail files", 2, 4), ("transcript files", 2, 3), ("matched pairs", 1, 1)}
+    assert told._jdf.queryExecution().sparkPlan().toString().count("FileScan binaryFile") == 2
+    nothing = [files.listed_files(spark, str(tmp_path / name), "none*") for name in ("details", "talk")]
+    assert [tuple(r)[1:] for r in ql.file_audit(*nothing).collect()] == [(0, 0)] * 3

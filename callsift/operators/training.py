@@ -41,8 +41,9 @@ def labels_of(model: PipelineModel) -> list[str]:
 def train_issue(training: DataFrame, max_iter: int = MAX_ITERATIONS) -> PipelineModel:
     """Balanced multinomial logistic regression on text, numbers and campaign.
 
-    The columns it needs are written out once: counting classes and terms, and every later pass,
-    read those instead of repeating the joins. They are removed once the model is fitted.
+    The columns it needs are written out once: counting classes and terms read those instead of repeating
+    the joins, and every later pass reads the counts of the kept terms. Both are removed once the model is
+    fitted.
     """
     needed = ["issue_category", "combined_text", "campaign_name", *ft.ISSUE_NUMBERS]
     known = ft.issue_frame(training.filter("issue_category IS NOT NULL")).select(*needed)
@@ -56,7 +57,13 @@ def train_issue(training: DataFrame, max_iter: int = MAX_ITERATIONS) -> Pipeline
         )
         stages = [*ft.feature_pipeline("issue").getStages(), classifier]
         weighted = ft.balanced_weights(frame, "issue_category")
-        return _fitted(stages, weighted, "issue_category", "predicted")
+        # Weights and coefficients are fitted on the stored term counts; texts are not taken apart again.
+        at = 1 + next(i for i, stage in enumerate(stages) if isinstance(stage, ft.FrequentTerms))
+        counter = Pipeline(stages=stages[:at]).fit(weighted)
+        wanted = ["issue_category", "class_weight", "counts", "campaign_name", *ft.ISSUE_NUMBERS]
+        with settled(counter.transform(weighted).select(*wanted), "counts") as counted:
+            rest = _fitted(stages[at:], counted, "issue_category", "predicted")
+        return PipelineModel([*counter.stages, *rest.stages])
 
 
 def train_resolution(training: DataFrame, trees: int = TREES) -> PipelineModel:

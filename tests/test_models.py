@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from callsift.operators import features as ft
+from callsift.operators import rollups as ru
 from callsift.operators import training as tr
 
 
@@ -178,3 +179,17 @@ def test_predictions_go_into_the_summary(spark, training, rows):
     assert rows(table) == [(1, "Account Access", "Escalated"), (9, "old", None)]
     meta = tr.model_meta(tr.train_resolution(training, trees=2), training, "resolution")
     assert meta["labels"] == ["Escalated", "Resolved", "Unresolved"] and meta["trained_on"] == 45
+
+
+def test_accuracy_predicts_every_row_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), (None, "a")], "actual string, predicted string")
+    told = ru.accuracy(rows.mapInArrow(count, rows.schema), "actual", "predicted").collect()
+    assert sorted((r["actual"], r["predicted"], r["n"]) for r in told) == [("a", "a", 1), ("a", "b", 1), ("b", "b", 1)]
+    assert seen.value == 4

@@ -52,6 +52,17 @@ def ensure_shared_dir(spark: SparkSession) -> SparkSession:
     return spark
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Batches of 1,000 rows for Python workers, where the session has Spark's own setting: rows hold whole
+    texts, and ten thousand of them with what is made of them take a worker gigabytes."""
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+    return spark
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

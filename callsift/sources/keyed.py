@@ -225,7 +225,7 @@ def merge_parts(batch: DataFrame, path: str, part: str, keys: list[str], run: st
         known = [(p, held[p]) for p in touched if p in held]
         stored = _read(spark, f"{path}/data", known, part, batch.schema)
         same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in (part, *keys)]
-        kept = stored.alias("o").join(rows.select(part, *keys).alias("n"), same, "left_anti")
+        kept = stored.alias("o").join(rows.select(part, *keys).distinct().alias("n"), same, "left_anti")
         version = 1 + max(held.values(), default=0)
         out = f"{path}/data/{sinks.VERSION_PREFIX}{version}"
         kept.unionByName(rows).hint("rebalance", part).write.mode("overwrite").partitionBy(part).parquet(out)
